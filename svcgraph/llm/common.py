@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows that one call of a row function sees. Texts may be very long, so batches are cut
 #: again by bytes: a function never holds more than about this many bytes of input text.
-BATCH_BYTES = 24 << 20
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import binary_records, packing
+from . import binary_records, decontamination, language_id, license_scan, packing, pii
 
 QUERIES = {
+    "op3_license_scan": license_scan.op3_license_scan,
     "op4_binary_records": binary_records.op4_binary_records,
+    "op6_decontamination": decontamination.op6_decontamination,
+    "op7_language_id": language_id.op7_language_id,
     "op9_pack_cut": packing.op9_pack_cut,
+    "op10_pii": pii.op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {}
