@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import binary_records, decontamination, language_id, license_scan, packing, pii
+from . import binary_records, decontamination, language_id, license_scan, ngram_join, packing, pii
 
 QUERIES = {
     "op3_license_scan": license_scan.op3_license_scan,
     "op4_binary_records": binary_records.op4_binary_records,
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_language_id": language_id.op7_language_id,
+    "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_pack_cut": packing.op9_pack_cut,
     "op10_pii": pii.op10_pii,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_ngram_join": ngram_join.SQL,
+}
