@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import binary_records, decontamination, language_id, license_scan, ngram_join, packing, pii
+from . import binary_records, chat_format, decontamination, language_id, license_scan, ngram_join, packing, pii, topk_search, warc
 
 QUERIES = {
+    "op1_chat_format": chat_format.op1_chat_format,
+    "op2_topk_search": topk_search.op2_topk_search,
     "op3_license_scan": license_scan.op3_license_scan,
     "op4_binary_records": binary_records.op4_binary_records,
+    "op5_warc": warc.op5_warc,
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_language_id": language_id.op7_language_id,
     "op8_ngram_join": ngram_join.op8_ngram_join,
@@ -15,5 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_topk_search": topk_search.SQL,
+    "op5_warc": warc.SQL,
     "op8_ngram_join": ngram_join.SQL,
 }
