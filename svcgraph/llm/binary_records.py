@@ -22,13 +22,13 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import _pieces, arrow_schema, crc32_u32, map_rows, materialize, scratch_path, word_tokenizer
+from .common import _pieces, arrow_schema, crc32_u32, materialize, scratch_path, word_tokenizer
 
 END_ID = 1
 INDEX = "<QQq"
@@ -70,10 +70,12 @@ def local_url(url: str) -> str:
     return "file://" + url[5:] if url.startswith("file:/") and not url.startswith("file://") else url
 
 
-def write_shards(rows: DataFrame, folder: str) -> DataFrame:
-    """rows (key long, ids binary), each partition sorted -> one shard and index a partition.
+def write_shards(rows: DataFrame, folder: str, make: Callable[[], Callable[[list], list[bytes]]]) -> DataFrame:
+    """rows (key long, value), each partition sorted -> one shard and index a partition.
 
-    Returns the manifest: shard int, path string, records long, tokens_bytes long.
+    make() gives, once in a task, the function that turns a list of values into payloads; it runs in
+    the process that writes, so a task holds one set of tokenizer tables and not two.
+    Returns the manifest: shard int, path string, records long, payload_bytes long.
     """
     import pyarrow as pa
 
@@ -88,12 +90,13 @@ def write_shards(rows: DataFrame, folder: str) -> DataFrame:
         name, own = f"{root}/shard-{shard:06d}", f"{root}/.{shard:06d}-{uuid.uuid4().hex}"
         at = records = size = 0
         data = index = None
+        encode = make()
         for whole in batches:
             for b in _pieces(whole):
                 if data is None:
                     store.create_dir(root, recursive=True)
                     data, index = store.open_output_stream(own), store.open_output_stream(own + ".idx")
-                for key, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for key, ids in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist()), strict=True):
                     framed = frame(ids)
                     entry = struct.pack(INDEX, at, len(ids), NO_KEY if key is None else key)
                     data.write(framed)
@@ -115,20 +118,20 @@ def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
 
     def make():
         tokenizer, end = word_tokenizer(vocabulary), np.array([end_id], "<u2").tobytes()
-        return lambda keys, texts: (keys, [x + end for x in tokenizer.encode(texts)])
+        return lambda texts: [x + end for x in tokenizer.encode(texts)]
 
     texts = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
     # The range is that of (key, salt): copies of one key can't fill a task.
     dealt = texts.withColumn("salt", F.xxhash64("text")).repartitionByRange("key", "salt")
     sorted_rows = dealt.sortWithinPartitions("key", "salt", "text").select("key", "text")
-    return materialize(write_shards(map_rows(sorted_rows, make, "key long, ids binary"), folder), "manifest")
+    return materialize(write_shards(sorted_rows, folder, make), "manifest")
 
 
 def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
-    """Every record by way of its index entry: shard, at (ids before it in the shard), key, ids (u16)."""
+    """Every record by way of its index entry: shard, at (ids before it in the shard), key, n, crc, ids (u16)."""
     import pyarrow as pa
 
-    schema = "shard int, at long, key long, n long, ids binary"
+    schema = "shard int, at long, key long, n long, crc long, ids binary"
     folder = local_url(folder)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -148,7 +151,7 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
                             offset, length, key = struct.unpack(INDEX, entry)
                             data.seek(offset)
                             ids, _ = unframe(data.read(length + 16))
-                            rows.append((shard, at, None if key == NO_KEY else key, len(ids) // 2, ids))
+                            rows.append((shard, at, None if key == NO_KEY else key, len(ids) // 2, crc32_u32(ids), ids))
                             at += len(ids) // 2
                         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), out.types, strict=True)], schema=out)
 
@@ -160,12 +163,8 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start (ids of all records before it), n_tokens, ids_crc32, ids, in the files' order of keys."""
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
     bases = manifest.select("shard", F.coalesce(F.sum(F.expr("payload_bytes div 2")).over(before), F.lit(0)).cast("long").alias("base"))
-    placed = read_shards(manifest, folder).join(F.broadcast(bases), "shard").select("key", (F.col("base") + F.col("at")).alias("start"), "n", "ids")
-
-    def make():
-        return lambda keys, starts, ns, ids: (keys, starts, ns, [crc32_u32(x) for x in ids], ids)
-
-    return map_rows(placed, make, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    start = (F.col("base") + F.col("at")).alias("start")
+    return read_shards(manifest, folder).join(F.broadcast(bases), "shard").select(F.col("key").alias("doc_id"), start, F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"), "ids")
 
 
 def op4_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
