@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows that one call of a row function sees. Texts may be very long, so batches are cut
 #: again by bytes: a function never holds more than about this many bytes of input text.
@@ -77,6 +78,31 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., tuple | Iterator[tu
     return df.mapInArrow(run, schema)
 
 
+def append_columns(df: DataFrame, column: str, make: Callable[[], Callable[[list], tuple]], extra: str) -> DataFrame:
+    """df with the columns of `extra` ("name type, ..."), made from one column's values; all else passes through.
+
+    A narrow stage: rows stay where they are. Names of extra must not be df's own.
+    """
+    from pyspark.sql.types import StructType
+
+    fields = [f.split() for f in extra.split(", ")]
+    schema = df.select("*", *[F.lit(None).cast(kind).alias(name) for name, kind in fields]).schema
+    if len({f.name.lower() for f in schema}) != len(schema):
+        raise ValueError(f"columns {extra!r} clash with {df.columns}")
+    at = df.columns.index(column)
+    loose = StructType([type(f)(f.name, f.dataType, True) for f in schema])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds, fn = arrow_schema(extra), make()
+        for whole in batches:
+            for b in _pieces(whole):
+                got = fn(b.column(at).to_pylist())
+                added = [pa.array(v, t) for v, t in zip(got, kinds.types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*b.columns, *added], names=[*b.schema.names, *kinds.names])
+
+    return df.mapInArrow(run, loose)
+
+
 def text_of(text: str | None) -> str:
     return text if text is not None else ""
 

@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, text_of
+from .common import append_columns, map_rows, text_of
 
 WORDS = r"\w+"
 HITS = "doc_id long, item_id long, distance long, start long, end long"
@@ -199,10 +199,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return reduce(DataFrame.unionAll, [one(block) for block in _blocks(benchmark, item_col, item_text_col, block_chars)])
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs without those that hold an item; a null id can't be told apart, so such rows go by their text alone."""
-    hits = contaminated(docs, benchmark, id_col, **options).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hits, F.col(id_col).eqNullSafe(F.col("_hit")), "left_anti")
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", error_rate: float = 0.05, min_chars: int = 20, block_chars: int = 4_000_000) -> DataFrame:
+    """docs without the rows whose text holds an item; rows are judged where they lie, one pass a block."""
+    for block in _blocks(benchmark, item_col, item_text_col, block_chars):
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+
+        def make(sent=sent):
+            matcher = _matcher(sent.value, error_rate, min_chars)
+            return lambda texts: ([bool(matcher.find(normal(t))) for t in texts],)
+
+        docs = append_columns(docs, text_col, make, "_leaks boolean").where("NOT _leaks").drop("_leaks")
+    return docs
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

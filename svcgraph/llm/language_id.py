@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, text_of
+from .common import append_columns, map_rows, text_of
 
 KEEP = 600_000
 
@@ -123,15 +123,15 @@ class CrossParser:
             found = list(map(self.ids.__getitem__, chunks))
         return self.table[found].sum(0, dtype="i8").tolist() if found else [0] * self.table.shape[1]
 
-    def predict(self, text: str | None) -> tuple[str, float, float]:
-        """Language, score (how far the next best falls behind, 0 to 1), phrases a character of the best."""
+    def predict(self, text: str | None) -> tuple[str, float, float, int]:
+        """Language, score (how far the next best falls behind, 0 to 1), phrases a character of the best, characters."""
         n, *phrases = self.counts(text_of(text))
         if not n or not phrases:
-            return "und", 0.0, 0.0
+            return "und", 0.0, 0.0, n
         order = sorted(range(len(phrases)), key=lambda i: (phrases[i], self.languages[i]))
         best = phrases[order[0]]
         second = phrases[order[1]] if len(order) > 1 else n
-        return self.languages[order[0]], max(0.0, min(1.0, (second - best) / second)), best / n
+        return self.languages[order[0]], max(0.0, min(1.0, (second - best) / second)), best / n, n
 
 
 _PARSERS: dict[int, CrossParser] = {}
@@ -175,18 +175,38 @@ def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "lang",
 
 
 def identify(docs: DataFrame, models: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score, rate (phrases a character under the winner)."""
+    """doc_id, lang_pred, score, rate (phrases a character under the winner), and those characters' number."""
 
     def make():
         parser = _parser(models)
 
         def fn(keys, texts):
             got = [parser.predict(t) for t in texts]
-            return keys, [g[0] for g in got], [g[1] for g in got], [g[2] for g in got]
+            return keys, *map(list, zip(*got, strict=True))
 
         return fn
 
-    return map_rows(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), make, "doc_id long, lang_pred string, score double, rate double")
+    return map_rows(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), make, "doc_id long, lang_pred string, score double, rate double, characters long")
+
+
+def keep_languages(docs: DataFrame, models: dict[str, str], text_col: str = "text", lang_col: str = "lang", max_rate: float = 0.6, min_characters: int = 200) -> DataFrame:
+    """docs without those in no learned language: without a letter, or long and hardly parsed by any automaton.
+
+    A language's own texts need 0.2 to 0.4 phrases a character; max_rate leaves them wide room. Where the
+    language is null it becomes the predicted one.
+    """
+
+    def make():
+        parser = _parser(models)
+
+        def fn(texts):
+            got = [parser.predict(t) for t in texts]
+            return [g[0] for g in got], [g[0] != "und" and (g[2] <= max_rate or g[3] < min_characters) for g in got]
+
+        return fn
+
+    judged = append_columns(docs, text_col, make, "_lang string, _keep boolean").where("_keep")
+    return judged.withColumn(lang_col, F.coalesce(lang_col, "_lang")).drop("_lang", "_keep")
 
 
 def held_out() -> Column:

@@ -34,7 +34,7 @@ from __future__ import annotations
 import bisect
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import _pieces, arrow_schema, map_rows, materialize, space_words
@@ -323,6 +323,18 @@ def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows, links
 
 
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the smallest id of each group, one row an id; rows with a null id stay."""
+    groups = link_groups(docs, id_col, text_col)[0].where("doc_id IS NOT NULL")
+    kept = materialize(groups.groupBy(F.col("doc_id").alias("_id")).agg(F.min("component_id").alias("_c"), F.count("*").alias("_k")).where("_id = _c").drop("_c"), "kept")
+    rows = docs.join(kept, docs[id_col] == kept["_id"])
+    nameless = docs.where(F.col(id_col).isNull())
+    if kept.where("_k > 1").limit(1).count():
+        turn = F.row_number().over(Window.partitionBy("_id").orderBy(text_col))
+        rows = rows.where("_k = 1").unionByName(rows.where("_k > 1").withColumn("_t", turn).where("_t = 1").drop("_t"))
+    return rows.drop("_id", "_k").unionByName(nameless)
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))[0]
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import binary_records, chat_format, decontamination, language_id, license_scan, ngram_join, packing, pii, topk_search, warc
 
 QUERIES = {
@@ -15,6 +17,7 @@ QUERIES = {
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_pack_cut": packing.op9_pack_cut,
     "op10_pii": pii.op10_pii,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {
