@@ -16,8 +16,10 @@ Steps, all shuffled by Spark:
 3. documents with fewer surviving signatures than any partner needs go (exact, by the bound above);
 4. every bucket links its members to its smallest one as candidates: as many as members, never
    all pairs; candidates are verified on their whole feature sets;
-5. buckets whose members are still in different groups compare across groups: pairs are
-   counted over all buckets, those below the needed count go, the rest are verified.
+5. buckets whose members are still in different groups join their documents into families; a
+   family's largest group is set apart, and the others are compared with it and with one another in
+   blocks of bounded size. A task counts common features of two blocks by matrix products and
+   gives only links that join groups, fewer than it has documents.
 Exact copies never meet one another: equal sets are one vertex.
 
 Signatures are cut to 40 bits within their range and equal sets in a bucket are told by 32
@@ -114,6 +116,21 @@ def scheme_roles(n: int) -> list[tuple[int, int]]:
     return roles
 
 
+def needs(features: np.ndarray) -> list[tuple[int, int]]:
+    """(scheme, needed common signatures), as signatures() has them."""
+    out, n = [], len(features)
+    for j, most in scheme_roles(n):
+        if _STARTS[j] < SMALL:
+            out.append((2 * j + 1, n - most))
+            continue
+        part = (features >> U(32)) * U(max(1, round(SPREAD * _STARTS[j]))) >> U(32)
+        m = int(np.count_nonzero(part[1:] != part[:-1])) + 1
+        out.append((2 * j, m - most))
+        if m <= most:
+            out.append((2 * j + 1, n - most))
+    return out
+
+
 def signatures(features: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
     """(scheme, needed common signatures, signatures); a scheme is 2j, or 2j + 1 with a partition a feature."""
     out = []
@@ -144,8 +161,8 @@ def _sets(docs: DataFrame) -> DataFrame:
             for key, text in zip(keys, texts, strict=True):
                 f = shingler.features(text)
                 with np.errstate(over="ignore"):
-                    h = (int(np.sum(f, dtype=U)), int(np.sum(_mix(f ^ U(0x1234567)), dtype=U))) if len(f) else (0, 0)
-                need = ",".join(f"{s}:{m}" for s, m, _ in signatures(f)) if len(f) else ""
+                    h = (int(np.sum(f, dtype=U)), int(np.sum(f * f, dtype=U))) if len(f) else (0, 0)
+                need = ",".join([f"{s}:{m}" for s, m in needs(f)]) if len(f) else ""
                 for column, value in zip(out, (key, len(f), *(x - (x >> 63 << 64) for x in h), need), strict=True):
                     column.append(value)
             return out
@@ -188,7 +205,7 @@ def _signature_blocks(docs: DataFrame, ranges: int) -> DataFrame:
                     with np.errstate(over="ignore"):
                         own = np.sum(f, dtype=U)
                     for scheme, _, sig in signatures(f):
-                        gathered.append((sig, np.full(len(sig), key, "i8"), (_mix(sig ^ own) >> U(32)).astype("u4"), np.full(len(sig), scheme, "u1")))
+                        gathered.append((sig, np.full(len(sig), key, "i8"), ((sig ^ own) * U(0x9E3779B97F4A7C15) >> U(32)).astype("u4"), np.full(len(sig), scheme, "u1")))
                         size += len(sig)
                 if size > 1_500_000:
                     yield flush()
@@ -238,24 +255,27 @@ def _survivors(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("r").applyInArrow(fn, schema)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) whose whole feature sets have 100 * intersection >= 75 * union."""
-    wanted = pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()
+def _features(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, f: whole feature sets of the documents with an _id in ids, written once."""
 
     def make():
         shingler = Shingler()
         return lambda keys, texts: (keys, [shingler.features(t).tobytes() for t in texts])
 
-    some = docs.join(wanted, docs["doc_id"] == wanted["_id"], "left_semi")
-    sets = materialize(map_rows(some, make, "doc_id long, f binary"), "features")
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("f").alias("fa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("f").alias("fb")), "b")
+    some = docs.join(ids.select("_id").distinct(), docs["doc_id"] == F.col("_id"), "left_semi")
+    return materialize(map_rows(some, make, "doc_id long, f binary"), "features")
+
+
+def _verified(features: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) whose whole feature sets have 100 * intersection >= 75 * union."""
+    both = pairs.join(features.select(F.col("doc_id").alias("a"), F.col("f").alias("fa")), "a").join(features.select(F.col("doc_id").alias("b"), F.col("f").alias("fb")), "b")
 
     def compare():
         def fn(a, b, fa, fb):
             keep = []
             for x, y in zip(fa, fb, strict=True):
                 x, y = np.frombuffer(x, U), np.frombuffer(y, U)
-                common = len(x) + len(y) - len(np.union1d(x, y))
+                common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * common >= 75 * (len(x) + len(y) - common))
             return [v for v, k in zip(a, keep, strict=True) if k], [v for v, k in zip(b, keep, strict=True) if k]
 
@@ -264,6 +284,79 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return materialize(map_rows(both.select("a", "b", "fa", "fb"), compare, "a long, b long").distinct(), "links")
 
 
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Intersection sizes of all sets of left with all of right, over columns for features on both sides."""
+    every = [np.concatenate(x) if x else np.zeros(0, U) for x in (left, right)]
+    shared = np.intersect1d(np.unique(every[0]), np.unique(every[1]), assume_unique=True)
+    counts = np.zeros((len(left), len(right)), "f4")
+    rows = [np.repeat(np.arange(len(x)), [len(f) for f in x]) for x in (left, right)]
+    at = [np.searchsorted(shared, e) for e in every]
+    ok = [(a < len(shared)) & (shared[np.minimum(a, len(shared) - 1)] == e) if len(shared) else np.zeros(len(e), bool) for a, e in zip(at, every, strict=True)]
+    at, rows = [a[k] for a, k in zip(at, ok, strict=True)], [r[k] for r, k in zip(rows, ok, strict=True)]
+    step = 2048
+    for low in range(0, len(shared), step):
+        sides = []
+        for a, r, n in zip(at, rows, counts.shape, strict=True):
+            inside = (a >= low) & (a < low + step)
+            m = np.zeros((n, step), "f4")
+            m[r[inside], a[inside] - low] = 1
+            sides.append(m)
+        counts += sides[0] @ sides[1].T
+    return counts.astype("i8")
+
+
+def _family_links(members: DataFrame, features: DataFrame, block_features: int = 300_000) -> DataFrame:
+    """members (doc, family, c: group so far) -> links (a, b) between different groups of a family."""
+    import pyarrow as pa
+
+    sized = features.select(F.col("doc_id").alias("doc"), "f", (F.octet_length("f") / 8).cast("long").alias("n"))
+    rows = members.join(sized, "doc")
+    groups = members.join(sized.drop("f"), "doc").groupBy("family", "c").agg(F.count("*").alias("many"), F.sum("n").alias("n"))
+    largest = groups.groupBy("family").agg(F.max_by("c", F.struct("many", "c")).alias("main"), F.max_by("n", F.struct("many", "c")).alias("main_n"), F.sum("n").alias("all_n"))
+    blocks = lambda n: F.ceil(F.col(n) / block_features).cast("int")
+    plan = largest.select("family", "main", F.greatest(F.ceil((F.col("all_n") - F.col("main_n")) / block_features), F.lit(1)).cast("int").alias("others"), blocks("main_n").alias("mains"))
+    placed = rows.join(plan, "family").withColumn("is_main", F.col("c") == F.col("main"))
+    at = F.xxhash64("doc")
+    block = F.when(F.col("is_main"), F.col("others") + F.pmod(at, F.col("mains"))).otherwise(F.pmod(at, F.col("others"))).cast("int")
+    placed = placed.withColumn("block", block).select("family", "doc", "c", "f", "block", "others", "mains", "is_main")
+    # Columns under new names of their own: both sides come from one table.
+    fresh = lambda i, j: [F.col(x).alias(y) for x, y in (("family", "family"), (i, "i"), (j, "j"), ("doc", "doc"), ("c", "c"), ("f", "f"))]
+    left = placed.where("NOT is_main").withColumn("other", F.explode(F.sequence(F.col("block"), F.col("others") + F.col("mains") - 1))).select(*fresh("block", "other"))
+    right = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.least(F.col("block"), F.col("others") - 1)))).select(*fresh("other", "block"))
+    schema = "a long, b long"
+
+    def compare(one: pa.Table, two: pa.Table) -> pa.Table:
+        links = []
+        if one.num_rows and two.num_rows:
+            docs, groups, sets = [], [], []
+            for t in (one, two):
+                docs.append(t.column("doc").to_pylist())
+                groups.append(np.array(t.column("c").to_pylist(), "i8"))
+                sets.append([np.frombuffer(x.as_buffer(), U) for x in t.column("f")])
+            common = common_counts(*sets)
+            sizes = [np.array([len(x) for x in s], "i8") for s in sets]
+            union = sizes[0][:, None] + sizes[1][None, :] - common
+            found = np.argwhere((100 * common >= 75 * union) & (groups[0][:, None] != groups[1][None, :]))
+            root: dict[int, int] = {}
+
+            def top(x: int) -> int:
+                while root.get(x, x) != x:
+                    root[x] = root.get(root[x], root[x])
+                    x = root[x]
+                return x
+
+            for x, y in found.tolist():
+                p, q = top(int(groups[0][x])), top(int(groups[1][y]))
+                if p != q:  # a link that joins two groups; others add nothing to components
+                    root[q] = p
+                    links.append((docs[0][x], docs[1][y]))
+        out = arrow_schema(schema)
+        return pa.Table.from_arrays([pa.array([v[k] for v in links], t) for k, t in enumerate(out.types)], schema=out)
+
+    keys = ("family", "i", "j")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, schema)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id, component (smallest reachable id) for every end of an edge (a, b): minimum labels with pointer jumping."""
     both = materialize(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges")
@@ -294,21 +387,21 @@ def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     kept = materialize(found.join(enough, ["doc", "scheme"]), "kept")
 
     # Step 4.
+    features = _features(texts, enough.select(F.col("doc").alias("_id")))
     smallest = kept.groupBy("sig").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a < z").drop("z")
     stars = kept.join(smallest, "sig").where("doc > a").select("a", F.col("doc").alias("b")).distinct()
-    tried = materialize(stars, "stars")
-    links = _verified(texts, tried)
+    links = _verified(features, materialize(stars, "stars"))
 
     # Step 5. A bucket is done once all its members are in one group.
     groups = components(links)
-    member = kept.join(groups, kept["doc"] == groups["id"], "left").select("sig", "scheme", "doc", "need", F.coalesce("component", "doc").alias("c"))
-    member = materialize(member, "members")
-    mixed = member.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("sig")
-    rest = materialize(member.join(mixed, "sig", "left_semi"), "mixed")
-    left, right = rest.select("sig", "scheme", F.col("doc").alias("a"), F.col("need").alias("na"), F.col("c").alias("ca")), rest.select("sig", F.col("doc").alias("b"), F.col("need").alias("nb"), F.col("c").alias("cb"))
-    across = left.join(right, "sig").where("a < b AND ca <> cb").groupBy("scheme", "a", "b").agg(F.count("*").alias("got"), F.max(F.greatest("na", "nb")).alias("need")).where("got >= need").select("a", "b").distinct()
-    across = materialize(across.join(tried, ["a", "b"], "left_anti"), "across")
-    links = links.union(_verified(texts, across))
+    member = materialize(kept.join(groups, kept["doc"] == groups["id"], "left").select("sig", "scheme", "doc", "need", F.coalesce("component", "doc").alias("c")), "members")
+    mixed = lambda m: m.groupBy("sig").agg(F.min("doc").alias("first"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("sig", "first")
+    rest = member.join(mixed(member).select("sig"), "sig", "left_semi")
+    enough_still = rest.groupBy("doc", "scheme").agg(F.count("*").alias("got"), F.first("need").alias("need")).where("got >= need").select("doc", "scheme")
+    rest = materialize(rest.join(enough_still, ["doc", "scheme"], "left_semi"), "mixed")
+    families = components(rest.join(mixed(rest), "sig").where("doc > first").select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct())
+    in_family = materialize(rest.select("doc", "c").distinct().join(families.select(F.col("id").alias("doc"), F.col("component").alias("family")), "doc"), "families")
+    links = links.union(materialize(_family_links(in_family, features), "links"))
 
     # Equal sets are one vertex; an id with several sets joins them.
     copies = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("many"))
