@@ -6,6 +6,7 @@ integer keys as integers even when a column holds nulls (rows travel as Arrow, n
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zlib
@@ -107,6 +108,22 @@ def text_of(text: str | None) -> str:
     return text if text is not None else ""
 
 
+_TABLE: list[tuple] = []
+
+
+def process_table(key: object, make: Callable[[], object]):
+    """The process's one large table, made when first asked for under a key; another key's takes its place.
+
+    Python workers live on between tasks and stages, so tables of several operators would add up.
+    """
+    if not _TABLE or _TABLE[0][0] != key:
+        if _TABLE:
+            _TABLE.clear()
+            gc.collect()
+        _TABLE.append((key, make()))
+    return _TABLE[0][1]
+
+
 # --- words -----------------------------------------------------------------------------------
 
 #: Bytes that are no part of a licence word become spaces; A-Z become a-z.
@@ -144,7 +161,7 @@ class WordTokenizer:
     The two tables are emptied beyond KEEP entries, which bounds memory and changes no result.
     """
 
-    KEEP = 700_000
+    KEEP = 500_000
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
     def __init__(self, path: str | None = None) -> None:
@@ -177,14 +194,31 @@ class WordTokenizer:
             self.chunks.clear()
         if len(self.parts) > self.KEEP:
             self.parts.clear()
-        split, new = {}, set()
+        # Chunks of known pieces are done at once; only those with a new piece wait.
+        chunks, parts, find, unusual = self.chunks, self.parts, self.find, self.unusual
+        waiting: list[str] = []
+        new: set[str] = set()
         for word in words:
-            if self.unusual(word):
-                self.chunks[word] = self._whole(word)
+            if unusual(word):
+                chunks[word] = self._whole(word)
+                continue
+            low = word.lower()
+            if low.isalpha():
+                known = parts.get(low)
+                if known is not None:
+                    chunks[word] = known
+                else:
+                    new.add(low)
+                    waiting.append(word)
+                continue
+            pieces = (low[:-1], low[-1]) if low[-1:] in (".", ",") and low[:-1].isalpha() else find(low)
+            known = [parts.get(p) for p in pieces]
+            if None in known:
+                new.update([p for p, k in zip(pieces, known, strict=True) if k is None])
+                waiting.append(word)
             else:
-                split[word] = self.find(word.lower())
-                new.update(split[word])
-        pieces = list(new - self.parts.keys())
+                chunks[word] = b"".join(known)
+        pieces = list(new)
         groups = [pieces[i : i + 256] for i in range(0, len(pieces), 256)]
         encode = self.library.encode_batch_fast
         for i in range(0, len(groups), 64):
@@ -193,15 +227,15 @@ class WordTokenizer:
                 ids = np.array(coded.ids, "<u2")
                 stops = np.flatnonzero(self.ends[ids]) + 1
                 if len(stops) != len(group):
-                    self.parts.update((p, self._whole(p)) for p in group)
+                    parts.update((p, self._whole(p)) for p in group)
                     continue
                 raw, at = ids.tobytes(), 0
                 for piece, stop in zip(group, (2 * stops).tolist(), strict=True):
-                    self.parts[piece] = raw[at:stop]
+                    parts[piece] = raw[at:stop]
                     at = stop
-        parts = self.parts
-        for word, found in split.items():
-            self.chunks[word] = b"".join([parts[p] for p in found])
+        for word in waiting:
+            low = word.lower()
+            chunks[word] = parts[low] if low.isalpha() else b"".join([parts[p] for p in find(low)])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 16-bit integers."""
@@ -218,17 +252,12 @@ class WordTokenizer:
         return [b"".join(map(get, words)) for words in split]
 
 
-_TOKENIZERS: dict[str | None, WordTokenizer] = {}
-
-
 def word_tokenizer(path: str | None = None) -> WordTokenizer:
     """This process's tokenizer: Python workers live on between tasks, and so do its tables."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
-    return _TOKENIZERS[path]
+    return process_table(("tokenizer", path), lambda: WordTokenizer(path))
 
 
 def crc32_u32(ids16: bytes) -> int:

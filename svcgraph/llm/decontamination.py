@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import append_columns, map_rows, text_of
+from .common import append_columns, map_rows, process_table, text_of
 
 WORDS = r"\w+"
 HITS = "doc_id long, item_id long, distance long, start long, end long"
@@ -158,15 +158,8 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int)
     yield block
 
 
-_MATCHERS: dict[int, ItemMatcher] = {}
-
-
 def _matcher(items: list, error_rate: float, min_chars: int) -> ItemMatcher:
-    key = hash((tuple(items), error_rate, min_chars))
-    if key not in _MATCHERS:
-        _MATCHERS.clear()
-        _MATCHERS[key] = ItemMatcher(items, error_rate, min_chars)
-    return _MATCHERS[key]
+    return process_table(("items", tuple(items), error_rate, min_chars), lambda: ItemMatcher(items, error_rate, min_chars))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", error_rate: float = 0.05, min_chars: int = 20, block_chars: int = 4_000_000) -> DataFrame:

@@ -25,9 +25,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import append_columns, map_rows, text_of
+from .common import append_columns, map_rows, process_table, text_of
 
-KEEP = 600_000
+KEEP = 400_000
 
 
 class SuffixAutomaton:
@@ -134,16 +134,9 @@ class CrossParser:
         return self.languages[order[0]], max(0.0, min(1.0, (second - best) / second)), best / n, n
 
 
-_PARSERS: dict[int, CrossParser] = {}
-
-
 def _parser(models: dict[str, str]) -> CrossParser:
     """Built once in each Python worker."""
-    key = hash(tuple(sorted(models.items())))
-    if key not in _PARSERS:
-        _PARSERS.clear()
-        _PARSERS[key] = CrossParser(models)
-    return _PARSERS[key]
+    return process_table(("cross-parser", tuple(sorted(models.items()))), lambda: CrossParser(models))
 
 
 def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", sample_docs: int = 200, sample_chars: int = 4000, model_chars: int = 40_000) -> dict[str, str]:

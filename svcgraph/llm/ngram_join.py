@@ -39,7 +39,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import _pieces, arrow_schema, map_rows, materialize, space_words
+from .common import _pieces, arrow_schema, map_rows, materialize, process_table, space_words
 
 WORDS = 5
 #: Partitions for each unit of a band's lower end; more cost space and prune candidates better.
@@ -72,7 +72,7 @@ _STARTS = band_starts(1 << 40)
 class Shingler:
     """Sorted distinct feature hashes of whole texts."""
 
-    KEEP = 600_000
+    KEEP = 400_000
     FACTORS = [pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, WORDS + 1)]
 
     def __init__(self) -> None:
@@ -154,7 +154,7 @@ def _sets(docs: DataFrame) -> DataFrame:
     """Step 1. need: for each scheme of the document, "scheme:needed" comma-joined."""
 
     def make():
-        shingler = Shingler()
+        shingler = process_table("shingler", Shingler)
 
         def fn(keys, texts):
             out = ([], [], [], [], [])
@@ -179,7 +179,7 @@ def _signature_blocks(docs: DataFrame, ranges: int) -> DataFrame:
     schema = "r int, block binary"
 
     def run(batches):
-        out, shingler = arrow_schema(schema), Shingler()
+        out, shingler = arrow_schema(schema), process_table("shingler", Shingler)
         gathered: list[tuple[np.ndarray, ...]] = []
         size = 0
 
@@ -259,7 +259,7 @@ def _features(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """doc_id, f: whole feature sets of the documents with an _id in ids, written once."""
 
     def make():
-        shingler = Shingler()
+        shingler = process_table("shingler", Shingler)
         return lambda keys, texts: (keys, [shingler.features(t).tobytes() for t in texts])
 
     some = docs.join(ids.select("_id").distinct(), docs["doc_id"] == F.col("_id"), "left_semi")
