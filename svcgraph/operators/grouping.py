@@ -52,42 +52,42 @@ def best_evidence(rows: DataFrame) -> DataFrame:
     return rows.groupBy("repo_id", "key", "type_key").agg(best.alias("b")).select("repo_id", "key", "type_key", F.col("b.evidence_type").alias("evidence_type"), F.col("b.reason").alias("reason"), F.col("b.score").alias("score"))
 
 
-def prefix_roots(keys: DataFrame) -> DataFrame:
+def prefix_roots(keys: DataFrame, carried: str | None = None) -> DataFrame:
     """JN01: repo_id, key -> root, the shortest present key that is the key itself or a prefix of it up to a dash.
 
-    All dash prefixes are exploded and joined by equality, so the join is linear in the keys' parts.
+    Each key goes to all its dash prefixes; a prefix that is a key itself answers to those under it. Two
+    aggregates by equality do what a prefix join would, with one pass over keys. A carried column comes along.
     """
-    distinct = keys.select("repo_id", "key").distinct()
+    extra = [carried] if carried else []
     parts = F.split("key", "-")
-    prefixes = distinct.withColumn("prefix", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "-"))))
-    there = distinct.select("repo_id", F.col("key").alias("prefix"))
-    return prefixes.join(there, ["repo_id", "prefix"]).groupBy("repo_id", "key").agg(F.min_by("prefix", F.length("prefix")).alias("root"))
-
-
-def merge_related(rows: DataFrame) -> DataFrame:
-    """Rows with their root as key; name and category rules of JN01 stay with the root's own rows.
-
-    `own` marks rows that had the root's key before: they alone give the name (a merge keeps it).
-    """
-    roots = prefix_roots(rows)
-    return rows.join(roots, ["repo_id", "key"]).withColumn("own", F.col("key") == F.col("root")).drop("key").withColumnRenamed("root", "key")
+    rows = (keys.select("repo_id", "key", *extra) if carried else keys.select("repo_id", "key").distinct()).withColumn("prefix", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "-"))))
+    there = rows.groupBy("repo_id", "prefix").agg(F.max(F.col("key") == F.col("prefix")).alias("present"), F.collect_list(F.struct("key", *extra)).alias("under"))
+    answered = there.where("present").select("repo_id", "prefix", F.inline("under"))
+    return answered.groupBy("repo_id", "key").agg(F.min_by("prefix", F.length("prefix")).alias("root"), *[F.first(c).alias(c) for c in extra])
 
 
 def groups_of(rows: DataFrame) -> DataFrame:
-    """One row a group: repo_id, key, name, category, scores map<type_key, best>, ord (first appearance)."""
-    own = F.coalesce(F.col("own"), F.lit(True)) if "own" in rows.columns else F.lit(True)
-    typed = rows.withColumn("own", own)
-    by_type = typed.groupBy("repo_id", "key", "type_key").agg(
-        F.max("score").cast("int").alias("score"),
-        F.max(F.when(F.col("own"), F.struct(F.length("service_name"), -F.col("ord"), "service_name"))).alias("n"),
-        F.min(F.when(F.col("own") & (F.col("category") != "other"), F.struct("ord", "category"))).alias("c_own"),
-        F.min(F.when(F.col("category") != "other", F.struct("ord", "category"))).alias("c_any"),
-        F.min(F.when(F.col("own"), F.col("ord"))).alias("ord"),
-    )
+    """One row a key: repo_id, key, name, category, scores map<type_key, best>, ord (first appearance), first_ord (of the category)."""
+    by_type = rows.groupBy("repo_id", "key", "type_key").agg(
+        F.max("score").cast("int").alias("score"), F.max(F.struct(F.length("service_name"), -F.col("ord"), "service_name")).alias("n"),
+        F.min(F.when(F.col("category") != "other", F.struct("ord", "reason", "category"))).alias("c"), F.min("ord").alias("ord"),
+    )
     return by_type.groupBy("repo_id", "key").agg(
-        F.max("n").alias("n"), F.min("c_own").alias("c_own"), F.min("c_any").alias("c_any"), F.min("ord").alias("ord"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("type_key", "score")))).alias("scores"),
-    ).select("repo_id", "key", F.col("n.service_name").alias("name"), F.coalesce("c_own.category", "c_any.category", F.lit("other")).alias("category"), "scores", "ord")
+        F.max("n").alias("n"), F.min("c").alias("c"), F.min("ord").alias("ord"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("type_key", "score")))).alias("scores"),
+    ).select("repo_id", "key", F.col("n.service_name").alias("name"), F.coalesce("c.category", F.lit("other")).alias("category"), "scores", "ord", F.col("c.ord").alias("first_ord"))
+
+
+def merge_related(groups: DataFrame) -> DataFrame:
+    """JN01 on groups: those under a root join it; the root gives the name, and the category unless it is other."""
+    packed = groups.withColumn("g", F.struct("name", "category", "scores", "ord", "first_ord")).select("repo_id", "key", "g")
+    rooted = prefix_roots(packed, "g")
+    own = F.col("key") == F.col("root")
+    merged = rooted.groupBy("repo_id", "root").agg(
+        F.max(F.when(own, F.struct(F.col("g.name").alias("name"), F.col("g.category").alias("category"), F.col("g.ord").alias("ord")))).alias("o"),
+        F.min(F.when(F.col("g.category") != "other", F.struct(F.col("g.first_ord").alias("f"), F.col("g.category").alias("category")))).alias("c"), F.collect_list("g.scores").alias("s"),
+    )
+    category = F.when(F.col("o.category") != "other", F.col("o.category")).otherwise(F.coalesce("c.category", F.lit("other")))
+    return merged.select("repo_id", F.col("root").alias("key"), F.col("o.name").alias("name"), category.alias("category"), _combine(F.col("s")).alias("scores"), F.col("o.ord").alias("ord"))
 
 
 def _combine(scores: list[Column] | Column) -> Column:
@@ -128,12 +128,11 @@ def total(scores: Column) -> Column:
 
 def split_generic(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
     """JN03: (kept, discarded): a generic name goes where a specific one has its category in the repository."""
+    from pyspark.sql import Window
+
     generic = F.lower("name").isin(rules.GENERIC_SERVICES)
-    specific = groups.where(~generic).select("repo_id", "category").distinct()
-    marked = groups.withColumn("generic", generic)
-    lost = marked.where("generic").join(specific, ["repo_id", "category"], "left_semi").drop("generic")
-    kept = marked.where("NOT generic").unionByName(marked.where("generic").join(specific, ["repo_id", "category"], "left_anti")).drop("generic")
-    return kept, lost
+    marked = groups.withColumn("_lost", generic & F.max(~generic).over(Window.partitionBy("repo_id", "category")))
+    return marked.where("NOT _lost").drop("_lost"), marked.where("_lost").drop("_lost")
 
 
 def services_of(groups: DataFrame) -> DataFrame:
@@ -159,7 +158,7 @@ def discarded_of(groups: DataFrame, generic: DataFrame) -> DataFrame:
 
 def infer_services(results: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The whole grouping: (services, discarded)."""
-    merged = groups_of(merge_related(keyed(results)))
+    merged = merge_related(groups_of(keyed(results)))
     kept, lost = split_generic(collapse_brands(merged))
     return services_of(kept), discarded_of(kept, lost)
 

@@ -149,7 +149,7 @@ QUERIES: dict[str, Query] = {
     "agg23_information": lambda s, d: health.information_counts(services(s, d), "repo_id"),
     "agg24_deps_by_type": lambda s, d: health.dependencies_by_type(deps(s, d)),
     "jn01_prefix_merge": lambda s, d: grouping.prefix_roots(keyed_results(s, d)),
-    "jn02_brands": lambda s, d: grouping.collapse_brands(grouping.groups_of(grouping.merge_related(keyed_results(s, d)))).select("repo_id", "key", "name", "category", grouping.total(F.col("scores")).alias("score")),
+    "jn02_brands": lambda s, d: grouping.collapse_brands(grouping.merge_related(grouping.groups_of(keyed_results(s, d)))).select("repo_id", "key", "name", "category", grouping.total(F.col("scores")).alias("score")),
     "jn03_generic_removal": lambda s, d: grouping.split_generic(results(s, d).select("repo_id", F.col("service_name").alias("name"), "category").distinct())[1].select("repo_id", "name", "category"),
     "jn04_contains_join": lambda s, d: facts.service_files(secrets_as_services(s, d), ev(s, d)),
     "jn05_last_activity": lambda s, d: facts.last_activity(secrets_as_services(s, d), ev(s, d), A.adapted(s, d, A.COMMIT), as_of()),
