@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import exprs as E
 from ..functions import rules
 
+#: Over how many tasks a repository's evidence is spread in the contains-join.
+SALT = 16
+
 # --- activity ----------------------------------------------------------------------------------
 
 
@@ -15,12 +18,14 @@ def service_files(services: DataFrame, evidences: DataFrame) -> DataFrame:
     """JN04: repo_id, id, file where a service's name stands in an evidence's value or file.
 
     A contains-join has no key but the repository; evidence is made distinct first and rows are compared
-    within their repository only, so that work follows services times files of one repository.
+    within their repository only, so that work follows services times files of one repository. The evidence is salted and
+    the services (far fewer) go to every salt, so that a repository with many rows is worked on by many tasks.
     """
-    named = services.select("repo_id", "id", F.lower("name").alias("needle"))
+    named = services.select("repo_id", "id", F.lower("name").alias("needle"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
     seen = evidences.select("repo_id", "file", F.lower("value").alias("v"), F.lower("file").alias("f")).distinct()
+    salted = seen.withColumn("salt", F.pmod(F.xxhash64("file", "v"), F.lit(SALT)).cast("int"))
     hit = F.contains("v", "needle") | F.contains("f", "needle")
-    return seen.join(named, "repo_id").where(hit).select("repo_id", "id", "file").distinct()
+    return salted.join(named, ["repo_id", "salt"]).where(hit).select("repo_id", "id", "file").distinct()
 
 
 def last_activity(services: DataFrame, evidences: DataFrame, commits: DataFrame, as_of: Column) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
@@ -30,18 +30,33 @@ def trend(history: DataFrame) -> DataFrame:
 def accepted_calls(calls: DataFrame, window_seconds: int, most: int) -> DataFrame:
     """WIN04: channel, accepted, rejected under a limit on accepted calls in a sliding window.
 
-    Whether a call counts depends on those accepted before it, so a channel's times are folded in order. The state is the
-    accepted times still in the window, `most` at the most. Times of one channel are one sorted array: for unbounded streams
-    use streaming.limiter, which keeps only that state.
+    Whether a call counts depends on those accepted before it, so a channel's calls are read in order of time. Spark
+    deals and sorts them (spilling where it must); a task streams through its part and holds only the accepted times still in
+    the window, `most` at the most. Null channels and times take no part.
     """
-    micros = window_seconds * 1_000_000
-    times = F.array_sort(F.collect_list(F.unix_micros(F.col("ts").cast("timestamp"))))
-    start = F.struct(F.array().cast("array<bigint>").alias("recent"), F.lit(0).cast("bigint").alias("yes"), F.lit(0).cast("bigint").alias("no"))
+    import pyarrow as pa
 
-    def step(state: Column, t: Column) -> Column:
-        recent = F.filter(state["recent"], lambda x: t - x < micros)
-        full = F.size(recent) >= most
-        return F.struct(F.when(full, recent).otherwise(F.array_append(recent, t)).alias("recent"), F.when(full, state["yes"]).otherwise(state["yes"] + 1).alias("yes"), F.when(full, state["no"] + 1).otherwise(state["no"]).alias("no"))
+    micros = window_seconds * 1_000_000
 
-    folded = calls.groupBy("channel").agg(F.aggregate(times, start, step).alias("s"))
-    return folded.select("channel", F.col("s.yes").alias("accepted"), F.col("s.no").alias("rejected"))
+    def run(batches):
+        counts: dict[str, list[int]] = {}
+        channel, recent = None, []
+        for b in batches:
+            for name, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if name != channel:
+                    channel, recent = name, []
+                    counts[name] = [0, 0]
+                recent = [x for x in recent if t - x < micros]
+                if len(recent) < most:
+                    recent.append(t)
+                    counts[name][0] += 1
+                else:
+                    counts[name][1] += 1
+            if len(counts) > 10_000:
+                done = {k: counts.pop(k) for k in list(counts) if k != channel}
+                yield pa.RecordBatch.from_pydict({"channel": list(done), "accepted": [v[0] for v in done.values()], "rejected": [v[1] for v in done.values()]})
+        if counts:
+            yield pa.RecordBatch.from_pydict({"channel": list(counts), "accepted": [v[0] for v in counts.values()], "rejected": [v[1] for v in counts.values()]})
+
+    timed = calls.where("channel IS NOT NULL AND ts IS NOT NULL").select("channel", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    return timed.repartition("channel").sortWithinPartitions("channel", "t").mapInArrow(run, "channel string, accepted long, rejected long")
