@@ -6,6 +6,7 @@ integer keys as integers even when a column holds nulls (rows travel as Arrow, n
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -111,6 +112,15 @@ def text_of(text: str | None) -> str:
 _TABLE: list[tuple] = []
 
 
+def give_back() -> None:
+    """Return this process's freed memory to the system; allocators keep it otherwise, beside the next table."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def process_table(key: object, make: Callable[[], object]):
     """The process's one large table, made when first asked for under a key; another key's takes its place.
 
@@ -119,7 +129,7 @@ def process_table(key: object, make: Callable[[], object]):
     if not _TABLE or _TABLE[0][0] != key:
         if _TABLE:
             _TABLE.clear()
-            gc.collect()
+            give_back()
         _TABLE.append((key, make()))
     return _TABLE[0][1]
 
