@@ -172,6 +172,8 @@ class WordTokenizer:
     """
 
     KEEP = 500_000
+    #: Characters whose words lie in lists at once (one text at least): a word there takes some ten times its text.
+    AT_ONCE = 1_000_000
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
     def __init__(self, path: str | None = None) -> None:
@@ -249,7 +251,19 @@ class WordTokenizer:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 16-bit integers."""
-        split = [text_of(t).replace("\n", " ").split(" ") for t in texts]
+        out: list[bytes] = []
+        some: list[str] = []
+        held = 0
+        for text in map(text_of, texts):
+            some.append(text)
+            held += len(text)
+            if held >= self.AT_ONCE:
+                out += self._encode(some)
+                some, held = [], 0
+        return out + self._encode(some)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        split = [t.replace("\n", " ").split(" ") for t in texts]
         new: set[str] = set()
         for words in split:
             new.update(words)
