@@ -2,8 +2,8 @@
 
 Base rules (fixed patterns of four kinds) are found everywhere and always stay. Beside them a
 semi-Markov CRF reads the lines' parts around digits and at-signs: it cuts a window into units (runs of letters or
-digits, or single signs), scores every candidate segment of at most `MAX_UNITS` units as a whole (its
-shape, digits, check sum, the word before it, what its borders cut), and a Viterbi pass over
+digits, or single signs), scores every candidate segment of at most `MAX_CHARS` characters or `MAX_UNITS` units as a
+whole (its shape, digits, check sum, the word before it, what its borders cut), and a Viterbi pass over
 units chooses borders and kinds together. Bounded segments keep the pass linear in the text.
 
 The weights are the CRF's maximum-likelihood fit, by gradient steps with the forward-backward
@@ -35,7 +35,8 @@ CARD = r"[0-9](?:[ -]?[0-9])+"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 
 KINDS = [*BASE_KINDS, "secret"]
-MAX_UNITS = 24
+#: A segment is within one of the two: hex and code have up to 64 units of a character each, emails and numbers few long ones.
+MAX_UNITS, MAX_CHARS = 24, 64
 #: Longer runs without white space can't be part of an entity.
 MAX_RUN = 160
 
@@ -148,8 +149,10 @@ class SegmentCRF:
             first = text[a]
             if first.isalnum() or first in "+(":
                 before = text[max(0, a - 2) : a][::-1]
-                for j in range(i + 1, min(i + MAX_UNITS, len(units)) + 1):
+                for j in range(i + 1, len(units) + 1):
                     b = units[j - 1][1]
+                    if b - a > MAX_CHARS and j - i > MAX_UNITS:
+                        break
                     if j > i + 1 and units[j - 1][0] - units[j - 2][1] > 1:
                         break  # more than one blank: another field
                     if not text[b - 1].isalnum():

@@ -350,6 +350,19 @@ def test_crf_on_held_out_examples_and_redaction(spark):
     assert out[7] is None and "@x-y" not in out[0] and pii.redacted(df).columns == df.columns
 
 
+def test_secrets_of_every_declared_length_are_found():
+    r, crf = random.Random(3), pii.model()
+    for n in (24, 32, 40, 48, 64):
+        for _ in range(100):
+            secret = "".join(r.choice("0123456789abcdef") for _ in range(n))
+            text = f'the config has token = "{secret}" in it'
+            assert (24, 4, 24 + n) in crf.decode(text, 0, len(text)), secret
+            base, spans = pii.spans_of(text, crf)
+            assert base or (24, 4, 24 + n) in spans  # it gives way to base spans only
+    # digits and letters in turn: as many units as characters
+    assert pii.spans_of(f'token = "{"a1" * 32}"', crf)[1] == [(9, 4, 73)]
+
+
 def test_crf_decoding_is_the_best_segmentation():
     crf = pii.model()
     for text in ("tel (017) 555-7713 ab", 'key: "04dbebab91ab85687d33eeaaf9ac699e1188f962"'):
