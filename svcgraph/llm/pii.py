@@ -1,8 +1,8 @@
 """Operator 10: personal data by a semi-Markov conditional random field.
 
 Base rules (fixed patterns of four kinds) are found everywhere and always stay. Beside them a
-semi-Markov CRF reads the lines' parts around digits and at-signs: it cuts a window into units (runs of letters or
-digits, or single signs), scores every candidate segment of at most `MAX_CHARS` characters or `MAX_UNITS` units as a
+semi-Markov CRF reads the text's parts around digits and at-signs, wide enough for every segment there and its cue, so
+that it finds what it would over the whole text: it cuts a window into units (runs of letters or digits, or single signs), scores every candidate segment of at most `MAX_CHARS` characters or `MAX_UNITS` units as a
 whole (its shape, digits, check sum, the word before it, what its borders cut), and a Viterbi pass over
 units chooses borders and kinds together. Bounded segments keep the pass linear in the text.
 
@@ -37,8 +37,8 @@ PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 KINDS = [*BASE_KINDS, "secret"]
 #: A segment is within one of the two: hex and code have up to 64 units of a character each, emails and numbers few long ones.
 MAX_UNITS, MAX_CHARS = 24, 64
-#: Longer runs without white space can't be part of an entity.
-MAX_RUN = 160
+#: A segment's cue is the last one among so many units before it.
+CUE_UNITS = 7
 
 
 def luhn(digits: str) -> bool:
@@ -96,6 +96,8 @@ SHAPES = {
     "date": r"[0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]{1,4}",
     "number": r"[0-9]+([.,][0-9]+)?",
 }
+#: What units of any shape are made of.
+SHAPED = re.compile(r"[A-Za-z0-9@._%+(),/-]+")
 #: Words that announce a kind.
 CUES = {"token": "secret", "secret": "secret", "key": "secret", "apikey": "secret", "password": "secret", "passwd": "secret", "bearer": "secret", "tel": "phone", "phone": "phone", "call": "phone", "fax": "phone", "mobile": "phone", "card": "card", "visa": "card", "ip": "ip", "host": "ip", "mail": "email", "email": "email"}
 
@@ -113,11 +115,16 @@ class SegmentCRF:
         self.shapes = {k: re.compile(v) for k, v in SHAPES.items()}
         self.unit = re.compile(UNIT)
         self.known: dict[tuple, tuple] = {}
+        self.worth: dict[tuple, list[tuple[int, float]]] = {}
 
     def units(self, text: str, low: int, high: int) -> list[tuple[int, int]]:
         return [m.span() for m in self.unit.finditer(text, low, high)]
 
     def features(self, span: str, cue: str, cut: bool) -> tuple[str, ...]:
+        if span.isalnum() and span.isascii() and not span.isdigit() and not span.isalpha():
+            # Only hex and code are such; one of each kind stands for all.
+            long = 16 <= len(span) <= 64
+            span = "" if not long else "0a" * 10 if len(span) >= 20 and self.shapes["hex"].fullmatch(span) else "0z" * 10
         key = (span, cue, cut)
         got = self.known.get(key)
         if got is None:
@@ -143,29 +150,34 @@ class SegmentCRF:
     def candidates(self, text: str, units: list[tuple[int, int]]) -> list[list[tuple[int, tuple[str, ...]]]]:
         """For each unit where a segment may end (exclusive): (first unit, features); only spans with a shape."""
         found: list[list[tuple[int, tuple[str, ...]]]] = [[] for _ in range(len(units) + 1)]
+        # From each unit on, the next with a digit or an at-sign, which every shape needs, and the next that is in no shape.
+        n = len(units)
+        needed, foreign = [n] * (n + 1), [n] * (n + 1)
+        for i in range(n - 1, -1, -1):
+            unit = text[units[i][0] : units[i][1]]
+            needed[i] = i if unit[0] in "0123456789@" else needed[i + 1]
+            foreign[i] = foreign[i + 1] if SHAPED.fullmatch(unit) else i
         cue, since = "", 0
         for i, (a, stop) in enumerate(units):
             word = text[a:stop].lower()
             first = text[a]
             if first.isalnum() or first in "+(":
                 before = text[max(0, a - 2) : a][::-1]
-                for j in range(i + 1, len(units) + 1):
+                for j in range(i + 1, foreign[i] + 1 if needed[i] < foreign[i] else 0):
                     b = units[j - 1][1]
                     if b - a > MAX_CHARS and j - i > MAX_UNITS:
                         break
                     if j > i + 1 and units[j - 1][0] - units[j - 2][1] > 1:
                         break  # more than one blank: another field
-                    if not text[b - 1].isalnum():
+                    if j <= needed[i] or not text[b - 1].isalnum():
                         continue
                     span = text[a:b]
-                    if not any(c.isdigit() or c == "@" for c in span):
-                        continue
                     names = self.features(span, cue, joined(before) or joined(text[b : b + 2]))
                     if names[-1] != "no shape":
                         found[j].append((i, names))
             if word in CUES:
                 cue, since = CUES[word], i
-            elif i - since > 6:
+            elif i - since >= CUE_UNITS:
                 cue = ""
         return found
 
@@ -177,12 +189,16 @@ class SegmentCRF:
         """(start, kind, end) of the best joint choice; ties keep "none", then the longer segment."""
         units = self.units(text, low, high)
         ends = self.candidates(text, units)
+        worth = self.worth
         best, back = [0.0], [(-1, -1)]
         for j in range(1, len(units) + 1):
             top, how = best[j - 1], (j - 1, -1)
             for i, names in ends[j]:
-                for kind in range(len(KINDS)):
-                    s = best[i] + self.score(names, kind)
+                scores = worth.get(names)
+                if scores is None:  # a segment of no positive score is never better than "none"
+                    scores = worth[names] = [(k, w) for k in range(len(KINDS)) if (w := self.score(names, k)) > 0]
+                for kind, w in scores:
+                    s = best[i] + w
                     if s > top:
                         top, how = s, (i, kind)
             best.append(top)
@@ -197,6 +213,7 @@ class SegmentCRF:
 
     def learn(self, examples: list[tuple[str, set[tuple[int, int, int]]]], epochs: int = 6, rate: float = 0.4, decay: float = 1e-3) -> None:
         """Stochastic gradient steps on the conditional log-likelihood of whole segmentations."""
+        self.worth.clear()
         add = lambda x, y: (max(x, y) + math.log1p(math.exp(-abs(x - y)))) if x != -math.inf else y
         prepared = []
         for text, truth in examples:
@@ -283,28 +300,54 @@ def model() -> SegmentCRF:
     return _MODEL[0]
 
 
+def _class(c: str) -> int:
+    """0 for white space, 1 and 2 for what runs on in a unit (letters, digits), 3 for a unit of its own."""
+    return 0 if c.isspace() else 2 if "0" <= c <= "9" else 1 if c.isalnum() and not c.isdecimal() else 3
+
+
+def _back(text: str, at: int, units: int, low: int) -> int:
+    """Where the unit starts that is so many units before the border at; at low the walk ends."""
+    while units and at > low:
+        at -= 1
+        kind = _class(text[at])
+        if kind:
+            units -= 1
+            while kind < 3 and at > low and _class(text[at - 1]) == kind:
+                at -= 1
+    return at
+
+
+def _on(text: str, at: int, units: int) -> int:
+    """Where the unit ends that is so many units after the border at."""
+    while units and at < len(text):
+        kind = _class(text[at])
+        at += 1
+        if kind:
+            units -= 1
+            while kind < 3 and at < len(text) and _class(text[at]) == kind:
+                at += 1
+    return at
+
+
 def windows(text: str) -> list[tuple[int, int]]:
-    """Parts of the text around digits and at-signs: white-space fields with one, three fields before and two after."""
-    fields = [m.span() for m in re.finditer(r"\S+", text)]
-    wanted: list[tuple[int, int]] = []
-    for k, (a, b) in enumerate(fields):
-        if b - a <= MAX_RUN and re.search("[0-9@]", text[a:b]):
-            first, last = max(0, k - 3), min(len(fields) - 1, k + 2)
-            if wanted and first <= wanted[-1][1]:
-                wanted[-1] = (wanted[-1][0], last)
+    """Parts of the text around digits and at-signs, from border to border of units: with every segment and its cue whole.
+
+    Walks back end at the window before, and walks on take a bounded number of units, so that the time is linear in the text.
+    """
+    out: list[tuple[int, int]] = []
+    for m in re.finditer("[0-9]+|@", text):
+        low = out[-1][1] if out else 0
+        if m.end() + MAX_CHARS > low or _on(text, m.end(), MAX_UNITS) > low:
+            # what lies before a border that cuts a unit is that unit's
+            far = max(m.start() - MAX_CHARS, low)
+            start = min(_back(text, m.start(), MAX_UNITS, low), _back(text, far, 1, low) if far > low else low)
+            start = _back(text, start, CUE_UNITS, low)
+            cut = min(m.end() + MAX_CHARS, len(text))
+            end = max(_on(text, m.end(), MAX_UNITS), _on(text, cut, 1))
+            if out and start <= low:
+                out[-1] = (out[-1][0], max(end, low))
             else:
-                wanted.append((first, last))
-    out = []
-    for first, last in wanted:  # over-long runs stand between windows
-        run = []
-        for a, b in fields[first : last + 1]:
-            if b - a <= MAX_RUN:
-                run.append((a, b))
-            elif run:
-                out.append((run[0][0], run[-1][1]))
-                run = []
-        if run:
-            out.append((run[0][0], run[-1][1]))
+                out.append((start, end))
     return out
 
 

@@ -363,6 +363,22 @@ def test_secrets_of_every_declared_length_are_found():
     assert pii.spans_of(f'token = "{"a1" * 32}"', crf)[1] == [(9, 4, 73)]
 
 
+def test_windows_give_the_spans_of_the_whole_text():
+    r, crf = random.Random(2), pii.model()
+    secret, dotted = "04dbebab91ab85687d33eeaaf9ac699e1188f962", "4111.1111.1111.1111"
+    filler = ",".join(f'"{words(k, 1)}":"x"' for k in range(40))  # longer than any field with blanks
+    for text, want in (
+        (f'{{{filler},"token":"{secret}",{filler}}}', secret), (f'{filler};card="{dotted}";{filler}', dotted),
+        (f'{"这是一个没有空格的句子，" * 30}token="{secret}"{"。后面还有更多的文字" * 30}', secret), (f"password for the database is {secret} now", secret),
+    ):
+        at = text.index(want)
+        assert (at, 4 if want == secret else 2, at + len(want)) in pii.spans_of(text, crf)[1]
+    parts = ["token", "ip", "monkey", "1", "20", dotted, "@", "a.b@c.de", '"', " ", " ", "  ", "\n", "密码", "éa", ",", ":", "-", "_", "x" * 70, "9" * 30, secret, "(017) 555-7713", "1.2.3.4", "٣", "²", "is"]
+    for _ in range(1500):
+        text = "".join(r.choice(parts) for _ in range(r.randint(1, 60)))
+        assert [s for low, high in pii.windows(text) for s in crf.decode(text, low, high)] == crf.decode(text, 0, len(text))
+
+
 def test_crf_decoding_is_the_best_segmentation():
     crf = pii.model()
     for text in ("tel (017) 555-7713 ab", 'key: "04dbebab91ab85687d33eeaaf9ac699e1188f962"'):
