@@ -6,7 +6,7 @@ language that needs the fewest phrases for each character wins. Words are parsed
 on either side and a phrase ends with its word at the latest, so that the counts of each distinct
 word are found once and kept (the tables are emptied beyond KEEP words; no result depends on it).
 
-The labelled sample is bounded by three parameters: at most `sample_docs` rows of a
+The labelled sample is bounded by three parameters: at most `sample_docs` distinct texts of a
 language (those with the smallest hashes of text), `sample_chars` characters of each, and of its
 distinct words, commonest first, `model_chars` characters. Languages are few by nature; their
 automata are built in each Python worker from that sample.
@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import append_columns, map_rows, process_table, text_of
+from .common import append_columns, map_rows, materialize, process_table, text_of
 
 KEEP = 400_000
 
@@ -142,18 +142,27 @@ def _parser(models: dict[str, str]) -> CrossParser:
 def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", sample_docs: int = 200, sample_chars: int = 4000, model_chars: int = 40_000) -> dict[str, str]:
     """For each label the text of its automaton: distinct words, commonest first, up to model_chars."""
     rows = labelled.select(F.col(label_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
+    hashed = rows.withColumn("h", F.xxhash64("text"))
+    keys = materialize(hashed.select("lang", "h").distinct(), "hashes")
+    by_language = lambda df: {r["lang"]: r["n"] for r in df.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # noqa: E731  one row a language
+    sizes = by_language(keys)
     if not sizes:
         return {}
-    # A hash threshold leaves some multiple of the sample for the exact choice, however large a language is.
-    hashed = rows.withColumn("h", F.xxhash64("text"))
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 8.0 * sample_docs / n))).otherwise(share)
-    drawn = hashed.where(F.pmod("h", F.lit(1_000_000)) < share * 1_000_000).select("lang", "h", F.left("text", F.lit(sample_chars)).alias("text"))
-    chosen = drawn.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= sample_docs)
+
+    # Below a bound on the hash lies some multiple of the sample, however large a language is; where it doesn't, all are looked at.
+    def below(full: set[str]) -> DataFrame:
+        bound = F.lit(None).cast("long")
+        for lang, n in sizes.items():
+            if 8 * sample_docs < n and lang not in full:
+                bound = F.when(F.col("lang") == lang, F.lit(-(1 << 63) + ((8 * sample_docs << 64) // n)).cast("long")).otherwise(bound)
+        return keys.where(F.coalesce(F.col("h") < bound, F.lit(True)))
+
+    drawn = by_language(below(set()))
+    few = {lang for lang, n in sizes.items() if drawn.get(lang, 0) < min(sample_docs, n)}
+    chosen = below(few).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= sample_docs).drop("k")
+    texts = hashed.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min(F.left("text", F.lit(sample_chars))).alias("text"))
     found: dict[str, Counter] = {}
-    for r in chosen.select("lang", "text").collect():  # sample_docs * sample_chars a language at most
+    for r in texts.select("lang", "text").collect():  # sample_docs * sample_chars a language at most
         found.setdefault(r["lang"], Counter()).update(w for chunk in r["text"].split() for w in letters(chunk))
     models = {}
     for lang, words in found.items():

@@ -236,6 +236,24 @@ def test_language_id(spark):
     assert language_id.learn(df.limit(0)) == {} and language_id.identify(df, {}).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_sample_is_of_distinct_texts(spark):
+    some = spark.createDataFrame([(words(k, 8),) for k in range(400)], "text string").withColumn("h", F.xxhash64("text")).orderBy("h").collect()
+    late = [r.text for r in some if r.h % 1_000_000 >= 500_000]
+    letters = lambda texts: {w for t in texts for c in t.split() for w in language_id.letters(c)}
+    # two texts in 4000 rows, neither below the share of the rows (1600 / 4000)
+    rows = spark.createDataFrame([(late[0], "aa"), (late[1], "aa")], "text string, lang string").crossJoin(spark.range(2000)).drop("id")
+    assert set(language_id.learn(rows)["aa"].split()) == letters(late[:2])
+    # one text in many copies leaves the others their places
+    early = spark.createDataFrame([(f"q{chr(97 + k % 26)}{chr(97 + k // 26)}", "bb") for k in range(300)], "text string, lang string")
+    first = early.orderBy(F.xxhash64("text")).limit(1).crossJoin(spark.range(5000)).drop("id")
+    assert len(language_id.learn(early.union(first))["bb"].split()) == 200
+    # none of the texts lies below the bound (8 / 20): the smallest hash all the same
+    high = [f"z{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(200)]
+    high = [r.text for r in spark.createDataFrame([(x,) for x in high], "text string").orderBy(F.xxhash64("text")).where(F.xxhash64("text") > 0).limit(20).collect()]
+    got = language_id.learn(spark.createDataFrame([(x, "cc") for x in reversed(high)], "text string, lang string"), sample_docs=1)
+    assert got == {"cc": f" {high[0]} "}
+
+
 def held_out_accuracy(spark, sf_dir):
     df = language_id.op7_language_id(spark, sf_dir)
     truth = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
