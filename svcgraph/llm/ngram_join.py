@@ -302,23 +302,55 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
             m[r[inside], a[inside] - low] = 1
             sides.append(m)
         counts += sides[0] @ sides[1].T
-    return counts.astype("i8")
-
-
-def _family_links(members: DataFrame, features: DataFrame, block_features: int = 300_000) -> DataFrame:
-    """members (doc, family, c: group so far) -> links (a, b) between different groups of a family."""
-    import pyarrow as pa
-
+    return counts
+
+
+def links_between(docs: tuple[list[int], list[int]], groups: tuple[np.ndarray, np.ndarray], sets: tuple[list[np.ndarray], list[np.ndarray]], rows: int = 256) -> list[tuple[int, int]]:
+    """Of the similar pairs of a left and a right document those that join groups; so many rows of the left at a time."""
+    links, root = [], {}
+    sizes = [np.array([len(x) for x in s], "i8") for s in sets]
+
+    def top(x: int) -> int:
+        while root.get(x, x) != x:
+            root[x] = root.get(root[x], root[x])
+            x = root[x]
+        return x
+
+    for low in range(0, len(sets[0]), rows):
+        part = slice(low, low + rows)
+        common = common_counts(sets[0][part], sets[1]).astype("i8")
+        union = sizes[0][part, None] + sizes[1][None, :] - common
+        found = np.argwhere((100 * common >= 75 * union) & (groups[0][part, None] != groups[1][None, :]))
+        for x, y in found.tolist():
+            p, q = top(int(groups[0][low + x])), top(int(groups[1][y]))
+            if p != q:  # a link that joins two groups; others add nothing to components
+                root[q] = p
+                links.append((docs[0][low + x], docs[1][y]))
+    return links
+
+
+def _blocks(members: DataFrame, features: DataFrame, block_features: int = 300_000, block_rows: int = 2000) -> DataFrame:
+    """members (doc, family, c: group so far) with f, their block, and how many blocks a family's main group and the others have."""
     sized = features.select(F.col("doc_id").alias("doc"), "f", (F.octet_length("f") / 8).cast("long").alias("n"))
     rows = members.join(sized, "doc")
     groups = members.join(sized.drop("f"), "doc").groupBy("family", "c").agg(F.count("*").alias("many"), F.sum("n").alias("n"))
-    largest = groups.groupBy("family").agg(F.max_by("c", F.struct("many", "c")).alias("main"), F.max_by("n", F.struct("many", "c")).alias("main_n"), F.sum("n").alias("all_n"))
-    blocks = lambda n: F.ceil(F.col(n) / block_features).cast("int")
-    plan = largest.select("family", "main", F.greatest(F.ceil((F.col("all_n") - F.col("main_n")) / block_features), F.lit(1)).cast("int").alias("others"), blocks("main_n").alias("mains"))
+    largest = groups.groupBy("family").agg(
+        F.max_by("c", F.struct("many", "c")).alias("main"), F.max_by("n", F.struct("many", "c")).alias("main_n"), F.sum("n").alias("all_n"), F.max("many").alias("main_many"), F.sum("many").alias("all_many")
+    )
+    blocks = lambda n, many: F.greatest(F.ceil(n / block_features), F.ceil(many / block_rows), F.lit(1)).cast("int")
+    col = F.col
+    plan = largest.select("family", "main", blocks(col("all_n") - col("main_n"), col("all_many") - col("main_many")).alias("others"), blocks(col("main_n"), col("main_many")).alias("mains"))
     placed = rows.join(plan, "family").withColumn("is_main", F.col("c") == F.col("main"))
     at = F.xxhash64("doc")
     block = F.when(F.col("is_main"), F.col("others") + F.pmod(at, F.col("mains"))).otherwise(F.pmod(at, F.col("others"))).cast("int")
-    placed = placed.withColumn("block", block).select("family", "doc", "c", "f", "block", "others", "mains", "is_main")
+    return placed.withColumn("block", block).select("family", "doc", "c", "f", "block", "others", "mains", "is_main")
+
+
+def _family_links(members: DataFrame, features: DataFrame, block_features: int = 300_000, block_rows: int = 2000) -> DataFrame:
+    """members (doc, family, c: group so far) -> links (a, b) between different groups of a family."""
+    import pyarrow as pa
+
+    placed = _blocks(members, features, block_features, block_rows)
     # Columns under new names of their own: both sides come from one table.
     fresh = lambda i, j: [F.col(x).alias(y) for x, y in (("family", "family"), (i, "i"), (j, "j"), ("doc", "doc"), ("c", "c"), ("f", "f"))]
     left = placed.where("NOT is_main").withColumn("other", F.explode(F.sequence(F.col("block"), F.col("others") + F.col("mains") - 1))).select(*fresh("block", "other"))
@@ -333,23 +365,7 @@ def _family_links(members: DataFrame, features: DataFrame, block_features: int =
                 docs.append(t.column("doc").to_pylist())
                 groups.append(np.array(t.column("c").to_pylist(), "i8"))
                 sets.append([np.frombuffer(x.as_buffer(), U) for x in t.column("f")])
-            common = common_counts(*sets)
-            sizes = [np.array([len(x) for x in s], "i8") for s in sets]
-            union = sizes[0][:, None] + sizes[1][None, :] - common
-            found = np.argwhere((100 * common >= 75 * union) & (groups[0][:, None] != groups[1][None, :]))
-            root: dict[int, int] = {}
-
-            def top(x: int) -> int:
-                while root.get(x, x) != x:
-                    root[x] = root.get(root[x], root[x])
-                    x = root[x]
-                return x
-
-            for x, y in found.tolist():
-                p, q = top(int(groups[0][x])), top(int(groups[1][y]))
-                if p != q:  # a link that joins two groups; others add nothing to components
-                    root[q] = p
-                    links.append((docs[0][x], docs[1][y]))
+            links = links_between(docs, groups, sets)
         out = arrow_schema(schema)
         return pa.Table.from_arrays([pa.array([v[k] for v in links], t) for k, t in enumerate(out.types)], schema=out)
 

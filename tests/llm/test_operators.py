@@ -304,6 +304,25 @@ def test_ngram_join_against_brute_force(spark, seed):
     assert sorted((tuple(x) for x in got.collect()), key=repr) == brute_groups(texts, ids)
 
 
+def test_family_blocks_are_bounded_by_rows(spark):
+    import tracemalloc
+
+    # nine words, the last one differs: 4 of 6 shingles shared, so all stay single in one family
+    shingler = ngram_join.Shingler()
+    sets = [shingler.features(f"dear customer your order has been shipped to k{k}") for k in range(4000)]
+    sets.append(sets[-1])
+    features = spark.createDataFrame([(i, bytearray(f.tobytes())) for i, f in enumerate(sets)], "doc_id long, f binary")
+    members = spark.range(len(sets)).select(F.col("id").alias("doc"), F.lit(0).alias("family"), F.col("id").alias("c"))
+    placed = ngram_join._blocks(members, features, block_rows=500).groupBy("block").count().collect()
+    assert len(placed) >= 9 and max(r["count"] for r in placed) < 700 and sum(r["count"] for r in placed) == len(sets)
+    assert [sorted(x) for x in ngram_join._family_links(members, features, block_rows=500).collect()] == [[3999, 4000]]
+    at = np.arange(len(sets))
+    tracemalloc.start()
+    assert ngram_join.links_between((at.tolist(), at.tolist()), (at, at), (sets, sets)) == [(3999, 4000)]
+    assert tracemalloc.get_traced_memory()[1] < 150 << 20
+    tracemalloc.stop()
+
+
 def test_needs_are_those_of_signatures():
     s = ngram_join.Shingler()
     for n in (0, 5, 7, 12, 40, 300, 2000):
