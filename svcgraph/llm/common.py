@@ -24,11 +24,13 @@ BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh one in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where all tasks run in this process's machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="svcgraph-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -105,6 +107,18 @@ def append_columns(df: DataFrame, column: str, make: Callable[[], Callable[[list
     return df.mapInArrow(run, loose)
 
 
+def fresh_names(df: DataFrame, *stems: str) -> list:
+    """df itself and, for each stem, a column name that df doesn't have yet."""
+    taken, names = {c.lower() for c in df.columns}, []
+    for stem in stems:
+        name = f"_{stem}"
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        names.append(name)
+    return [df, *names]
+
+
 def text_of(text: str | None) -> str:
     return text if text is not None else ""
 

@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import append_columns, map_rows, process_table, text_of
+from .common import append_columns, fresh_names, map_rows, process_table, text_of
 
 WORDS = r"\w+"
 HITS = "doc_id long, item_id long, distance long, start long, end long"
@@ -201,7 +201,8 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "
             matcher = _matcher(sent.value, error_rate, min_chars)
             return lambda texts: ([bool(matcher.find(normal(t))) for t in texts],)
 
-        docs = append_columns(docs, text_col, make, "_leaks boolean").where("NOT _leaks").drop("_leaks")
+        docs, leaks = fresh_names(docs, "leaks")
+        docs = append_columns(docs, text_col, make, f"{leaks} boolean").where(~F.col(leaks)).drop(leaks)
     return docs
 
 

@@ -1,42 +1,47 @@
 """Operator 7: language identification by cross-parsing entropy.
 
-For each language a suffix automaton is built over labelled words. A text is cross-parsed
-against each: read on while the automaton knows the string so far, then cut a phrase; the
-language that needs the fewest phrases for each character wins. Words are parsed with a space
-on either side and a phrase ends with its word at the latest, so that the counts of each distinct
-word are found once and kept (the tables are emptied beyond KEEP words; no result depends on it).
+For each language a suffix automaton is built over running labelled text. A text is cross-parsed
+against each: read on while the automaton knows the string so far, then cut a phrase and start the next one there.
+Both are normalised alike: lower case, runs of letters with a space between them, so phrases run
+across words. The language that needs the fewest phrases for each character wins.
 
-The labelled sample is bounded by three parameters: at most `sample_docs` distinct texts of a
-language (those with the smallest hashes of text), `sample_chars` characters of each, and of its
-distinct words, commonest first, `model_chars` characters. Languages are few by nature; their
-automata are built in each Python worker from that sample.
+The labelled sample has one bound, `model_chars`: whole distinct texts of a language, in the order of a hash of
+text, as long as their total stays within it. Only a language all of whose texts are longer is learned from
+the first `model_chars` characters of its shortest one. Copies count once, so they can't crowd out other texts.
+Labels are few: `max_languages` of them are learned at most, and more are an error.
 
 Defined results: `und` with score 0 for texts that are null, empty or without a letter, and
 for all when nothing is learned; ties go to the language first in order; repeated rows and
 null ids give a row each (a null id is neither held out nor learned from); columns beyond those
-named are ignored.
+named are ignored. Very long texts are parsed whole, in time linear in their length.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import re
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import append_columns, map_rows, materialize, process_table, text_of
+from .common import append_columns, fresh_names, map_rows, materialize, process_table, text_of
 
-KEEP = 400_000
+_WORDS = re.compile(r"[^\W\d_]+")
+
+
+def running(text: str | None) -> str:
+    """The text's runs of letters in lower case, a space between two."""
+    words = _WORDS.findall(text_of(text).lower())
+    if "".join(words).isalpha():
+        return " ".join(words)
+    return " ".join("".join([c if c.isalpha() else " " for c in " ".join(words)]).split())  # signs such as superscripts
 
 
 class SuffixAutomaton:
-    """All substrings of a string, by Blumer's online construction; next[state][char] is a state."""
+    """All substrings of a string, by Blumer's online construction; a state is the dict of its following states."""
 
     def __init__(self, text: str) -> None:
-        self.next: list[dict[str, int]] = [{}]
+        nxt: list[dict[str, int]] = [{}]
         link, length, last = [-1], [0], 0
-        nxt = self.next
         for c in text:
             current = len(nxt)
             nxt.append({})
@@ -60,74 +65,44 @@ class SuffixAutomaton:
                         p = link[p]
                     link[q] = link[current] = clone
             last = current
+        for state in nxt:
+            for c, to in state.items():
+                state[c] = nxt[to]
+        self.root = nxt[0]
 
     def phrases(self, text: str) -> int:
         """Into how many longest known strings (or single unknown characters) the text falls."""
-        nxt, state, count, fresh = self.next, self.next[0], 0, True
+        root = state = self.root
+        count = 0
         for c in text:
             to = state.get(c)
             if to is None:
                 count += 1
-                if fresh:
+                if state is root:
                     continue  # an unknown character is a phrase
-                to = nxt[0].get(c)
+                to = root.get(c)
                 if to is None:
-                    state, fresh = nxt[0], True
+                    state = root
                     count += 1
                     continue
-            state, fresh = nxt[to], False
-        return count + (not fresh)
-
-
-def letters(chunk: str) -> list[str]:
-    """The runs of letters of a chunk, in lower case."""
-    low = chunk.lower()
-    return [low] if low.isalpha() else "".join([c if c.isalpha() else " " for c in low]).split()
+            state = to
+        return count + (state is not root)
 
 
 class CrossParser:
-    """Phrase counts of chunks for each language; column 0 counts letters and a space a word."""
+    """Phrase counts of texts under each language's automaton."""
 
     def __init__(self, models: dict[str, str]) -> None:
         self.languages = sorted(models)
         self.automata = [SuffixAutomaton(models[k]) for k in self.languages]
-        self._clear()
-
-    def _clear(self) -> None:
-        self.ids: dict[str, int] = {}
-        self.words: dict[str, tuple] = {}
-        self.table = np.zeros((1024, len(self.languages) + 1), "i4")
-
-    def _word(self, word: str) -> tuple:
-        got = self.words.get(word)
-        if got is None:
-            unit = f" {word} "
-            got = self.words[word] = (len(word) + 1, *[a.phrases(unit) for a in self.automata])
-        return got
-
-    def counts(self, text: str) -> list[int]:
-        chunks = text.split()
-        try:
-            found = list(map(self.ids.__getitem__, chunks))
-        except KeyError:
-            if len(self.ids) > KEEP:
-                self._clear()
-            for chunk in chunks:
-                if chunk not in self.ids:
-                    n = len(self.ids)
-                    if n == len(self.table):
-                        self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                    if words := letters(chunk):
-                        self.table[n] = np.sum([self._word(w) for w in words], 0)
-                    self.ids[chunk] = n
-            found = list(map(self.ids.__getitem__, chunks))
-        return self.table[found].sum(0, dtype="i8").tolist() if found else [0] * self.table.shape[1]
 
     def predict(self, text: str | None) -> tuple[str, float, float, int]:
         """Language, score (how far the next best falls behind, 0 to 1), phrases a character of the best, characters."""
-        n, *phrases = self.counts(text_of(text))
-        if not n or not phrases:
+        line = running(text)
+        n = len(line)
+        if not n or not self.automata:
             return "und", 0.0, 0.0, n
+        phrases = [a.phrases(line) for a in self.automata]
         order = sorted(range(len(phrases)), key=lambda i: (phrases[i], self.languages[i]))
         best = phrases[order[0]]
         second = phrases[order[1]] if len(order) > 1 else n
@@ -139,41 +114,40 @@ def _parser(models: dict[str, str]) -> CrossParser:
     return process_table(("cross-parser", tuple(sorted(models.items()))), lambda: CrossParser(models))
 
 
-def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", sample_docs: int = 200, sample_chars: int = 4000, model_chars: int = 40_000) -> dict[str, str]:
-    """For each label the text of its automaton: distinct words, commonest first, up to model_chars."""
-    rows = labelled.select(F.col(label_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
+def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", model_chars: int = 40_000, max_languages: int = 500) -> dict[str, str]:
+    """For each label the running text of its automaton."""
+    rows = labelled.select(F.col(label_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang IS NOT NULL AND length(text) > 0")
     hashed = rows.withColumn("h", F.xxhash64("text"))
-    keys = materialize(hashed.select("lang", "h").distinct(), "hashes")
-    by_language = lambda df: {r["lang"]: r["n"] for r in df.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # noqa: E731  one row a language
-    sizes = by_language(keys)
+    keys = materialize(hashed.groupBy("lang", "h").agg(F.max(F.length("text")).cast("long").alias("n")), "hashes")
+    fits = F.col("n") <= model_chars
+    sizes = keys.groupBy("lang").agg(F.count_if(fits).alias("texts"), F.coalesce(F.sum(F.when(fits, F.col("n"))), F.lit(0)).alias("chars"), F.min_by("h", F.struct("n", "h")).alias("shortest")).limit(max_languages + 1).collect()
+    if len(sizes) > max_languages:
+        raise ValueError(f"more than {max_languages} labels")
     if not sizes:
         return {}
 
     # Below a bound on the hash lies some multiple of the sample, however large a language is; where it doesn't, all are looked at.
     def below(full: set[str]) -> DataFrame:
         bound = F.lit(None).cast("long")
-        for lang, n in sizes.items():
-            if 8 * sample_docs < n and lang not in full:
-                bound = F.when(F.col("lang") == lang, F.lit(-(1 << 63) + ((8 * sample_docs << 64) // n)).cast("long")).otherwise(bound)
-        return keys.where(F.coalesce(F.col("h") < bound, F.lit(True)))
-
-    drawn = by_language(below(set()))
-    few = {lang for lang, n in sizes.items() if drawn.get(lang, 0) < min(sample_docs, n)}
-    chosen = below(few).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= sample_docs).drop("k")
-    texts = hashed.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min(F.left("text", F.lit(sample_chars))).alias("text"))
-    found: dict[str, Counter] = {}
-    for r in texts.select("lang", "text").collect():  # sample_docs * sample_chars a language at most
-        found.setdefault(r["lang"], Counter()).update(w for chunk in r["text"].split() for w in letters(chunk))
-    models = {}
-    for lang, words in found.items():
-        parts, n = [], 0
-        for word, _ in sorted(words.items(), key=lambda x: (-x[1], x[0])):
-            if n + len(word) + 1 > model_chars:
-                break
-            parts.append(word)
-            n += len(word) + 1
-        models[lang] = f" {' '.join(parts)} "
-    return models
+        for r in sizes:
+            if 8 * model_chars < r["chars"] and r["lang"] not in full:
+                bound = F.when(F.col("lang") == r["lang"], F.lit(-(1 << 63) + ((8 * model_chars << 64) // r["chars"])).cast("long")).otherwise(bound)
+        return keys.where(fits & F.coalesce(F.col("h") < bound, F.lit(True)))
+
+    drawn = {r["lang"]: r["n"] for r in below(set()).groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # one row a language
+    few = {r["lang"] for r in sizes if drawn.get(r["lang"], 0) < min(2 * model_chars, r["chars"])}
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("h").rowsBetween(Window.unboundedPreceding, 0))
+    chosen = below(few).withColumn("upto", before).where(F.col("upto") <= model_chars).select("lang", "h")
+    long = [(r["lang"], r["shortest"]) for r in sizes if not r["texts"]]
+    if long:
+        chosen = chosen.unionAll(labelled.sparkSession.createDataFrame(long, "lang string, h long"))
+    # At most model_chars characters a language, so it may be broadcast and come to the driver.
+    texts = hashed.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min(F.left("text", F.lit(model_chars))).alias("text"))
+    found: dict[str, list[tuple[int, str]]] = {}
+    for r in texts.collect():
+        found.setdefault(r["lang"], []).append((r["h"], r["text"]))
+    models = {lang: " ".join([line for _, text in sorted(some) if (line := running(text))]) for lang, some in found.items()}
+    return {lang: line for lang, line in models.items() if line}
 
 
 def identify(docs: DataFrame, models: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,24 +165,25 @@ def identify(docs: DataFrame, models: dict[str, str], id_col: str = "doc_id", te
     return map_rows(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), make, "doc_id long, lang_pred string, score double, rate double, characters long")
 
 
-def keep_languages(docs: DataFrame, models: dict[str, str], text_col: str = "text", lang_col: str = "lang", max_rate: float = 0.6, min_characters: int = 200) -> DataFrame:
-    """docs without those in no learned language: without a letter, or long and hardly parsed by any automaton.
+def keep_languages(docs: DataFrame, models: dict[str, str], text_col: str = "text", lang_col: str = "lang", max_rate: float = 0.6, slack: float = 8.0) -> DataFrame:
+    """docs without those in no learned language: without a letter, or hardly parsed by any automaton.
 
-    A language's own texts need 0.2 to 0.4 phrases a character; max_rate leaves them wide room. Where the
-    language is null it becomes the predicted one.
+    A text of n characters may need max_rate * n + slack phrases under the best automaton; a language's own
+    texts need 0.1 to 0.3 a character, other languages of the same script 0.3 to 0.5. Where the language is null it becomes the predicted one.
     """
+    named, lang, kept = fresh_names(docs, "lang", "keep")
 
     def make():
         parser = _parser(models)
 
         def fn(texts):
             got = [parser.predict(t) for t in texts]
-            return [g[0] for g in got], [g[0] != "und" and (g[2] <= max_rate or g[3] < min_characters) for g in got]
+            return [g[0] for g in got], [g[0] != "und" and g[2] * g[3] <= max_rate * g[3] + slack for g in got]
 
         return fn
 
-    judged = append_columns(docs, text_col, make, "_lang string, _keep boolean").where("_keep")
-    return judged.withColumn(lang_col, F.coalesce(lang_col, "_lang")).drop("_lang", "_keep")
+    judged = append_columns(named, text_col, make, f"{lang} string, {kept} boolean").where(F.col(kept))
+    return judged.withColumn(lang_col, F.coalesce(lang_col, lang)).drop(lang, kept)
 
 
 def held_out() -> Column:

@@ -24,7 +24,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import append_columns, map_rows, text_of
+from .common import append_columns, fresh_names, map_rows, text_of
 
 # The base kinds in their order, and what their patterns are made of.
 BASE_KINDS = ["email", "ip", "card", "phone"]
@@ -418,7 +418,8 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
         crf = model()
         return lambda texts: ([None if t is None else redact(t, spans_of(t, crf)[1]) for t in texts],)
 
-    return append_columns(docs, text_col, make, "_text string").withColumn(text_col, F.col("_text")).drop("_text")
+    named, clean = fresh_names(docs, "text")
+    return append_columns(named, text_col, make, f"{clean} string").withColumn(text_col, F.col(clean)).drop(clean)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -237,21 +237,64 @@ def test_language_id(spark):
 
 
 def test_language_sample_is_of_distinct_texts(spark):
-    some = spark.createDataFrame([(words(k, 8),) for k in range(400)], "text string").withColumn("h", F.xxhash64("text")).orderBy("h").collect()
-    late = [r.text for r in some if r.h % 1_000_000 >= 500_000]
-    letters = lambda texts: {w for t in texts for c in t.split() for w in language_id.letters(c)}
-    # two texts in 4000 rows, neither below the share of the rows (1600 / 4000)
-    rows = spark.createDataFrame([(late[0], "aa"), (late[1], "aa")], "text string, lang string").crossJoin(spark.range(2000)).drop("id")
-    assert set(language_id.learn(rows)["aa"].split()) == letters(late[:2])
+    # two labels of 4000 rows, one of them a single text, in many draws
+    for k in range(6):
+        rows = spark.createDataFrame([(words(k, 8), "aa"), (words(k + 50, 8), "aa"), (words(k + 90, 8), "bb")], "text string, lang string").crossJoin(spark.range(2000)).drop("id")
+        models = language_id.learn(rows, model_chars=200)
+        assert set(models) == {"aa", "bb"}
+        assert set(models["aa"].split()) == {w for i in (k, k + 50) for w in language_id.running(words(i, 8)).split()}
     # one text in many copies leaves the others their places
     early = spark.createDataFrame([(f"q{chr(97 + k % 26)}{chr(97 + k // 26)}", "bb") for k in range(300)], "text string, lang string")
     first = early.orderBy(F.xxhash64("text")).limit(1).crossJoin(spark.range(5000)).drop("id")
-    assert len(language_id.learn(early.union(first))["bb"].split()) == 200
-    # none of the texts lies below the bound (8 / 20): the smallest hash all the same
+    assert len(language_id.learn(early.union(first))["bb"].split()) == 300
+    # none of the texts lies below the bound on the hash: the smallest hash all the same
     high = [f"z{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(200)]
-    high = [r.text for r in spark.createDataFrame([(x,) for x in high], "text string").orderBy(F.xxhash64("text")).where(F.xxhash64("text") > 0).limit(20).collect()]
-    got = language_id.learn(spark.createDataFrame([(x, "cc") for x in reversed(high)], "text string, lang string"), sample_docs=1)
-    assert got == {"cc": f" {high[0]} "}
+    high = [r.text for r in spark.createDataFrame([(x,) for x in high], "text string").orderBy(F.xxhash64("text")).where(F.xxhash64("text") > 0).limit(40).collect()]
+    got = language_id.learn(spark.createDataFrame([(x, "cc") for x in reversed(high)], "text string, lang string"), model_chars=3)
+    assert got == {"cc": high[0]}
+    # all texts too long: the first characters of the shortest
+    long = spark.createDataFrame([("ab cd ef gh", "dd"), ("ab cd ef", "dd")], "text string, lang string")
+    assert language_id.learn(long, model_chars=5) == {"dd": "ab cd"}
+    with pytest.raises(ValueError):
+        language_id.learn(early.union(long), max_languages=1)
+
+
+def test_language_scores_against_brute_force(spark):
+    """Greedy longest-match phrases by plain substring search, over whole running texts."""
+
+    def phrases(sample, line):
+        n = at = 0
+        while at < len(line):
+            size = 1
+            while at + size < len(line) and line[at : at + size + 1] in sample:
+                size += 1
+            at, n = at + size, n + 1
+        return n
+
+    r = random.Random(4)
+    make = lambda letters, n: " ".join(["".join([r.choice(letters) for _ in range(r.randint(1, 7))]) for _ in range(n)])
+    kinds = {"aa": "abcdeit", "bb": "klmnoit", "cc": "rstuvit"}
+    rows = [(i, make(kinds[k], r.randint(1, 30)) + r.choice(["", " 12!", "\nX\u00b2Y", "\u4e2d\u6587"]), k, "s", None) for i, k in enumerate(list(kinds) * 30)]
+    rows += [(900, None, "aa", "s", None), (901, "", None, "s", None), (902, "\u00b2 \u00bd 7", None, "s", None), (903, make(kinds["bb"], 20_000), None, "s", None), (7, rows[7][1], "aa", "s", None)]
+    df = spark.createDataFrame(rows, DOCS).withColumn("h", F.lit(1)).withColumn("n", F.lit(1))
+    models = language_id.learn(df.where("doc_id < 60"), model_chars=400)
+    assert sorted(models) == sorted(kinds) and all(len(m) <= 500 for m in models.values())
+    got = sorted(language_id.identify(df, models).collect(), key=lambda x: (x.doc_id, x.rate))
+    assert len(got) == len(rows)
+    texts = {row[0]: row[1] for row in rows}
+    for x in got:
+        line = " ".join("".join([c if c.isalpha() else " " for c in (texts[x.doc_id] or "").lower()]).split())
+        if not line:
+            assert (x.lang_pred, x.score) == ("und", 0.0)
+            continue
+        counts = sorted((phrases(models[k], line), k) for k in models)
+        assert (x.lang_pred, x.characters) == (counts[0][1], len(line))
+        assert abs(x.score - (counts[1][0] - counts[0][0]) / counts[1][0]) < 1e-12 and abs(x.rate - counts[0][0] / len(line)) < 1e-12
+    clash = df.withColumn("_lang", F.lit("x")).withColumn("_keep", F.lit(True)).withColumn("_keep_", F.lit(2))
+    kept = language_id.keep_languages(clash, models)
+    assert kept.columns == clash.columns and kept.count() == len(rows) - 3
+    script = "".join([chr(0x4E00 + r.randrange(9000)) for _ in range(150)])
+    assert language_id.keep_languages(docs(spark, [script, script[:5]]), models).count() == 1
 
 
 def held_out_accuracy(spark, sf_dir):
