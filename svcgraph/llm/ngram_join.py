@@ -1,34 +1,34 @@
 """Operator 8: exact n-gram Jaccard join by PartEnum signatures, and its connected groups.
 
 A document's features are its distinct 5-word shingles (64-bit hashes). Sizes fall into bands
-[x, 4x/3]; documents within 3:4 of each other share a scheme: each document takes part in its
-own band's scheme and in that of the band below. A scheme splits the feature domain into n1
-partitions; a signature is the hash of what a document has in one non-empty partition. Two sets of sizes a
-and b with Jaccard similarity of 3/4 or more differ in at most (a + b) / 7 features, so they
-agree in all partitions but that many: a document with m non-empty partitions shares at least
-m - (a + b) / 7 signatures with each partner. Where hashing leaves too few non-empty partitions for that
-(and for all small sets) each feature is a partition of its own, which always suffices.
+[x, 4x/3]; sets within 3:4 of each other share a scheme, as each takes part in its own band's scheme and in
+that of the band below. A scheme splits the feature domain into n1 partitions of `PARTS` parts each and
+enumerates the subsets of PARTS - 1 parts of every partition: the hash of what a set has in such a
+subset is a signature. Sets of a and b features with a Jaccard similarity of 3/4 or more differ in k = (a + b) / 7
+features at most, so some partition has one difference or none and they agree in one of its subsets.
+How many signatures a set shares with any such partner at least (its need) follows from its own filled parts (`need_of`). Where
+hashing leaves that below one, each feature is a partition of its own, which always suffices. Sets of
+fewer than `SMALL` features have a scheme for each pair of sizes, where the need is the exact overlap.
 
 Steps, all shuffled by Spark:
-1. one pass over the texts gives each document's size, set hash and needed counts (written);
-2. a second pass emits signatures, packed in binary columns for ranges of signatures; a
-   range's task keeps those that two different sets have, and one document of equal sets;
-3. documents with fewer surviving signatures than any partner needs go (exact, by the bound above);
-4. every bucket links its members to its smallest one as candidates: as many as members, never
-   all pairs; candidates are verified on their whole feature sets;
-5. buckets whose members are still in different groups join their documents into families; a
-   family's largest group is set apart, and the others are compared with it and with one another in
-   blocks of bounded size. A task counts common features of two blocks by matrix products and
-   gives only links that join groups, fewer than it has documents.
-Exact copies never meet one another: equal sets are one vertex.
-
-Signatures are cut to 40 bits within their range and equal sets in a bucket are told by 32
-bits; a false agreement of the former only costs a verification.
+1. one pass over the texts gives each document's size and set hash; equal sets are one vertex, the smallest id;
+2. a second pass, over one document of each set, emits signatures, packed in binary columns for ranges of
+   signatures; a range's task keeps those that two sets have, with the number of sets. A signature that is
+   frequent already within one task's batch goes to salted ranges and leaves a mark in its own;
+3. a set with fewer surviving signatures than it needs goes. Of the `got` signatures left it keeps the got - need + 1 rarest:
+   two similar sets share one of these, as they share need of them (exact; frequent passages drop out of the buckets);
+4. every bucket links its members to one pivot as candidates (as many as members, never all pairs), verified on whole
+   feature sets that stream past the pivot; hot pivots are salted. A second round takes other pivots for what is still apart;
+5. buckets whose members are still in different groups are compared exactly: small ones many to a task, large
+   ones in blocks of bounded rows and features. Buckets of the same members are compared once. A task gives only links that join groups.
+
+Signatures are cut to 40 bits within their range; a false agreement only costs a verification.
 
 Defined results: null, empty and wordless texts have no features, are linked with nothing and are
 their own group; under five words the whole sequence is one feature; rows with a null id have
 a size but a null group and link nothing; a repeated id is one vertex with all its sets;
-an empty table gives no row; columns beyond the named two are ignored.
+an empty table gives no row; columns beyond the named two are ignored; texts of any length are hashed whole,
+in slices of bounded size.
 """
 
 from __future__ import annotations
@@ -39,15 +39,18 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import _pieces, arrow_schema, map_rows, materialize, process_table, space_words
+from .common import _pieces, arrow_schema, fresh_names, map_rows, materialize, utf8
 
 WORDS = 5
-#: Partitions for each unit of a band's lower end; more cost space and prune candidates better.
-SPREAD = 0.58
-#: Bands that start below this use one partition a feature.
-SMALL = 16
-#: Signatures that one task of step 2 gets, about.
-RANGE = 400_000
+#: First-level partitions for each unit of a band's lower end, and parts of each; more cost space and prune candidates better.
+SPREAD, PARTS = 0.26, 3
+#: Sets with fewer features have a scheme for each pair of sizes.
+SMALL = 19
+#: Signatures that one task of step 2 gets, about, and sets that one salt of a hot signature gets.
+RANGE, HOT_SETS = 400_000, 500_000
+#: Stands for the hot signature's sets in its own range; no document's id there.
+MARK = -(1 << 63)
+HOT = (1 << 31) - 1
 
 U = np.uint64
 
@@ -60,7 +63,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def band_starts(upto: int) -> list[int]:
-    starts = [1]
+    starts = [SMALL]
     while starts[-1] <= upto:
         starts.append(4 * starts[-1] // 3 + 1)
     return starts
@@ -70,218 +73,328 @@ _STARTS = band_starts(1 << 40)
 
 
 class Shingler:
-    """Sorted distinct feature hashes of whole texts."""
+    """Sorted distinct feature hashes of whole texts, hashed many texts at once.
 
-    KEEP = 400_000
-    FACTORS = [pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, WORDS + 1)]
+    A word's hash is the sum of a random 64-bit value for each byte times a power of an odd base, modulo 2^64.
+    """
+
+    BASE = 0x9E3779B97F4A7C15
+    FACTORS = [pow(0xC2B2AE3D27D4EB4F, k, 1 << 64) for k in range(1, WORDS + 1)]
+    #: Bytes hashed at once; a longer word makes its slice longer.
+    SLICE = 1 << 18
 
     def __init__(self) -> None:
-        import xxhash
+        self.bytes = np.random.Generator(np.random.PCG64(8)).integers(1, 1 << 63, 256, "u8") * U(2) + U(1)
+        self.bytes[[32, *range(9, 14)]] = 0  # white space adds nothing
+        self.space = self.bytes == 0
+        self.up = self.down = np.ones(1, U)
+
+    def _powers(self, n: int) -> None:
+        if len(self.up) < n:
+            self.up, self.down = (np.multiply.accumulate(np.concatenate((np.ones(1, U), np.full(n - 1, base, U)))) for base in (self.BASE, pow(self.BASE, -1, 1 << 64)))
+
+    def words(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Where the words of the (lower-case) bytes start, and their hashes."""
+        every = np.frombuffer(data, "u1")
+        starts, hashes, low = [], [], 0
+        while low < len(every):
+            high = low + self.SLICE
+            while high < len(every) and not self.space[every[high]]:
+                gap = np.flatnonzero(self.space[every[high : high + self.SLICE]])
+                high += int(gap[0]) if len(gap) else self.SLICE
+            part = every[low:high]
+            self._powers(len(part))
+            blank = self.space[part]
+            first = ~blank
+            first[1:] &= blank[:-1]
+            at = np.flatnonzero(first)
+            if len(at):
+                sums = np.add.reduceat(self.bytes[part] * self.up[: len(part)], at)
+                hashes.append(_mix(sums * self.down[at]))
+                starts.append(at + low)
+            low = high
+        return (np.concatenate(starts), np.concatenate(hashes)) if starts else (np.zeros(0, "i8"), np.zeros(0, U))
+
+    def features(self, texts: list[str | None]) -> list[np.ndarray]:
+        """For each text its features, in ascending order."""
+        raw = [utf8(t) for t in texts]
+        with np.errstate(over="ignore"):
+            starts, h = self.words(b" ".join(raw).lower())
+            ends = np.cumsum([len(x) + 1 for x in raw])
+            after = np.searchsorted(starts, ends).tolist()
+            grams = np.zeros(0, U)
+            if len(h) >= WORDS:
+                grams = h[: len(h) - WORDS + 1] * U(self.FACTORS[0])
+                for k in range(1, WORDS):
+                    grams += h[k : len(h) - WORDS + 1 + k] * U(self.FACTORS[k])
+                grams = _mix(grams)
+            out = []
+            for a, b in zip([0, *after], after, strict=False):
+                if b - a >= WORDS:
+                    out.append(np.unique(grams[a : b - WORDS + 1]))
+                elif b > a:
+                    out.append(_mix(np.array([sum(int(x) * f for x, f in zip(h[a:b], self.FACTORS, strict=False)) * 0x2545F4914F6CDD1D + b - a & (1 << 64) - 1], U)))
+                else:
+                    out.append(grams[:0])
+        return out
 
-        digest = xxhash.xxh64_intdigest
 
-        class Words(dict):
-            def __missing__(self, word: bytes) -> int:
-                value = self[word] = digest(word)
-                return value
+# --- schemes: an even number for the smaller side (or the lower band), the next odd one for the other -----
 
-        self.words = Words()
+_BANDS = 4096  # numbers below belong to pairs of small sizes
 
-    def features(self, text: str | None) -> np.ndarray:
-        words = space_words(text)
-        if len(self.words) > self.KEEP:
-            self.words.clear()
-        h = np.fromiter(map(self.words.__getitem__, words), U, len(words))
-        n = len(h)
-        if not n:
-            return h
-        with np.errstate(over="ignore"):
-            if n < WORDS:
-                total = U(n)
-                for f, x in zip(self.FACTORS, h, strict=False):
-                    total = total * U(0x2545F4914F6CDD1D) + x * U(f)
-                return _mix(np.array([total], U))
-            total = h[: n - WORDS + 1] * U(self.FACTORS[0])
-            for k in range(1, WORDS):
-                total += h[k : n - WORDS + 1 + k] * U(self.FACTORS[k])
-            return np.unique(_mix(total))
-
-
-def scheme_roles(n: int) -> list[tuple[int, int]]:
-    """(scheme, most differences to a partner there) for a set of n features."""
-    j = bisect.bisect_right(_STARTS, n) - 1
-    roles = [(j, (n + 4 * n // 3) // 7)]
-    if j:
-        roles.append((j - 1, (n + _STARTS[j] - 1) // 7))
-    return roles
-
-
-def needs(features: np.ndarray) -> list[tuple[int, int]]:
-    """(scheme, needed common signatures), as signatures() has them."""
-    out, n = [], len(features)
-    for j, most in scheme_roles(n):
-        if _STARTS[j] < SMALL:
-            out.append((2 * j + 1, n - most))
-            continue
-        part = (features >> U(32)) * U(max(1, round(SPREAD * _STARTS[j]))) >> U(32)
-        m = int(np.count_nonzero(part[1:] != part[:-1])) + 1
-        out.append((2 * j, m - most))
-        if m <= most:
-            out.append((2 * j + 1, n - most))
-    return out
+
+def need_of(filled: np.ndarray, most: int) -> int:
+    """The least number of common signatures with a set that differs in at most `most` features.
+
+    filled: for each partition the number of its parts that hold something. A partition with one filled part has
+    PARTS - 1 signatures with content, all of which one difference can spoil; others have PARTS, of which
+    the first difference spoils PARTS - 1 and a second one the last.
+    """
+    any_, two = int(np.count_nonzero(filled)), int(np.count_nonzero(filled > 1))
+    total = (PARTS - 1) * any_ + two
+    first = min(most, any_)
+    return total - (PARTS - 1) * first - min(most - first, two)
+
+
+def _atoms(features: np.ndarray, scheme: int) -> np.ndarray:
+    return _mix(features + U((scheme | 1) * 0x632BE59BD9B4E019 & (1 << 64) - 1))
 
 
 def signatures(features: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
-    """(scheme, needed common signatures, signatures); a scheme is 2j, or 2j + 1 with a partition a feature."""
-    out = []
+    """(scheme, needed common signatures, signatures) of a set."""
+    out, n = [], len(features)
     with np.errstate(over="ignore"):
-        for j, most in scheme_roles(len(features)):
-            atoms = lambda: (2 * j + 1, len(features) - most, _mix(features + U((2 * j + 1) * 0x632BE59BD9B4E019 & (1 << 64) - 1)))  # noqa: E731, B023
-            if _STARTS[j] < SMALL:
-                out.append(atoms())
+        for small in range(-(-3 * n // 4), min(4 * n // 3, SMALL - 1) + 1):
+            # pairs of the sizes (n, larger) and (small, n)
+            for a, b, side in ((n, small, 0),) if small >= n else ((small, n, 1),):
+                need = -(-3 * (a + b) // 7)
+                if need <= a and not (a == b and need == a):
+                    out.append((2 * (64 * a + b) + side, need, _atoms(features, 2 * (64 * a + b))))
+        if n < SMALL:
+            for b in range(SMALL, 4 * n // 3 + 1):
+                out.append((2 * (64 * n + b), -(-3 * (n + b) // 7), _atoms(features, 2 * (64 * n + b))))
+            return out
+        j = bisect.bisect_right(_STARTS, n) - 1
+        for band, side, most in ((j, 0, (n + 4 * n // 3) // 7), (j - 1, 1, (n + _STARTS[j] - 1) // 7)):
+            if band < 0:
                 continue
-            n1 = max(1, round(SPREAD * _STARTS[j]))
-            part = (features >> U(32)) * U(n1) >> U(32)  # in order, as the features are
+            n1 = max(2, round(SPREAD * _STARTS[band]))
+            scheme = _BANDS + 4 * band + side
+            part = ((features >> U(32)) * U(PARTS * n1) >> U(32)).astype("i8")  # in order, as the features are
             first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-            content = np.add.reduceat(_mix(features ^ U(0x5851F42D4C957F2D)), first)
-            out.append((2 * j, len(first) - most, _mix(content + part[first] * U(0x9E3779B97F4A7C15) + U(2 * j * 0x632BE59BD9B4E019 & (1 << 64) - 1))))
-            if len(first) <= most:
-                out.append(atoms())
+            content = np.zeros(PARTS * n1, U)
+            content[part[first]] = np.add.reduceat(_mix(features ^ U(0x5851F42D4C957F2D)), first) * np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], U)[part[first] % PARTS]
+            full = np.zeros(PARTS * n1, "i8")
+            full[part[first]] = 1
+            content, full = content.reshape(n1, PARTS), full.reshape(n1, PARTS)
+            filled = full.sum(1)
+            # the subset without part s holds the partition's sum less what s has
+            held = (filled[:, None] > full).ravel()
+            subsets = (content.sum(1, dtype=U)[:, None] - content).ravel()
+            ids = np.flatnonzero(held).astype(U)
+            need = need_of(filled, most)
+            out.append((scheme, max(1, need), _mix(subsets[held] + ids * U(0x9E3779B97F4A7C15) + U((_BANDS + 4 * band) * 0x632BE59BD9B4E019 & (1 << 64) - 1))))
+            if need < 1:
+                out.append((scheme + 2, -(-3 * n // 4), _atoms(features, _BANDS + 4 * band + 2)))
     return out
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """Step 1. need: for each scheme of the document, "scheme:needed" comma-joined."""
+    """Step 1: doc_id, n, and a 128-bit hash of the set."""
 
     def make():
-        shingler = process_table("shingler", Shingler)
+        shingler = Shingler()
 
         def fn(keys, texts):
-            out = ([], [], [], [], [])
-            for key, text in zip(keys, texts, strict=True):
-                f = shingler.features(text)
-                with np.errstate(over="ignore"):
-                    h = (int(np.sum(f, dtype=U)), int(np.sum(f * f, dtype=U))) if len(f) else (0, 0)
-                need = ",".join([f"{s}:{m}" for s, m in needs(f)]) if len(f) else ""
-                for column, value in zip(out, (key, len(f), *(x - (x >> 63 << 64) for x in h), need), strict=True):
-                    column.append(value)
-            return out
+            sets = shingler.features(texts)
+            signed = lambda x: x - (x >> 63 << 64)
+            with np.errstate(over="ignore"):
+                return keys, [len(f) for f in sets], [signed(int(np.sum(f, dtype=U))) for f in sets], [signed(int(np.sum(f * f, dtype=U))) for f in sets]
 
         return fn
 
-    return map_rows(docs, make, "doc_id long, n long, h1 long, h2 long, need string")
+    return map_rows(docs, make, "doc_id long, n long, h1 long, h2 long")
+
+
+#: An entry of a block: 5 bytes of signature, 8 of id, 2 of need, 2 of scheme.
+ENTRY = 17
+
 
+def _signature_blocks(docs: DataFrame, ranges: int, salts: int) -> DataFrame:
+    """Step 2, map side: r and byte columns of the signatures in that range, several thousand sets a block.
 
-def _signature_blocks(docs: DataFrame, ranges: int) -> DataFrame:
-    """Step 2, map side: r and byte columns of the signatures in that range, several thousand documents a block."""
+    r >= ranges are salted ranges: ranges * (1 + salt) + r holds a salt's share of signatures that are hot in r.
+    """
     import pyarrow as pa
 
-    schema = "r int, block binary"
+    schema = "r long, block binary"
 
     def run(batches):
-        out, shingler = arrow_schema(schema), process_table("shingler", Shingler)
+        out, shingler = arrow_schema(schema), Shingler()
         gathered: list[tuple[np.ndarray, ...]] = []
-        size = 0
+        size = sets = 0
 
         def flush():
-            sig, doc, tag, scheme = (np.concatenate(x) for x in zip(*gathered, strict=True))
-            r = ((sig >> U(32)) * U(ranges) >> U(32)).astype("i4")
-            order = np.argsort(r, kind="stable")
-            sig, doc, tag, scheme, r = sig[order], doc[order], tag[order], scheme[order], r[order]
+            sig = np.concatenate([g[0] for g in gathered])
+            doc, need, scheme = (np.repeat(np.array([g[k] for g in gathered], t), [len(g[0]) for g in gathered]) for k, t in ((1, "i8"), (2, "u2"), (3, "u2")))
+            r = ((sig >> U(32)) * U(ranges) >> U(32)).astype("i8")
+            line = np.sort(sig)
+            run_ends = np.flatnonzero(np.concatenate((line[1:] != line[:-1], [True])))
+            often = np.diff(run_ends, prepend=-1) >= max(8, sets // 64)
+            if often.any():
+                hot = line[run_ends[often]]
+                at = np.minimum(np.searchsorted(hot, sig), len(hot) - 1)
+                is_hot = hot[at] == sig
+                one = np.full((2, len(hot)), -1)  # an entry of either side for each hot signature, for its marks
+                one[(scheme & 1)[is_hot], at[is_hot]] = np.flatnonzero(is_hot)
+                one = one[one >= 0]
+                mark = [x[one] for x in (sig, doc, need, scheme, r)]
+                mark[1] = np.full(len(one), MARK, "i8")
+                r = np.where(is_hot, r + ranges * (1 + (_mix(doc.view(U)) % U(salts)).astype("i8")), r)
+                sig, doc, need, scheme, r = (np.concatenate(x) for x in zip((sig, doc, need, scheme, r), mark, strict=True))
+            order = np.argsort(r.astype("u2") if r.max() < 1 << 16 else r, kind="stable")
+            sig, doc, need, scheme, r = sig[order], doc[order], need[order], scheme[order], r[order]
             first = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
             blocks = []
             for a, b in zip(first.tolist(), [*first[1:].tolist(), len(r)], strict=True):
                 # planes of single bytes: the high bytes of ids in order cost next to nothing once compressed
-                planes = doc[a:b].view("u1").reshape(-1, 8).T
-                blocks.append(b"".join((sig[a:b].view("u1").reshape(-1, 8)[:, :5].tobytes(), planes.tobytes(), tag[a:b].tobytes(), scheme[a:b].tobytes())))
-            return pa.RecordBatch.from_arrays([pa.array(r[first], pa.int32()), pa.array(blocks, pa.binary())], schema=out)
+                planes = [x[a:b].view("u1").reshape(b - a, -1).T.tobytes() for x in (doc, need, scheme)]
+                blocks.append(b"".join((sig[a:b].view("u1").reshape(-1, 8)[:, :5].tobytes(), *planes)))
+            return pa.RecordBatch.from_arrays([pa.array(r[first], pa.int64()), pa.array(blocks, pa.binary())], schema=out)
 
         for whole in batches:
             for b in _pieces(whole):
-                for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    f = shingler.features(text) if key is not None else ()
-                    if not len(f):
+                for key, f in zip(b.column(0).to_pylist(), shingler.features(b.column(1).to_pylist()), strict=True):
+                    if key is None or not len(f):
                         continue
-                    with np.errstate(over="ignore"):
-                        own = np.sum(f, dtype=U)
-                    for scheme, _, sig in signatures(f):
-                        gathered.append((sig, np.full(len(sig), key, "i8"), ((sig ^ own) * U(0x9E3779B97F4A7C15) >> U(32)).astype("u4"), np.full(len(sig), scheme, "u1")))
+                    for scheme, need, sig in signatures(f):
+                        gathered.append((sig, key, min(need, 65535), scheme))
                         size += len(sig)
-                if size > 1_500_000:
-                    yield flush()
-                    gathered, size = [], 0
+                    sets += 1
+                    if size > 1_000_000:
+                        yield flush()
+                        gathered, size, sets = [], 0, 0
         if size:
             yield flush()
 
     return docs.mapInArrow(run, schema)
 
 
-def _survivors(blocks: DataFrame) -> DataFrame:
-    """Step 2, reduce side: sig, scheme, doc of signatures that different sets have; of equal sets the smallest id."""
+def _survivors(blocks: DataFrame, ranges: int) -> DataFrame:
+    """Step 2, reduce side: signatures that several sets have, and in how many (HOT for hot ones).
+
+    Two sets of the upper band meet in the scheme of their own, and two of equal size in that of their size, so a
+    signature needs the other side too. Only a hot one's own range sees both sides: it names (freq -1) those without.
+    """
     import pyarrow as pa
 
-    schema = "sig long, scheme int, doc long"
+    schema = "sig long, scheme int, doc long, need int, freq int"
 
     def fn(table: pa.Table) -> pa.Table:
         out = arrow_schema(schema)
         r = table.column("r")[0].as_py()
-        sigs, docs, tags, schemes = [], [], [], []
+        sigs, docs, needs, schemes = [], [], [], []
         for block in table.column("block"):
             raw = np.frombuffer(block.as_buffer(), "u1")
-            n = len(raw) // 18
+            n = len(raw) // ENTRY
             wide = np.zeros((n, 8), "u1")
             wide[:, :5] = raw[: 5 * n].reshape(n, 5)
             sigs.append(wide.view("<u8")[:, 0])
-            docs.append(np.ascontiguousarray(raw[5 * n : 13 * n].reshape(8, n).T).view("<i8")[:, 0])
-            tags.append(raw[13 * n : 17 * n].copy().view("<u4"))
-            schemes.append(raw[17 * n :])
-        sig, doc, tag, scheme = (np.concatenate(x) for x in (sigs, docs, tags, schemes))
+            for into, low, size, kind in ((docs, 5, 8, "<i8"), (needs, 13, 2, "<u2"), (schemes, 15, 2, "<u2")):
+                into.append(np.ascontiguousarray(raw[low * n : (low + size) * n].reshape(size, n).T).view(kind)[:, 0])
+        sig, doc, need, scheme = (np.concatenate(x) for x in (sigs, docs, needs, schemes))
         order = np.argsort(sig, kind="stable")
         sig = sig[order]
         same = sig[1:] == sig[:-1]
-        shared = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        sig, doc, tag, scheme = sig[shared], doc[order][shared], tag[order][shared], scheme[order][shared]
-        order = np.lexsort((doc, tag, sig))
-        sig, doc, tag, scheme = sig[order], doc[order], tag[order], scheme[order]
-        first = np.ones(len(sig), bool)
-        first[1:] = (sig[1:] != sig[:-1]) | (tag[1:] != tag[:-1])
-        sig, doc, scheme = sig[first], doc[first], scheme[first]
-        same = sig[1:] == sig[:-1]
-        shared = np.concatenate((same, [False])) | np.concatenate(([False], same)) if len(sig) else np.zeros(0, bool)
-        sig, doc, scheme = sig[shared], doc[shared], scheme[shared]
-        full = (sig | U(r % (1 << 24)) << U(40)).view("i8")
-        return pa.Table.from_arrays([pa.array(v, t) for v, t in zip((full, scheme.astype("i4"), doc), out.types, strict=True)], schema=out)
+        if r >= ranges:
+            count = np.full(len(sig), HOT)
+            keep = np.ones(len(sig), bool)
+            doc, need, scheme = doc[order], need[order], scheme[order]
+        else:
+            shared = np.concatenate((same, [False])) | np.concatenate(([False], same)) | (doc[order] == MARK)
+            order, sig = order[shared], sig[shared]
+            doc, need, scheme = doc[order], need[order], scheme[order]
+            first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.zeros(0, "i8")
+            size = np.diff(np.append(first, len(sig)))
+            if len(sig):
+                odd = scheme & 1
+                one, two = np.minimum.reduceat(odd, first) == 0, np.maximum.reduceat(odd, first) == 1
+                pair = scheme[first] >> 1
+                unlike = (scheme[first] < _BANDS) & (pair // 64 != pair % 64)
+                hot = np.maximum.reduceat((doc == MARK).astype("u1"), first) == 1
+                ok = (hot | (size > 1)) & one & (two | ~unlike)
+                count = np.repeat(np.where(~hot, np.minimum(size, HOT - 1), np.where(ok, HOT, -1)), size)
+                last = np.zeros(len(sig), bool)
+                last[first + size - 1] = True
+                keep = np.where(count < 0, last, np.repeat(ok, size) & (doc != MARK))
+            else:
+                count, keep = np.zeros(0, "i8"), np.zeros(0, bool)
+        full = (sig | U(r % ranges % (1 << 24)) << U(40)).view("i8")
+        cols = (full[keep], scheme[keep].astype("i4"), doc[keep], need[keep].astype("i4"), count[keep].astype("i4"))
+        return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(cols, out.types, strict=True)], schema=out)
 
     return blocks.groupBy("r").applyInArrow(fn, schema)
 
 
+def _rarest(found: DataFrame) -> DataFrame:
+    """Step 3: sig, doc, with the got - need + 1 rarest signatures of each set that has its need."""
+    dead = found.where("freq < 0").select("sig").distinct()
+    found = found.where(F.col("freq").between(0, HOT - 1)).unionAll(found.where(F.col("freq") == HOT).join(dead, "sig", "left_anti").select(*found.columns))
+    own = Window.partitionBy("doc", "scheme")
+    counted = found.withColumn("got", F.count("*").over(own)).withColumn("need", F.min("need").over(own)).withColumn("k", F.row_number().over(own.orderBy("freq", "sig")))
+    return counted.where("got >= need AND k <= got - need + 1").select("sig", "doc")
+
+
 def _features(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """doc_id, f: whole feature sets of the documents with an _id in ids, written once."""
 
     def make():
-        shingler = process_table("shingler", Shingler)
-        return lambda keys, texts: (keys, [shingler.features(t).tobytes() for t in texts])
+        shingler = Shingler()
+        return lambda keys, texts: (keys, [f.tobytes() for f in shingler.features(texts)])
 
     some = docs.join(ids.select("_id").distinct(), docs["doc_id"] == F.col("_id"), "left_semi")
     return materialize(map_rows(some, make, "doc_id long, f binary"), "features")
 
 
-def _verified(features: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) whose whole feature sets have 100 * intersection >= 75 * union."""
-    both = pairs.join(features.select(F.col("doc_id").alias("a"), F.col("f").alias("fa")), "a").join(features.select(F.col("doc_id").alias("b"), F.col("f").alias("fb")), "b")
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """100 * intersection >= 75 * union, of ascending arrays of distinct hashes."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x) or 4 * len(x) < 3 * len(y):
+        return False
+    common = int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
+    return 100 * common >= 75 * (len(x) + len(y) - common)
 
-    def compare():
-        def fn(a, b, fa, fb):
-            keep = []
-            for x, y in zip(fa, fb, strict=True):
-                x, y = np.frombuffer(x, U), np.frombuffer(y, U)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= 75 * (len(x) + len(y) - common))
-            return [v for v, k in zip(a, keep, strict=True) if k], [v for v, k in zip(b, keep, strict=True) if k]
 
-        return fn
+def _verified(features: DataFrame, pairs: DataFrame, share: int = 2000) -> DataFrame:
+    """Those of the distinct pairs (a, b) that are similar. A pivot a meets its partners in turns of about `share`."""
+    import pyarrow as pa
 
-    return materialize(map_rows(both.select("a", "b", "fa", "fb"), compare, "a long, b long").distinct(), "links")
+    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / share).cast("int").alias("salts"))
+    sets = features.select(F.col("doc_id").alias("d"), "f")
+    pivots = salts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).join(sets, F.col("a") == F.col("d")).select("a", "salt", F.lit(None).cast("long").alias("b"), "f")
+    members = pairs.join(salts, "a").join(sets, F.col("b") == F.col("d")).select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b", "f")
+    dealt = pivots.unionAll(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    schema = "a long, b long"
+
+    def run(batches):
+        out, now, held = arrow_schema(schema), None, []
+        for whole in batches:
+            for batch in _pieces(whole):
+                links = ([], [])
+                for a, salt, b, f in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
+                    if (a, salt) != now:
+                        now, held = (a, salt), []
+                    f = np.frombuffer(f.as_buffer(), U)
+                    if b is None:
+                        held.append(f.copy())
+                    elif any(similar(x, f) for x in held):
+                        links[0].append(a)
+                        links[1].append(b)
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(links, out.types, strict=True)], schema=out)
+
+    return materialize(dealt.mapInArrow(run, schema), "links")
 
 
 def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -373,6 +486,49 @@ def _family_links(members: DataFrame, features: DataFrame, block_features: int =
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, schema)
 
 
+def _bucket_links(members: DataFrame, features: DataFrame, pack_features: int = 1_000_000) -> DataFrame:
+    """members (doc, family, c) of small buckets -> links (a, b) between groups; many buckets to a task, each set once."""
+    import pyarrow as pa
+
+    sized = features.select(F.col("doc_id").alias("doc"), "f")
+    total = members.join(features.select(F.col("doc_id").alias("doc"), (F.octet_length("f") / 8).alias("n")), "doc").agg(F.sum("n")).first()[0] or 0
+    packed = members.withColumn("pack", F.pmod(F.xxhash64("family"), F.lit(int(total) // pack_features + 1)))
+    sets = packed.select("pack", "doc").distinct().join(sized, "doc").select(F.col("pack").alias("p"), F.col("doc").alias("d"), "f")
+    schema = "a long, b long"
+
+    def compare(one: pa.Table, two: pa.Table) -> pa.Table:
+        held: dict[int, list[np.ndarray]] = {}
+        for doc, f in zip(two.column("d").to_pylist(), two.column("f"), strict=True):
+            held.setdefault(doc, []).append(np.frombuffer(f.as_buffer(), U))
+        buckets: dict[int, dict[int, int]] = {}
+        for family, doc, c in zip(*(one.column(k).to_pylist() for k in ("family", "doc", "c")), strict=True):
+            buckets.setdefault(family, {})[doc] = c
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while root.get(x, x) != x:
+                root[x] = root.get(root[x], root[x])
+                x = root[x]
+            return x
+
+        links, done = [], set()
+        for rows in buckets.values():
+            docs = sorted(rows)
+            for i, x in enumerate(docs):
+                for y in docs[i + 1 :]:
+                    p, q = top(rows[x]), top(rows[y])
+                    if p == q or (x, y) in done:
+                        continue
+                    done.add((x, y))
+                    if any(similar(f, g) for f in held.get(x, ()) for g in held.get(y, ())):
+                        root[q] = p  # further links between the two groups add nothing
+                        links.append((x, y))
+        out = arrow_schema(schema)
+        return pa.Table.from_arrays([pa.array([v[k] for v in links], t) for k, t in enumerate(out.types)], schema=out)
+
+    return packed.select("pack", "family", "doc", "c").groupBy("pack").cogroup(sets.groupBy("p")).applyInArrow(compare, schema)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id, component (smallest reachable id) for every end of an edge (a, b): minimum labels with pointer jumping."""
     both = materialize(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges")
@@ -388,45 +544,53 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def _mixed(kept: DataFrame, groups: DataFrame, name: str) -> DataFrame:
+    """sig, doc, c of the buckets whose members are in several groups; of buckets with the same members only one."""
+    placed = kept.join(groups, kept["doc"] == groups["id"], "left").select("sig", "doc", F.coalesce("component", "doc").alias("c"))
+    buckets = placed.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.sum(F.xxhash64("doc", F.lit(1)).bitwiseAND(F.lit((1 << 31) - 1))).alias("y"))
+    chosen = buckets.where("lo < hi").groupBy("m", "x", "y").agg(F.min("sig").alias("sig")).select("sig", "m")
+    return materialize(placed.join(chosen, "sig"), name)
+
+
+def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small_bucket: int = 64) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, component_id) for every row, and the verified links between representatives of equal sets."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sets = materialize(_sets(texts), "sets")
-    total = sets.agg(F.sum("n")).first()[0] or 0
-    ranges = max(48, int(2 * total * SPREAD * 0.75) // RANGE + 1)
-    found = materialize(_survivors(_signature_blocks(texts, ranges)), "survivors")
-
-    # Step 3. Needed counts of the documents that survive anywhere.
-    counts = found.groupBy("doc", "scheme").agg(F.count("*").alias("got"))
-    needs = sets.where("need <> ''").select(F.col("doc_id").alias("doc"), F.explode(F.split("need", ",")).alias("x")).select("doc", F.split_part("x", F.lit(":"), F.lit(1)).cast("int").alias("scheme"), F.split_part("x", F.lit(":"), F.lit(2)).cast("long").alias("need")).groupBy("doc", "scheme").agg(F.min("need").alias("need"))
-    enough = materialize(counts.join(needs, ["doc", "scheme"]).where("got >= need").select("doc", "scheme", "need"), "enough")
-    kept = materialize(found.join(enough, ["doc", "scheme"]), "kept")
-
-    # Step 4.
-    features = _features(texts, enough.select(F.col("doc").alias("_id")))
-    smallest = kept.groupBy("sig").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a < z").drop("z")
+    total, many = sets.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    ranges = max(48, int(total * 1.2) // RANGE + 1)
+
+    # Equal sets are one vertex; an id with several sets is one too, and stays if any of them is the first of its kind.
+    named = sets.where("n > 0 AND doc_id IS NOT NULL")
+    several = materialize(named.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("many")).where("many > 1").drop("many"), "copies")
+    same = materialize(named.join(several, ["n", "h1", "h2"]).where("doc_id > rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct(), "same")
+    repeated = materialize(named.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id"), "repeated")
+    spare = same.select(F.col("b").alias("doc_id")).distinct().join(repeated, "doc_id", "left_anti")
+    singles = texts.join(spare, "doc_id", "left_anti")
+
+    found = materialize(_survivors(_signature_blocks(singles, ranges, 4 + many // HOT_SETS), ranges), "survivors")
+    kept = materialize(_rarest(found), "kept")
+
+    # Step 4. The first pivots are the smallest ids, so that buckets share them; the second ones are other members of what is apart.
+    smallest = kept.groupBy("sig").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a < z").select("sig", "a")
+    features = _features(texts, kept.join(smallest, "sig", "left_semi").select(F.col("doc").alias("_id")))
     stars = kept.join(smallest, "sig").where("doc > a").select("a", F.col("doc").alias("b")).distinct()
     links = _verified(features, materialize(stars, "stars"))
+    mixed = _mixed(kept, components(links), "apart")
+    order = F.xxhash64("doc", F.lit(2))
+    others = mixed.groupBy("sig").agg(F.min(F.struct(order, "doc", "c")).alias("p")).select("sig", F.col("p.doc").alias("a"), F.col("p.c").alias("pc"))
+    stars = mixed.join(others, "sig").where("c <> pc").select("a", F.col("doc").alias("b")).distinct()
+    links = links.unionAll(_verified(features, materialize(stars, "stars")))
 
     # Step 5. A bucket is done once all its members are in one group.
-    groups = components(links)
-    member = materialize(kept.join(groups, kept["doc"] == groups["id"], "left").select("sig", "scheme", "doc", "need", F.coalesce("component", "doc").alias("c")), "members")
-    mixed = lambda m: m.groupBy("sig").agg(F.min("doc").alias("first"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("sig", "first")
-    rest = member.join(mixed(member).select("sig"), "sig", "left_semi")
-    enough_still = rest.groupBy("doc", "scheme").agg(F.count("*").alias("got"), F.first("need").alias("need")).where("got >= need").select("doc", "scheme")
-    rest = materialize(rest.join(enough_still, ["doc", "scheme"], "left_semi"), "mixed")
-    families = components(rest.join(mixed(rest), "sig").where("doc > first").select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct())
-    in_family = materialize(rest.select("doc", "c").distinct().join(families.select(F.col("id").alias("doc"), F.col("component").alias("family")), "doc"), "families")
-    links = links.union(materialize(_family_links(in_family, features), "links"))
-
-    # Equal sets are one vertex; an id with several sets joins them.
-    copies = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("many"))
-    copies = materialize(copies, "copies")
-    several = copies.where("many > 1").select("n", "h1", "h2", "rep")
-    same = sets.where("doc_id IS NOT NULL").join(several, ["n", "h1", "h2"]).where("doc_id > rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    repeated = sets.where("n > 0").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id").join(same.select(F.col("b").alias("doc_id"), "a"), "doc_id").select("a", F.col("doc_id").alias("b"))
-    final = components(links.union(repeated))
-    to = same.select(F.col("b").alias("doc_id"), F.col("a").alias("rep")).groupBy("doc_id").agg(F.min("rep").alias("rep"))
+    rest = _mixed(mixed.select("sig", "doc"), components(links), "rest")
+    members = lambda condition: rest.where(condition).select("doc", F.col("sig").alias("family"), "c")
+    links = links.unionAll(materialize(_bucket_links(members(F.col("m") <= small_bucket), features), "links"))
+    large = members(F.col("m") > small_bucket)
+    if large.limit(1).count():
+        links = links.unionAll(materialize(_family_links(large, features), "links"))
+
+    final = components(links.unionAll(same.join(repeated.select(F.col("doc_id").alias("b")), "b", "left_semi").select("a", "b")))
+    to = same.groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("rep"))
     placed = sets.select("doc_id", "n").join(to, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     rows = placed.join(final, placed["rep"] == final["id"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     return rows, links
@@ -434,14 +598,16 @@ def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the smallest id of each group, one row an id; rows with a null id stay."""
+    named, key, count, turn = fresh_names(docs, "id", "k", "t")
     groups = link_groups(docs, id_col, text_col)[0].where("doc_id IS NOT NULL")
-    kept = materialize(groups.groupBy(F.col("doc_id").alias("_id")).agg(F.min("component_id").alias("_c"), F.count("*").alias("_k")).where("_id = _c").drop("_c"), "kept")
-    rows = docs.join(kept, docs[id_col] == kept["_id"])
-    nameless = docs.where(F.col(id_col).isNull())
-    if kept.where("_k > 1").limit(1).count():
-        turn = F.row_number().over(Window.partitionBy("_id").orderBy(text_col))
-        rows = rows.where("_k = 1").unionByName(rows.where("_k > 1").withColumn("_t", turn).where("_t = 1").drop("_t"))
-    return rows.drop("_id", "_k").unionByName(nameless)
+    chosen = groups.groupBy(F.col("doc_id").alias(key)).agg(F.min("component_id").alias("component"), F.count("*").alias(count)).where(F.col(key) == F.col("component")).select(key, count)
+    kept = materialize(chosen, "kept")
+    rows = named.join(kept, named[id_col] == kept[key])
+    nameless = named.where(F.col(id_col).isNull())
+    if kept.where(F.col(count) > 1).limit(1).count():
+        first = F.row_number().over(Window.partitionBy(key).orderBy(text_col))
+        rows = rows.where(F.col(count) == 1).unionByName(rows.where(F.col(count) > 1).withColumn(turn, first).where(F.col(turn) == 1).drop(turn))
+    return rows.drop(key, count).unionByName(nameless)
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

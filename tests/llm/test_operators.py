@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -340,11 +341,15 @@ def test_ngram_join_against_brute_force(spark, seed):
             texts.append(" ".join(copy[: n - r.randrange(0, max(1, n // 8))]))
     passage = words(77, 60, 5000)
     texts += [f"{words(seed * 50 + k, 60, 5000)} {passage} {words(seed * 70 + k, 50, 5000)}" for k in range(15)]
+    texts += [f"dear customer your order has been shipped to k{k}" for k in range(30)] + [f"alpha beta gamma delta eps zeta {k}" for k in range(30)]
+    form = words(seed + 5, 40, 5000).split()
+    texts += [" ".join([*form[:9], f"n{k}", *form[10:25], f"c{k % 7}", *form[26:]]) for k in range(60)]
     ids = [int(x) for x in r.sample(range(10**6), len(texts))]
     texts += [texts[9], None, texts[12]]
     ids += [ids[9], None, None]  # a repeated row, null ids
-    got, _ = ngram_join.link_groups(docs(spark, texts, ids).repartition(3))
-    assert sorted((tuple(x) for x in got.collect()), key=repr) == brute_groups(texts, ids)
+    for small in (64, 4):
+        got, _ = ngram_join.link_groups(docs(spark, texts, ids).repartition(3), small_bucket=small)
+        assert sorted((tuple(x) for x in got.collect()), key=repr) == brute_groups(texts, ids)
 
 
 def test_family_blocks_are_bounded_by_rows(spark):
@@ -352,7 +357,7 @@ def test_family_blocks_are_bounded_by_rows(spark):
 
     # nine words, the last one differs: 4 of 6 shingles shared, so all stay single in one family
     shingler = ngram_join.Shingler()
-    sets = [shingler.features(f"dear customer your order has been shipped to k{k}") for k in range(4000)]
+    sets = shingler.features([f"dear customer your order has been shipped to k{k}" for k in range(4000)])
     sets.append(sets[-1])
     features = spark.createDataFrame([(i, bytearray(f.tobytes())) for i, f in enumerate(sets)], "doc_id long, f binary")
     members = spark.range(len(sets)).select(F.col("id").alias("doc"), F.lit(0).alias("family"), F.col("id").alias("c"))
@@ -366,12 +371,54 @@ def test_family_blocks_are_bounded_by_rows(spark):
     tracemalloc.stop()
 
 
-def test_needs_are_those_of_signatures():
-    s = ngram_join.Shingler()
-    for n in (0, 5, 7, 12, 40, 300, 2000):
-        f = s.features(words(n, n, 9000))
-        if len(f):
-            assert ngram_join.needs(f) == [(a, b) for a, b, _ in ngram_join.signatures(f)]
+def test_similar_sets_share_what_they_need():
+    """For random pairs at the threshold: a common scheme in which they share each one's need of signatures."""
+    r = random.Random(3)
+    draw = lambda n: [r.randrange(1 << 64) for _ in range(n)]
+    for n in [*range(2, 40), 57, 90, 160, 400, 1500] * 4:
+        most = n // 7
+        for gone, new in ((most, 0), (0, n // 3), (most, most), (most // 2, most // 3), (r.randint(0, most), r.randint(0, n // 3))):
+            x = draw(n)
+            y = x[gone:] + draw(new)
+            common = n - gone
+            if 100 * common < 75 * (n + len(y) - common) or x == y:
+                continue
+            found = [{s >> 1: (s & 1, need, set(sig.tolist())) for s, need, sig in ngram_join.signatures(np.array(sorted(z), "u8"))} for z in (x, y)]
+            shared = [(k, len(found[0][k][2] & found[1][k][2])) for k in found[0].keys() & found[1].keys() if not found[0][k][0] & found[1][k][0]]
+            assert any(c >= max(1, *(f[k][1] for f in found)) for k, c in shared), (n, gone, new)
+
+
+def test_feature_hashes_agree_with_words(monkeypatch):
+    """Equal shingles have equal features, others differ, however texts are cut into slices."""
+    texts = [None, "", " \n\x0b", "a b c d e", "A\tB c d\x0ce f", "x a b c d e", "a b", "ab", "b a", "é ü a b c d", "k" * 5000 + " a b c d e", words(5, 900, 30), "a\u00a0b c d e f g"]
+    whole = ngram_join.Shingler().features(texts)
+    monkeypatch.setattr(ngram_join.Shingler, "SLICE", 64)
+    assert all(np.array_equal(x, y) for x, y in zip(whole, ngram_join.Shingler().features(texts), strict=True))
+    assert all(np.array_equal(x, y) for x, y in zip(whole, [ngram_join.Shingler().features([t])[0] for t in texts], strict=True))
+    seen = {}
+    for text, f in zip(texts, whole, strict=True):
+        ws = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+        grams = {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
+        assert len(f) == len(grams) and sorted(f.tolist()) == f.tolist()
+        seen.setdefault(frozenset(grams), set()).add(tuple(f.tolist()))
+    assert all(len(v) == 1 for v in seen.values()) and len({tuple(f.tolist()) for f in whole}) == len(seen)
+
+
+def test_templated_texts_leave_no_candidates(spark):
+    """Short texts that differ in one word are all dropped before any bucket; a hot signature stays whole through its salts."""
+    for text in ("alpha beta gamma delta eps zeta ", "dear customer your order has been shipped to "):
+        df = spark.range(0, 20_000, 1, 3).select("id", F.concat(F.lit(text), F.col("id")).alias("text"))
+        ranges = 48
+        found = ngram_join._survivors(ngram_join._signature_blocks(df, ranges, 4), ranges)
+        assert ngram_join._rarest(found).count() == 0
+    df = spark.range(0, 3000, 1, 3).select("id", F.concat(F.lit(words(1, 60) + " "), F.col("id")).alias("text"))
+    found = ngram_join._survivors(ngram_join._signature_blocks(df, 48, 4), 48)
+    sets = ngram_join.Shingler().features([r.text for r in df.collect()])
+    counts = Counter(x for f in sets for _, _, sig in ngram_join.signatures(f) for x in sig.tolist())
+    got = found.where(F.col("doc") != ngram_join.MARK).groupBy("sig").agg(F.countDistinct("doc").alias("n"), F.count("*").alias("rows"), F.max("freq").alias("freq")).collect()
+    assert sorted(r.n for r in got) == sorted(n for n in counts.values() if n > 1) and all(r.n == r.rows for r in got)
+    assert max(r.n for r in got if r.freq == ngram_join.HOT) > 2500
+    assert ngram_join.link_groups(df, "id")[0].select("component_id").distinct().count() == 1
 
 
 def test_one_of_each_group_and_empty(spark):
@@ -379,6 +426,9 @@ def test_one_of_each_group_and_empty(spark):
     kept = ngram_join.one_of_each_group(df)
     assert kept.columns == df.columns and sorted((r.doc_id, r.text) for r in kept.where("doc_id IS NOT NULL").collect()) == [(1, "a b c d e f"), (2, None)] and kept.count() == 3
     assert ngram_join.link_groups(df.limit(0))[0].count() == 0
+    clash = df.withColumn("_id", F.lit("x")).withColumn("_k", F.lit(1)).withColumn("_t", F.lit(2))
+    kept = ngram_join.one_of_each_group(clash)
+    assert kept.columns == clash.columns and kept.count() == 3 and {r._id for r in kept.collect()} == {"x"}
 
 
 PERSONAL = ["mail a.b+c@x-y.co.uk, d@e", "@x.y a@b.c@d.e", "1.2.3.4 256.1.1.1 1.2.3.4.5.6.7.8 001.002.003.004", "4111 1111 1111 1111 and 4111-1111-1111-1112", "+1 (017) 555-7713 +12 +1 2", "x" * 200_000 + "@", "9" * 30_000, None, "", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', "ü é 1.1.1.1@z.de", "4111 1111 1111 1111 4111"]
