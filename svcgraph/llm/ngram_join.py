@@ -18,7 +18,7 @@ Steps, all shuffled by Spark:
 3. a set with fewer surviving signatures than it needs goes. Of the `got` signatures left it keeps the got - need + 1 rarest:
    two similar sets share one of these, as they share need of them (exact; frequent passages drop out of the buckets);
 4. every bucket links its members to one pivot as candidates (as many as members, never all pairs), verified on whole
-   feature sets that stream past the pivot; hot pivots are salted. A second round takes other pivots for what is still apart;
+   feature sets that stream past the pivot; hot pivots are salted. A second round takes other pivots for large buckets with members still apart;
 5. buckets whose members are still in different groups are compared exactly: small ones many to a task, large
    ones in blocks of bounded rows and features. Buckets of the same members are compared once. A task gives only links that join groups.
 
@@ -43,7 +43,7 @@ from .common import _pieces, arrow_schema, fresh_names, map_rows, materialize, u
 
 WORDS = 5
 #: First-level partitions for each unit of a band's lower end, and parts of each; more cost space and prune candidates better.
-SPREAD, PARTS = 0.26, 3
+SPREAD, PARTS = 0.28, 3
 #: Sets with fewer features have a scheme for each pair of sizes.
 SMALL = 19
 #: Signatures that one task of step 2 gets, about, and sets that one salt of a hot signature gets.
@@ -490,9 +490,12 @@ def _bucket_links(members: DataFrame, features: DataFrame, pack_features: int =
     """members (doc, family, c) of small buckets -> links (a, b) between groups; many buckets to a task, each set once."""
     import pyarrow as pa
 
-    sized = features.select(F.col("doc_id").alias("doc"), "f")
-    total = members.join(features.select(F.col("doc_id").alias("doc"), (F.octet_length("f") / 8).alias("n")), "doc").agg(F.sum("n")).first()[0] or 0
-    packed = members.withColumn("pack", F.pmod(F.xxhash64("family"), F.lit(int(total) // pack_features + 1)))
+    sized = features.select(F.col("doc_id").alias("doc"), "f", (F.octet_length("f") / 8).alias("n"))
+    # Buckets with the same first member hold much the same sets, so they go together; too many of them are dealt to several packs.
+    firsts = members.join(members.groupBy("family").agg(F.min("doc").alias("first")), "family")
+    loads = firsts.select("first", "doc").distinct().join(sized.drop("f"), "doc").groupBy("first").agg(F.sum("n").alias("n"), F.ceil(F.sum("n") / pack_features).cast("int").alias("salts"))
+    packs = 2 * int(loads.agg(F.sum("n")).first()[0] or 0) // pack_features + 1
+    packed = firsts.join(loads.drop("n"), "first").withColumn("pack", F.pmod(F.xxhash64("first", F.pmod(F.xxhash64("family"), F.col("salts"))), F.lit(packs)))
     sets = packed.select("pack", "doc").distinct().join(sized, "doc").select(F.col("pack").alias("p"), F.col("doc").alias("d"), "f")
     schema = "a long, b long"
 
@@ -552,7 +555,7 @@ def _mixed(kept: DataFrame, groups: DataFrame, name: str) -> DataFrame:
     return materialize(placed.join(chosen, "sig"), name)
 
 
-def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small_bucket: int = 64) -> tuple[DataFrame, DataFrame]:
+def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small_bucket: int = 200) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, component_id) for every row, and the verified links between representatives of equal sets."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sets = materialize(_sets(texts), "sets")
@@ -570,24 +573,25 @@ def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = materialize(_survivors(_signature_blocks(singles, ranges, 4 + many // HOT_SETS), ranges), "survivors")
     kept = materialize(_rarest(found), "kept")
 
-    # Step 4. The first pivots are the smallest ids, so that buckets share them; the second ones are other members of what is apart.
+    # Step 4. The first pivots are the smallest ids, so that buckets share them; the second ones are other members.
     smallest = kept.groupBy("sig").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a < z").select("sig", "a")
     features = _features(texts, kept.join(smallest, "sig", "left_semi").select(F.col("doc").alias("_id")))
     stars = kept.join(smallest, "sig").where("doc > a").select("a", F.col("doc").alias("b")).distinct()
     links = _verified(features, materialize(stars, "stars"))
-    mixed = _mixed(kept, components(links), "apart")
-    order = F.xxhash64("doc", F.lit(2))
-    others = mixed.groupBy("sig").agg(F.min(F.struct(order, "doc", "c")).alias("p")).select("sig", F.col("p.doc").alias("a"), F.col("p.c").alias("pc"))
-    stars = mixed.join(others, "sig").where("c <> pc").select("a", F.col("doc").alias("b")).distinct()
-    links = links.unionAll(_verified(features, materialize(stars, "stars")))
+    rest = _mixed(kept, components(links), "apart")
+    large = F.col("m") > small_bucket
+    if rest.where(large).limit(1).count():
+        order = F.xxhash64("doc", F.lit(2))
+        others = rest.where(large).groupBy("sig").agg(F.min(F.struct(order, "doc", "c")).alias("p")).select("sig", F.col("p.doc").alias("a"), F.col("p.c").alias("pc"))
+        stars = rest.join(others, "sig").where("c <> pc").select("a", F.col("doc").alias("b")).distinct()
+        links = links.unionAll(_verified(features, materialize(stars, "stars")))
+        rest = _mixed(rest.select("sig", "doc"), components(links), "rest")
 
     # Step 5. A bucket is done once all its members are in one group.
-    rest = _mixed(mixed.select("sig", "doc"), components(links), "rest")
     members = lambda condition: rest.where(condition).select("doc", F.col("sig").alias("family"), "c")
-    links = links.unionAll(materialize(_bucket_links(members(F.col("m") <= small_bucket), features), "links"))
-    large = members(F.col("m") > small_bucket)
-    if large.limit(1).count():
-        links = links.unionAll(materialize(_family_links(large, features), "links"))
+    links = links.unionAll(materialize(_bucket_links(members(~large), features), "links"))
+    if rest.where(large).limit(1).count():
+        links = links.unionAll(materialize(_family_links(members(large), features), "links"))
 
     final = components(links.unionAll(same.join(repeated.select(F.col("doc_id").alias("b")), "b", "left_semi").select("a", "b")))
     to = same.groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("rep"))
