@@ -107,6 +107,21 @@ def append_columns(df: DataFrame, column: str, make: Callable[[], Callable[[list
     return df.mapInArrow(run, loose)
 
 
+def may_hold(df: DataFrame, column: str, ids: DataFrame, bits: int = 22) -> DataFrame:
+    """df with _may: false only where the (long) column is null or surely none of ids' one column; native expressions.
+
+    The bitmap of the ids' hashes has 2^bits bits however many ids there are (512 KB for 22), so it is broadcast: with very
+    many ids nearly all bits are set and nothing is told apart, at no cost but this one.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
+    maps = ids.select(place(F.col(ids.columns[0])).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("_map"))
+    at = F.bitmap_bit_position(place(F.col(column)))
+    byte = F.conv(F.hex(F.expr("substring(_map, CAST(_at DIV 8 AS INT) + 1, 1)")), 16, 10).cast("int")
+    put = df.withColumn("_bucket", F.bitmap_bucket_number(place(F.col(column)))).withColumn("_at", at).join(F.broadcast(maps), "_bucket", "left")
+    bit = byte.bitwiseAND(F.expr("shiftleft(1, CAST(_at % 8 AS INT))")) != 0
+    return put.withColumn("_may", F.coalesce(bit, F.lit(False)) & F.col(column).isNotNull()).drop("_bucket", "_at", "_map")
+
+
 def fresh_names(df: DataFrame, *stems: str) -> list:
     """df itself and, for each stem, a column name that df doesn't have yet."""
     taken, names = {c.lower() for c in df.columns}, []

@@ -18,11 +18,11 @@ Steps, all shuffled by Spark:
 3. a set with fewer surviving signatures than it needs goes. Of the `got` signatures left it keeps the got - need + 1 rarest:
    two similar sets share one of these, as they share need of them (exact; frequent passages drop out of the buckets);
 4. every bucket links its members to one pivot as candidates (as many as members, never all pairs), verified on whole
-   feature sets that stream past the pivot; hot pivots are salted. A second round takes other pivots for large buckets with members still apart;
-5. buckets whose members are still in different groups are compared exactly: small ones many to a task, large
+   feature sets that stream past the pivot; hot pivots are salted;
+5. buckets whose members are still in different groups are compared exactly: small ones many to a task, families of larger
    ones in blocks of bounded rows and features. Buckets of the same members are compared once. A task gives only links that join groups.
 
-Signatures are cut to 40 bits within their range; a false agreement only costs a verification.
+Signatures are cut to 32 bits within their range; a false agreement only costs a verification.
 
 Defined results: null, empty and wordless texts have no features, are linked with nothing and are
 their own group; under five words the whole sequence is one feature; rows with a null id have
@@ -39,7 +39,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import _pieces, arrow_schema, fresh_names, map_rows, materialize, utf8
+from .common import _pieces, arrow_schema, fresh_names, map_rows, materialize, may_hold, utf8
 
 WORDS = 5
 #: First-level partitions for each unit of a band's lower end, and parts of each; more cost space and prune candidates better.
@@ -217,8 +217,8 @@ def _sets(docs: DataFrame) -> DataFrame:
     return map_rows(docs, make, "doc_id long, n long, h1 long, h2 long")
 
 
-#: An entry of a block: 5 bytes of signature, 8 of id, 2 of need, 2 of scheme.
-ENTRY = 17
+#: An entry of a block: 4 bytes of signature, 8 of id, 2 of need, 2 of scheme.
+ENTRY = 16
 
 
 def _signature_blocks(docs: DataFrame, ranges: int, salts: int) -> DataFrame:
@@ -260,7 +260,7 @@ def _signature_blocks(docs: DataFrame, ranges: int, salts: int) -> DataFrame:
             for a, b in zip(first.tolist(), [*first[1:].tolist(), len(r)], strict=True):
                 # planes of single bytes: the high bytes of ids in order cost next to nothing once compressed
                 planes = [x[a:b].view("u1").reshape(b - a, -1).T.tobytes() for x in (doc, need, scheme)]
-                blocks.append(b"".join((sig[a:b].view("u1").reshape(-1, 8)[:, :5].tobytes(), *planes)))
+                blocks.append(b"".join((sig[a:b].astype("u4").tobytes(), *planes)))
             return pa.RecordBatch.from_arrays([pa.array(r[first], pa.int64()), pa.array(blocks, pa.binary())], schema=out)
 
         for whole in batches:
@@ -298,10 +298,8 @@ def _survivors(blocks: DataFrame, ranges: int) -> DataFrame:
         for block in table.column("block"):
             raw = np.frombuffer(block.as_buffer(), "u1")
             n = len(raw) // ENTRY
-            wide = np.zeros((n, 8), "u1")
-            wide[:, :5] = raw[: 5 * n].reshape(n, 5)
-            sigs.append(wide.view("<u8")[:, 0])
-            for into, low, size, kind in ((docs, 5, 8, "<i8"), (needs, 13, 2, "<u2"), (schemes, 15, 2, "<u2")):
+            sigs.append(raw[: 4 * n].view("<u4").astype(U))
+            for into, low, size, kind in ((docs, 4, 8, "<i8"), (needs, 12, 2, "<u2"), (schemes, 14, 2, "<u2")):
                 into.append(np.ascontiguousarray(raw[low * n : (low + size) * n].reshape(size, n).T).view(kind)[:, 0])
         sig, doc, need, scheme = (np.concatenate(x) for x in (sigs, docs, needs, schemes))
         order = np.argsort(sig, kind="stable")
@@ -330,7 +328,7 @@ def _survivors(blocks: DataFrame, ranges: int) -> DataFrame:
                 keep = np.where(count < 0, last, np.repeat(ok, size) & (doc != MARK))
             else:
                 count, keep = np.zeros(0, "i8"), np.zeros(0, bool)
-        full = (sig | U(r % ranges % (1 << 24)) << U(40)).view("i8")
+        full = (sig | U(r % ranges) << U(32)).view("i8")
         cols = (full[keep], scheme[keep].astype("i4"), doc[keep], need[keep].astype("i4"), count[keep].astype("i4"))
         return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(cols, out.types, strict=True)], schema=out)
 
@@ -353,7 +351,8 @@ def _features(docs: DataFrame, ids: DataFrame) -> DataFrame:
         shingler = Shingler()
         return lambda keys, texts: (keys, [f.tobytes() for f in shingler.features(texts)])
 
-    some = docs.join(ids.select("_id").distinct(), docs["doc_id"] == F.col("_id"), "left_semi")
+    # Most documents are in no bucket: a bitmap lets them go before the rest is shuffled to the ids.
+    some = may_hold(docs, "doc_id", ids.select("_id")).where("_may").drop("_may").join(ids.select("_id").distinct(), F.col("doc_id") == F.col("_id"), "left_semi")
     return materialize(map_rows(some, make, "doc_id long, f binary"), "features")
 
 
@@ -443,10 +442,9 @@ def links_between(docs: tuple[list[int], list[int]], groups: tuple[np.ndarray, n
 
 
 def _blocks(members: DataFrame, features: DataFrame, block_features: int = 300_000, block_rows: int = 2000) -> DataFrame:
-    """members (doc, family, c: group so far) with f, their block, and how many blocks a family's main group and the others have."""
-    sized = features.select(F.col("doc_id").alias("doc"), "f", (F.octet_length("f") / 8).cast("long").alias("n"))
-    rows = members.join(sized, "doc")
-    groups = members.join(sized.drop("f"), "doc").groupBy("family", "c").agg(F.count("*").alias("many"), F.sum("n").alias("n"))
+    """members (doc, family, c: group so far, n: features) with f, their block, and how many blocks a family's main group and the others have."""
+    rows = members.join(features.select(F.col("doc_id").alias("doc"), "f"), "doc")
+    groups = members.groupBy("family", "c").agg(F.count("*").alias("many"), F.sum("n").alias("n"))
     largest = groups.groupBy("family").agg(
         F.max_by("c", F.struct("many", "c")).alias("main"), F.max_by("n", F.struct("many", "c")).alias("main_n"), F.sum("n").alias("all_n"), F.max("many").alias("main_many"), F.sum("many").alias("all_many")
     )
@@ -460,7 +458,7 @@ def _blocks(members: DataFrame, features: DataFrame, block_features: int = 300_0
 
 
 def _family_links(members: DataFrame, features: DataFrame, block_features: int = 300_000, block_rows: int = 2000) -> DataFrame:
-    """members (doc, family, c: group so far) -> links (a, b) between different groups of a family."""
+    """members (doc, family, c: group so far, n: features) -> links (a, b) between different groups of a family."""
     import pyarrow as pa
 
     placed = _blocks(members, features, block_features, block_rows)
@@ -487,13 +485,13 @@ def _family_links(members: DataFrame, features: DataFrame, block_features: int =
 
 
 def _bucket_links(members: DataFrame, features: DataFrame, pack_features: int = 1_000_000) -> DataFrame:
-    """members (doc, family, c) of small buckets -> links (a, b) between groups; many buckets to a task, each set once."""
+    """members (doc, family, c, n) of small buckets -> links (a, b) between groups; many buckets to a task, each set once."""
     import pyarrow as pa
 
-    sized = features.select(F.col("doc_id").alias("doc"), "f", (F.octet_length("f") / 8).alias("n"))
+    sized = features.select(F.col("doc_id").alias("doc"), "f")
     # Buckets with the same first member hold much the same sets, so they go together; too many of them are dealt to several packs.
     firsts = members.join(members.groupBy("family").agg(F.min("doc").alias("first")), "family")
-    loads = firsts.select("first", "doc").distinct().join(sized.drop("f"), "doc").groupBy("first").agg(F.sum("n").alias("n"), F.ceil(F.sum("n") / pack_features).cast("int").alias("salts"))
+    loads = firsts.select("first", "doc", "n").distinct().groupBy("first").agg(F.sum("n").alias("n"), F.ceil(F.sum("n") / pack_features).cast("int").alias("salts"))
     packs = 2 * int(loads.agg(F.sum("n")).first()[0] or 0) // pack_features + 1
     packed = firsts.join(loads.drop("n"), "first").withColumn("pack", F.pmod(F.xxhash64("first", F.pmod(F.xxhash64("family"), F.col("salts"))), F.lit(packs)))
     sets = packed.select("pack", "doc").distinct().join(sized, "doc").select(F.col("pack").alias("p"), F.col("doc").alias("d"), "f")
@@ -547,15 +545,15 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _mixed(kept: DataFrame, groups: DataFrame, name: str) -> DataFrame:
-    """sig, doc, c of the buckets whose members are in several groups; of buckets with the same members only one."""
-    placed = kept.join(groups, kept["doc"] == groups["id"], "left").select("sig", "doc", F.coalesce("component", "doc").alias("c"))
+def _mixed(kept: DataFrame, groups: DataFrame) -> DataFrame:
+    """sig, doc, c, m (members) of the buckets whose members are in several groups; of buckets with the same members only one."""
+    placed = materialize(kept.join(groups, kept["doc"] == groups["id"], "left").select("sig", "doc", F.coalesce("component", "doc").alias("c")), "placed")
     buckets = placed.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.sum(F.xxhash64("doc", F.lit(1)).bitwiseAND(F.lit((1 << 31) - 1))).alias("y"))
     chosen = buckets.where("lo < hi").groupBy("m", "x", "y").agg(F.min("sig").alias("sig")).select("sig", "m")
-    return materialize(placed.join(chosen, "sig"), name)
+    return placed.join(chosen, "sig")
 
 
-def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small_bucket: int = 200) -> tuple[DataFrame, DataFrame]:
+def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small_bucket: int = 32) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, component_id) for every row, and the verified links between representatives of equal sets."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sets = materialize(_sets(texts), "sets")
@@ -567,31 +565,30 @@ def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     several = materialize(named.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("many")).where("many > 1").drop("many"), "copies")
     same = materialize(named.join(several, ["n", "h1", "h2"]).where("doc_id > rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct(), "same")
     repeated = materialize(named.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id"), "repeated")
-    spare = same.select(F.col("b").alias("doc_id")).distinct().join(repeated, "doc_id", "left_anti")
-    singles = texts.join(spare, "doc_id", "left_anti")
+    spare = materialize(same.select(F.col("b").alias("doc_id")).distinct().join(repeated, "doc_id", "left_anti"), "spare")
+    # Only documents that may be copies are shuffled to find out.
+    marked = may_hold(texts, "doc_id", spare)
+    singles = marked.where("NOT _may").unionAll(marked.where("_may").join(spare, "doc_id", "left_anti").select(marked.columns)).drop("_may")
 
     found = materialize(_survivors(_signature_blocks(singles, ranges, 4 + many // HOT_SETS), ranges), "survivors")
     kept = materialize(_rarest(found), "kept")
 
-    # Step 4. The first pivots are the smallest ids, so that buckets share them; the second ones are other members.
+    # Step 4. Pivots are the smallest ids, so that buckets share them.
     smallest = kept.groupBy("sig").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a < z").select("sig", "a")
     features = _features(texts, kept.join(smallest, "sig", "left_semi").select(F.col("doc").alias("_id")))
     stars = kept.join(smallest, "sig").where("doc > a").select("a", F.col("doc").alias("b")).distinct()
     links = _verified(features, materialize(stars, "stars"))
-    rest = _mixed(kept, components(links), "apart")
-    large = F.col("m") > small_bucket
-    if rest.where(large).limit(1).count():
-        order = F.xxhash64("doc", F.lit(2))
-        others = rest.where(large).groupBy("sig").agg(F.min(F.struct(order, "doc", "c")).alias("p")).select("sig", F.col("p.doc").alias("a"), F.col("p.c").alias("pc"))
-        stars = rest.join(others, "sig").where("c <> pc").select("a", F.col("doc").alias("b")).distinct()
-        links = links.unionAll(_verified(features, materialize(stars, "stars")))
-        rest = _mixed(rest.select("sig", "doc"), components(links), "rest")
-
     # Step 5. A bucket is done once all its members are in one group.
-    members = lambda condition: rest.where(condition).select("doc", F.col("sig").alias("family"), "c")
-    links = links.unionAll(materialize(_bucket_links(members(~large), features), "links"))
-    if rest.where(large).limit(1).count():
-        links = links.unionAll(materialize(_family_links(members(large), features), "links"))
+    sizes = features.groupBy(F.col("doc_id").alias("doc")).agg(F.max(F.octet_length("f") / 8).cast("long").alias("n"))
+    rest = materialize(_mixed(kept, components(links)).join(sizes, "doc"), "apart")
+    large = rest.where(F.col("m") > small_bucket)
+    if large.limit(1).count():
+        firsts = large.groupBy("sig").agg(F.min("doc").alias("first"))
+        families = components(large.join(firsts, "sig").where("doc > first").select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct())
+        members = large.select("doc", "c", "n").distinct().join(families.select(F.col("id").alias("doc"), F.col("component").alias("family")), "doc")
+        links = links.unionAll(materialize(_family_links(materialize(members, "families"), features), "links"))
+    small = rest.where(F.col("m") <= small_bucket).select("doc", F.col("sig").alias("family"), "c", "n")
+    links = links.unionAll(materialize(_bucket_links(small, features), "links"))
 
     final = components(links.unionAll(same.join(repeated.select(F.col("doc_id").alias("b")), "b", "left_semi").select("a", "b")))
     to = same.groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("rep"))

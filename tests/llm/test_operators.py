@@ -360,7 +360,7 @@ def test_family_blocks_are_bounded_by_rows(spark):
     sets = shingler.features([f"dear customer your order has been shipped to k{k}" for k in range(4000)])
     sets.append(sets[-1])
     features = spark.createDataFrame([(i, bytearray(f.tobytes())) for i, f in enumerate(sets)], "doc_id long, f binary")
-    members = spark.range(len(sets)).select(F.col("id").alias("doc"), F.lit(0).alias("family"), F.col("id").alias("c"))
+    members = spark.range(len(sets)).select(F.col("id").alias("doc"), F.lit(0).alias("family"), F.col("id").alias("c"), F.lit(5).alias("n"))
     placed = ngram_join._blocks(members, features, block_rows=500).groupBy("block").count().collect()
     assert len(placed) >= 9 and max(r["count"] for r in placed) < 700 and sum(r["count"] for r in placed) == len(sets)
     assert [sorted(x) for x in ngram_join._family_links(members, features, block_rows=500).collect()] == [[3999, 4000]]
@@ -421,6 +421,17 @@ def test_templated_texts_leave_no_candidates(spark):
     assert ngram_join.link_groups(df, "id")[0].select("component_id").distinct().count() == 1
 
 
+def test_may_hold_never_misses(spark):
+    from svcgraph.llm.common import may_hold
+
+    df, ids = spark.range(-5000, 5000).select(F.col("id").alias("x")).unionAll(spark.sql("SELECT CAST(NULL AS BIGINT)")), spark.range(-3000, 3000, 7)
+    for bits, most in ((22, 60), (15, 3000)):
+        told = may_hold(df, "x", ids, bits)
+        assert told.where("_may").join(ids, F.col("x") == F.col("id")).count() == ids.count() and told.count() == 10_001
+        assert told.where("_may").count() < ids.count() + most and told.where("x IS NULL AND _may").count() == 0
+    assert may_hold(df, "x", ids.limit(0)).where("_may").count() == 0
+
+
 def test_one_of_each_group_and_empty(spark):
     df = docs(spark, ["a b c d e f", "a b c d e f", None, "q", "a b c d e f"], [3, 1, 2, None, 1])
     kept = ngram_join.one_of_each_group(df)
