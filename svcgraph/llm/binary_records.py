@@ -155,8 +155,8 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
                             at += len(ids) // 2
                         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), out.types, strict=True)], schema=out)
 
-    # Shards are read apart from each other: one task for each.
-    return manifest.select("shard", "path").repartition(F.col("shard")).mapInArrow(run, schema)
+    # Shards are read apart from each other: one task for each, by an explicit number that isn't coalesced.
+    return manifest.select("shard", "path").repartitionByRange(max(1, manifest.count()), "shard").mapInArrow(run, schema)
 
 
 def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
