@@ -35,6 +35,8 @@ from .common import arrow_schema, materialize, scratch_path, text_of
 
 BLOCK_LINES = 1024
 SALT = 16
+#: Lines of the index that one looking-up task covers, about.
+LOOKUP_LINES = 4096
 CAPTURE = "surt string, page_id long, file string, at long, size long"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
@@ -109,13 +111,13 @@ def write_archives(rows: DataFrame, folder: str, date: str) -> DataFrame:
         from pyspark import TaskContext
 
         store, root = open_store(folder)
-        out, name = arrow_schema(CAPTURE), f"pages-{TaskContext.get().partitionId():06d}.warc.gz"
-        # an attempt that was lost may leave its own file; captures name the complete one
-        own, sink, at = f"{root}/.{uuid.uuid4().hex}", None, 0
+        # Captures name their own attempt's file: rows of another attempt may come in another order, at other offsets.
+        out, name = arrow_schema(CAPTURE), f"pages-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
+        sink, at = None, 0
         for b in batches:
             if sink is None:
                 store.create_dir(root, recursive=True)
-                sink = store.open_output_stream(own)
+                sink = store.open_output_stream(f"{root}/{name}", compression=None)  # members are compressed one by one
             found = []
             for page_id, url, surt, html, refers_to in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 member = gzip.compress(record_bytes(page_id, url, html, refers_to, date), 4, mtime=0)
@@ -125,7 +127,6 @@ def write_archives(rows: DataFrame, folder: str, date: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*found), out.types, strict=True)], schema=out)
         if sink is not None:
             sink.close()
-            store.move(own, f"{root}/{name}")
 
     return rows.select("page_id", "url", "surt", "html", "refers_to").mapInArrow(run, CAPTURE)
 
@@ -240,6 +241,8 @@ def lookup(keys: DataFrame, manifest: DataFrame, folder: str, payload: bool = Tr
 
     folder = local_url(folder)
     shards = [tuple(r) for r in manifest.select("path", "first_surt", "first_id", "last_surt", "last_id").collect()]  # a row a shard
+    lines = manifest.agg(F.coalesce(F.sum("lines"), F.lit(0))).first()[0]
+    tasks = max(1, len(shards), -(-lines // LOOKUP_LINES))  # an explicit number: keys are tiny, what they make tasks read is not
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         index, out = CaptureIndex(folder, shards), arrow_schema(RECORD)
@@ -260,7 +263,7 @@ def lookup(keys: DataFrame, manifest: DataFrame, folder: str, payload: bool = Tr
                 yield give(found)
         index.close()
 
-    asked = keys.select("surt", "page_id").distinct().repartitionByRange("surt", "page_id").sortWithinPartitions("surt", "page_id")
+    asked = keys.select("surt", "page_id").distinct().repartitionByRange(tasks, "surt", "page_id").sortWithinPartitions("surt", "page_id")
     return asked.mapInArrow(run, RECORD)
 
 
