@@ -2,10 +2,10 @@
 
 Templates are short licence notices. All documents are counted first: in how many does each
 template word occur (one small row for each template word and task, summed by Spark). That
-gives inverse document frequencies, and each template is indexed under its highest-IDF words
-with their positions. A file looks up its own licence words among these, rarest first; postings
-that agree on where the template would start (position in the file less position in the template)
-are intersected, and a start counts once the template's mandatory key phrases stand word
+gives inverse document frequencies, and each template is posted under its highest-IDF sure word with its
+position. A file looks up its own licence words among these, rarest first; where the template would start
+(position in the file less position in the template) is intersected with the same of the template's further anchors in
+order of rarity, until none is left or all agree, and a start counts once the template's mandatory key phrases stand word
 for word where the template has them. The score is the share of template words in place.
 
 The three base phrases are looked for at every place as well; their labels always stay.
@@ -72,15 +72,15 @@ def document_frequencies(docs: DataFrame, vocabulary: set[bytes], text_col: str
 
 
 class RareTokenIndex:
-    """Postings (template, position) under each template's `anchors` highest-IDF words."""
+    """Each template is posted under its highest-IDF sure word; its other anchors follow, rarest first."""
 
     def __init__(self, templates: list[tuple[str, str, list[str]]], df: dict[bytes, int], n: int, anchors: int = 3) -> None:
         self.labels = [label for label, _, _ in templates]
         self.words = [text.encode().split() for _, text, _ in templates]
         self.idf = {w: math.log((n + 1) / (df.get(w, 0) + 1)) for words in self.words for w in words}
         self.keys: list[list[tuple[int, list[bytes]]]] = []
-        self.postings: dict[bytes, list[tuple[int, int]]] = {}
-        self.needed: list[int] = []
+        #: word -> (template, its position there, the further anchors (word, position))
+        self.postings: dict[bytes, list[tuple[int, int, list[tuple[bytes, int]]]]] = {}
         for t, (words, (_, _, phrases)) in enumerate(zip(self.words, templates, strict=True)):
             places = []
             for phrase in phrases:
@@ -89,33 +89,32 @@ class RareTokenIndex:
             self.keys.append(places)
             # Anchors come from the mandatory phrases: every true occurrence holds those words in place.
             sure = sorted({i + k for i, key in places for k in range(len(key))}, key=lambda i: (-self.idf[words[i]], i))[:anchors]
-            self.needed.append(len(sure))
-            for i in sure:
-                self.postings.setdefault(words[i], []).append((t, i))
-        self.anchors = frozenset(self.postings)
+            self.postings.setdefault(words[sure[0]], []).append((t, sure[0], [(words[i], i) for i in sure[1:]]))
+        self.leads = frozenset(self.postings)
+        self.anchors = self.leads.union(w for posts in self.postings.values() for _, _, rest in posts for w, _ in rest)
 
     def matches(self, words: list[bytes]) -> list[tuple[int, int, float]]:
-        """(template, start, score) of all verified places; start may lie before the text's first word."""
-        own = self.anchors.intersection(words)
+        """(template, start, score) of all verified places."""
+        own = self.leads.intersection(words)
         if not own:
             return []
-        votes: Counter = Counter()
-        at: dict[bytes, list[int]] = {w: [] for w in own}
+        at: dict[bytes, list[int]] = {}
         for i, w in enumerate(words):
-            if w in own:
-                at[w].append(i)
-        for w in sorted(own, key=lambda w: (-self.idf[w], w)):
-            for t, p in self.postings[w]:
-                for i in at[w]:
-                    votes[t, i - p] += 1
+            if w in self.anchors:
+                at.setdefault(w, []).append(i)
         found = []
-        for (t, start), n in votes.items():
-            if n < self.needed[t] or not all(words[start + i : start + i + len(key)] == key for i, key in self.keys[t] if start + i >= 0):
-                continue
-            if any(start + i < 0 for i, _ in self.keys[t]):
-                continue
-            template = self.words[t]
-            found.append((t, start, sum(0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(template)) / len(template)))
+        for lead in sorted(own, key=lambda w: (-self.idf[w], w)):
+            for t, p, rest in self.postings[lead]:
+                starts = {i - p for i in at[lead]}
+                for w, q in rest:
+                    starts.intersection_update([i - q for i in at.get(w, ())])
+                    if not starts:
+                        break
+                for start in starts:
+                    if any(start + i < 0 or words[start + i : start + i + len(key)] != key for i, key in self.keys[t]):
+                        continue
+                    template = self.words[t]
+                    found.append((t, start, sum(0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(template)) / len(template)))
         return sorted(found)
 
 
