@@ -19,7 +19,8 @@ back between its known borders. No task holds a conversation's texts.
 Defined results: a null or empty text is one blank line and gives an empty turn; a null conversation id
 is an id like others; null turns come first; equal (conv_id, turn) rows are ordered by text and keep a row
 each; an unknown or null marker carries no information; an empty table gives no row; columns
-beyond the named four are ignored. Ties between paths go to the state first in order.
+beyond the named four are ignored. Turns lose white space at their ends, and "<|" in them becomes "< |", so that no text can pose as
+a marker of the rendering. Very long texts are read whole, line by line. Ties between paths go to the state first in order.
 """
 
 from __future__ import annotations

@@ -575,3 +575,94 @@ def test_chat_block_borders():
     score = lambda p: sum(model.step(x)[b, s] for x, b, s in zip(seen, [chat_format.START, *p[:-1]], p, strict=True))
     whole = model.trace(seen, chat_format.START, int(np.argmax(model.matrix(tuple(seen))[chat_format.START])))
     assert abs(score(path) - score(whole)) < 1e-9
+
+
+def test_chat_paths_against_enumeration():
+    """The traced path has the greatest sum of step scores over all paths of states."""
+    r = random.Random(8)
+    following, first, shapes = {("user", "assistant"): 9, ("assistant", "user"): 7, ("system", "user"): 2}, {"user": 3, "system": 2}, {("user", True, False): 8, ("assistant", False, True): 4}
+    model = chat_format.TurnModel(following, first, shapes)
+    for _ in range(12):
+        lines = [(r.choice([None, *chat_format.ROLES]), r.random() < 0.5, r.random() < 0.2, r.random() < 0.4, r.random() < 0.2) for _ in range(4)]
+        steps = [model.step(x) for x in lines]
+        worth = lambda path: steps[0][chat_format.START][path[0]] + sum(s[a][b] for s, a, b in zip(steps[1:], path, path[1:], strict=False))  # noqa: B023, E731
+        best = max(worth(p) for p in itertools.product(range(chat_format.STATES), repeat=4))
+        total = model.matrix(tuple(lines))[chat_format.START]
+        got = model.trace(lines, chat_format.START, int(total.argmax()))
+        assert abs(worth(got) - best) < 1e-9 and abs(total.max() - best) < 1e-9
+
+
+def test_chat_counts_against_brute_force(spark):
+    r = random.Random(5)
+    rows = [(c, t, r.choice(["user", " Human", "GPT", "system", None, "x"]), r.choice([None, "", "why?", "so? ", "no", "y" * 401])) for c in range(20) for t in range(r.randint(1, 6))]
+    rows += [(None, 0, "user", "a?"), (3, None, "bot", "b"), rows[0]]
+    following, first, shapes = chat_format.learn(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    role = {}
+    known = [(c, t, chat_format.marker_role(m), x) for c, t, m, x in rows if chat_format.marker_role(m)]
+    for c, t, m, _ in known:
+        if c is not None and t is not None:
+            role[c, t] = min(m, role.get((c, t), m))
+    assert shapes == Counter((m, (x or "").rstrip(" ").endswith("?"), len(x or "") > 400) for _, _, m, x in known)
+    assert first == Counter(m for (c, t), m in role.items() if t == 0)
+    assert following == Counter((m, role[c, t + 1]) for (c, t), m in role.items() if (c, t + 1) in role)
+
+
+def test_license_labels_against_brute_force(spark):
+    """Added labels and scores: every template at every place, by the definition."""
+    r = random.Random(12)
+    texts = [None, "", "public license"]
+    for k in range(150):
+        parts = [words(k, r.randint(0, 6))]
+        for _ in range(r.randint(1, 4)):
+            line = r.choice(license_scan.TEMPLATES)[1].split()
+            if r.random() < 0.5:
+                line[r.randrange(len(line))] = r.choice(["license", "mit", "zz", "gnu"])
+            if r.random() < 0.3:
+                line = line[: r.randint(1, len(line))]
+            parts += [r.choice([" ", ". ", "\n", "-"]).join(line).title(), words(k + 1, r.randint(0, 4))]
+        texts.append(" ".join(parts))
+    texts.append(words(3, 30_000) + " " + license_scan.TEMPLATES[0][1])
+    ids = [None, *range(1, len(texts))]
+    df = docs(spark, [*texts, texts[5]], [*ids, 5]).withColumn("word", F.lit(1)).withColumn("df", F.lit(1))
+    got = sorted(license_scan.scan(df).collect(), key=lambda x: (x.doc_id is not None, x.doc_id))
+    assert len(got) == len(texts) + 1
+    for x in got:
+        ws = re.findall("[0-9a-z\x80-\U0010ffff]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in (texts[x.doc_id or 0] or "")))
+        labels, best = {v for k, v in license_scan.BASE.items() if f" {k} " in f" {' '.join(ws)} "}, 0.0
+        best = float(bool(labels))
+        for label, template, phrases in license_scan.TEMPLATES:
+            t = template.split()
+            for start in range(-len(t), len(ws)):
+                inside = lambda i: 0 <= start + i < len(ws) and ws[start + i] == t[i]  # noqa: B023, E731
+                score = sum(inside(i) for i in range(len(t))) / len(t)
+                if score < 0.75:
+                    continue
+                where = [next(i for i in range(len(t)) if t[i : i + len(p.split())] == p.split()) for p in phrases]
+                if all(inside(i + k) for i, p in zip(where, phrases, strict=True) for k in range(len(p.split()))):
+                    labels.add(label)
+                    best = max(best, score)
+        assert x.labels == ",".join(sorted(labels)) and abs(x.score - best) < 1e-12 and x.n_words == len(ws)
+
+
+def test_shards_are_read_in_a_task_each(spark):
+    folder = scratch_path(spark, "records")
+    df = docs(spark, [words(k, 30) for k in range(60)]).repartition(4)
+    with_shards = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    manifest = binary_records.write_tokens(df, folder)
+    spark.conf.set("spark.sql.adaptive.enabled", with_shards)
+    assert manifest.count() == 4 and binary_records.read_shards(manifest, folder).select(F.spark_partition_id()).distinct().count() == 4
+
+
+def test_archives_of_two_attempts(spark):
+    """A partition that runs twice, in another order, leaves two files; each run's captures read back from its own."""
+    pages = spark.createDataFrame([(i, f"http://a.b/{i}", f"<p>{i}" * (i + 1)) for i in range(20)], "page_id long, url string, html string").coalesce(1)
+    folder = scratch_path(spark, "warc")
+    runs = [warc.write_archives(warc.typed(pages).coalesce(1).sortWithinPartitions(order), folder, "2024-01-01T00:00:00Z").collect() for order in (F.asc("page_id"), F.desc("page_id"))]
+    assert len({r.file for run in runs for r in run}) == 2
+    index = warc.CaptureIndex(folder, [])
+    for run in runs:
+        for r in run:
+            assert index.record(r.file, r.at, r.size)[0] == r.page_id
+    manifest = warc.archive(pages.repartition(3), scratch_path(spark, "warc2"))
+    assert manifest.count() >= 1
