@@ -107,19 +107,19 @@ def append_columns(df: DataFrame, column: str, make: Callable[[], Callable[[list
     return df.mapInArrow(run, loose)
 
 
-def may_hold(df: DataFrame, column: str, ids: DataFrame, bits: int = 22) -> DataFrame:
-    """df with _may: false only where the (long) column is null or surely none of ids' one column; native expressions.
+def may_hold(df: DataFrame, column: str, ids: DataFrame, bits: int = 22, name: str = "may") -> DataFrame:
+    """df with a new column: false only where the (long) column is null or surely none of ids' one column; native expressions.
 
     The bitmap of the ids' hashes has 2^bits bits however many ids there are (512 KB for 22), so it is broadcast: with very
     many ids nearly all bits are set and nothing is told apart, at no cost but this one.
     """
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
-    maps = ids.select(place(F.col(ids.columns[0])).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("_map"))
-    at = F.bitmap_bit_position(place(F.col(column)))
-    byte = F.conv(F.hex(F.expr("substring(_map, CAST(_at DIV 8 AS INT) + 1, 1)")), 16, 10).cast("int")
-    put = df.withColumn("_bucket", F.bitmap_bucket_number(place(F.col(column)))).withColumn("_at", at).join(F.broadcast(maps), "_bucket", "left")
-    bit = byte.bitwiseAND(F.expr("shiftleft(1, CAST(_at % 8 AS INT))")) != 0
-    return put.withColumn("_may", F.coalesce(bit, F.lit(False)) & F.col(column).isNotNull()).drop("_bucket", "_at", "_map")
+    _, bucket, at, bitmap = fresh_names(df, "bucket", "at", "bitmap")
+    maps = ids.select(place(F.col(ids.columns[0])).alias("h")).groupBy(F.bitmap_bucket_number("h").alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias(bitmap))
+    put = df.withColumn(bucket, F.bitmap_bucket_number(place(F.col(column)))).withColumn(at, F.bitmap_bit_position(place(F.col(column)))).join(F.broadcast(maps), bucket, "left")
+    byte = F.conv(F.hex(F.expr(f"substring({bitmap}, CAST({at} DIV 8 AS INT) + 1, 1)")), 16, 10).cast("int")
+    bit = byte.bitwiseAND(F.expr(f"shiftleft(1, CAST({at} % 8 AS INT))")) != 0
+    return put.withColumn(name, F.coalesce(bit, F.lit(False)) & F.col(column).isNotNull()).drop(bucket, at, bitmap)
 
 
 def fresh_names(df: DataFrame, *stems: str) -> list:
@@ -200,9 +200,9 @@ class WordTokenizer:
     The two tables are emptied beyond KEEP entries, which bounds memory and changes no result.
     """
 
-    KEEP = 500_000
+    KEEP = 300_000
     #: Characters whose words lie in lists at once (one text at least): a word there takes some ten times its text.
-    AT_ONCE = 1_000_000
+    AT_ONCE = 2_000_000
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
     def __init__(self, path: str | None = None) -> None:
@@ -296,7 +296,7 @@ class WordTokenizer:
         new: set[str] = set()
         for words in split:
             new.update(words)
-        new -= self.chunks.keys()
+        new = new.difference(self.chunks)
         if new:
             if len(self.chunks) > self.KEEP:
                 new = {w for words in split for w in words}

@@ -114,7 +114,7 @@ def _parser(models: dict[str, str]) -> CrossParser:
     return process_table(("cross-parser", tuple(sorted(models.items()))), lambda: CrossParser(models))
 
 
-def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", model_chars: int = 40_000, max_languages: int = 500) -> dict[str, str]:
+def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", model_chars: int = 30_000, max_languages: int = 500) -> dict[str, str]:
     """For each label the running text of its automaton."""
     rows = labelled.select(F.col(label_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang IS NOT NULL AND length(text) > 0")
     hashed = rows.withColumn("h", F.xxhash64("text"))

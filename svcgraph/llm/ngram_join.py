@@ -352,7 +352,7 @@ def _features(docs: DataFrame, ids: DataFrame) -> DataFrame:
         return lambda keys, texts: (keys, [f.tobytes() for f in shingler.features(texts)])
 
     # Most documents are in no bucket: a bitmap lets them go before the rest is shuffled to the ids.
-    some = may_hold(docs, "doc_id", ids.select("_id")).where("_may").drop("_may").join(ids.select("_id").distinct(), F.col("doc_id") == F.col("_id"), "left_semi")
+    some = may_hold(docs, "doc_id", ids.select("_id")).where("may").drop("may").join(ids.select("_id").distinct(), F.col("doc_id") == F.col("_id"), "left_semi")
     return materialize(map_rows(some, make, "doc_id long, f binary"), "features")
 
 
@@ -531,18 +531,34 @@ def _bucket_links(members: DataFrame, features: DataFrame, pack_features: int =
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """id, component (smallest reachable id) for every end of an edge (a, b): minimum labels with pointer jumping."""
-    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges")
-    labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
-    while True:
-        near = both.join(labels, both["b"] == labels["id"]).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("seen"))
-        lower = labels.join(near, "id", "left").select("id", "component", F.least("component", "seen").alias("next"))
-        to = labels.select(F.col("id").alias("next"), F.col("component").alias("jump"))
-        following = materialize(lower.join(to, "next", "left").select("id", "component", F.least("next", "jump").alias("next")), "labels")
-        changed = following.where("next <> component").limit(1).count()
-        labels = following.select("id", F.col("next").alias("component"))
-        if not changed:
-            return labels
+    """id, component (smallest reachable id) for every end of an edge (a, b).
+
+    Each round points every vertex at its smallest neighbour, follows the pointers to their ends, and contracts the
+    edges to those: vertices at least halve, and edges within a group go.
+    """
+    ends = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+    left = materialize(edges.select(*ends("a", "b")).where("a < b").distinct(), "edges")
+    steps: list[DataFrame] = []
+    while left.limit(1).count():
+        both = left.select("a", "b").unionAll(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        to = materialize(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("to")).select("id", F.least("id", "to").alias("to")), "pointers")
+        while True:
+            on = to.select(F.col("id").alias("to"), F.col("to").alias("on"))
+            further = materialize(to.join(on, "to").select("id", F.col("on").alias("to"), (F.col("on") < F.col("to")).alias("moved")), "pointers")
+            moved = further.where("moved").limit(1).count()
+            to = further.select("id", "to")
+            if not moved:
+                break
+        steps.append(to)
+        x, y = (to.select(F.col("id").alias(k), F.col("to").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+        left = materialize(left.join(x, "a").join(y, "b").where("x <> y").select(*ends("x", "y")).distinct(), "edges")
+    if not steps:
+        return left.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    labels = steps[-1].select("id", F.col("to").alias("component"))
+    for to in reversed(steps[:-1]):
+        roots = labels.select(F.col("id").alias("to"), "component")
+        labels = to.join(roots, "to", "left").select("id", F.coalesce("component", "to").alias("component"))
+    return materialize(labels, "labels")
 
 
 def _mixed(kept: DataFrame, groups: DataFrame) -> DataFrame:
@@ -568,7 +584,7 @@ def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spare = materialize(same.select(F.col("b").alias("doc_id")).distinct().join(repeated, "doc_id", "left_anti"), "spare")
     # Only documents that may be copies are shuffled to find out.
     marked = may_hold(texts, "doc_id", spare)
-    singles = marked.where("NOT _may").unionAll(marked.where("_may").join(spare, "doc_id", "left_anti").select(marked.columns)).drop("_may")
+    singles = marked.where("NOT may").unionAll(marked.where("may").join(spare, "doc_id", "left_anti").select(marked.columns)).drop("may")
 
     found = materialize(_survivors(_signature_blocks(singles, ranges, 4 + many // HOT_SETS), ranges), "survivors")
     kept = materialize(_rarest(found), "kept")
@@ -598,17 +614,19 @@ def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the smallest id of each group, one row an id; rows with a null id stay."""
-    named, key, count, turn = fresh_names(docs, "id", "k", "t")
-    groups = link_groups(docs, id_col, text_col)[0].where("doc_id IS NOT NULL")
-    chosen = groups.groupBy(F.col("doc_id").alias(key)).agg(F.min("component_id").alias("component"), F.count("*").alias(count)).where(F.col(key) == F.col("component")).select(key, count)
-    kept = materialize(chosen, "kept")
-    rows = named.join(kept, named[id_col] == kept[key])
-    nameless = named.where(F.col(id_col).isNull())
-    if kept.where(F.col(count) > 1).limit(1).count():
+    """docs with the smallest id of each group, one row an id (that with the first text); rows with a null id stay."""
+    named, key, turn, may = fresh_names(docs, "id", "t", "may_be")
+    groups = materialize(link_groups(docs, id_col, text_col)[0].where("doc_id IS NOT NULL"), "groups")
+    gone = materialize(groups.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct(), "gone")
+    several = materialize(groups.groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias("k")).where("k > 1").select(key), "several")
+    # Only rows that may have to go are shuffled to find out.
+    marked = may_hold(named.withColumn(key, F.col(id_col).cast("long")), key, gone.unionAll(several), name=may)
+    sure, unsure = marked.where(~F.col(may)), marked.where(F.col(may)).join(gone, key, "left_anti").select(marked.columns)
+    if several.limit(1).count():
+        alone = unsure.join(several, key, "left_anti").select(marked.columns)
         first = F.row_number().over(Window.partitionBy(key).orderBy(text_col))
-        rows = rows.where(F.col(count) == 1).unionByName(rows.where(F.col(count) > 1).withColumn(turn, first).where(F.col(turn) == 1).drop(turn))
-    return rows.drop(key, count).unionByName(nameless)
+        unsure = alone.unionAll(unsure.join(several, key, "left_semi").select(marked.columns).withColumn(turn, first).where(F.col(turn) == 1).drop(turn))
+    return sure.unionAll(unsure).drop(key, may)
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

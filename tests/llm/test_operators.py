@@ -427,9 +427,21 @@ def test_may_hold_never_misses(spark):
     df, ids = spark.range(-5000, 5000).select(F.col("id").alias("x")).unionAll(spark.sql("SELECT CAST(NULL AS BIGINT)")), spark.range(-3000, 3000, 7)
     for bits, most in ((22, 60), (15, 3000)):
         told = may_hold(df, "x", ids, bits)
-        assert told.where("_may").join(ids, F.col("x") == F.col("id")).count() == ids.count() and told.count() == 10_001
-        assert told.where("_may").count() < ids.count() + most and told.where("x IS NULL AND _may").count() == 0
-    assert may_hold(df, "x", ids.limit(0)).where("_may").count() == 0
+        assert told.where("may").join(ids, F.col("x") == F.col("id")).count() == ids.count() and told.count() == 10_001
+        assert told.where("may").count() < ids.count() + most and told.where("x IS NULL AND may").count() == 0
+    assert may_hold(df, "x", ids.limit(0)).where("may").count() == 0
+
+
+def test_components_against_brute_force(spark):
+    r = random.Random(2)
+    line = list(range(200))
+    for edges in ([], [(1, 1)], [(a, a + 1) for a in line], [(r.choice(line), r.choice(line)) for _ in range(150)], [(9, a) for a in line] + [(a + 300, 9 if a % 50 == 0 else a + 299) for a in line]):
+        root = {v: v for e in edges for v in e}
+        for _ in root:
+            for a, b in edges:
+                root[a] = root[b] = min(root[a], root[b])
+        got = {x.id: x.component for x in ngram_join.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == {v: c for v, c in root.items() if any(v in e and e[0] != e[1] for e in edges)}
 
 
 def test_one_of_each_group_and_empty(spark):
