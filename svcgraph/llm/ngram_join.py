@@ -39,7 +39,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import _pieces, arrow_schema, fresh_names, map_rows, materialize, may_hold, utf8
+from .common import _pieces, arrow_schema, fresh_names, give_back, map_rows, materialize, may_hold, process_table, utf8
 
 WORDS = 5
 #: First-level partitions for each unit of a band's lower end, and parts of each; more cost space and prune candidates better.
@@ -82,6 +82,8 @@ class Shingler:
     FACTORS = [pow(0xC2B2AE3D27D4EB4F, k, 1 << 64) for k in range(1, WORDS + 1)]
     #: Bytes hashed at once; a longer word makes its slice longer.
     SLICE = 1 << 18
+    #: Bytes of texts (one text at least) whose shingles are hashed at once.
+    AT_ONCE = 1 << 21
 
     def __init__(self) -> None:
         self.bytes = np.random.Generator(np.random.PCG64(8)).integers(1, 1 << 63, 256, "u8") * U(2) + U(1)
@@ -118,6 +120,9 @@ class Shingler:
     def features(self, texts: list[str | None]) -> list[np.ndarray]:
         """For each text its features, in ascending order."""
         raw = [utf8(t) for t in texts]
+        if len(raw) > 1 and sum(map(len, raw)) > self.AT_ONCE:
+            half = len(texts) // 2
+            return self.features(texts[:half]) + self.features(texts[half:])
         with np.errstate(over="ignore"):
             starts, h = self.words(b" ".join(raw).lower())
             ends = np.cumsum([len(x) + 1 for x in raw])
@@ -204,7 +209,7 @@ def _sets(docs: DataFrame) -> DataFrame:
     """Step 1: doc_id, n, and a 128-bit hash of the set."""
 
     def make():
-        shingler = Shingler()
+        shingler = process_table("shingler", Shingler)
 
         def fn(keys, texts):
             sets = shingler.features(texts)
@@ -231,7 +236,7 @@ def _signature_blocks(docs: DataFrame, ranges: int, salts: int) -> DataFrame:
     schema = "r long, block binary"
 
     def run(batches):
-        out, shingler = arrow_schema(schema), Shingler()
+        out, shingler = arrow_schema(schema), process_table("shingler", Shingler)
         gathered: list[tuple[np.ndarray, ...]] = []
         size = sets = 0
 
@@ -272,9 +277,10 @@ def _signature_blocks(docs: DataFrame, ranges: int, salts: int) -> DataFrame:
                         gathered.append((sig, key, min(need, 65535), scheme))
                         size += len(sig)
                     sets += 1
-                    if size > 1_000_000:
+                    if size > 500_000:
                         yield flush()
                         gathered, size, sets = [], 0, 0
+                        give_back()
         if size:
             yield flush()
 
@@ -348,7 +354,7 @@ def _features(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """doc_id, f: whole feature sets of the documents with an _id in ids, written once."""
 
     def make():
-        shingler = Shingler()
+        shingler = process_table("shingler", Shingler)
         return lambda keys, texts: (keys, [f.tobytes() for f in shingler.features(texts)])
 
     # Most documents are in no bucket: a bitmap lets them go before the rest is shuffled to the ids.
