@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import oracle_files
 from .functions import rules
 from .sources import adapters as A
 
@@ -210,3 +211,5 @@ SQL: dict[str, str] = {
     "set02_ecosystems": f"WITH {DE} SELECT repo_id, string_agg(DISTINCT e, ',' ORDER BY e) AS ecosystems FROM (SELECT repo_id, CASE ecosystem {' '.join(f'''WHEN '{a}' THEN '{b}' ''' for a, b in rules.ECOSYSTEM_OF_DEPENDENCY)} END AS e FROM de) GROUP BY ALL",
     "set03_id_difference": f"WITH {SE}, {PREV}, {CUR} SELECT 'added' AS kind, id FROM (SELECT id FROM cur EXCEPT SELECT id FROM prev) UNION ALL SELECT 'removed', id FROM (SELECT id FROM prev EXCEPT SELECT id FROM cur)",
 }
+
+SQL |= oracle_files.SQL

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import queries_files
 from .functions import exprs as E
 from .operators import facts, graph, grouping, health, history, reports
 from .operators.classify import classify
@@ -179,3 +180,5 @@ QUERIES: dict[str, Query] = {
     "set02_ecosystems": lambda s, d: deps(s, d).groupBy("repo_id").agg(F.array_join(F.array_sort(F.collect_set(E.ecosystem_of(F.col("ecosystem")))), ",").alias("ecosystems")),
     "set03_id_difference": id_difference,
 }
+
+QUERIES |= queries_files.QUERIES

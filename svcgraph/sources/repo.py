@@ -65,6 +65,26 @@ def is_ignored(path: Column, patterns: list[tuple[bool, str]]) -> Column:
     return verdict
 
 
+def without_ignored(files: DataFrame) -> DataFrame:
+    """SRC02: files that their own repository's root ignore file leaves; its last matching pattern decides.
+
+    Ignore files are one row a repository. Their patterns become an array that is joined by repository, so no row of files multiplies.
+    """
+    import pyarrow as pa
+
+    kinds = "repo string, patterns array<struct<negated:boolean,regex:string>>"
+
+    def parse(batches):
+        for b in batches:
+            made = [[{"negated": n, "regex": r} for n, r in gitignore_regexes(c or "")] for c in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.list_(pa.struct([("negated", pa.bool_()), ("regex", pa.string())])))], names=["repo", "patterns"])
+
+    rules_ = files.where("path = '.gitignore'").groupBy(F.col("repo_id").cast("string").alias("repo")).agg(F.max("content").alias("content")).mapInArrow(parse, kinds)
+    ignored = F.aggregate(F.col("patterns"), F.lit(False), lambda verdict, p: F.when(F.rlike(F.col("path"), p["regex"]), ~p["negated"]).otherwise(verdict))
+    joined = files.join(rules_, files["repo_id"].cast("string") == rules_["repo"], "left")
+    return joined.where(~F.coalesce(ignored, F.lit(False))).select(*[files[c] for c in files.columns])
+
+
 def walked(files: DataFrame, ignore: list[tuple[bool, str]] | None = None) -> DataFrame:
     """SRC01: without excluded folders, other dot names, tests, too deep paths and ignored paths."""
     parts = F.split("path", "/")
