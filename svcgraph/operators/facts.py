@@ -86,6 +86,20 @@ def severity_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("repo_id").agg(*[F.count_if(F.col("severity") == s).alias(s) for s in ("critical", "high", "medium", "low", "unknown")])
 
 
+def advisory_badges(dependencies: DataFrame, found: DataFrame) -> DataFrame:
+    """JN19: dependencies with the number of their advisories, by repository, ecosystem and name."""
+    n = found.groupBy("repo_id", "ecosystem", "name").agg(F.count("*").alias("advisories"))
+    return dependencies.join(n, ["repo_id", "ecosystem", "name"], "left").withColumn("advisories", F.coalesce("advisories", F.lit(0)))
+
+
+def batches(dependencies: DataFrame, size: int = 100) -> DataFrame:
+    """LIM05: dependencies in batches of a bounded number by repository, in their order, as requests take them."""
+    from pyspark.sql import Window
+
+    k = F.row_number().over(Window.partitionBy("repo_id").orderBy("ord"))
+    return dependencies.withColumn("batch", F.floor((k - 1) / size).cast("int"))
+
+
 def gate(found: DataFrame, services: DataFrame) -> DataFrame:
     """FLT09: exit_code of each repository: 1 for a critical or high advisory, else 2 for a service to review, else 0."""
     bad = found.groupBy("repo_id").agg(F.bool_or(F.col("severity").isin("critical", "high")).alias("bad"))
@@ -138,7 +152,8 @@ def merge_services(inferred: DataFrame, manual: DataFrame, overrides: DataFrame
     if previous is not None:
         kept = [c for c in EDITED if c in inferred.columns and c in previous.columns]
         more = ["url"] if "url" in inferred.columns and "url" in previous.columns else []
-        old = previous.where("source = 'inferred'").select("repo_id", "id", *[F.col(c).alias(f"_{c}") for c in kept + more])
+        # one row a service, so that a repeated one doesn't multiply others; of several the greatest values
+        old = previous.where("source = 'inferred'").groupBy("repo_id", "id").agg(F.max(F.struct(*kept, *more)).alias("_o")).select("repo_id", "id", *[F.col(f"_o.{c}").alias(f"_{c}") for c in kept + more])
         joined = rows.join(old, ["repo_id", "id"], "left")
         given = lambda c: F.col(f"_{c}").isNotNull() & (F.col(f"_{c}").cast("string") != "") if dict(inferred.dtypes)[c] == "string" else F.col(f"_{c}").isNotNull()
         cols = {c: F.when(given(c), F.col(f"_{c}")).otherwise(F.col(c)) for c in kept}
@@ -146,7 +161,9 @@ def merge_services(inferred: DataFrame, manual: DataFrame, overrides: DataFrame
         rows = joined.withColumns(cols).select(*inferred.columns)
     merged = rows.join(manual.select("repo_id", "id"), ["repo_id", "id"], "left_anti").select(*inferred.columns).unionByName(manual, allowMissingColumns=True)
     if overrides is not None:
-        set_to = overrides.select("repo_id", "id", F.col("confidence").alias("_set"))
+        # MUT05: the last write wins, by ts where overrides have one
+        last = F.max_by("confidence", "ts") if "ts" in overrides.columns else F.max("confidence")
+        set_to = overrides.groupBy("repo_id", "id").agg(last.alias("_set"))
         merged = merged.join(set_to, ["repo_id", "id"], "left").withColumn("confidence", F.coalesce("_set", "confidence")).drop("_set")
     return merged
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import oracle_files
+from . import oracle_files, oracle_more
 from .functions import rules
 from .sources import adapters as A
 
@@ -212,4 +212,4 @@ SQL: dict[str, str] = {
     "set03_id_difference": f"WITH {SE}, {PREV}, {CUR} SELECT 'added' AS kind, id FROM (SELECT id FROM cur EXCEPT SELECT id FROM prev) UNION ALL SELECT 'removed', id FROM (SELECT id FROM prev EXCEPT SELECT id FROM cur)",
 }
 
-SQL |= oracle_files.SQL
+SQL |= oracle_files.SQL | oracle_more.SQL
