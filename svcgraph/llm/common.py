@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 #: Rows that one call of a row function sees. Texts may be very long, so batches are cut
 #: again by bytes: a function never holds more than about this many bytes of input text.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -78,6 +78,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., tuple | Iterator[tu
                 got = fn(*(c.to_pylist() for c in batch.columns))
                 if got is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(got, out.types, strict=True)], schema=out)
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -103,6 +104,7 @@ def append_columns(df: DataFrame, column: str, make: Callable[[], Callable[[list
                 got = fn(b.column(at).to_pylist())
                 added = [pa.array(v, t) for v, t in zip(got, kinds.types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*b.columns, *added], names=[*b.schema.names, *kinds.names])
+        give_back()
 
     return df.mapInArrow(run, loose)
 

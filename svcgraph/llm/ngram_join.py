@@ -283,6 +283,8 @@ def _signature_blocks(docs: DataFrame, ranges: int, salts: int) -> DataFrame:
                         give_back()
         if size:
             yield flush()
+        gathered.clear()
+        give_back()
 
     return docs.mapInArrow(run, schema)
 

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, crc32_u32, map_rows, materialize, word_tokenizer, _pieces
+from .common import arrow_schema, crc32_u32, give_back, map_rows, materialize, word_tokenizer, _pieces
 
 END_ID = 2
 LENGTH = 4096
@@ -44,6 +44,7 @@ def tokenize_partitions(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 at += int(n.sum())
                 cols = (keys, [part] * len(keys), starts, n, ids)
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, out.types, strict=True)], schema=out)
+        give_back()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, schema)
 

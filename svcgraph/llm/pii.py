@@ -143,7 +143,7 @@ class SegmentCRF:
             if not shape:
                 names.append("no shape")
             got = self.known[key] = tuple(names)
-            if len(self.known) > 200_000:
+            if len(self.known) > 20_000:
                 self.known.clear()
         return got
 
