@@ -113,11 +113,11 @@ def write_shards(rows: DataFrame, folder: str, make: Callable[[], Callable[[list
     return rows.mapInArrow(run, schema)
 
 
-def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, vocabulary: str | None = None) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, vocabulary: str | None = None, keep_words: int = 900_000) -> DataFrame:
     """Encode, deal by key range, sort, write; the manifest, written as a table beside the shards."""
 
     def make():
-        tokenizer, end = word_tokenizer(vocabulary), np.array([end_id], "<u2").tobytes()
+        tokenizer, end = word_tokenizer(vocabulary, keep_words), np.array([end_id], "<u2").tobytes()
         return lambda texts: [x + end for x in tokenizer.encode(texts)]
 
     texts = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))

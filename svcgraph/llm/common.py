@@ -307,12 +307,18 @@ class WordTokenizer:
         return [b"".join(map(get, words)) for words in split]
 
 
-def word_tokenizer(path: str | None = None) -> WordTokenizer:
-    """This process's tokenizer: Python workers live on between tasks, and so do its tables."""
+def word_tokenizer(path: str | None = None, keep: int = WordTokenizer.KEEP) -> WordTokenizer:
+    """This process's tokenizer: Python workers live on between tasks, and so do its tables, of `keep` words about (more: less time, more memory)."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return process_table(("tokenizer", path), lambda: WordTokenizer(path))
+
+    def make() -> WordTokenizer:
+        made = WordTokenizer(path)
+        made.KEEP = keep
+        return made
+
+    return process_table(("tokenizer", path, keep), make)
 
 
 def crc32_u32(ids16: bytes) -> int:

@@ -24,7 +24,7 @@ LENGTH = 4096
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-def tokenize_partitions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, vocabulary: str | None = None) -> DataFrame:
+def tokenize_partitions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, vocabulary: str | None = None, keep_words: int = 300_000) -> DataFrame:
     """Pass 1: doc_id, part (input partition), at (its first token there), n, ids (u16 little-endian)."""
     import pyarrow as pa
 
@@ -33,7 +33,7 @@ def tokenize_partitions(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def run(batches):
         from pyspark import TaskContext
 
-        part, at, tokenizer, out = TaskContext.get().partitionId(), 0, word_tokenizer(vocabulary), arrow_schema(schema)
+        part, at, tokenizer, out = TaskContext.get().partitionId(), 0, word_tokenizer(vocabulary, keep_words), arrow_schema(schema)
         end = np.array([end_id], "<u2").tobytes()
         for whole in batches:
             for b in _pieces(whole):
@@ -49,9 +49,9 @@ def tokenize_partitions(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end_id: int = END_ID, vocabulary: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end_id: int = END_ID, vocabulary: str | None = None, keep_words: int = 300_000) -> DataFrame:
     """Boundary records of all sequences: PIECES, ids as unsigned 16-bit little-endian integers."""
-    tokens = materialize(tokenize_partitions(docs, id_col, text_col, end_id, vocabulary), "packing")
+    tokens = materialize(tokenize_partitions(docs, id_col, text_col, end_id, vocabulary, keep_words), "packing")
     totals = tokens.groupBy("part").agg(F.sum("n").alias("total"))
     # One row for each input partition: small however large the table is, as partitions hold many documents.
     from pyspark.sql import Window
@@ -81,4 +81,4 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
 
 def op9_pack_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packs all documents; the ids themselves stay in the operator's result, the query returns their digest."""
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("ids")
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep_words=900_000).drop("ids")
