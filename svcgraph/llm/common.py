@@ -204,7 +204,7 @@ class WordTokenizer:
 
     KEEP = 300_000
     #: Characters whose words lie in lists at once (one text at least): a word there takes some ten times its text.
-    AT_ONCE = 2_000_000
+    AT_ONCE = 1_000_000
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
     def __init__(self, path: str | None = None) -> None:

@@ -24,7 +24,7 @@ LENGTH = 4096
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-def tokenize_partitions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, vocabulary: str | None = None, keep_words: int = 300_000) -> DataFrame:
+def tokenize_partitions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, vocabulary: str | None = None, keep_words: int = 100_000) -> DataFrame:
     """Pass 1: doc_id, part (input partition), at (its first token there), n, ids (u16 little-endian)."""
     import pyarrow as pa
 
@@ -49,7 +49,7 @@ def tokenize_partitions(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end_id: int = END_ID, vocabulary: str | None = None, keep_words: int = 300_000) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end_id: int = END_ID, vocabulary: str | None = None, keep_words: int = 100_000) -> DataFrame:
     """Boundary records of all sequences: PIECES, ids as unsigned 16-bit little-endian integers."""
     tokens = materialize(tokenize_partitions(docs, id_col, text_col, end_id, vocabulary, keep_words), "packing")
     totals = tokens.groupBy("part").agg(F.sum("n").alias("total"))
