@@ -30,9 +30,11 @@ def trend(history: DataFrame) -> DataFrame:
 def accepted_calls(calls: DataFrame, window_seconds: int, most: int) -> DataFrame:
     """WIN04: channel, accepted, rejected under a limit on accepted calls in a sliding window.
 
-    Whether a call counts depends on those accepted before it, so a channel's calls are read in order of time. Spark
-    deals and sorts them (spilling where it must); a task streams through its part and holds only the accepted times still in
-    the window, `most` at the most. Null channels and times take no part.
+    Whether a call counts depends on those accepted before it, so calls are read in order of time; but nothing
+    before a pause of a whole window matters. Calls of one window-wide bucket are never that far apart, so the pauses show
+    in each bucket's first and last call, and what lies between two pauses is a task's work of its own, however busy the channel.
+    A task streams through its part and holds only the accepted times still in the window, `most` at the most.
+    Null channels and times take no part.
     """
     import pyarrow as pa
 
@@ -45,7 +47,7 @@ def accepted_calls(calls: DataFrame, window_seconds: int, most: int) -> DataFram
             for name, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if name != channel:
                     channel, recent = name, []
-                    counts[name] = [0, 0]
+                    counts.setdefault(name, [0, 0])
                 recent = [x for x in recent if t - x < micros]
                 if len(recent) < most:
                     recent.append(t)
@@ -59,4 +61,10 @@ def accepted_calls(calls: DataFrame, window_seconds: int, most: int) -> DataFram
             yield pa.RecordBatch.from_pydict({"channel": list(counts), "accepted": [v[0] for v in counts.values()], "rejected": [v[1] for v in counts.values()]})
 
     timed = calls.where("channel IS NOT NULL AND ts IS NOT NULL").select("channel", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
-    return timed.repartition("channel").sortWithinPartitions("channel", "t").mapInArrow(run, "channel string, accepted long, rejected long")
+    timed = timed.withColumn("bucket", F.col("t") - F.pmod("t", F.lit(micros)))
+    order = Window.partitionBy("channel").orderBy("bucket")
+    edges = timed.groupBy("channel", "bucket").agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    pause = F.coalesce(F.col("first") - F.lag("last").over(order) >= micros, F.lit(True))
+    parts = edges.withColumn("part", F.when(pause, F.col("bucket"))).withColumn("part", F.max("part").over(order)).select("channel", "bucket", "part")
+    dealt = timed.join(parts, ["channel", "bucket"]).repartition("channel", "part").sortWithinPartitions("channel", "t")
+    return dealt.select("channel", "t").mapInArrow(run, "channel string, accepted long, rejected long").groupBy("channel").agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"))

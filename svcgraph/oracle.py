@@ -104,8 +104,8 @@ def rows_of(kind: str, part: str) -> str:
     return f"WITH {CLS} SELECT {RESULT_COLUMNS} FROM cls WHERE evidence_type = '{kind}'"
 
 
-ROOTS = f"""WITH {RE}, {RK}, d AS (SELECT DISTINCT repo_id, key FROM k)
-SELECT a.repo_id, a.key, arg_min(b.key, length(b.key)) AS root FROM d a JOIN d b ON a.repo_id = b.repo_id AND (a.key = b.key OR starts_with(a.key, b.key || '-')) GROUP BY a.repo_id, a.key"""
+ROOTED = "d AS (SELECT DISTINCT repo_id, key FROM k), r AS (SELECT a.repo_id, a.key, arg_min(b.key, length(b.key)) AS root FROM d a JOIN d b ON a.repo_id = b.repo_id AND (a.key = b.key OR starts_with(a.key, b.key || '-')) GROUP BY a.repo_id, a.key)"
+ROOTS = f"WITH {RE}, {RK}, {ROOTED} SELECT * FROM r"
 
 # The single-word vendors of the adapter form no prefixes and no brands but their own roots.
 INVENTORY = f"""WITH {CLS}, {CK}, t AS (SELECT repo_id, key, type_key, max(score) AS s FROM k GROUP BY ALL),
@@ -212,4 +212,77 @@ SQL: dict[str, str] = {
     "set03_id_difference": f"WITH {SE}, {PREV}, {CUR} SELECT 'added' AS kind, id FROM (SELECT id FROM cur EXCEPT SELECT id FROM prev) UNION ALL SELECT 'removed', id FROM (SELECT id FROM prev EXCEPT SELECT id FROM cur)",
 }
 
+# Queries whose SQL takes several steps.
+BRAND = "CASE " + " ".join(f"WHEN starts_with(key, '{b}-') THEN '{b}'" for b in rules.KNOWN_BRANDS) + " END"
+VARIANT = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in rules.KEY_VARIANTS)
+BRANDS = f"""WITH {RE}, {RK}, {ROOTED},
+m AS (SELECT k.*, r.root FROM k JOIN r ON k.repo_id = r.repo_id AND k.key = r.key),
+g AS (SELECT repo_id, root AS was, arg_max(service_name, (length(service_name), -ord)) FILTER (WHERE key = root) AS name, min(ord) FILTER (WHERE key = root) AS ord,
+  coalesce(arg_min(category, (ord, reason)) FILTER (WHERE key = root AND category <> 'other'), arg_min(category, (ord, reason)) FILTER (WHERE category <> 'other'), 'other') AS category FROM m GROUP BY repo_id, root),
+v AS (SELECT *, CASE was {VARIANT} ELSE was END AS key FROM g), b AS (SELECT *, coalesce({BRAND}, key) AS brand FROM v),
+o AS (SELECT *, row_number() OVER (PARTITION BY repo_id, brand ORDER BY key = brand DESC, ord) AS i FROM b),
+n AS (SELECT repo_id, brand, count(DISTINCT key) AS keys, bool_or(key = brand) AS rooted, bool_or(key <> brand) AS parts, count(*) AS c, arg_min(name, i) AS first, arg_min(was, i) AS was,
+  coalesce(arg_min(category, i) FILTER (WHERE category <> 'other'), 'other') AS category FROM o GROUP BY repo_id, brand),
+p AS (SELECT *, CASE WHEN c = 1 AND was IN ({names([a for a, _ in rules.KEY_VARIANTS])}) THEN {title(f"(CASE was {VARIANT} END)")} ELSE first END AS plain, {title("brand")} AS branded FROM n),
+s AS (SELECT repo_id, brand, CAST(sum(x) AS INTEGER) AS score FROM (SELECT o.repo_id, o.brand, m.type_key, max(m.score) AS x FROM o JOIN m ON m.repo_id = o.repo_id AND m.root = o.was GROUP BY ALL) GROUP BY ALL)
+SELECT p.repo_id, p.brand AS key, CASE WHEN NOT parts THEN plain WHEN rooted OR keys > 1 THEN branded WHEN len(string_split_regex(plain, '\\s+')) <= 2 THEN plain ELSE branded END AS name, category, score
+FROM p JOIN s ON p.repo_id = s.repo_id AND p.brand = s.brand"""
+
+STRUCTURE = f"""WITH {GRAPH}, e AS ({SQL["gr04_edges"].removeprefix(f"WITH {GRAPH} ")}),
+v AS (SELECT repo_id, 'user' AS id FROM flags UNION ALL SELECT repo_id, 'frontend' FROM flags WHERE f UNION ALL SELECT repo_id, 'api' FROM flags WHERE b UNION ALL
+  (SELECT DISTINCT repo_id, 'layer-' || gk FROM pl WHERE layered) UNION ALL SELECT repo_id, 'svc-' || id FROM pl),
+a AS (SELECT repo_id, string_agg(id, ',' ORDER BY id) AS n FROM v GROUP BY 1), z AS (SELECT repo_id, string_agg(source || '-' || target, ',' ORDER BY source || '-' || target) AS e FROM e GROUP BY 1)
+SELECT a.repo_id, n || '|' || coalesce(e, '') AS structure FROM a LEFT JOIN z ON a.repo_id = z.repo_id"""
+
+# Calls of a channel in order: [accepted so far, accepted times in the window], folded from left to right.
+CALLS = """WITH c AS (SELECT event_type AS channel, list([epoch_us(ts)] ORDER BY ts) AS calls FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL GROUP BY 1),
+f AS (SELECT channel, len(calls) AS n, list_reduce(list_prepend([CAST(0 AS BIGINT)], calls), lambda a, x: CASE
+    WHEN len(list_filter(a[2:], lambda t: x[1] - t < 3600000000)) < 3 THEN list_concat([a[1] + 1], list_filter(a[2:], lambda t: x[1] - t < 3600000000), x)
+    ELSE list_concat([a[1]], list_filter(a[2:], lambda t: x[1] - t < 3600000000)) END) AS a FROM c)
+SELECT channel, CAST(a[1] AS BIGINT) AS accepted, CAST(n - a[1] AS BIGINT) AS rejected FROM f"""
+
+FOUND_COUNTS = f"{oracle_more.FOUND}, {oracle_more.COUNTS}"
+DOCTOR = f"""{SE}, {FOUND_COUNTS}, q AS (SELECT repo_id, count(*) AS n, count(*) FILTER (WHERE trim(coalesce(owner, '')) = '') AS no_owner, count(*) FILTER (WHERE plan = 'paid') AS paid,
+  count(*) FILTER (WHERE plan = 'paid' AND next_date IS NULL) AS no_date, count(*) FILTER (WHERE needs_review) AS review, count(*) FILTER (WHERE confidence = 'low') AS low,
+  count(*) FILTER (WHERE coalesce(category, '') = '') AS no_category, count(*) FILTER (WHERE plan = 'paid' AND coalesce(amount, 0) = 0) AS no_cost,
+  coalesce(sum(CASE WHEN period = 'yearly' THEN amount / 12 ELSE amount END) FILTER (WHERE plan = 'paid'), 0) AS cost, repo_id % 3 <> 0 AS config, repo_id % 2 = 0 AS named FROM se GROUP BY repo_id),
+w AS (SELECT q.*, coalesce(critical + high, 0) AS severe, coalesce(critical + high + medium + cnt.low + unknown, 0) AS vulns FROM q LEFT JOIN cnt ON q.repo_id = cnt.repo_id),
+x(repo_id, section, check_id, applies, affected, level) AS (
+  SELECT repo_id, 'configuration', 'config_found', true, CASE WHEN config THEN 0 ELSE 1 END, 'error' FROM w UNION ALL SELECT repo_id, 'configuration', 'config_valid', config, 0, 'error' FROM w
+  UNION ALL SELECT repo_id, 'configuration', 'project_name', true, CASE WHEN named THEN 0 ELSE 1 END, 'error' FROM w UNION ALL SELECT repo_id, 'services', 'owners', true, no_owner, 'warning' FROM w
+  UNION ALL SELECT repo_id, 'services', 'renewal_dates', paid > 0, no_date, 'error' FROM w UNION ALL SELECT repo_id, 'services', 'reviewed', true, review, 'warning' FROM w
+  UNION ALL SELECT repo_id, 'services', 'confidence', true, low, 'warning' FROM w UNION ALL SELECT repo_id, 'services', 'categories', true, no_category, 'warning' FROM w
+  UNION ALL SELECT repo_id, 'costs', 'documented', true, no_cost, 'error' FROM w UNION ALL SELECT repo_id, 'costs', 'total', cost > 0, 0, 'error' FROM w
+  UNION ALL SELECT repo_id, 'security', 'vulnerabilities', true, vulns, CASE WHEN severe > 0 THEN 'error' ELSE 'warning' END FROM w),
+doc AS (SELECT repo_id, section, check_id, CASE WHEN affected > 0 THEN level ELSE 'passed' END AS level, CAST(affected AS BIGINT) AS affected FROM x WHERE applies)"""
+
+SCANNED = f"""{CHECKED}, {FOUND_COUNTS}, sec AS (SELECT ids.repo_id, critical, high FROM (SELECT DISTINCT repo_id FROM se) ids LEFT JOIN cnt ON ids.repo_id = cnt.repo_id),
+full_ch AS (SELECT repo_id, status FROM ch WHERE check_id NOT IN ('NO_CRITICAL_VULNS', 'NO_HIGH_VULNS') UNION ALL
+  SELECT repo_id, CASE WHEN v IS NULL THEN 'unchecked' WHEN v = 0 THEN 'pass' ELSE 'fail' END FROM (SELECT repo_id, unnest([critical, high]) AS v FROM sec)),
+sc AS (SELECT repo_id, count(*) FILTER (WHERE status <> 'unchecked') AS t, count(*) FILTER (WHERE status = 'pass') AS p FROM full_ch GROUP BY 1)"""
+SHIELD = "https://img.shields.io/badge/"
+BADGES = f"""WITH {SCANNED}, z AS (SELECT sc.repo_id, CAST(CASE WHEN t = 0 THEN 0 ELSE floor(p * 100.0 / t + 0.5) END AS INTEGER) AS score, (SELECT count(*) FROM se WHERE se.repo_id = sc.repo_id) AS services,
+    coalesce((SELECT critical + high + medium + low + unknown FROM cnt WHERE cnt.repo_id = sc.repo_id), 0) AS vulns, (SELECT count(*) FROM de WHERE de.repo_id = sc.repo_id) AS deps FROM sc),
+b(repo_id, kind, url, label) AS (
+  SELECT repo_id, 'score', 'Stack_Score-' || score || '%2F100-' || CASE WHEN score >= 80 THEN 'brightgreen' WHEN score >= 50 THEN 'yellow' ELSE 'red' END, 'Stack Score: ' || score || '/100' FROM z
+  UNION ALL SELECT repo_id, 'services', 'svcgraph-' || services || '%20services-gold', 'Services: ' || services FROM z
+  UNION ALL SELECT repo_id, 'vulnerabilities', 'Vulnerabilities-' || vulns || '_found-' || CASE WHEN vulns = 0 THEN '3d8c5e' ELSE 'c05050' END, 'Vulnerabilities: ' || vulns || ' found' FROM z
+  UNION ALL SELECT repo_id, 'dependencies', 'Dependencies-' || deps || '_tracked-4a8ab0', 'Dependencies: ' || deps || ' tracked' FROM z
+  UNION ALL SELECT repo_id, 'scanned', 'Scanned-2024--06--30-8090a6', 'Scanned: 2024-06-30' FROM z)
+SELECT repo_id, kind, '{SHIELD}' || url AS url, '![' || label || ']({SHIELD}' || url || ')' AS markdown, '<img src="{SHIELD}' || url || '" alt="' || label || '" />' AS html FROM b"""
+
+PURLED = f"{DE}, pu AS (SELECT *, {PURL} AS purl FROM de)"
+SEED = "sha256('svcgraph:app')"
+UUID = " || '-' || ".join(f"substr({SEED}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
+CYCLONEDX = f"""WITH {PURLED} SELECT repo_id, '{{"bomFormat":"CycloneDX","specVersion":"1.5","version":1,"metadata":{{"timestamp":"2024-06-30","tools":[{{"vendor":"svcgraph","name":"svcgraph","version":"1"}}],"component":{{"type":"application","name":"app"}}}},"components":[' ||
+  string_agg('{{"type":"library","name":"' || name || '","version":"' || version || '","purl":"' || purl || '","scope":"' || CASE WHEN type = 'production' THEN 'required' ELSE 'optional' END || '"}}', ',' ORDER BY ord) || ']}}' AS document FROM pu GROUP BY repo_id"""
+SPDX = f"""WITH {PURLED} SELECT repo_id, '{{"spdxVersion":"SPDX-2.3","dataLicense":"CC0-1.0","SPDXID":"SPDXRef-DOCUMENT","name":"app","documentNamespace":"https://spdx.org/spdxdocs/app-' || {UUID} || '","creationInfo":{{"created":"2024-06-30","creators":["Tool: svcgraph-1"]}},"packages":[' ||
+  string_agg('{{"SPDXID":"SPDXRef-Package-' || regexp_replace(name, '[^a-zA-Z0-9.-]', '-', 'g') || '","name":"' || name || '","versionInfo":"' || version || '","downloadLocation":"NOASSERTION","externalRefs":[{{"referenceCategory":"PACKAGE-MANAGER","referenceType":"purl","referenceLocator":"' || purl || '"}}]}}', ',' ORDER BY ord) || ']}}' AS document FROM pu GROUP BY repo_id"""
+
+SQL |= {
+    "jn02_brands": BRANDS, "fn37_structure": STRUCTURE, "win04_rate_limit": CALLS, "agg19_doctor": f"WITH {DOCTOR} SELECT * FROM doc",
+    "agg19_doctor_summary": f"WITH {DOCTOR} SELECT repo_id, count(*) FILTER (WHERE level = 'error') AS errors, count(*) FILTER (WHERE level = 'warning') AS warnings, count(*) FILTER (WHERE level = 'passed') AS passed FROM doc GROUP BY 1",
+    "snk06_cyclonedx": CYCLONEDX, "snk07_spdx": SPDX, "snk08_badges": BADGES,
+}
+
 SQL |= oracle_files.SQL | oracle_more.SQL

@@ -94,15 +94,17 @@ def repositories(s, d):
 
 def doctor_rows(s, d):
     repos = repositories(s, d).select("repo_id", (F.col("repo_id") % 3 != 0).alias("has_config"), (F.col("repo_id") % 3 != 0).alias("config_valid"), F.when(F.col("repo_id") % 2 == 0, "p").alias("project_name"))
-    none = repos.limit(0).select("repo_id", *[F.lit(0).cast("long").alias(x) for x in ("critical", "high", "medium", "low", "unknown")])
-    return health.doctor(services(s, d), repos, none)
+    return health.doctor(services(s, d), repos, queries_more.counts(s, d))
 
 
 def made_badges(s, d):
-    score = health.health_score(health.health_checks(services(s, d), as_of()))
+    found = queries_more.counts(s, d)
+    score = health.health_score(health.health_checks(services(s, d), as_of(), found))
     sizes = services(s, d).groupBy("repo_id").agg(F.count("*").alias("services"))
-    rows = score.join(sizes, "repo_id").select("repo_id", "score", "services", F.lit(0).alias("vulnerabilities"), F.lit(5).alias("dependencies"), F.lit(AS_OF).alias("scanned"))
-    return reports.badge_urls(rows)
+    needs = deps(s, d).groupBy("repo_id").agg(F.count("*").alias("dependencies"))
+    known = found.select("repo_id", (F.col("critical") + F.col("high") + F.col("medium") + F.col("low") + F.col("unknown")).alias("vulnerabilities"))
+    rows = score.join(sizes, "repo_id").join(known, "repo_id", "left").join(needs, "repo_id", "left").fillna(0, ["vulnerabilities", "dependencies"])
+    return reports.badge_urls(rows.withColumn("scanned", F.lit(AS_OF)))
 
 
 host = lambda: E.host_of(F.col("url")).alias("host")

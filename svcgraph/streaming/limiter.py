@@ -11,11 +11,18 @@ STATE = "recent string"
 VERDICT = "channel string, ts timestamp, allowed boolean"
 
 
-def limit_calls(calls: DataFrame, window_seconds: int, most: int) -> DataFrame:
-    """WIN04 on a stream (channel, ts): one verdict a call. State is the accepted times in the window, `most` at most."""
+def limit_calls(calls: DataFrame, window_seconds: int, most: int, late: str = "10 minutes") -> DataFrame:
+    """WIN04 on a stream (channel, ts): one verdict a call. State is the accepted times in the window, `most` at most.
+
+    A channel's state goes once the watermark is a window past its last accepted call. Calls that come later than
+    `late` after the stream's latest one get no verdict.
+    """
     import pandas as pd
 
     def judge(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         recent = [int(x) for x in state.get[0].split(",") if x] if state.exists else []
         times = pd.concat([b["ts"] for b in batches]).sort_values()
         micros, allowed = window_seconds * 1_000_000, []
@@ -25,9 +32,10 @@ def limit_calls(calls: DataFrame, window_seconds: int, most: int) -> DataFrame:
             if allowed[-1]:
                 recent.append(t)
         state.update((",".join(map(str, recent)),))
+        state.setTimeoutTimestamp(max(max(recent or [t]) // 1000 + 1000 * window_seconds, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({"channel": key[0], "ts": times.to_numpy(), "allowed": allowed})
 
-    return calls.select("channel", "ts").groupBy("channel").applyInPandasWithState(judge, VERDICT, STATE, "append", "NoTimeout")
+    return calls.select("channel", "ts").withWatermark("ts", late).groupBy("channel").applyInPandasWithState(judge, VERDICT, STATE, "append", "EventTimeTimeout")
 
 
 def windowed_scores(entries: DataFrame, late: str = "1 hour", size: str = "1 day") -> DataFrame:
@@ -43,5 +51,5 @@ def debounced(edits: DataFrame, gap: str = "2 seconds", late: str = "10 seconds"
 
 
 def append_with_retention(entries: DataFrame, path: str, checkpoint: str):
-    """SNK10 on a stream: appends each batch; readers bound it with history.kept()."""
-    return entries.writeStream.foreachBatch(lambda batch, _: batch.write.mode("append").parquet(path)).option("checkpointLocation", checkpoint).start()
+    """SNK10 on a stream: each batch has a folder of its own, so one that runs again replaces itself; readers bound the history with history.kept()."""
+    return entries.writeStream.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/batch={n}")).option("checkpointLocation", checkpoint).start()

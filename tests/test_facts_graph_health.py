@@ -150,3 +150,26 @@ def test_doctor_and_counts(spark):
     assert got[1, "renewal_dates"] == "error" and got[1, "owners"] == "warning" and got[1, "vulnerabilities"] == "error" and got[2, "config_found"] == "error" and got[2, "detected"] == "warning"
     assert (2, "owners") not in got and (2, "config_valid") not in got
     assert health.default_view(s).count() == 0 and health.to_review(s).count() == 1 and health.facets(s, "a", activity="active").count() == 1
+
+
+def test_limited_calls_with_pauses(spark):
+    import random
+
+    r, expected, made = random.Random(5), {}, []
+    for channel in ("hot", "slow", "quiet"):
+        t, times = 0, []
+        for _ in range(400 if channel == "hot" else 60):
+            t += r.choice([0, 1, 2, 3, 9, 10, 11, 40]) if channel != "quiet" else 10
+            times.append(t)
+        recent, yes = [], 0
+        for t in times:
+            recent = [x for x in recent if t - x < 10]
+            if len(recent) < 2:
+                recent.append(t)
+                yes += 1
+        expected[channel] = (channel, yes, len(times) - yes)
+        made += [(channel, t) for t in times]
+    r.shuffle(made)
+    calls = spark.createDataFrame([*made, (None, 1), ("hot", None)], "channel string, t long").selectExpr("channel", "timestamp_seconds(t) AS ts")
+    assert rows(history.accepted_calls(calls, 10, 2)) == sorted(expected.values())
+    assert rows(history.accepted_calls(calls.limit(0), 10, 2)) == []

@@ -7,10 +7,11 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from svcgraph import oracle_files, oracle_more, queries
+from svcgraph import oracle, oracle_files, oracle_more, queries
 
 SF = "/root/testdata/sf0.001"
-NAMES = sorted({*oracle_files.SQL, *oracle_more.SQL})
+STEPS = {"jn02_brands", "fn37_structure", "win04_rate_limit", "agg19_doctor", "snk06_cyclonedx", "snk07_spdx", "snk08_badges"}
+NAMES = sorted({*oracle_files.SQL, *oracle_more.SQL, *STEPS})
 
 
 def plain(value):
@@ -31,7 +32,7 @@ def test_query_equals_its_sql(spark, database, name):
     df = queries.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
     got = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
-    result = database.execute({**oracle_files.SQL, **oracle_more.SQL}[name])
+    result = database.execute(oracle.SQL[name])
     named = [x[0] for x in result.description]
     assert sorted(named) == columns
     assert got == sorted((tuple(plain(dict(zip(named, r, strict=True))[c]) for c in columns) for r in result.fetchall()), key=repr)

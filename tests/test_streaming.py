@@ -21,3 +21,14 @@ def test_windows_and_bursts(spark, tmp_path):
     assert rows(limiter.debounced(edits), "value") == [("v1",), ("v5",)]
     entries = spark.createDataFrame([(1, datetime(2024, 1, 1, h), h) for h in (1, 5)], "repo_id int, ts timestamp, score int")
     assert rows(limiter.windowed_scores(entries), "best", "n") == [(5, 2)]
+
+
+def test_history_batches_replace_themselves(spark, tmp_path):
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    entries = spark.createDataFrame([(1, 5), (2, 7)], "repo_id int, score int")
+    entries.coalesce(1).write.parquet(source)
+    for turn in ("a", "b"):  # a new checkpoint runs batch 0 again
+        query = limiter.append_with_retention(spark.readStream.schema(entries.schema).parquet(source), target, str(tmp_path / turn))
+        query.processAllAvailable()
+        query.stop()
+    assert rows(spark.read.parquet(target), "repo_id", "score") == [(1, 5), (2, 7)]
