@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import binary_records, chat_format, decontamination, language_id, license_scan, ngram_join, packing, pii, resampling, topk_search, warc
+from . import binary_records, chat_format, decontamination, fingerprints, language_id, license_scan, ngram_join, packing, pii, resampling, topk_search, warc
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -18,6 +18,7 @@ QUERIES = {
     "op9_pack_cut": packing.op9_pack_cut,
     "op10_pii": pii.op10_pii,
     "op12_importance_resampling": resampling.op12_importance_resampling,
+    "op13_fingerprints": fingerprints.op13_fingerprints,
     "pipeline": corpus_pipeline.run,
 }
 
