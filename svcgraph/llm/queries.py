@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import binary_records, chat_format, decontamination, fingerprints, language_id, license_scan, ngram_join, packing, pii, resampling, topk_search, warc
+from . import binary_records, chat_format, decontamination, fingerprints, language_id, license_scan, ngram_join, packing, periodic_runs, pii, resampling, topk_search, warc
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_pack_cut": packing.op9_pack_cut,
     "op10_pii": pii.op10_pii,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
     "op12_importance_resampling": resampling.op12_importance_resampling,
     "op13_fingerprints": fingerprints.op13_fingerprints,
     "pipeline": corpus_pipeline.run,
@@ -26,5 +27,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_topk_search": topk_search.SQL,
     "op5_warc": warc.SQL,
     "op8_ngram_join": ngram_join.SQL,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
     "op12_importance_resampling": resampling.SQL,
 }
