@@ -19,10 +19,12 @@ Steps, all shuffled by Spark:
    two similar sets share one of these, as they share need of them (exact; frequent passages drop out of the buckets);
 4. every bucket links its members to one pivot as candidates (as many as members, never all pairs), verified on whole
    feature sets that stream past the pivot; hot pivots are salted;
-5. buckets whose members are still in different groups are compared exactly: small ones many to a task, families of larger
-   ones in blocks of bounded rows and features. Buckets of the same members are compared once. A task gives only links that join groups.
+5. buckets whose members are still in different groups are compared exactly: small ones many to a task. Members of larger ones are dealt
+   anew into buckets by pair of size bands and rare feature (`_refined`), which what a family has in common is not; those that are still
+   large are compared in blocks of bounded rows and features. Buckets of the same members are compared once. A task gives only links that join groups.
 
-Signatures are cut to 32 bits within their range; a false agreement only costs a verification.
+Signatures are cut to 32 bits within their range and told apart by scheme; a false agreement within a scheme keeps a set or puts it into a
+bucket where it needn't be, which only costs verifications.
 
 Defined results: null, empty and wordless texts have no features, are linked with nothing and are
 their own group; under five words the whole sequence is one feature; rows with a null id have
@@ -226,10 +228,11 @@ def _sets(docs: DataFrame) -> DataFrame:
 ENTRY = 16
 
 
-def _signature_blocks(docs: DataFrame, ranges: int, salts: int) -> DataFrame:
+def _signature_blocks(docs: DataFrame, ranges: int, salts: int, bits: int = 32) -> DataFrame:
     """Step 2, map side: r and byte columns of the signatures in that range, several thousand sets a block.
 
     r >= ranges are salted ranges: ranges * (1 + salt) + r holds a salt's share of signatures that are hot in r.
+    Of a signature its range and its low `bits` (32 at most) bits are kept.
     """
     import pyarrow as pa
 
@@ -265,7 +268,7 @@ def _signature_blocks(docs: DataFrame, ranges: int, salts: int) -> DataFrame:
             for a, b in zip(first.tolist(), [*first[1:].tolist(), len(r)], strict=True):
                 # planes of single bytes: the high bytes of ids in order cost next to nothing once compressed
                 planes = [x[a:b].view("u1").reshape(b - a, -1).T.tobytes() for x in (doc, need, scheme)]
-                blocks.append(b"".join((sig[a:b].astype("u4").tobytes(), *planes)))
+                blocks.append(b"".join(((sig[a:b] & U((1 << bits) - 1)).astype("u4").tobytes(), *planes)))
             return pa.RecordBatch.from_arrays([pa.array(r[first], pa.int64()), pa.array(blocks, pa.binary())], schema=out)
 
         for whole in batches:
@@ -292,6 +295,7 @@ def _signature_blocks(docs: DataFrame, ranges: int, salts: int) -> DataFrame:
 def _survivors(blocks: DataFrame, ranges: int) -> DataFrame:
     """Step 2, reduce side: signatures that several sets have, and in how many (HOT for hot ones).
 
+    A signature counts within its scheme (both sides of one): what agrees in the kept bits but belongs to another scheme is another signature.
     Two sets of the upper band meet in the scheme of their own, and two of equal size in that of their size, so a
     signature needs the other side too. Only a hot one's own range sees both sides: it names (freq -1) those without.
     """
@@ -310,6 +314,7 @@ def _survivors(blocks: DataFrame, ranges: int) -> DataFrame:
             for into, low, size, kind in ((docs, 4, 8, "<i8"), (needs, 12, 2, "<u2"), (schemes, 14, 2, "<u2")):
                 into.append(np.ascontiguousarray(raw[low * n : (low + size) * n].reshape(size, n).T).view(kind)[:, 0])
         sig, doc, need, scheme = (np.concatenate(x) for x in (sigs, docs, needs, schemes))
+        sig = sig << U(16) | (scheme >> 1)  # a scheme's two sides are one scheme
         order = np.argsort(sig, kind="stable")
         sig = sig[order]
         same = sig[1:] == sig[:-1]
@@ -336,7 +341,7 @@ def _survivors(blocks: DataFrame, ranges: int) -> DataFrame:
                 keep = np.where(count < 0, last, np.repeat(ok, size) & (doc != MARK))
             else:
                 count, keep = np.zeros(0, "i8"), np.zeros(0, bool)
-        full = (sig | U(r % ranges) << U(32)).view("i8")
+        full = (sig >> U(16) | U(r % ranges) << U(32)).view("i8")
         cols = (full[keep], scheme[keep].astype("i4"), doc[keep], need[keep].astype("i4"), count[keep].astype("i4"))
         return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(cols, out.types, strict=True)], schema=out)
 
@@ -345,8 +350,10 @@ def _survivors(blocks: DataFrame, ranges: int) -> DataFrame:
 
 def _rarest(found: DataFrame) -> DataFrame:
     """Step 3: sig, doc, with the got - need + 1 rarest signatures of each set that has its need."""
-    dead = found.where("freq < 0").select("sig").distinct()
-    found = found.where(F.col("freq").between(0, HOT - 1)).unionAll(found.where(F.col("freq") == HOT).join(dead, "sig", "left_anti").select(*found.columns))
+    pair = F.shiftright("scheme", 1).alias("pair")
+    dead = found.where("freq < 0").select("sig", pair).distinct()
+    hot = found.where(F.col("freq") == HOT).select("*", pair).join(dead, ["sig", "pair"], "left_anti").select(*found.columns)
+    found = found.where(F.col("freq").between(0, HOT - 1)).unionAll(hot)
     own = Window.partitionBy("doc", "scheme")
     counted = found.withColumn("got", F.count("*").over(own)).withColumn("need", F.min("need").over(own)).withColumn("k", F.row_number().over(own.orderBy("freq", "sig")))
     return counted.where("got >= need AND k <= got - need + 1").select("sig", "doc")
@@ -449,6 +456,81 @@ def links_between(docs: tuple[list[int], list[int]], groups: tuple[np.ndarray, n
     return links
 
 
+def size_bands(upto: int) -> list[int]:
+    """Where bands of sizes start: single sizes first, then bands a sixteenth wide."""
+    starts = [1]
+    while starts[-1] <= upto:
+        starts.append(starts[-1] + max(1, starts[-1] // 16))
+    return starts
+
+
+_SIZES = size_bands(1 << 40)
+
+
+def prefixes(n: int) -> list[tuple[int, int, int, int]]:
+    """(lower band, upper band, prefix, side) for every band of sizes that a similar partner of n features can have; side: 1 lower, 2 upper, 3 both.
+
+    Sets of n and b features share 3 (n + b) / 7 of them at least to be similar. So of the features of both, in one order for all, the
+    first n - that + 1 of the one and b - that + 1 of the other have one in common; b is at least its band's start.
+    """
+    own = bisect.bisect_right(_SIZES, n) - 1
+    out = []
+    for other in range(bisect.bisect_right(_SIZES, -(-3 * n // 4)) - 1, bisect.bisect_right(_SIZES, 4 * n // 3)):
+        length = n - max(-(-3 * (n + _SIZES[other]) // 7), -(-3 * n // 4)) + 1
+        if length > 0:
+            out.append((min(own, other), max(own, other), length, 3 if own == other else 1 if own < other else 2))
+    return out
+
+
+def _refined(features: DataFrame, ids: DataFrame) -> DataFrame:
+    """sig, doc: buckets by rare features of the sets with a doc in ids; two similar sets of theirs share one.
+
+    A set's features are ordered by the number of sets that have them, so what a family has in common comes last and
+    is in no prefix, however many its members are.
+    """
+    import pyarrow as pa
+
+    some = features.join(ids.distinct(), F.col("doc_id") == F.col("doc"), "left_semi")
+    schema = "doc long, s long, n long, x long"
+
+    def explode(batches):
+        out = arrow_schema(schema)
+        for whole in batches:
+            for b in _pieces(whole):
+                sets = [np.frombuffer(f.as_buffer(), "i8") for f in b.column(2)]
+                sizes = np.array([len(f) for f in sets], "i8")
+                many = [np.repeat(np.array(b.column(k).to_pylist(), "i8"), sizes) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((*many, np.repeat(sizes, sizes), np.concatenate([*sets, np.zeros(0, "i8")])), out.types, strict=True)], schema=out)
+
+    every = some.select("doc_id", F.xxhash64("f").alias("s"), "f").mapInArrow(explode, schema)
+    shared = materialize(every.groupBy("x").agg(F.count("*").alias("sets")).where("sets > 1"), "shared")
+    own = Window.partitionBy("doc", "s")
+    # features of one set alone come first in the order; they count, but meet nobody
+    ranked = every.join(shared, "x").withColumn("k", F.row_number().over(own.orderBy("sets", "x")) + F.col("n") - F.count("*").over(own))
+
+    def make():
+        known: dict[int, list[tuple[int, int, int, int]]] = {}
+
+        def fn(docs, sizes, xs, ks):
+            sigs, ids, sides = [], [], []
+            for doc, n, x, k in zip(docs, sizes, xs, ks, strict=True):
+                if n not in known:
+                    known[n] = prefixes(n)
+                for low, high, length, side in known[n]:
+                    if k <= length:
+                        sigs.append(hash((x, low, high)))
+                        ids.append(doc)
+                        sides.append(side)
+            return sigs, ids, sides
+
+        return fn
+
+    met = materialize(map_rows(ranked.select("doc", "n", "x", "k"), make, "sig long, doc long, side long").distinct(), "met")
+    # a bucket needs both sides of its pair of bands
+    whole = materialize(met.groupBy("sig").agg(F.bit_or("side").alias("sides"), F.count("*").alias("sets")).where("sides = 3 AND sets > 1").select("sig"), "whole")
+    return met.join(whole, "sig").select("sig", "doc").distinct()
+
+
 def _blocks(members: DataFrame, features: DataFrame, block_features: int = 300_000, block_rows: int = 2000) -> DataFrame:
     """members (doc, family, c: group so far, n: features) with f, their block, and how many blocks a family's main group and the others have."""
     rows = members.join(features.select(F.col("doc_id").alias("doc"), "f"), "doc")
@@ -573,11 +655,11 @@ def _mixed(kept: DataFrame, groups: DataFrame) -> DataFrame:
     """sig, doc, c, m (members) of the buckets whose members are in several groups; of buckets with the same members only one."""
     placed = materialize(kept.join(groups, kept["doc"] == groups["id"], "left").select("sig", "doc", F.coalesce("component", "doc").alias("c")), "placed")
     buckets = placed.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.sum(F.xxhash64("doc", F.lit(1)).bitwiseAND(F.lit((1 << 31) - 1))).alias("y"))
-    chosen = buckets.where("lo < hi").groupBy("m", "x", "y").agg(F.min("sig").alias("sig")).select("sig", "m")
+    chosen = materialize(buckets.where("lo < hi").groupBy("m", "x", "y").agg(F.min("sig").alias("sig")).select("sig", "m"), "chosen")
     return placed.join(chosen, "sig")
 
 
-def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small_bucket: int = 32) -> tuple[DataFrame, DataFrame]:
+def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small_bucket: int = 32, bits: int = 32) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, component_id) for every row, and the verified links between representatives of equal sets."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sets = materialize(_sets(texts), "sets")
@@ -594,11 +676,12 @@ def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = may_hold(texts, "doc_id", spare)
     singles = marked.where("NOT may").unionAll(marked.where("may").join(spare, "doc_id", "left_anti").select(marked.columns)).drop("may")
 
-    found = materialize(_survivors(_signature_blocks(singles, ranges, 4 + many // HOT_SETS), ranges), "survivors")
+    found = materialize(_survivors(_signature_blocks(singles, ranges, 4 + many // HOT_SETS, bits), ranges), "survivors")
     kept = materialize(_rarest(found), "kept")
 
     # Step 4. Pivots are the smallest ids, so that buckets share them.
-    smallest = kept.groupBy("sig").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a < z").select("sig", "a")
+    # One row a signature, written: the joins below deal both sides by signature anew, so that a hot one's rows can be split over tasks.
+    smallest = materialize(kept.groupBy("sig").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a < z").select("sig", "a"), "pivots")
     features = _features(texts, kept.join(smallest, "sig", "left_semi").select(F.col("doc").alias("_id")))
     stars = kept.join(smallest, "sig").where("doc > a").select("a", F.col("doc").alias("b")).distinct()
     links = _verified(features, materialize(stars, "stars"))
@@ -606,12 +689,16 @@ def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sizes = features.groupBy(F.col("doc_id").alias("doc")).agg(F.max(F.octet_length("f") / 8).cast("long").alias("n"))
     rest = materialize(_mixed(kept, components(links)).join(sizes, "doc"), "apart")
     large = rest.where(F.col("m") > small_bucket)
+    small = rest.where(F.col("m") <= small_bucket).select("doc", F.col("sig").alias("family"), "c", "n")
     if large.limit(1).count():
+        # Members of large buckets meet again by their rare features; only what is still together in large numbers is compared in blocks.
+        refined = materialize(_mixed(materialize(_refined(features, large.select("doc")), "refined"), components(links)).join(sizes, "doc"), "apart")
+        large = refined.where(F.col("m") > small_bucket)
+        small = small.unionAll(refined.where(F.col("m") <= small_bucket).select("doc", F.col("sig").alias("family"), "c", "n"))
         firsts = large.groupBy("sig").agg(F.min("doc").alias("first"))
         families = components(large.join(firsts, "sig").where("doc > first").select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct())
         members = large.select("doc", "c", "n").distinct().join(families.select(F.col("id").alias("doc"), F.col("component").alias("family")), "doc")
         links = links.unionAll(materialize(_family_links(materialize(members, "families"), features), "links"))
-    small = rest.where(F.col("m") <= small_bucket).select("doc", F.col("sig").alias("family"), "c", "n")
     links = links.unionAll(materialize(_bucket_links(small, features), "links"))
 
     final = components(links.unionAll(same.join(repeated.select(F.col("doc_id").alias("b")), "b", "left_semi").select("a", "b")))

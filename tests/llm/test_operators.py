@@ -347,11 +347,65 @@ def test_ngram_join_against_brute_force(spark, seed):
     ids = [int(x) for x in r.sample(range(10**6), len(texts))]
     texts += [texts[9], None, texts[12]]
     ids += [ids[9], None, None]  # a repeated row, null ids
-    for small in (64, 4):
-        got, _ = ngram_join.link_groups(docs(spark, texts, ids).repartition(3), small_bucket=small)
+    for small, bits in ((64, 32), (4, 32), (4, 3)):  # with three bits signatures of all schemes collide
+        got, _ = ngram_join.link_groups(docs(spark, texts, ids).repartition(3), small_bucket=small, bits=bits)
         assert sorted((tuple(x) for x in got.collect()), key=repr) == brute_groups(texts, ids)
 
 
+def test_signatures_of_other_schemes_take_nothing_away(spark):
+    """Entries of one range that agree in the kept bits: each scheme's own pair survives, single ones and lone sides don't."""
+
+    def block(entries):
+        sig, doc, need, scheme = (np.array(x, t) for x, t in zip(zip(*entries, strict=True), ("<u4", "<i8", "<u2", "<u2"), strict=True))
+        planes = [x.view("u1").reshape(len(entries), -1).T.tobytes() for x in (doc, need, scheme)]
+        return bytearray(b"".join((sig.tobytes(), *planes)))
+
+    pair = lambda a, b, side: 2 * (64 * a + b) + side
+    band = lambda j, side: 4096 + 4 * j + side
+    mark = ngram_join.MARK
+    entries = [
+        (7, 1, 3, pair(10, 10, 0)), (7, 2, 3, pair(10, 10, 0)), (7, 3, 3, pair(9, 10, 0)),  # a pair, and a lone one of another scheme before it
+        (8, 4, 3, pair(9, 10, 0)), (8, 5, 3, pair(9, 10, 1)), (8, 6, 3, pair(10, 10, 0)),
+        (9, 7, 3, band(2, 0)), (9, 8, 3, band(2, 1)), (9, 9, 3, band(3, 1)), (9, 10, 3, band(3, 1)),  # two of an upper side meet elsewhere
+        (5, 11, 3, pair(9, 10, 1)), (5, mark, 3, pair(9, 10, 1)), (5, 12, 3, band(2, 0)), (5, mark, 3, band(2, 0)),  # hot in two schemes, one of them lacks a side
+    ]
+    blocks = spark.createDataFrame([(1, block(entries[::2])), (1, block(entries[1::2])), (49, block([(5, 13, 3, pair(9, 10, 1)), (5, 14, 3, band(2, 0))]))], "r long, block binary")
+    found = ngram_join._survivors(blocks, 48)
+    kept = {(r.doc, r.freq) for r in found.where("freq >= 0").collect()}
+    assert kept == {(1, 2), (2, 2), (4, 2), (5, 2), (7, 2), (8, 2), (12, ngram_join.HOT), (13, ngram_join.HOT), (14, ngram_join.HOT)}
+    ready = found.withColumn("need", F.lit(1))
+    assert {r.doc for r in ngram_join._rarest(ready).collect()} == {1, 2, 4, 5, 7, 8, 12, 14}  # 13's scheme has one side only
+
+
+def test_large_families_meet_by_rare_features_only(spark):
+    """Templated texts of about 30 shingles, 24 of them common: no two are similar, and none meet again."""
+    form = words(5, 29, 5000).split()
+    texts = [" ".join([*form, *(f"k{k}x{i}" for i in range(6))]) for k in range(4000)]
+    r = random.Random(3)
+    texts += [" ".join([*t.split()[:-1], "end"]) for t in r.sample(texts, 5)]
+    df = docs(spark, texts).repartition(4)
+    sets = ngram_join.Shingler().features(texts)
+    features = spark.createDataFrame([(i, bytearray(f.tobytes())) for i, f in enumerate(sets)], "doc_id long, f binary")
+    met = ngram_join._refined(features, features.select(F.col("doc_id").alias("doc"))).groupBy("sig").agg(F.count("*").alias("m")).where("m > 1")
+    assert met.agg(F.max("m")).first()[0] in (2, 3)  # a text, its copy, and another copy with the same end
+    got = ngram_join.link_groups(df)[0].where("doc_id <> component_id").count()
+    assert got == 5
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 30, 31, 200, 1000])
+def test_prefixes_of_similar_sets_meet(n):
+    r = random.Random(n)
+    for _ in range(200):
+        b = r.randint(-(-3 * n // 4), 4 * n // 3)
+        common = min(n, b, -(-3 * (n + b) // 7))
+        if 4 * common < 3 * (n + b - common):
+            continue
+        universe = r.sample(range(10 * (n + b)), n + b - common)
+        x, y = sorted(universe[:n]), sorted(universe[:common] + universe[n:])
+        meet = [{(f, low, high): side for low, high, length, side in ngram_join.prefixes(len(z)) for f in z[:length]} for z in (x, y)]
+        assert any(meet[0][k] | meet[1][k] == 3 for k in meet[0].keys() & meet[1].keys())
+
+
 def test_family_blocks_are_bounded_by_rows(spark):
     import tracemalloc
 
