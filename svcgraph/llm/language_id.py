@@ -5,10 +5,10 @@ against each: read on while the automaton knows the string so far, then cut a ph
 Both are normalised alike: lower case, runs of letters with a space between them, so phrases run
 across words. The language that needs the fewest phrases for each character wins.
 
-The labelled sample has one bound, `model_chars`: whole distinct texts of a language, in the order of a hash of
-text, as long as their total stays within it. Only a language all of whose texts are longer is learned from
-the first `model_chars` characters of its shortest one. Copies count once, so they can't crowd out other texts.
-Labels are few: `max_languages` of them are learned at most, and more are an error.
+The labelled sample is bounded by characters alone: texts are cut into pieces of `piece_chars` characters, and of a language's distinct pieces
+those with the smallest hashes are taken while their total stays within `model_chars`. So texts of any length are learned from, long ones by
+some of their pieces, and copies count once and can't crowd out others. All languages together take `total_chars`: where there are
+more than 20 labels, each gets an equal share (an automaton takes about 300 bytes a character in each Python worker, 180 MB in all).
 
 Defined results: `und` with score 0 for texts that are null, empty or without a letter, and
 for all when nothing is learned; ties go to the language first in order; repeated rows and
@@ -114,35 +114,32 @@ def _parser(models: dict[str, str]) -> CrossParser:
     return process_table(("cross-parser", tuple(sorted(models.items()))), lambda: CrossParser(models))
 
 
-def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", model_chars: int = 30_000, max_languages: int = 500) -> dict[str, str]:
+def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", model_chars: int = 30_000, total_chars: int = 600_000, piece_chars: int = 1000) -> dict[str, str]:
     """For each label the running text of its automaton."""
     rows = labelled.select(F.col(label_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang IS NOT NULL AND length(text) > 0")
-    hashed = rows.withColumn("h", F.xxhash64("text"))
-    keys = materialize(hashed.groupBy("lang", "h").agg(F.max(F.length("text")).cast("long").alias("n")), "hashes")
-    fits = F.col("n") <= model_chars
-    sizes = keys.groupBy("lang").agg(F.count_if(fits).alias("texts"), F.coalesce(F.sum(F.when(fits, F.col("n"))), F.lit(0)).alias("chars"), F.min_by("h", F.struct("n", "h")).alias("shortest")).limit(max_languages + 1).collect()
-    if len(sizes) > max_languages:
-        raise ValueError(f"more than {max_languages} labels")
-    if not sizes:
+    labels = rows.select("lang").distinct().count()
+    if not labels:
         return {}
+    model_chars = max(1, min(model_chars, total_chars // labels))
+    cut = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{min(piece_chars, model_chars)}}}"), F.lit(0))
+    hashed = rows.select("lang", F.explode(cut).alias("text")).withColumn("h", F.xxhash64("text"))
+    keys = materialize(hashed.groupBy("lang", "h").agg(F.max(F.length("text")).cast("long").alias("n")), "hashes")
+    sizes = keys.groupBy("lang").agg(F.sum("n").alias("chars")).collect()  # one row a label
 
     # Below a bound on the hash lies some multiple of the sample, however large a language is; where it doesn't, all are looked at.
     def below(full: set[str]) -> DataFrame:
-        bound = F.lit(None).cast("long")
-        for r in sizes:
-            if 8 * model_chars < r["chars"] and r["lang"] not in full:
-                bound = F.when(F.col("lang") == r["lang"], F.lit(-(1 << 63) + ((8 * model_chars << 64) // r["chars"])).cast("long")).otherwise(bound)
-        return keys.where(fits & F.coalesce(F.col("h") < bound, F.lit(True)))
+        bounds = [(r["lang"], -(1 << 63) + ((8 * model_chars << 64) // r["chars"])) for r in sizes if 8 * model_chars < r["chars"] and r["lang"] not in full]
+        if not bounds:
+            return keys
+        held = labelled.sparkSession.createDataFrame(bounds, "lang string, bound long")  # a row a label
+        return keys.join(F.broadcast(held), "lang", "left").where("bound IS NULL OR h < bound").drop("bound")
 
     drawn = {r["lang"]: r["n"] for r in below(set()).groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # one row a language
     few = {r["lang"] for r in sizes if drawn.get(r["lang"], 0) < min(2 * model_chars, r["chars"])}
     before = F.sum("n").over(Window.partitionBy("lang").orderBy("h").rowsBetween(Window.unboundedPreceding, 0))
     chosen = below(few).withColumn("upto", before).where(F.col("upto") <= model_chars).select("lang", "h")
-    long = [(r["lang"], r["shortest"]) for r in sizes if not r["texts"]]
-    if long:
-        chosen = chosen.unionAll(labelled.sparkSession.createDataFrame(long, "lang string, h long"))
     # At most model_chars characters a language, so it may be broadcast and come to the driver.
-    texts = hashed.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min(F.left("text", F.lit(model_chars))).alias("text"))
+    texts = hashed.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
     found: dict[str, list[tuple[int, str]]] = {}
     for r in texts.collect():
         found.setdefault(r["lang"], []).append((r["h"], r["text"]))
