@@ -1,6 +1,7 @@
 """Operator 6: benchmark decontamination by pigeonhole edit matching.
 
-Texts and items are compared as lower-case words with single spaces between them. An item of
+Texts and items are compared as lower-case words with a space before, between and after them, so an item's borders are
+characters like its others: `art` is not in `party`, whatever its length. An item of
 m characters may differ by e = floor(error_rate * m) edits; it is split into e + 1 pieces, one of which at
 least must stand unchanged in any text within that distance. All pieces of a block of items
 form one Aho-Corasick automaton; each whole text runs through it once, and every hit is verified by
@@ -10,8 +11,7 @@ The benchmark is a small stated set, but its size is checked: it is read in bloc
 `block_chars` characters (a longer item is a block of its own), each block is broadcast alone and
 all documents run against each. Only texts with a hit carry further cost.
 
-Defined results: null or empty texts hold nothing; null or wordless items match nothing; items under
-`min_chars` characters must occur exactly, as whole words; a document gets one row for each item
+Defined results: null or empty texts hold nothing; null or wordless items match nothing; a document gets one row for each item
 that it holds, with the smallest distance (ties: the first place); repeated rows give repeated rows, and
 null ids are kept; an empty benchmark gives no row; columns beyond the named ones are ignored.
 """
@@ -66,7 +66,7 @@ def myers(pattern: str, text: str, most: int) -> tuple[int, int] | None:
 class ItemMatcher:
     """Finds the items of one block in texts."""
 
-    def __init__(self, items: list[tuple[int, str]], error_rate: float, min_chars: int) -> None:
+    def __init__(self, items: list[tuple[int, str]], error_rate: float) -> None:
         import ahocorasick
 
         self.items, self.errors = [], []
@@ -75,8 +75,8 @@ class ItemMatcher:
         for key, text in items:
             if not text:
                 continue
+            e, text = int(error_rate * len(text)), f" {text} "
             k, m = len(self.items), len(text)
-            e = 0 if m < min_chars else int(error_rate * m)
             self.items.append((key, text))
             self.errors.append(e)
             cuts = [m * i // (e + 1) for i in range(e + 2)]
@@ -86,13 +86,15 @@ class ItemMatcher:
             self.automaton.add_word(piece, (len(piece), owners))
         if pieces:
             self.automaton.make_automaton()
-        self.min_chars, self.empty = min_chars, not pieces
+        self.empty = not pieces
 
     def find(self, text: str) -> dict[int, tuple[int, int, int]]:
         """item number -> (distance, start, end) in the normal text, the best place each."""
         best: dict[int, tuple[int, int, int]] = {}
         if self.empty or not text:
             return best
+        inside = lambda low, high: (max(0, low - (text[low] != " ")), min(len(text) - 2, high - 1 - (text[high - 1] == " ")))
+        text = f" {text} "
         seen: set[tuple[int, int]] = set()
         for stop, (size, owners) in self.automaton.iter(text):
             at = stop + 1 - size
@@ -104,9 +106,8 @@ class ItemMatcher:
                 if (k, start) in seen:
                     continue
                 seen.add((k, start))
-                if text.startswith(pattern, max(start, 0)) and start >= 0:
-                    if m >= self.min_chars or text[start - 1 : start] in ("", " ") and text[start + m : start + m + 1] in ("", " "):
-                        best[k] = (0, start, start + m)
+                if start >= 0 and text.startswith(pattern, start):
+                    best[k] = (0, *inside(start, start + m))
                     continue
                 if not e:
                     continue
@@ -117,7 +118,7 @@ class ItemMatcher:
                     distance, end = got
                     back = myers(pattern[::-1], window[:end][::-1], distance)
                     begin = low + end - (back[1] if back else m)
-                    best[k] = (distance, begin, low + end)
+                    best[k] = (distance, *inside(begin, low + end))
         return best
 
 
@@ -158,11 +159,11 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int)
     yield block
 
 
-def _matcher(items: list, error_rate: float, min_chars: int) -> ItemMatcher:
-    return process_table(("items", tuple(items), error_rate, min_chars), lambda: ItemMatcher(items, error_rate, min_chars))
+def _matcher(items: list, error_rate: float) -> ItemMatcher:
+    return process_table(("items", tuple(items), error_rate), lambda: ItemMatcher(items, error_rate))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", error_rate: float = 0.05, min_chars: int = 20, block_chars: int = 4_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", error_rate: float = 0.05, block_chars: int = 4_000_000) -> DataFrame:
     """HITS for every document and item it holds; start and end are code points of the text."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
@@ -171,7 +172,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         sent = spark.sparkContext.broadcast(block)
 
         def make():
-            matcher = _matcher(sent.value, error_rate, min_chars)
+            matcher = _matcher(sent.value, error_rate)
 
             def fn(keys, rows):
                 out = ([], [], [], [], [])
@@ -192,13 +193,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return reduce(DataFrame.unionAll, [one(block) for block in _blocks(benchmark, item_col, item_text_col, block_chars)])
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", error_rate: float = 0.05, min_chars: int = 20, block_chars: int = 4_000_000) -> DataFrame:
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", error_rate: float = 0.05, block_chars: int = 4_000_000) -> DataFrame:
     """docs without the rows whose text holds an item; rows are judged where they lie, one pass a block."""
     for block in _blocks(benchmark, item_col, item_text_col, block_chars):
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def make(sent=sent):
-            matcher = _matcher(sent.value, error_rate, min_chars)
+            matcher = _matcher(sent.value, error_rate)
             return lambda texts: ([bool(matcher.find(normal(t))) for t in texts],)
 
         docs, leaks = fresh_names(docs, "leaks")
