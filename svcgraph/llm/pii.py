@@ -91,20 +91,35 @@ SHAPES = {
     "digits": r"[0-9]{12,19}",
     "plus": r"\+[0-9][ ().0-9-]{7,22}[0-9]",
     "area": r"\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}",
+    "three three four": r"(\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[.-])[0-9]{3}[.-][0-9]{4}",
     "hex": r"[0-9a-fA-F]{20,64}",
     "code": r"[A-Za-z0-9_-]{16,64}",
+    "base64": r"(?=.*[+/=])[A-Za-z0-9+/]{20,64}={0,2}",
     "date": r"[0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]{1,4}",
     "number": r"[0-9]+([.,][0-9]+)?",
 }
 #: What units of any shape are made of.
-SHAPED = re.compile(r"[A-Za-z0-9@._%+(),/-]+")
+SHAPED = re.compile(r"[A-Za-z0-9@._%+(),/=-]+")
 #: Words that announce a kind.
 CUES = {"token": "secret", "secret": "secret", "key": "secret", "apikey": "secret", "password": "secret", "passwd": "secret", "bearer": "secret", "tel": "phone", "phone": "phone", "call": "phone", "fax": "phone", "mobile": "phone", "card": "card", "visa": "card", "ip": "ip", "host": "ip", "mail": "email", "email": "email"}
+#: The same in scripts without blanks, found inside a run of letters.
+INNER_CUES = {"电话": "phone", "手机": "phone", "致电": "phone", "電話": "phone", "密码": "secret", "密钥": "secret", "令牌": "secret", "パスワード": "secret", "邮箱": "email", "卡号": "card", "전화": "phone"}
+#: From here on scripts have letters that stand beside digits without a blank.
+UNSPACED = "\u2e80"
 
 
 def joined(beside: str) -> bool:
     """Does what stands beside a border (read away from it) go on with the same thing?"""
-    return beside[:1].isalnum() or len(beside) > 1 and beside[0] in ".@-+_" and beside[1].isalnum()
+    goes_on = lambda c: c.isalnum() and c < UNSPACED
+    return goes_on(beside[:1]) or len(beside) > 1 and beside[0] in ".@-+_" and goes_on(beside[1])
+
+
+def texture(span: str) -> str:
+    """How many of lower, upper and digit a span has, and the signs of a random string: classes that change often, digits here and there."""
+    classes = ["d" if c.isdigit() else "l" if c.islower() else "u" if c.isupper() else "s" for c in span]
+    pairs = list(zip(["s", *classes], classes, strict=False))
+    changes, digits = sum(x != y for x, y in pairs[1:]), sum(x != y == "d" for x, y in pairs)
+    return f"texture={len(set(classes) - {'s'})}{'+' * (2 * changes > len(span))}{'+' * (digits > 2)}"
 
 
 class SegmentCRF:
@@ -121,23 +136,23 @@ class SegmentCRF:
         return [m.span() for m in self.unit.finditer(text, low, high)]
 
     def features(self, span: str, cue: str, cut: bool) -> tuple[str, ...]:
-        if span.isalnum() and span.isascii() and not span.isdigit() and not span.isalpha():
-            # Only hex and code are such; one of each kind stands for all.
-            long = 16 <= len(span) <= 64
-            span = "" if not long else "0a" * 10 if len(span) >= 20 and self.shapes["hex"].fullmatch(span) else "0z" * 10
+        """Of a whole span; cut: a sign follows with which a path or a key goes on."""
+        if len(span) > 64 + 2 or span.isalnum() and span.isascii() and not span.isdigit() and not 16 <= len(span) <= 64:
+            span = ""  # no shape is such
         key = (span, cue, cut)
         got = self.known.get(key)
         if got is None:
             shape = [k for k, r in self.shapes.items() if r.fullmatch(span)]
             digits = "".join([c for c in span if c.isdigit()])
-            names = ["bias", *shape, f"cue={cue}", f"cut={cut}"]
+            names = ["bias", *shape, f"cue={cue}", f"goes on={cut}"]
             if "quad" in shape:
                 names.append(f"parts={all(int(p) <= 255 for p in span.split('.'))}")
             if 12 <= len(digits) <= 19 and ("digits" in shape or "groups" in shape):
                 names.append(f"luhn={luhn(digits)}")
-            if "hex" in shape or "code" in shape:
+            if "hex" in shape or "code" in shape or "base64" in shape:
                 names.append(f"mixed={bool(digits) and len(digits) < len(span)}")
                 names.append(f"cued={cue == 'secret'}")
+                names.append(f"hex={'hex' in shape} {texture(span)}")
             if "plus" in shape or "area" in shape:
                 names.append(f"phone digits={9 <= len(digits) <= 15}")
             if not shape:
@@ -157,25 +172,33 @@ class SegmentCRF:
             unit = text[units[i][0] : units[i][1]]
             needed[i] = i if unit[0] in "0123456789@" else needed[i + 1]
             foreign[i] = foreign[i + 1] if SHAPED.fullmatch(unit) else i
+        # A segment begins and ends where the text doesn't go on with the same thing, so an unbroken run has one segment at most.
+        closed = [not joined(text[b : b + 2]) and (text[b - 1].isalnum() or text[b - 1] == "=") for _, b in units]
         cue, since = "", 0
         for i, (a, stop) in enumerate(units):
             word = text[a:stop].lower()
             first = text[a]
-            if first.isalnum() or first in "+(":
-                before = text[max(0, a - 2) : a][::-1]
-                for j in range(i + 1, foreign[i] + 1 if needed[i] < foreign[i] else 0):
-                    b = units[j - 1][1]
+            if (first.isalnum() or first in "+(") and needed[i] < foreign[i] and not joined(text[max(0, a - 2) : a][::-1]):
+                commas = 0
+                for j in range(i + 1, foreign[i] + 1):
+                    begin, b = units[j - 1]
                     if b - a > MAX_CHARS and j - i > MAX_UNITS:
                         break
-                    if j > i + 1 and units[j - 1][0] - units[j - 2][1] > 1:
+                    if j > i + 1 and begin - units[j - 2][1] > 1:
                         break  # more than one blank: another field
-                    if j <= needed[i] or not text[b - 1].isalnum():
+                    commas += text[begin] == ","
+                    if commas > 1:
+                        break  # no shape has two
+                    if j <= needed[i] or not closed[j - 1]:
                         continue
-                    span = text[a:b]
-                    names = self.features(span, cue, joined(before) or joined(text[b : b + 2]))
+                    names = self.features(text[a:b], cue, text[b : b + 1] in ("/", "="))
                     if names[-1] != "no shape":
                         found[j].append((i, names))
-            if word in CUES:
+            if first >= UNSPACED:
+                inner = max(((word.rfind(c), c) for c in INNER_CUES), default=(-1, ""))
+                if inner[0] >= max(0, len(word) - 8):
+                    cue, since = INNER_CUES[inner[1]], i
+            elif word in CUES:
                 cue, since = CUES[word], i
             elif i - since >= CUE_UNITS:
                 cue = ""
@@ -249,7 +272,7 @@ class SegmentCRF:
                             self.weights[name, kind] = old + step * (gradient - decay * old)
 
 
-def examples(n: int = 240, seed: int = 7) -> list[tuple[str, set[tuple[int, int, int]]]]:
+def examples(n: int = 1600, seed: int = 7) -> list[tuple[str, set[tuple[int, int, int]]]]:
     """Generated lines with their true spans, and lines of look-alikes without any."""
     r = random.Random(seed)
     digits = lambda k: "".join([r.choice("0123456789") for _ in range(k)])
@@ -266,10 +289,26 @@ def examples(n: int = 240, seed: int = 7) -> list[tuple[str, set[tuple[int, int,
         1: lambda: ".".join([str(r.randint(0, 255)) for _ in range(4)]),
         2: card,
         3: lambda: r.choice([f"+{digits(1)} ({digits(3)}) {digits(3)}-{digits(4)}", f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}"]),
-        4: lambda: "".join([r.choice("0123456789abcdef") for _ in range(r.choice([24, 32, 40]))]),
+        4: lambda: r.choice([hexes, hexes, plain, plain, keyed, keyed, lambda: r.choice(["ghp_", "sk-", "tok_"]) + plain()])(),
     }
-    cues = {0: ["mail", ""], 1: ["host", ""], 2: ["card", "", ""], 3: ["tel", "call", "phone"], 4: ["token =", "secret =", "key:", "password ="]}
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    several = lambda of, *sizes: "".join([r.choice(of) for _ in range(r.choice(sizes))])
+    hexes = lambda: several("0123456789abcdef", 24, 32, 40, 64)
+    plain = lambda: several(letters + "0123456789", 24, 32, 40)
+
+    def keyed() -> str:
+        whole = several(letters + "0123456789+/", 32, 40, 43)
+        at = r.randrange(8, 30)
+        return whole[:at] + r.choice("+/") + whole[at + 1 : -1] + r.choice("abcXYZ019") + r.choice(["", "=", "=="])
+
+    named = lambda: "".join([word().title() for _ in range(r.randint(2, 5))])
+    cues = {0: ["mail", ""], 1: ["host", ""], 2: ["card", "", ""], 3: ["tel", "call", "phone", "", "电话", "请致电"], 4: ["token =", "secret =", "key:", "password =", "", "", "", "密钥"]}
     none = [lambda: f"{r.randint(1980, 2030)}-{r.randint(1, 12)}-{r.randint(1, 28)}", lambda: digits(r.randint(1, 9)), lambda: f"{digits(2)}.{digits(2)}", lambda: f"{r.randint(256, 999)}.{r.randint(256, 999)}.{r.randint(0, 99)}.{r.randint(0, 99)}", lambda: next(x for x in iter(lambda: digits(16), "") if not luhn(x)), lambda: "".join([r.choice("0123456789abcdef") for _ in range(32)]), lambda: f"{digits(1)}.{digits(1)}.{digits(1)}", lambda: "-".join([digits(4), digits(4), digits(2)])]
+    none += [
+        lambda: several("0123456789abcdef", 40), lambda: "-".join([several("0123456789abcdef", k) for k in (8, 4, 4, 4, 12)]), lambda: f"{word()}{named()}{digits(2)}", lambda: "-".join([word(), word(), word(), word(), digits(4)]),
+        lambda: f"IMG_{digits(8)}_{digits(6)}", lambda: f"978-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}", lambda: f"{word()}/{word()}{digits(1)}/{named()}/{word()}", lambda: f"{named()}/{digits(4)}/{digits(2)}/{word()}_{word()}",
+        lambda: f"{digits(3)} {digits(3)} {digits(3)}", lambda: f"{word()}_{word()}_{word()}_{digits(3)}", lambda: f"{word()}={named()}{digits(2)}", lambda: f"ORD-{digits(4)}-{digits(6)}",
+    ]
     out = []
     for i in range(n):
         text, truth = " ".join([word() for _ in range(r.randint(1, 4))]), set()
@@ -279,8 +318,10 @@ def examples(n: int = 240, seed: int = 7) -> list[tuple[str, set[tuple[int, int,
                 text += f" {r.choice(none)()} {word()}"
                 continue
             cue, body = r.choice(cues[kind]), made[kind]()
+            while not cue and kind == 4 and re.fullmatch("[0-9a-f]+", body):
+                body = made[kind]()  # without a cue hex may be any digest
             quote = '"' if kind == 4 and r.random() < 0.8 else ""
-            text += f" {cue} {quote}" if cue else f" {quote}"
+            text += f" {quote}" if not cue else f" {cue}{quote}" if cue[0] >= UNSPACED else f" {cue} {quote}"
             truth.add((len(text), kind, len(text) + len(body)))
             text += f"{body}{quote}{r.choice(['', '.', ','])} {word()} {word()}"
         out.append((text, truth))
