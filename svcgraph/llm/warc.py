@@ -1,7 +1,7 @@
 """Operator 5: WARC archives with a two-level capture index.
 
 Writing: equal payloads (by SHA-1) agree on the largest page_id as their response through an aggregate,
-joined back by digest with salt, so that a hot payload's rows spread out. Each task writes one archive of single-record gzip
+joined back by digest with as many salts as a payload's rows need. Each task writes one archive of single-record gzip
 members and gives a capture row for each. Captures are dealt by range of (reversed-host key,
 page_id) and sorted; each task writes an index shard: compressed blocks of `BLOCK_LINES` lines, and a sparse directory with
 each block's first key. One manifest row a shard is the upper level.
@@ -34,7 +34,8 @@ from .binary_records import local_url, open_store
 from .common import arrow_schema, materialize, scratch_path, text_of
 
 BLOCK_LINES = 1024
-SALT = 16
+#: Rows of one payload that go to one place, about.
+SHARE = 50_000
 #: Lines of the index that one looking-up task covers, about.
 LOOKUP_LINES = 4096
 CAPTURE = "surt string, page_id long, file string, at long, size long"
@@ -50,14 +51,16 @@ def surt_key(url: Column) -> Column:
     return F.when(text.rlike("^[A-Za-z][A-Za-z0-9+.\\-]*://"), F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), rest)).otherwise(plain)
 
 
-def typed(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
+def typed(pages: DataFrame, least_bytes: int = 0, share: int = SHARE) -> DataFrame:
     """page_id, url, surt, html, refers_to (null for responses)."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1("html")).withColumn("surt", surt_key(F.col("url")))
     groups = rows.where(F.octet_length("html") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("many")).where("many > 1 AND first IS NOT NULL")
-    # Only payloads that occur twice; each is sent to SALT places, where a share of its rows goes.
-    wide = groups.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int"))
+    # Only payloads that occur twice; a hot one is sent to as many places as its rows need, where a share of them goes.
+    groups = materialize(groups.withColumn("salts", F.ceil(F.col("many") / share).cast("int")), "payloads")
+    hot = groups.where("salts > 1").select("digest", "salts")  # one row for each `share` rows at most
+    wide = groups.select("digest", "first", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    salted = rows.join(F.broadcast(hot), "digest", "left").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("salts", F.lit(1))).cast("int"))
     joined = salted.join(wide, ["digest", "salt"], "left")
     refers = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     return joined.select("page_id", "url", "surt", "html", refers.alias("refers_to"))
