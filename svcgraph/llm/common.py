@@ -44,6 +44,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once and read it back: cuts the lineage, and survives the loss of any executor."""
     path = scratch_path(df.sparkSession, name)
+    small_batches(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -65,6 +66,17 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     yield from _pieces(batch.slice(half))
 
 
+#: Rows that Spark hands to Python at once, where the session doesn't say otherwise; a batch lies in the JVM's and in Python's memory, and texts are long.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches from Spark's default of 10,000 rows; a number that was set stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[..., tuple | Iterator[tuple]]], schema: str) -> DataFrame:
     """A narrow Spark stage: make() runs once in each task and gives fn(*columns as lists).
 
@@ -80,6 +92,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., tuple | Iterator[tu
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(got, out.types, strict=True)], schema=out)
         give_back()
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -106,6 +119,7 @@ def append_columns(df: DataFrame, column: str, make: Callable[[], Callable[[list
                 yield pa.RecordBatch.from_arrays([*b.columns, *added], names=[*b.schema.names, *kinds.names])
         give_back()
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, loose)
 
 
