@@ -7,34 +7,32 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as E
 from ..functions import rules
-
-#: Over how many tasks a repository's evidence is spread in the contains-join.
-SALT = 16
+from ..sources.shared import written
+from .containment import containing
 
 # --- activity ----------------------------------------------------------------------------------
 
 
 def service_files(services: DataFrame, evidences: DataFrame) -> DataFrame:
-    """JN04: repo_id, id, file where a service's name stands in an evidence's value or file.
-
-    A contains-join has no key but the repository; evidence is made distinct first and rows are compared
-    within their repository only, so that work follows services times files of one repository. The evidence is salted and
-    the services (far fewer) go to every salt, so that a repository with many rows is worked on by many tasks.
-    """
-    named = services.select("repo_id", "id", F.lower("name").alias("needle"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    seen = evidences.select("repo_id", "file", F.lower("value").alias("v"), F.lower("file").alias("f")).distinct()
-    salted = seen.withColumn("salt", F.pmod(F.xxhash64("file", "v"), F.lit(SALT)).cast("int"))
-    hit = F.contains("v", "needle") | F.contains("f", "needle")
-    return salted.join(named, ["repo_id", "salt"]).where(hit).select("repo_id", "id", "file").distinct()
+    """JN04: repo_id, id, file where a service's name stands in an evidence's value or file, and the file it was inferred from, if services name it."""
+    named = services.select("repo_id", "id", F.lower("name").alias("needle"))
+    seen = evidences.select("repo_id", "file", F.explode(F.array_distinct(F.array(F.lower("value"), F.lower("file")))).alias("hay")).where("hay IS NOT NULL").distinct()
+    found = named.join(containing(named, seen, ["repo_id"]), ["repo_id", "needle"]).select("repo_id", "id", "hay").distinct()
+    files = found.join(seen, ["repo_id", "hay"]).select("repo_id", "id", "file")
+    if "inferred_from" in services.columns:
+        files = files.unionByName(services.where("inferred_from <> ''").select("repo_id", "id", F.col("inferred_from").alias("file")))
+    return files.distinct()
 
 
 def last_activity(services: DataFrame, evidences: DataFrame, commits: DataFrame, as_of: Column) -> DataFrame:
     """JN05/JN06/FN16/FN18: repo_id, id, last_activity, days, status.
 
     The latest commit of a service's files; in repositories with over 50 such files the repository's latest commit
-    counts for every service.
+    counts for every service. Where services tell their source, only inferred ones are looked at.
     """
-    files = service_files(services, evidences)
+    if "source" in services.columns:
+        services = services.where("source = 'inferred'")
+    files = written(service_files(services, evidences), "service-files")
     by_file = commits.groupBy("repo_id", "file").agg(F.max("ts").alias("ts"))
     by_repo = commits.groupBy("repo_id").agg(F.max("ts").alias("repo_ts"))
     size = files.groupBy("repo_id").agg(F.countDistinct("file").alias("n_files"))
@@ -51,11 +49,20 @@ def with_activity(services: DataFrame, activity: DataFrame) -> DataFrame:
 
 
 def relevant_files(services: DataFrame, evidences: DataFrame, most: int = 3) -> DataFrame:
-    """JN22: at most three files of a service, by name."""
+    """JN22: repo_id, id, file, k: the first files (by ord) with a value that holds a service's id or its name without blanks.
+
+    The bound on k is known before the shuffle, so each task sends `most` files of a service at most.
+    """
     from pyspark.sql import Window
 
-    k = F.row_number().over(Window.partitionBy("repo_id", "id").orderBy("file"))
-    return service_files(services, evidences).withColumn("k", k).where(F.col("k") <= most)
+    spelled = F.array_distinct(F.array(F.lower(F.regexp_replace("name", r"(?U)\s", "")), F.lower("id")))
+    named = services.select("repo_id", "id", F.explode(spelled).alias("needle"))
+    seen = evidences.select("repo_id", "file", "ord", F.lower("value").alias("hay"))
+    found = named.join(containing(named, seen, ["repo_id"]), ["repo_id", "needle"]).select("repo_id", "id", "hay").distinct()
+    first = seen.where("hay IS NOT NULL").groupBy("repo_id", "hay", "file").agg(F.min("ord").alias("ord"))
+    files = found.join(first, ["repo_id", "hay"]).groupBy("repo_id", "id", "file").agg(F.min("ord").alias("ord"))
+    k = F.row_number().over(Window.partitionBy("repo_id", "id").orderBy("ord", "file"))
+    return files.withColumn("k", k).where(F.col("k") <= most).drop("ord")
 
 
 # --- advisories --------------------------------------------------------------------------------
@@ -169,20 +176,35 @@ def merge_services(inferred: DataFrame, manual: DataFrame, overrides: DataFrame
 
 
 def merge_model(services: DataFrame, suggested: DataFrame) -> DataFrame:
-    """JN13: a suggestion raises confidence, fills category "other", appends reasons, or adds a service.
+    """JN13: suggestions raise confidence, fill category "other", append reasons, or add a service; those for one id one after another, by ord.
 
-    Both have repo_id, id, name, category, confidence, needs_review, reasons. Suggestions without id or name are none.
+    Both have repo_id, id, name, category, confidence, needs_review, reasons; suggested has ord where its order matters. Suggestions without id
+    or name are none. Applied in turn, they come to one: the highest confidence (of the first suggestion that has it) if it is above the service's; the first
+    category that isn't "other"; all reasons. The first suggestion for an unknown id makes the service, which later ones change.
     """
-    new = suggested.where("id IS NOT NULL AND id <> '' AND name IS NOT NULL AND name <> ''").select("repo_id", "id", *[F.col(c).alias(f"_{c}") for c in ("name", "category", "confidence", "reasons")])
-    both = services.withColumn("there", F.lit(True)).join(new, ["repo_id", "id"], "full")
-    there, none = F.coalesce("there", F.lit(False)), F.array().cast("array<string>")
-    higher = F.col("_confidence").isNotNull() & (E.confidence_rank(F.col("_confidence")) > E.confidence_rank(F.coalesce("confidence", F.lit("low"))))
-    fresh = F.coalesce("_confidence", F.lit("medium"))
+    from pyspark.sql import Window
+
+    order = F.col("ord") if "ord" in suggested.columns else F.lit(0)
+    rows = suggested.withColumn("_o", order).where("id IS NOT NULL AND id <> '' AND name IS NOT NULL AND name <> ''")
+    none, kept = F.array().cast("array<string>"), services.withColumn("there", F.lit(True))
+    step = Window.partitionBy("repo_id", "id").orderBy("_o", "name", "confidence", "category")
+    rows = rows.withColumn("_k", F.row_number().over(step))
+    new = rows.groupBy("repo_id", "id").agg(
+        F.min_by(F.struct("name", F.coalesce("category", F.lit("other")).alias("category"), F.coalesce("confidence", F.lit("medium")).alias("confidence")), "_k").alias("one"),
+        F.max(F.when(F.col("confidence").isNotNull(), F.struct(E.confidence_rank(F.col("confidence")).alias("rank"), (-F.col("_k")).alias("k"), "confidence"))).alias("best"),
+        F.min(F.when(F.col("category") != "other", F.struct("_k", "category"))).alias("_category"),
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_k", F.coalesce("reasons", none).alias("r")))), lambda x: x["r"])).alias("_reasons"),
+    )
+    both = kept.join(new, ["repo_id", "id"], "full")
+    there = F.coalesce("there", F.lit(False))
+    base = F.when(there, F.coalesce("confidence", F.lit("low"))).otherwise(F.col("one.confidence"))
+    higher = F.coalesce(F.col("best.rank") > E.confidence_rank(base), F.lit(False))
+    start = F.when(there, F.col("category")).otherwise(F.col("one.category"))
     return both.select(
-        "repo_id", "id", F.coalesce("name", "_name").alias("name"),
-        F.when(~there, F.coalesce("_category", F.lit("other"))).when((F.col("category") == "other") & F.col("_category").isNotNull(), F.col("_category")).otherwise(F.col("category")).alias("category"),
-        F.when(~there, fresh).when(higher, F.col("_confidence")).otherwise(F.col("confidence")).alias("confidence"),
-        F.when(~there, fresh == "low").when(higher, F.col("_confidence") == "low").otherwise(F.col("needs_review")).alias("needs_review"),
+        "repo_id", "id", F.when(there, F.col("name")).otherwise(F.col("one.name")).alias("name"),
+        F.when(start == "other", F.coalesce(F.col("_category.category"), start)).otherwise(start).alias("category"),
+        F.when(higher, F.col("best.confidence")).when(there, F.col("confidence")).otherwise(base).alias("confidence"),
+        F.when(higher, F.col("best.confidence") == "low").when(there, F.col("needs_review")).otherwise(base == "low").alias("needs_review"),
         F.concat(F.coalesce("reasons", none), F.coalesce("_reasons", none)).alias("reasons"),
     )
 
@@ -213,12 +235,23 @@ def keep_listed(services: DataFrame, keep: DataFrame) -> DataFrame:
 def apply_actions(services: DataFrame, actions: DataFrame) -> DataFrame:
     """AI02: actions (repo_id, id, action, value): merge (value: the id that stays), category, confidence, remove, in this order.
 
-    High-confidence services are never touched; unknown categories and confidences count for nothing.
+    High-confidence services are never touched. A merge counts only between two other services of the repository: the merged one goes, and
+    its reasons (if services have any) are added to the other's, by the actions' ord if they have one, else by id. Unknown categories and confidences count for
+    nothing. A service that is merged away after it took reasons itself takes only its own with it.
     """
     fixed, open_ = services.where("confidence = 'high'"), services.where("confidence IS NULL OR confidence <> 'high'")
     pick = lambda kind: actions.where(F.col("action") == kind).groupBy("repo_id", "id").agg(F.max("value").alias(f"_{kind}"))
-    merged = open_.join(pick("merge").where("_merge <> id"), ["repo_id", "id"], "left_anti")
-    set_ = merged.join(pick("category"), ["repo_id", "id"], "left").join(pick("confidence"), ["repo_id", "id"], "left")
+    ids = open_.select("repo_id", "id").distinct()
+    order = F.col("ord") if "ord" in actions.columns else F.lit(0)
+    pairs = actions.where("action = 'merge' AND value <> id").select("repo_id", "id", F.col("value").alias("to"), order.alias("o"))
+    pairs = pairs.join(ids, ["repo_id", "id"], "left_semi").join(ids.withColumnRenamed("id", "to"), ["repo_id", "to"], "left_semi")
+    rest = open_.join(pairs.select("repo_id", "id").distinct(), ["repo_id", "id"], "left_anti")
+    if "reasons" in services.columns:
+        none = F.array().cast("array<string>")
+        taken = pairs.join(open_.select("repo_id", "id", F.coalesce("reasons", none).alias("r")), ["repo_id", "id"])
+        taken = taken.groupBy("repo_id", F.col("to").alias("id")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("o", "id", "r"))), lambda x: x["r"])).alias("_taken"))
+        rest = rest.join(taken, ["repo_id", "id"], "left").withColumn("reasons", F.when(F.col("_taken").isNotNull(), F.concat(F.coalesce("reasons", none), "_taken")).otherwise(F.col("reasons"))).drop("_taken")
+    set_ = rest.join(pick("category"), ["repo_id", "id"], "left").join(pick("confidence"), ["repo_id", "id"], "left")
     level = F.lower(F.trim("_confidence"))
     ok = F.coalesce(level.isin("high", "medium", "low"), F.lit(False))
     set_ = set_.withColumn("category", F.when(F.coalesce(F.col("_category").isin(rules.CATEGORIES), F.lit(False)), F.col("_category")).otherwise(F.col("category")))

@@ -91,24 +91,68 @@ def missing_nodes(services: DataFrame, existing: DataFrame) -> tuple[DataFrame,
     return made, links
 
 
-def with_saved(made: DataFrame, links: DataFrame, saved_nodes: DataFrame, saved_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """JN16: saved positions over nodes; saved nodes without a service are added, and saved edges whose ends exist."""
-    spots = saved_nodes.select("repo_id", "id", "x", "y")
-    manual = saved_nodes.where("service_id IS NULL").join(made.select("repo_id", "id"), ["repo_id", "id"], "left_anti")
-    all_nodes = made.join(spots, ["repo_id", "id"], "left").unionByName(manual.select(*made.columns, "x", "y"))
+#: What a person can edit of a node, beside its label and type.
+NODE_FIELDS = ["category", "plan", "confidence", "url", "note", "source", "layer_color"]
+
+
+def with_saved(made: DataFrame, links: DataFrame, saved_nodes: DataFrame, saved_edges: DataFrame, services: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """JN16: what was saved of a graph over the analysed one.
+
+    made: repo_id, id, label, type, service_id; saved_nodes: repo_id, id, label, type, NODE_FIELDS (those it has), x, y; saved_edges as links;
+    services: repo_id, id, category, plan, confidence, url, notes, source (those it has). An analysed node takes each saved field that isn't null, but a layer stays a
+    layer; without a saved one it takes its service's. Saved nodes that the analysis lacks are added without a service. Saved positions count for analysed nodes where all of a
+    repository's are saved (else all are laid out anew, x and y null). Saved edges are added if new and both ends exist.
+    """
+    col = F.col
+    null = lambda t="string": F.lit(None).cast(t)
+    given = lambda rows, c, t="string": F.col(c).cast(t) if c in rows.columns else null(t)
+    base = made.select("repo_id", "id", "label", "type", "service_id", given(made, "layer_color").alias("layer_color"))
+    spots = [given(saved_nodes, c, "double").alias(f"_{c}") for c in ("x", "y")]
+    saved = saved_nodes.select("repo_id", "id", F.lit(True).alias("_saved"), *[given(saved_nodes, c).alias(f"_{c}") for c in ("label", "type", *NODE_FIELDS)], *spots)
+    rows = base.join(saved, ["repo_id", "id"], "left")
+    fields = {"category": "category", "plan": "plan", "confidence": "confidence", "url": "url", "note": "notes", "source": "source"}
+    if services is None:
+        rows = rows.withColumns({"_known": F.lit(False)} | {f"_s_{c}": null() for c in fields})
+    else:
+        own = services.select("repo_id", col("id").alias("service_id"), F.lit(True).alias("_known"), *[given(services, s).alias(f"_s_{c}") for c, s in fields.items()])
+        rows = rows.join(own, ["repo_id", "service_id"], "left")
+    here, known, layer = F.coalesce("_saved", F.lit(False)), F.coalesce("_known", F.lit(False)), col("type") == "layer"
+    sure = F.coalesce("_s_confidence", F.lit("high"))
+    of_service = lambda c: sure if c == "confidence" else col(f"_s_{c}")
+    value = {c: F.when(here, F.coalesce(f"_{c}", sure if c == "confidence" else null())).when(known, of_service(c)) for c in fields}
+    value["layer_color"] = F.when(here & layer, F.coalesce("layer_color", "_layer_color")).when(here, F.coalesce("_layer_color", "layer_color")).otherwise(col("layer_color"))
+    from pyspark.sql import Window
+
+    placed = rows.withColumn("_all", F.bool_and(here).over(Window.partitionBy("repo_id")))
+    analysed = placed.select(
+        "repo_id", "id", F.coalesce("_label", "label").alias("label"), F.when(layer, "layer").otherwise(F.coalesce("_type", "type")).alias("type"), "service_id",
+        *[value[c].alias(c) for c in NODE_FIELDS], *[F.when(col("_all"), col(f"_{c}")).alias(c) for c in ("x", "y")],
+    )
+    defaults = {"plan": "unknown", "confidence": "high", "source": "manual"}
+    manual = saved.join(made.select("repo_id", "id"), ["repo_id", "id"], "left_anti").select(
+        "repo_id", "id", col("_label").alias("label"), F.coalesce("_type", F.lit("external")).alias("type"), null().alias("service_id"),
+        *[(F.coalesce(f"_{c}", F.lit(defaults[c])) if c in defaults else col(f"_{c}")).alias(c) for c in NODE_FIELDS], col("_x").alias("x"), col("_y").alias("y"),
+    )
+    all_nodes = analysed.unionByName(manual)
     ids = all_nodes.select("repo_id", "id").distinct()
-    new = saved_edges.join(links.select("repo_id", "source", "target"), ["repo_id", "source", "target"], "left_anti")
+    new = saved_edges.join(links.select("repo_id", "source", "target").distinct(), ["repo_id", "source", "target"], "left_anti")
     new = new.join(ids.withColumnRenamed("id", "source"), ["repo_id", "source"], "left_semi").join(ids.withColumnRenamed("id", "target"), ["repo_id", "target"], "left_semi")
     return all_nodes, links.unionByName(new.select(*links.columns))
 
 
 def retyped(links: DataFrame, types: DataFrame) -> DataFrame:
-    """JN17: types (repo_id, service_id, flow_type) set the first edge (by source, target) that touches a service's node."""
-    ends = links.select("repo_id", "source", "target", F.explode(F.array_distinct(F.array("source", "target"))).alias("node"))
-    wanted = types.select("repo_id", F.concat(F.lit("svc-"), "service_id").alias("node"), F.col("flow_type").alias("_new"))
-    first = ends.join(wanted, ["repo_id", "node"]).groupBy("repo_id", "node", "_new").agg(F.min(F.struct("source", "target")).alias("e"))
-    chosen = first.groupBy("repo_id", F.col("e.source").alias("source"), F.col("e.target").alias("target")).agg(F.max("_new").alias("_new"))
-    return links.join(chosen, ["repo_id", "source", "target"], "left").withColumn("flow_type", F.coalesce("_new", "flow_type")).drop("_new")
+    """JN17: types (repo_id, service_id, flow_type) set, each, the first edge that touches a service's node; of several for one edge the last one stays.
+
+    First and last go by ord, of links and of types, where they have one; else edges by source and target.
+    """
+    place = F.struct("ord", "source", "target") if "ord" in links.columns else F.struct("source", "target")
+    turn = F.col("ord") if "ord" in types.columns else F.lit(0)
+    ends = links.select("repo_id", place.alias("e"), F.explode(F.array_distinct(F.array("source", "target"))).alias("node"))
+    wanted = types.select("repo_id", F.concat(F.lit("svc-"), "service_id").alias("node"), F.struct(turn.alias("turn"), F.col("flow_type").alias("new")).alias("t")).groupBy("repo_id", "node").agg(F.max("t").alias("t"))
+    first = ends.join(wanted, ["repo_id", "node"]).groupBy("repo_id", "node").agg(F.min("e").alias("e"), F.max("t").alias("t"))
+    keys = ["repo_id", "source", "target", *(["ord"] if "ord" in links.columns else [])]
+    chosen = first.groupBy("repo_id", "e").agg(F.max("t").alias("t")).select("repo_id", "e.*", F.col("t.new").alias("_new"))
+    return links.join(chosen, keys, "left").withColumn("flow_type", F.coalesce("_new", "flow_type")).select(*links.columns)
 
 
 def without(made: DataFrame, links: DataFrame, deleted: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as E
 from ..functions import rules
 from ..sources import repo
+from .ordering import in_walk_order, walk_ranks
 
 EVIDENCE = "array<struct<type:string,value:string,line:int>>"
 DEPENDENCY = "array<struct<name:string,version:string,type:string,ecosystem:string>>"
@@ -442,27 +443,50 @@ def kinds(files: DataFrame) -> DataFrame:
     return named.withColumn("kind", repo.file_kind(F.col("path"), F.col("basename"), F.col("ext"))).where("kind IS NOT NULL")
 
 
-def extract_evidences(files: DataFrame, project: Column | None = None) -> DataFrame:
-    """repo_id, type, value, file, line, ord of all evidence; ord follows path and emission."""
-    c, own = F.col("content"), F.lit(None).cast("string") if project is None else project
-    rows = kinds(files).withColumn("ord0", F.pmod(F.xxhash64("path"), F.lit(1 << 31)) * (1 << 20))
-    chain = F.when(F.col("kind") == "config_name", F.array(ev("config_file", F.col("basename"))))
-    for kind, fn in EVIDENCE_OF.items():
-        chain = chain.when(F.col("kind") == kind, (fn(c, own) if fn in (env, source) else fn(c)).cast(EVIDENCE))
-    first = rows.where("kind <> 'appsettings'").select("repo_id", F.col("path").alias("file"), "ord0", F.posexplode(chain).alias("at", "e"))
-    settings = settings_leaves(rows.where("kind = 'appsettings'").select("repo_id", F.col("path").alias("file"), "ord0", "content"))
-    second = settings.select("repo_id", "file", "ord0", F.posexplode(settings_evidence(F.col("prefix"), F.col("key"), F.col("value")).cast(EVIDENCE)).alias("at", "e"))
-    return first.unionByName(second).select("repo_id", "e.type", "e.value", "file", "e.line", (F.col("ord0") + F.col("at")).alias("ord"))
+def _chain(made: dict[str, Column]) -> Column:
+    """The column of a row's kind; null for others."""
+    out = None
+    for kind, column in made.items():
+        out = F.when(F.col("kind") == kind, column) if out is None else out.when(F.col("kind") == kind, column)
+    return out
 
 
-def extract_dependencies(files: DataFrame) -> DataFrame:
+def evidence_of(files: DataFrame, project: Column | None = None, only: list[str] | None = None) -> DataFrame:
+    """repo_id, type, value, file, line, at (place in the file) of all evidence; of the kinds in only, if given, and the plan holds their parsers alone."""
+    c, own = F.col("content"), F.lit(None).cast("string") if project is None else project
+    wanted = [k for k in ("config_name", *EVIDENCE_OF) if only is None or k in only]
+    rows = kinds(files).where(F.col("kind").isin([*wanted, *(["appsettings"] if only is None or "appsettings" in only else [])]))
+    chain = _chain({k: F.array(ev("config_file", F.col("basename"))) if k == "config_name" else (EVIDENCE_OF[k](c, own) if EVIDENCE_OF[k] in (env, source) else EVIDENCE_OF[k](c)).cast(EVIDENCE) for k in wanted})
+    parts = []
+    if wanted:
+        parts.append(rows.where("kind <> 'appsettings'").select("repo_id", F.col("path").alias("file"), F.posexplode(chain).alias("at", "e")))
+    if only is None or "appsettings" in only:
+        settings = settings_leaves(rows.where("kind = 'appsettings'").select("repo_id", F.col("path").alias("file"), F.lit(0).cast("long").alias("ord0"), "content"))
+        parts.append(settings.select("repo_id", "file", "ord0", F.posexplode(settings_evidence(F.col("prefix"), F.col("key"), F.col("value")).cast(EVIDENCE)).alias("at", "e")).select("repo_id", "file", (F.col("ord0") + F.col("at")).cast("int").alias("at"), "e"))
+    if not parts:
+        parts = [rows.limit(0).select("repo_id", F.col("path").alias("file"), F.lit(0).alias("at"), F.lit(None).cast(EVIDENCE)[0].alias("e"))]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out.select("repo_id", "e.type", "e.value", "file", "e.line", "at")
+
+
+def dependencies_of(files: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """repo_id, name, version, type, ecosystem, file, at (place in the file) of all manifests' entries."""
+    wanted = [k for k in DEPENDENCIES_OF if only is None or k in only]
+    rows = kinds(files).where(F.col("kind").isin(wanted))
+    chain = _chain({k: DEPENDENCIES_OF[k](F.col("content")).cast(DEPENDENCY) for k in wanted}) if wanted else F.array().cast(DEPENDENCY)
+    return rows.select("repo_id", F.col("path").alias("file"), F.posexplode(chain).alias("at", "d")).select("repo_id", "d.*", "file", "at")
+
+
+def extract_evidences(files: DataFrame, project: Column | None = None, ranks: DataFrame | None = None) -> DataFrame:
+    """repo_id, type, value, file, line, ord of all evidence; ord follows the walk, and emission within a file."""
+    return in_walk_order(evidence_of(files, project), walk_ranks(files) if ranks is None else ranks)
+
+
+def extract_dependencies(files: DataFrame, ranks: DataFrame | None = None) -> DataFrame:
     """repo_id, name, version, type, ecosystem, file, ord of all manifests' entries."""
-    chain = None
-    for kind, fn in DEPENDENCIES_OF.items():
-        made = fn(F.col("content")).cast(DEPENDENCY)
-        chain = F.when(F.col("kind") == kind, made) if chain is None else chain.when(F.col("kind") == kind, made)
-    rows = kinds(files).select("repo_id", F.col("path").alias("file"), (F.pmod(F.xxhash64("path"), F.lit(1 << 31)) * (1 << 20)).alias("ord0"), F.posexplode(chain).alias("at", "d"))
-    return rows.select("repo_id", "d.*", "file", (F.col("ord0") + F.col("at")).alias("ord"))
+    return in_walk_order(dependencies_of(files), walk_ranks(files) if ranks is None else ranks)
 
 
 def ecosystems(files: DataFrame, dependencies: DataFrame) -> DataFrame:

@@ -76,12 +76,64 @@ def _lines(rows: DataFrame, order: list[Column], line: Column) -> DataFrame:
     return packed.select("repo_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("body"))
 
 
-def services_markdown(services: DataFrame) -> DataFrame:
-    """SNK02: a table of services by category and name, one document a repository."""
-    cell = lambda c: F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|"))
-    line = F.concat(F.lit("| "), F.concat_ws(" | ", cell("name"), cell("category"), cell("plan"), cell("confidence")), F.lit(" |"))
-    head = "| Service | Category | Plan | Confidence |\n|---|---|---|---|\n"
-    return _lines(services, [F.col("category"), F.col("name")], line).select("repo_id", F.concat(F.lit(head), "body").alias("document"))
+def report_lines(services: DataFrame, dependencies: DataFrame | None = None, alternatives: DataFrame | None = None, date: Column | None = None) -> DataFrame:
+    """SNK02: repo_id, section, block, place, line of a report; in this order the lines are the document, and no row holds a whole one.
+
+    Sections: 0 title, 1 services by category (categories in order of their first service), 2 dependencies, 3 services without
+    activity, 4 alternatives, 5 end. services: repo_id, name, category, plan, confidence, ord and, where known, status,
+    last_activity, days; dependencies: repo_id, name, version, type, ecosystem, ord; alternatives: repo_id, ord, service_name, name, type, savings, reason.
+    """
+    last = (1 << 63) - 1
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("undefined"))
+    cells = lambda *cs: F.concat(F.lit("| "), F.concat_ws(" | ", *cs), F.lit(" |"))
+    long = lambda c: (F.lit(c) if isinstance(c, int) else c).cast("long")
+
+    def rows(of: DataFrame, section: int, block, place, line: Column) -> DataFrame:
+        return of.select("repo_id", F.lit(section).alias("section"), long(block).alias("block"), long(place).alias("place"), line.alias("line"))
+
+    def fixed(of: DataFrame, section: int, block, before: list, after: bool = True) -> DataFrame:
+        """Lines before all places of a block (the first at a lowest place), and an empty one behind."""
+        made = [F.struct(F.lit(i - len(before) - 1).alias("p"), (F.lit(x) if isinstance(x, str) else x).alias("l")) for i, x in enumerate(before)]
+        made += [F.struct(F.lit(last).alias("p"), F.lit("").alias("l"))] * after
+        return rows(of.select("*", F.explode(F.array(*made)).alias("_f")), section, block, F.col("_f.p"), F.col("_f.l"))
+
+    categories = services.groupBy("repo_id", "category").agg(F.min("ord").alias("first"))
+    repos = services.select("repo_id").distinct()
+    title = F.concat(F.upper(F.left("category", F.lit(1))), F.expr("substring(category, 2)"))
+    in_group = services.join(categories, ["repo_id", "category"])
+    parts = []
+    if dependencies is not None:
+        repos = repos.unionByName(dependencies.select("repo_id")).distinct()
+        counted = dependencies.groupBy("repo_id").agg(F.count("*").alias("n"))
+        parts += [
+            fixed(counted, 2, 0, [F.concat(F.lit("## Dependencies ("), F.col("n").cast("string"), F.lit(")")), "", "| Name | Version | Type | Ecosystem |", "|---|---|---|---|"]),
+            rows(dependencies, 2, 0, F.col("ord"), cells(*map(text, ("name", "version", "type", "ecosystem")))),
+        ]
+    if "status" in services.columns:
+        day = F.coalesce(F.date_format("last_activity", "yyyy-MM-dd"), F.lit("unknown")) if "last_activity" in services.columns else F.lit("unknown")
+        ago = F.when(F.col("days").isNotNull(), F.concat(F.lit(", "), F.col("days").cast("string"), F.lit(" days ago"))).otherwise("") if "days" in services.columns else F.lit("")
+        item = F.concat(F.lit("- **"), text("name"), F.lit("** (last activity: "), day, ago, F.lit(")"))
+        idle = services.where("status IN ('zombie', 'stale')")
+        parts.append(fixed(idle.select("repo_id").distinct(), 3, 0, ["## Zombie Services", ""], after=False))
+        for block, (status, head) in enumerate((("zombie", "### Zombie (6+ months inactive)"), ("stale", "### Stale (3-6 months inactive)")), 1):
+            some = idle.where(F.col("status") == status)
+            parts += [fixed(some.select("repo_id").distinct(), 3, block, [head, ""]), rows(some, 3, block, F.col("ord"), item)]
+    if alternatives is not None:
+        parts += [
+            fixed(alternatives.select("repo_id").distinct(), 4, 0, ["## Stack Alternatives", "", "| Service | Alternative | Type | Savings | Reason |", "|---|---|---|---|---|"]),
+            rows(alternatives, 4, 0, F.col("ord"), cells(text("service_name"), text("name"), text("type"), F.coalesce("savings", F.lit("-")), text("reason"))),
+        ]
+    on = F.current_date() if date is None else date
+    out = fixed(repos, 0, 0, [F.concat(F.lit("# Services - "), F.col("repo_id").cast("string")), "", F.concat(F.lit("Generated on "), on.cast("string")), ""], after=False)
+    out = out.unionByName(fixed(categories, 1, F.col("first"), [F.concat(F.lit("## "), title), "", "| Service | Plan | Confidence |", "|---|---|---|"]))
+    out = out.unionByName(rows(in_group, 1, F.col("first"), F.col("ord"), cells(text("name"), text("plan"), F.coalesce("confidence", F.lit("medium")))))
+    for part in parts:
+        out = out.unionByName(part)
+    return out.unionByName(fixed(repos, 5, 0, ["---"], after=False))
+
+
+#: Columns whose order is that of a report's lines.
+LINE_ORDER = ["repo_id", "section", "block", "place"]
 
 
 def services_html(services: DataFrame, edges: DataFrame | None = None) -> DataFrame:

@@ -68,6 +68,18 @@ def names(values: list[str]) -> str:
 
 
 PARTS = "string_split(path, '/')"
+many = f"files AS ({A.duckdb(T.files_sql(T.MANIFESTS))})"
+
+
+def entries(path: str, when: str, *rows: tuple[str, str, str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT {REPO} AS repo_id, {T.text(path)} AS file, {at} AS pos, {T.text(n)} AS name, {T.text(v)} AS version, '{kind}' AS type, '{eco}' AS ecosystem FROM ({SEED}) WHERE {when}" for at, (n, v, kind, eco) in enumerate(rows))
+
+
+listed = "listed AS (" + " UNION ALL ".join([
+    entries("d§k/package.json", "true", *DEPENDENCIES["tvf01_package_json"]), entries("d§k/requirements.txt", "k % 5 = 0", *DEPENDENCIES["tvf08_requirements"]),
+    entries("d§k/sub-§b/package.json", "k % 3 = 0", ("dev-§b", "§k", "production", "npm"), ("react", "§v", "development", "npm")),
+    entries("vendored/§k/package.json", "k % 2 = 0", ("react", "v§v", "production", "npm"), ("vendored-§k", "1", "production", "npm")),
+]) + ")"
 KINDS = " ".join(f"WHEN {i} THEN " + (f"'{kind}'" if kind else "NULL") for i, (_, kind) in enumerate(T.KIND_NAMES))
 SQL: dict[str, str] = {name: made(name) for name in T.TEMPLATES if name != "tvf26_env_map"} | {
     "tvf26_env_map": f"WITH seed AS ({SEED}) SELECT {REPO} AS repo_id, {T.text('d§k/.env')} AS file, 'A' AS key, CAST(b AS STRING) AS value FROM seed UNION ALL SELECT {REPO}, {T.text('d§k/.env')}, 'B', a FROM seed",
@@ -77,7 +89,7 @@ WHERE len(list_filter({PARTS}, lambda x: x IN ({names(rules.EXCLUDED_DIRS)}) OR
   AND NOT (ends_with(path, '.test.ts') OR ends_with(path, '.spec.jsx'))""",
     "src02_gitignore": f"""
 WITH {files(T.IGNORES)}
-SELECT repo_id, path FROM files WHERE path <> '.gitignore' AND NOT CASE WHEN repo_id % 2 = 0 THEN path IN ('a.log', 'out/a.js', 'tmp1/x') WHEN repo_id % 4 <> 3 THEN path IN ('docs/a/b.md', 'src/a.txt') ELSE false END""",
+SELECT repo_id, path FROM files WHERE path <> '.gitignore' AND NOT CASE WHEN repo_id % 2 = 0 THEN path IN ('a.log', 'B.LOG', 'out/a.js', 'out/keep.js', 'out/deep/er/b.js', 'tmp1/x') WHEN repo_id % 4 <> 3 THEN path IN ('docs/a/b.md', 'src/a.txt') ELSE false END""",
     "src06_kinds": f"SELECT CAST(p_partkey AS INT) AS repo_id, CASE p_partkey % {len(T.KIND_NAMES)} {KINDS} END AS kind FROM part WHERE CASE p_partkey % {len(T.KIND_NAMES)} {KINDS} END IS NOT NULL",
     "src15_workspaces": f"""
 WITH seed AS ({SEED})
@@ -92,4 +104,14 @@ FROM seed""",
 WITH seed AS ({SEED})
 SELECT {REPO} AS repo_id, string_agg(DISTINCT e, ',' ORDER BY e) AS ecosystems FROM (
   SELECT k, unnest(['node', 'python', 'go']) AS e FROM seed) GROUP BY ALL""",
-}
+    "src01_walk_order": f"""
+WITH {many}, w AS (SELECT DISTINCT repo_id, path FROM files WHERE NOT starts_with(path, '.git'))
+SELECT repo_id, path AS file, row_number() OVER (ORDER BY repo_id, string_split(path, '/')) - 1 AS rank FROM w""",
+    "src02_inventory": f"""
+WITH {many}, {listed}
+SELECT repo_id, file, name, version, type FROM listed WHERE NOT (repo_id % 2 = 0 AND starts_with(file, 'vendored/'))""",
+    "agg07_walk_dedup": f"""
+WITH {many}, {listed}
+SELECT repo_id, ecosystem, name, version, type, file FROM listed WHERE NOT (repo_id % 2 = 0 AND starts_with(file, 'vendored/'))
+QUALIFY row_number() OVER (PARTITION BY repo_id, ecosystem, name ORDER BY type <> 'production', string_split(file, '/'), pos) = 1""",
+}

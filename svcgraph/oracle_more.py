@@ -28,25 +28,40 @@ SQL: dict[str, str] = {
     "jn19_badges": f"WITH {FOUND} SELECT ord, (SELECT count(*) FROM found f WHERE f.repo_id = de.repo_id AND f.ecosystem = de.ecosystem AND f.name = de.name) AS advisories FROM de",
     "agg14_checks_scanned": f"WITH {SE}, {FOUND}, {COUNTS}, r AS (SELECT DISTINCT repo_id FROM se), j AS (SELECT r.repo_id, cnt.critical, cnt.high FROM r LEFT JOIN cnt ON r.repo_id = cnt.repo_id), x AS (SELECT repo_id, 'NO_CRITICAL_VULNS' AS check_id, critical AS n FROM j UNION ALL SELECT repo_id, 'NO_HIGH_VULNS', high FROM j) SELECT repo_id, check_id, 'security' AS kind, CASE WHEN n IS NULL THEN 'unchecked' WHEN n = 0 THEN 'pass' ELSE 'fail' END AS status, n AS affected FROM x",
     "jn15_missing_nodes": f"WITH {SE} {NODE} WHERE ord % 2 = 1 UNION ALL SELECT repo_id, 'edge', 'user', 'svc-' || id FROM se WHERE ord % 2 = 1",
-    "jn16_saved_graph": f"""WITH {SE}, n AS (SELECT repo_id, 'svc-' || id AS id FROM se WHERE ord % 2 = 0 UNION ALL SELECT repo_id, 'm-' || ord FROM se WHERE ord % 10 = 1),
-d AS (SELECT repo_id, 'm-' || ord AS source, 'svc-' || id AS target FROM se WHERE ord % 5 = 1 UNION ALL SELECT repo_id, 'm-' || ord, 'm-' || ord FROM se WHERE ord % 5 = 1)
+    "jn16_saved_graph": f"""WITH {SE}, n AS (SELECT repo_id, 'svc-' || id AS id FROM se WHERE ord % 2 = 0 AND (repo_id % 10 <> 3 OR ord % 4 = 0) OR ord % 10 = 1),
+d AS (SELECT repo_id, 'svc-' || id AS source, 'svc-' || id AS target FROM se WHERE ord % 5 = 1)
 SELECT repo_id, 'node' AS part, id AS a, CAST(NULL AS STRING) AS b FROM n UNION ALL {EDGE} AND ord % 2 = 0
-UNION ALL SELECT repo_id, 'edge', source, target FROM d WHERE EXISTS (SELECT 1 FROM n WHERE n.repo_id = d.repo_id AND n.id = source) AND EXISTS (SELECT 1 FROM n WHERE n.repo_id = d.repo_id AND n.id = target)""",
-    "jn17_retyped": f"WITH {SE} SELECT repo_id, 'user' AS source, 'svc-' || id AS target, CASE WHEN ord % 5 = 0 THEN 'webhook' ELSE 'data' END AS flow_type FROM se WHERE ord % 3 = 0",
+UNION ALL SELECT repo_id, 'edge', source, target FROM d WHERE EXISTS (SELECT 1 FROM n WHERE n.repo_id = d.repo_id AND n.id = source)""",
+    "jn16_saved_nodes": f"""WITH {SE}
+SELECT repo_id, 'svc-' || id AS id, CASE WHEN ord % 4 = 0 AND ord % 8 <> 0 THEN 'L-' || name ELSE name END AS label, CASE WHEN ord % 12 = 0 THEN 'cdn' ELSE 'service' END AS type, id AS service_id,
+  CASE WHEN ord % 4 <> 0 THEN category WHEN ord % 16 = 0 THEN 'saved' END AS category, CASE WHEN ord % 4 <> 0 THEN plan END AS plan, confidence, CASE WHEN ord % 4 <> 0 THEN url END AS url, CASE WHEN ord % 4 = 0 THEN 'n' END AS note,
+  CASE WHEN ord % 4 <> 0 THEN source END AS source, CAST(NULL AS STRING) AS layer_color, CASE WHEN repo_id % 10 = 3 THEN 1.0::DOUBLE END AS x, CASE WHEN repo_id % 10 = 3 THEN 2.0::DOUBLE END AS y
+FROM se WHERE ord % 2 = 0 AND (repo_id % 10 <> 3 OR ord % 4 = 0)
+UNION ALL SELECT repo_id, 'svc-' || id, name, 'external', NULL, NULL, 'unknown', 'high', NULL, 'n', 'manual', NULL, 1.0, 2.0 FROM se WHERE ord % 10 = 1""",
+    "jn17_retyped": f"""WITH {SE} SELECT repo_id, v.e AS source, 'svc-' || id AS target, CASE WHEN ord % 5 = 0 AND v.e = 'user' THEN 'auth' ELSE 'data' END AS flow_type FROM se, (VALUES ('user'), ('api')) v(e) WHERE ord % 3 = 0""",
     "jn20_labelled": f"WITH {SE} SELECT repo_id, 'user' AS source, 'svc-' || id AS target, 'data' AS flow_type, 'user' AS source_label, CASE WHEN ord % 2 = 0 THEN name ELSE 'svc-' || id END AS target_label FROM se WHERE ord % 3 = 0",
     "gr06_without": f"WITH {SE} {NODE} WHERE ord % 7 <> 0 UNION ALL {EDGE} AND ord % 7 <> 0",
     "gr07_overlaid": f"WITH {SE} SELECT repo_id, id, CASE WHEN ord % 4 = 0 THEN 'edited' ELSE category END AS category, CASE WHEN ord % 4 = 0 THEN 'high' ELSE confidence END AS confidence FROM se WHERE ord % 8 <> 0 UNION ALL SELECT repo_id, 'n-' || id, 'added', 'high' FROM se WHERE ord % 9 = 0",
-    "jn13_model_merge": f"""WITH {SE}, x AS (SELECT *, ord % 3 = 0 AS s, ord % 3 = 0 AND confidence = 'low' AS up FROM se)
-SELECT repo_id, id, name, CASE WHEN s AND category = 'other' THEN 'ai' ELSE category END AS category, CASE WHEN up THEN 'medium' ELSE confidence END AS confidence, CASE WHEN up THEN false ELSE needs_review END AS needs_review, CASE WHEN s THEN 'scan|model' ELSE 'scan' END AS reasons FROM x
-UNION ALL SELECT repo_id, 'x-' || id, 'New', 'other', 'low', true, 'model' FROM se WHERE ord % 10 = 0""",
+    "jn13_model_merge": f"""WITH {SE}
+SELECT repo_id, id, name, CASE WHEN ord % 3 = 0 AND category = 'other' THEN 'ai' ELSE category END AS category,
+  CASE WHEN ord % 6 = 0 AND confidence <> 'high' THEN 'high' WHEN ord % 3 = 0 AND confidence = 'low' THEN 'medium' ELSE confidence END AS confidence,
+  CASE WHEN ord % 6 = 0 AND confidence <> 'high' OR ord % 3 = 0 AND confidence = 'low' THEN false ELSE needs_review END AS needs_review,
+  'scan' || CASE WHEN ord % 3 = 0 THEN '|model' ELSE '' END || CASE WHEN ord % 6 = 0 THEN '|again' ELSE '' END AS reasons FROM se
+UNION ALL SELECT repo_id, 'x-' || id, 'New', CASE WHEN ord % 20 = 0 THEN 'cdn' ELSE 'other' END, CASE WHEN ord % 20 = 0 THEN 'medium' ELSE 'low' END, ord % 20 <> 0, CASE WHEN ord % 20 = 0 THEN 'model|more' ELSE 'model' END FROM se WHERE ord % 10 = 0""",
     "jn14_config_overlay": f"""WITH {SE}, c AS (SELECT repo_id, id, name, ord FROM se WHERE ord % 11 = 0), m AS (SELECT s.repo_id, s.id, min(c.ord) AS o FROM se s JOIN c ON c.repo_id = s.repo_id AND (c.id = s.id OR c.name = s.name) GROUP BY ALL)
 SELECT se.repo_id, se.id, CASE WHEN o IS NOT NULL THEN 'c' || o ELSE owner END AS owner, CASE WHEN o IS NOT NULL THEN 'free' ELSE plan END AS plan FROM se LEFT JOIN m ON m.repo_id = se.repo_id AND m.id = se.id""",
-    "jn22_relevant_files": f"WITH {EV}, s AS (SELECT DISTINCT repo_id, split_part(lower(value), '_', 1) AS needle FROM ev WHERE type = 'ci_secret'), f AS (SELECT DISTINCT e.repo_id, s.needle AS id, e.file FROM ev e JOIN s ON e.repo_id = s.repo_id AND (contains(lower(e.value), s.needle) OR contains(lower(e.file), s.needle))) SELECT *, CAST(row_number() OVER (PARTITION BY repo_id, id ORDER BY file) AS INT) AS k FROM f QUALIFY k <= 3",
+    "jn22_relevant_files": f"""WITH {EV}, x AS (SELECT DISTINCT repo_id, split_part(lower(value), '_', 1) AS needle FROM ev WHERE type = 'ci_secret'),
+f AS (SELECT x.repo_id, CASE WHEN x.repo_id % 2 = 0 THEN needle ELSE 'no-' || needle END AS id, e.file, min(e.ord) AS o FROM x JOIN ev e ON e.repo_id = x.repo_id AND contains(lower(e.value), x.needle) GROUP BY ALL)
+SELECT repo_id, id, file, CAST(row_number() OVER (PARTITION BY repo_id, id ORDER BY o, file) AS INT) AS k FROM f QUALIFY k <= 3""",
     "jn23_restored": f"""WITH {SE}, x AS (SELECT repo_id, id, name, EXISTS (SELECT 1 FROM se c WHERE c.ord % 6 = 1 AND c.repo_id = se.repo_id AND c.name = se.name) AS back FROM se WHERE confidence = 'low')
 SELECT repo_id, CASE WHEN back THEN 'service' ELSE 'discarded' END AS part, CASE WHEN back THEN replace(lower(name), ' ', '-') ELSE id END AS item, name FROM x""",
     "ai01_keep": f"WITH {SE}, x AS (SELECT *, ord % 3 = 0 AND repo_id % 5 <> 0 AS k, bool_or(ord % 3 = 0 AND repo_id % 5 <> 0) OVER (PARTITION BY repo_id) AS any_kept FROM se) SELECT repo_id, id FROM x WHERE k OR NOT any_kept",
-    "ai02_actions": f"""WITH {SE} SELECT repo_id, id, category, confidence, needs_review FROM se WHERE confidence = 'high'
-UNION ALL SELECT repo_id, id, CASE WHEN ord % 3 = 0 AND ord % 9 <> 0 THEN 'email' ELSE category END, CASE WHEN ord % 4 = 1 THEN 'low' ELSE confidence END, CASE WHEN ord % 4 = 1 THEN true ELSE needs_review END FROM se WHERE confidence <> 'high' AND ord % 5 <> 0 AND ord % 13 <> 0""",
+    "ai02_actions": f"""WITH {SE}, keep AS (SELECT repo_id, min(ord) AS k FROM se WHERE confidence <> 'high' AND ord % 7 = 0 GROUP BY 1), o AS (SELECT se.*, k FROM se LEFT JOIN keep USING (repo_id) WHERE confidence <> 'high'),
+taken AS (SELECT repo_id, string_agg('r-' || id, '|' ORDER BY ord) AS t FROM o WHERE ord % 5 = 0 AND ord <> k GROUP BY 1)
+SELECT repo_id, id, category, confidence, needs_review, 'r-' || id AS reasons FROM se WHERE confidence = 'high'
+UNION ALL SELECT repo_id, id, CASE WHEN ord % 3 = 0 AND ord % 9 <> 0 THEN 'email' ELSE category END, CASE WHEN ord % 4 = 1 THEN 'low' ELSE confidence END, CASE WHEN ord % 4 = 1 THEN true ELSE needs_review END,
+  'r-' || id || CASE WHEN ord = k THEN coalesce('|' || t, '') ELSE '' END
+FROM o LEFT JOIN taken USING (repo_id) WHERE (ord % 5 <> 0 OR k IS NULL OR ord = k) AND ord % 13 <> 0""",
     "jn07_activity": f"WITH {SE} SELECT repo_id, id, CASE WHEN ord % 2 = 0 THEN ord END AS days FROM se",
     "src09_snapshots": "SELECT p_partkey AS repo_id, 'a' || p_size AS id, 'email' AS category FROM part WHERE p_partkey % 2 = 0 AND p_partkey % 5 <> 0 UNION ALL SELECT p_partkey, 'b', NULL FROM part WHERE p_partkey % 2 = 0 AND p_partkey % 5 <> 0",
     "src10_histories": "SELECT p_partkey AS repo_id, CAST(0 AS INT) AS at, CAST(p_size AS INT) AS score FROM part WHERE p_partkey % 3 = 2 UNION ALL SELECT p_partkey, 1, 1 FROM part WHERE p_partkey % 3 = 2",
@@ -71,6 +86,21 @@ SELECT repo_id, round(spent, 2) AS spent, round(p, 4) AS percent, CASE WHEN p >
     "agg22_share": f"WITH {SE}, {DE}, a AS (SELECT repo_id, count(*) AS services, CAST(floor(sum(coalesce(CASE WHEN period = 'yearly' THEN amount / 12 ELSE amount END, 0)) + 0.5) AS BIGINT) AS monthly_cost FROM se GROUP BY 1), b AS (SELECT repo_id, count(*) AS n FROM de GROUP BY 1) SELECT a.repo_id, services, coalesce(n, 0) AS dependencies, monthly_cost FROM a LEFT JOIN b ON a.repo_id = b.repo_id",
     "flt08_notifications": f"""WITH {SE}, x AS (SELECT repo_id, name, CAST(date_diff('day', DATE '2000-01-01', next_date) AS INT) AS days FROM se WHERE next_date IS NOT NULL), y AS (SELECT *, count(*) OVER (PARTITION BY repo_id) AS n FROM x WHERE days BETWEEN 1 AND 30)
 SELECT repo_id, name || ' renews in ' || days || ' days' AS message FROM y WHERE n <= 3 UNION ALL SELECT repo_id, count(*) || ' renewals coming up: ' || string_agg(name, ', ' ORDER BY days, name) FROM y WHERE n > 3 GROUP BY repo_id""",
-    "snk02_markdown": f"WITH {SE} SELECT repo_id, '| Service | Category | Plan | Confidence |' || chr(10) || '|---|---|---|---|' || chr(10) || string_agg('| ' || name || ' | ' || category || ' | ' || plan || ' | ' || confidence || ' |', chr(10) ORDER BY category, name, plan, confidence) AS document FROM se GROUP BY repo_id",
+    "snk02_markdown": f"""WITH {SE}, {DE}, v AS (SELECT * FROM se WHERE confidence <> 'low' AND NOT needs_review), c AS (SELECT repo_id, category, min(ord) AS block FROM v GROUP BY ALL),
+r AS (SELECT repo_id FROM v UNION SELECT repo_id FROM de), n AS (SELECT repo_id, count(*) AS n FROM de GROUP BY ALL), z AS (SELECT *, '- **' || name || '** (last activity: ' || coalesce(strftime(last_renewed, '%Y-%m-%d'), 'unknown') || CASE WHEN ord % 3 = 0 THEN ', ' || (ord % 400) || ' days ago' ELSE '' END || ')' AS item FROM v WHERE status IN ('zombie', 'stale')),
+a AS (SELECT * FROM se WHERE ord % 40 = 0), last AS (SELECT 9223372036854775807 AS e),
+lines(repo_id, section, block, place, line) AS (
+  SELECT repo_id, 0, 0, unnest([-5, -4, -3, -2]), unnest(['# Services - ' || repo_id, '', 'Generated on 2024-06-30', '']) FROM r
+  UNION ALL SELECT repo_id, 1, block, unnest([-5, -4, -3, -2, e]), unnest(['## ' || upper(category[1:1]) || category[2:], '', '| Service | Plan | Confidence |', '|---|---|---|', '']) FROM c, last
+  UNION ALL SELECT repo_id, 1, block, ord, '| ' || name || ' | ' || plan || ' | ' || confidence || ' |' FROM v JOIN c USING (repo_id, category)
+  UNION ALL SELECT repo_id, 2, 0, unnest([-5, -4, -3, -2, e]), unnest(['## Dependencies (' || n || ')', '', '| Name | Version | Type | Ecosystem |', '|---|---|---|---|', '']) FROM n, last
+  UNION ALL SELECT repo_id, 2, 0, ord, '| ' || name || ' | ' || version || ' | ' || type || ' | ' || ecosystem || ' |' FROM de
+  UNION ALL SELECT DISTINCT repo_id, 3, 0, unnest([-3, -2]), unnest(['## Zombie Services', '']) FROM z
+  UNION ALL SELECT DISTINCT repo_id, 3, CASE status WHEN 'zombie' THEN 1 ELSE 2 END, unnest([-3, -2, e]), unnest([CASE status WHEN 'zombie' THEN '### Zombie (6+ months inactive)' ELSE '### Stale (3-6 months inactive)' END, '', '']) FROM z, last
+  UNION ALL SELECT repo_id, 3, CASE status WHEN 'zombie' THEN 1 ELSE 2 END, ord, item FROM z
+  UNION ALL SELECT DISTINCT repo_id, 4, 0, unnest([-6, -5, -4, -3, -2, e][2:]), unnest(['## Stack Alternatives', '', '| Service | Alternative | Type | Savings | Reason |', '|---|---|---|---|---|', '']) FROM a, last
+  UNION ALL SELECT repo_id, 4, 0, ord, '| ' || name || ' | Alt | open | ' || CASE WHEN ord % 80 <> 0 THEN '$5' ELSE '-' END || ' | r |' FROM a
+  UNION ALL SELECT repo_id, 5, 0, -2, '---' FROM r)
+SELECT repo_id, CAST(section AS INT) AS section, CAST(block AS BIGINT) AS block, CAST(place AS BIGINT) AS place, line FROM lines""",
     "snk04_html": f"WITH {SE} SELECT repo_id, '<table>' || chr(10) || string_agg('<tr><td>' || name || '</td><td>' || category || '</td><td>' || plan || '</td></tr>', chr(10) ORDER BY category, name, plan) || chr(10) || '</table>' AS document FROM se GROUP BY repo_id",
 }

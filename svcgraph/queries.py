@@ -169,7 +169,7 @@ QUERIES: dict[str, Query] = {
     "gr04_edges": lambda s, d: graph.edges(services(s, d)),
     "fn37_structure": lambda s, d: graph.structure_hash(graph.nodes(repositories(s, d), services(s, d)), graph.edges(services(s, d))),
     "sbom_purl": lambda s, d: reports.components(deps(s, d)).select("repo_id", "ord", "purl", "scope"),
-    "snk02_markdown": lambda s, d: reports.services_markdown(services(s, d)),
+    "snk02_markdown": lambda s, d: reports.report_lines(health.default_view(services(s, d)).withColumn("last_activity", F.col("last_renewed")).withColumn("days", F.when(F.col("ord") % 3 == 0, F.col("ord") % 400)), deps(s, d), queries_more.alternatives(s, d), F.lit(AS_OF)),
     "snk04_html": lambda s, d: reports.services_html(services(s, d)),
     "snk06_cyclonedx": lambda s, d: reports.cyclonedx(deps(s, d), F.lit("app"), F.lit(AS_OF)),
     "snk07_spdx": lambda s, d: reports.spdx(deps(s, d), F.lit("app"), F.lit(AS_OF)),

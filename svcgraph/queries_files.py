@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import parsers
+from .operators import grouping, parsers
+from .operators.ordering import walk_ranks
 from .sources import adapters as A
 from .sources import file_adapter as T
 from .sources import repo
@@ -23,11 +24,20 @@ def template(s: SparkSession, d: str, name: str) -> DataFrame:
     return A.adapted(s, d, T.files_sql([(*T.TEMPLATES[name], "true")]))
 
 
+#: The kind of file that each template is of; its query's plan holds that parser alone.
+KIND_OF = {
+    "tvf01_package_json": "package_json", "tvf02_env": "env", "tvf03_compose": "compose", "tvf04_workflow": "workflow", "tvf05_config_names": "config_name", "tvf06_source": "source", "tvf07_content_lines": "source",
+    "tvf08_requirements": "requirements", "tvf09_pyproject": "pyproject", "tvf10_setup_py": "setup_py", "tvf11_cargo": "cargo", "tvf12_go_mod": "go_mod", "tvf13_terraform": "terraform", "tvf14_csproj": "csproj",
+    "tvf15_appsettings": "appsettings", "tvf16_web_config": "web_config", "tvf17_pom": "pom", "tvf18_gradle": "gradle", "tvf19_properties": "properties", "tvf20_application_yml": "application_yml", "tvf21_gemfile": "gemfile",
+    "tvf22_database_yml": "database_yml", "tvf23_composer": "composer", "tvf24_pipfile": "pipfile", "tvf25_setup_cfg": "setup_cfg",
+}
+
+
 def parsed(name: str) -> Query:
     def query(s: SparkSession, d: str) -> DataFrame:
-        walked = repo.walked(template(s, d, name))
-        found = parsers.extract_evidences(walked).select("repo_id", "file", F.lit("evidence").alias("part"), "type", "value", "line", F.lit(None).cast("string").alias("version"), F.lit(None).cast("string").alias("ecosystem"))
-        needed = parsers.extract_dependencies(walked).select("repo_id", "file", F.lit("dependency").alias("part"), "type", F.col("name").alias("value"), F.lit(None).cast("int").alias("line"), "version", "ecosystem")
+        walked, only = repo.walked(template(s, d, name)), [KIND_OF[name]]
+        found = parsers.evidence_of(walked, only=only).select("repo_id", "file", F.lit("evidence").alias("part"), "type", "value", "line", F.lit(None).cast("string").alias("version"), F.lit(None).cast("string").alias("ecosystem"))
+        needed = parsers.dependencies_of(walked, only=only).select("repo_id", "file", F.lit("dependency").alias("part"), "type", F.col("name").alias("value"), F.lit(None).cast("int").alias("line"), "version", "ecosystem")
         return found.unionAll(needed)
 
     return query
@@ -41,7 +51,12 @@ def kinds(s: SparkSession, d: str) -> DataFrame:
 
 def ecosystems(s: SparkSession, d: str) -> DataFrame:
     rows = repo.walked(A.adapted(s, d, T.files_sql([(*T.TEMPLATES[n], "true") for n in ("tvf01_package_json", "tvf08_requirements", "tvf12_go_mod")])))
-    return parsers.ecosystems(rows, parsers.extract_dependencies(rows)).withColumn("ecosystems", F.array_join("ecosystems", ","))
+    return parsers.ecosystems(rows, parsers.dependencies_of(rows)).withColumn("ecosystems", F.array_join("ecosystems", ","))
+
+
+def needed(s: SparkSession, d: str) -> DataFrame:
+    """The dependencies of repositories with manifests in many folders, some of them ignored, in the order of the walk."""
+    return parsers.extract_dependencies(repo.walked(repo.without_ignored(A.adapted(s, d, T.files_sql(T.MANIFESTS)))))
 
 
 QUERIES: dict[str, Query] = {name: parsed(name) for name in T.TEMPLATES if name != "tvf26_env_map"} | {
@@ -52,4 +67,7 @@ QUERIES: dict[str, Query] = {name: parsed(name) for name in T.TEMPLATES if name
     "src15_workspaces": lambda s, d: repo.workspace_packages(files(s, d, T.WORKSPACES)),
     "fn05_own_names": lambda s, d: parsers.project_names(files(s, d, T.NAMES)),
     "fn07_ecosystems": ecosystems,
+    "src01_walk_order": lambda s, d: walk_ranks(repo.walked(A.adapted(s, d, T.files_sql(T.MANIFESTS)))),
+    "src02_inventory": lambda s, d: needed(s, d).select("repo_id", "file", "name", "version", "type"),
+    "agg07_walk_dedup": lambda s, d: grouping.unique_dependencies(needed(s, d)).select("repo_id", "ecosystem", "name", "version", "type", "file"),
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import exprs as E
@@ -53,14 +53,22 @@ def parts(made: DataFrame, edges: DataFrame) -> DataFrame:
     return made.select("repo_id", F.lit("node").alias("part"), F.col("id").alias("a"), F.lit(None).cast("string").alias("b")).unionAll(edges.select("repo_id", F.lit("edge"), "source", "target"))
 
 
+def saved_graph(s, d):
+    """An analysed graph, all of whose nodes are saved in a tenth of the repositories, with edited fields, own nodes and edges."""
+    made = nodes(s, d).where("ord % 2 = 0 AND (repo_id % 10 <> 3 OR ord % 4 = 0)").drop("ord")
+    edges = links(s, d).where("ord % 2 = 0").drop("ord")
+    when = lambda condition, value: F.when(F.expr(condition), value)
+    own = services(s, d).where("ord % 4 = 0 OR ord % 10 = 1").select(
+        "repo_id", F.concat(F.lit("svc-"), "id").alias("id"), when("ord % 4 = 0 AND ord % 8 <> 0", F.concat(F.lit("L-"), "name")).when(F.expr("ord % 10 = 1"), F.col("name")).alias("label"), when("ord % 12 = 0", "cdn").alias("type"),
+        when("ord % 16 = 0", "saved").alias("category"), F.lit("n").alias("note"), F.lit(1.0).alias("x"), F.lit(2.0).alias("y"),
+    )
+    drawn = services(s, d).where("ord % 5 = 1").select("repo_id", F.concat(F.lit("svc-"), "id").alias("source"), F.concat(F.lit("svc-"), "id").alias("target"), F.lit("x").alias("flow_type"))
+    back = drawn.withColumn("target", F.lit("gone"))
+    return graph.with_saved(made, edges, own, drawn.unionAll(back), services(s, d))
+
+
 def merged_graph(s, d):
-    made, edges = nodes(s, d).where("ord % 2 = 0").drop("ord"), links(s, d).where("ord % 2 = 0").drop("ord")
-    saved = services(s, d).where("ord % 4 = 0").select("repo_id", F.concat(F.lit("svc-"), "id").alias("id"), "name", F.col("id").alias("service_id"))
-    manual = services(s, d).where("ord % 10 = 1").select("repo_id", F.concat(F.lit("m-"), F.col("ord").cast("string")).alias("id"), "name", F.lit(None).cast("string").alias("service_id"))
-    own = saved.unionAll(manual).select("repo_id", "id", F.col("name").alias("label"), F.lit("service").alias("type"), "service_id", F.lit(1.0).alias("x"), F.lit(2.0).alias("y"))
-    drawn = services(s, d).where("ord % 5 = 1").select("repo_id", F.concat(F.lit("m-"), F.col("ord").cast("string")).alias("source"), F.concat(F.lit("svc-"), "id").alias("target"), F.lit("x").alias("flow_type"))
-    loops = drawn.withColumn("target", F.col("source"))
-    return parts(*graph.with_saved(made, edges, own, drawn.unionAll(loops)))
+    return parts(*saved_graph(s, d))
 
 
 def overlaid(s, d):
@@ -75,9 +83,15 @@ def reasoned(s, d):
 
 
 def model_merged(s, d):
-    known = services(s, d).where("ord % 3 = 0").select("repo_id", "id", "name", F.lit("ai").alias("category"), F.lit("medium").alias("confidence"), F.array(F.lit("model")).alias("reasons"))
-    new = services(s, d).where("ord % 5 = 0").select("repo_id", F.concat(F.lit("x-"), "id").alias("id"), F.when(F.expr("ord % 2 = 0"), F.lit("New")).alias("name"), F.lit(None).cast("string").alias("category"), F.lit("low").alias("confidence"), F.array(F.lit("model")).alias("reasons"))
-    return facts.merge_model(reasoned(s, d), known.unionAll(new)).withColumn("reasons", F.array_join("reasons", "|"))
+    def suggest(when, id_, name, category, confidence, reason, turn):
+        made = lambda x: x if isinstance(x, Column) else F.lit(x).cast("string")
+        reasons = F.lit(None).cast("array<string>") if reason is None else F.array(F.lit(reason))
+        return services(s, d).where(when).select("repo_id", id_.alias("id"), made(name).alias("name"), made(category).alias("category"), made(confidence).alias("confidence"), reasons.alias("reasons"), F.lit(turn).alias("ord"))
+
+    known, new = F.col("id"), F.concat(F.lit("x-"), "id")
+    todo = suggest("ord % 3 = 0", known, F.col("name"), "ai", "medium", "model", 1).unionAll(suggest("ord % 6 = 0", known, F.col("name"), "data", "high", "again", 2)).unionAll(suggest("ord % 12 = 0", known, F.col("name"), "other", "low", None, 3))
+    todo = todo.unionAll(suggest("ord % 5 = 0", new, F.when(F.expr("ord % 2 = 0"), F.lit("New")), None, "low", "model", 1)).unionAll(suggest("ord % 20 = 0", new, "Newer", "cdn", "medium", "more", 2))
+    return facts.merge_model(reasoned(s, d), todo).withColumn("reasons", F.array_join("reasons", "|"))
 
 
 def configured(s, d):
@@ -93,9 +107,15 @@ def restored(s, d):
 
 
 def actions(s, d):
-    pick = lambda when, action, value: services(s, d).where(when).select("repo_id", "id", F.lit(action).alias("action"), F.lit(value).alias("value"))
-    todo = pick("ord % 5 = 0", "merge", "other").unionAll(pick("ord % 3 = 0", "category", "email")).unionAll(pick("ord % 9 = 0", "category", "nonsense")).unionAll(pick("ord % 4 = 1", "confidence", " LOW ")).unionAll(pick("ord % 13 = 0", "remove", None))
-    return facts.apply_actions(services(s, d), todo).select("repo_id", "id", "category", "confidence", "needs_review")
+    rows = services(s, d)
+    kept = rows.where("confidence <> 'high' AND ord % 7 = 0").groupBy("repo_id").agg(F.min_by("id", "ord").alias("value"))
+    fixed = rows.where("confidence = 'high'").groupBy("repo_id").agg(F.min_by("id", "ord").alias("value"))
+    merge = lambda when, to: rows.where(when).join(to, "repo_id").select("repo_id", "id", F.lit("merge").alias("action"), "value", "ord")
+    pick = lambda when, action, value: rows.where(when).select("repo_id", "id", F.lit(action).alias("action"), F.lit(value).alias("value"), "ord")
+    todo = merge("ord % 5 = 0", kept).unionAll(merge("ord % 13 = 1", fixed)).unionAll(pick("ord % 11 = 0", "merge", "absent")).unionAll(pick("ord % 3 = 0", "category", "email")).unionAll(pick("ord % 9 = 0", "category", "nonsense"))
+    todo = todo.unionAll(pick("ord % 4 = 1", "confidence", " LOW ")).unionAll(pick("ord % 13 = 0", "remove", None))
+    refined = facts.apply_actions(rows.withColumn("reasons", F.array(F.concat(F.lit("r-"), "id"))), todo)
+    return refined.select("repo_id", "id", "category", "confidence", "needs_review", F.array_join("reasons", "|").alias("reasons"))
 
 
 def snapshots(s, d):
@@ -115,9 +135,24 @@ def configurations(s, d):
 
 
 def relevant(s, d):
+    """Half of the services are found by id, half by a name with a blank in it."""
     ev = A.adapted(s, d, A.EVIDENCE)
     needle = F.split_part(F.lower("value"), F.lit("_"), F.lit(1))
-    return facts.relevant_files(ev.where("type = 'ci_secret'").select("repo_id", needle.alias("id"), needle.alias("name")).distinct(), ev)
+    by_id = F.col("repo_id") % 2 == 0
+    spaced = F.concat(F.upper(F.left(needle, F.lit(3))), F.lit(" "), F.substr(needle, F.lit(4)))
+    named = ev.where("type = 'ci_secret'").select("repo_id", F.when(by_id, needle).otherwise(F.concat(F.lit("no-"), needle)).alias("id"), F.when(by_id, F.lit("Zz None")).otherwise(spaced).alias("name")).distinct()
+    return facts.relevant_files(named, ev)
+
+
+def retyped(s, d):
+    """Two edges a service, the first one by order not the first by name; two types for a service, of which the second stays."""
+    both = links(s, d).select("repo_id", F.explode(F.array(F.struct(F.lit("user").alias("source"), (2 * F.col("ord")).alias("ord")), F.struct(F.lit("api").alias("source"), (2 * F.col("ord") + 1).alias("ord")))).alias("e"), "target", "flow_type").select("repo_id", "e.source", "target", "flow_type", "e.ord")
+    types = services(s, d).where("ord % 5 = 0").select("repo_id", F.col("id").alias("service_id"), F.explode(F.array(F.struct(F.lit("webhook").alias("flow_type"), F.lit(1).alias("ord")), F.struct(F.lit("auth").alias("flow_type"), F.lit(2).alias("ord")))).alias("t")).select("repo_id", "service_id", "t.*")
+    return graph.retyped(both, types).drop("ord")
+
+
+def alternatives(s, d):
+    return services(s, d).where("ord % 40 = 0").select("repo_id", "ord", F.col("name").alias("service_name"), F.lit("Alt").alias("name"), F.lit("open").alias("type"), F.when(F.col("ord") % 80 != 0, F.lit("$5")).alias("savings"), F.lit("r").alias("reason"))
 
 
 def budgets(s, d):
@@ -138,7 +173,7 @@ QUERIES: dict[str, Query] = {
     "agg14_checks_scanned": lambda s, d: health.health_checks(services(s, d), F.to_date(F.lit("2024-06-30")), counts(s, d)).where("kind = 'security' AND check_id LIKE '%VULNS'"),
     "jn15_missing_nodes": lambda s, d: parts(*graph.missing_nodes(services(s, d), nodes(s, d).where("ord % 2 = 0"))),
     "jn16_saved_graph": merged_graph,
-    "jn17_retyped": lambda s, d: graph.retyped(links(s, d).drop("ord"), services(s, d).where("ord % 5 = 0").select("repo_id", F.col("id").alias("service_id"), F.lit("webhook").alias("flow_type"))),
+    "jn16_saved_nodes": lambda s, d: saved_graph(s, d)[0], "jn17_retyped": retyped,
     "jn20_labelled": lambda s, d: graph.labelled(links(s, d).drop("ord"), nodes(s, d).where("ord % 2 = 0")),
     "gr06_without": lambda s, d: parts(*graph.without(nodes(s, d), links(s, d), nodes(s, d).where("ord % 7 = 0").select("repo_id", "id"))),
     "gr07_overlaid": overlaid, "jn13_model_merge": model_merged, "jn14_config_overlay": configured, "jn22_relevant_files": relevant, "jn23_restored": restored,

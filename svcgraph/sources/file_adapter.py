@@ -90,6 +90,12 @@ WORKSPACES = [
 
 #: Each repository has its own ignore file: the even ones keep one of the logs.
 IGNORES = [
-    (".gitignore", "# made\n*.log\n!keep.log\n/out/\ntmp?/x\n", "k % 2 = 0"), (".gitignore", "docs/**\n[ab].txt\n", "k % 2 = 1 AND k % 4 <> 3"),
-    ("a.log", "", "true"), ("src/keep.log", "", "true"), ("out/a.js", "", "true"), ("src/out/a.js", "", "true"), ("tmp1/x", "", "true"), ("docs/a/b.md", "", "true"), ("src/a.txt", "", "true"), ("src/c.txt", "", "true"),
+    (".gitignore", "# made\n*.log\n!keep.log\n/out/\n!out/keep.js\n!/out/deep/\ntmp?/x\n", "k % 2 = 0"), (".gitignore", "docs/**\n[ab].txt\n", "k % 2 = 1 AND k % 4 <> 3"),
+    ("a.log", "", "true"), ("src/keep.log", "", "true"), ("out/a.js", "", "true"), ("out/keep.js", "", "true"), ("out/deep/er/b.js", "", "true"), ("B.LOG", "", "true"), ("src/out/a.js", "", "true"), ("tmp1/x", "", "true"), ("docs/a/b.md", "", "true"), ("src/a.txt", "", "true"), ("src/c.txt", "", "true"),
+]
+
+#: Manifests of several folders in each repository; the even ones leave a folder out.
+MANIFESTS = [
+    (".gitignore", "vendored/\n!vendored/package.json\n", "k < 20 AND k % 2 = 0"), ("d§k/package.json", TEMPLATES["tvf01_package_json"][1], "true"), ("d§k/sub-§b/package.json", '{"devDependencies":{"react":"§v"},"dependencies":{"dev-§b":"§k"}}', "k % 3 = 0"),
+    ("vendored/§k/package.json", '{"dependencies":{"react":"v§v","vendored-§k":"1"}}', "k % 2 = 0"), ("d§k/requirements.txt", TEMPLATES["tvf08_requirements"][1], "k % 5 = 0"),
 ]

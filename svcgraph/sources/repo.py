@@ -27,8 +27,8 @@ def with_names(files: DataFrame) -> DataFrame:
     return files.withColumn("basename", base).withColumn("ext", F.regexp_extract("basename", r"^.+(\.[^.]*)\z", 1))
 
 
-def gitignore_regexes(content: str) -> list[tuple[bool, str]]:
-    """SRC02: (negated, regex on the relative path) for each pattern of a root ignore file; later ones win."""
+def ignore_patterns(content: str) -> list[tuple[bool, bool, str]]:
+    """SRC02: (negated, folders only, regex of a whole relative path) for each pattern of a root ignore file; later ones win."""
     found = []
     for line in content.split("\n"):
         pattern = re.sub(r"(?<!\\)\s+$", "", line.rstrip("\r"))
@@ -51,46 +51,96 @@ def gitignore_regexes(content: str) -> list[tuple[bool, str]]:
             elif text[i] == "[" and "]" in text[i + 1 :]:
                 stop = text.index("]", i + 1)
                 body, i = body + "[" + text[i + 1 : stop].replace("!", "^", 1) + "]", stop + 1
+            elif text[i] == "\\" and i + 1 < len(text):
+                body, i = body + re.escape(text[i + 1]), i + 2
             else:
                 body, i = body + re.escape(text[i]), i + 1
-        found.append((negated, ("^" if anchored else "(?:^|/)") + body + ("/" if only_dirs else "(?:/|$)")))
+        if text:
+            found.append((negated, only_dirs, ("" if anchored else "(?:.*/)?") + body))
     return found
 
 
-def is_ignored(path: Column, patterns: list[tuple[bool, str]]) -> Column:
-    """The last matching pattern decides; none ignores nothing."""
-    verdict = F.lit(False)
-    for negated, regex in patterns:
-        verdict = F.when(path.rlike(regex), F.lit(not negated)).otherwise(verdict)
-    return verdict
+class IgnoreTree:
+    """The verdicts of one ignore file on a tree of folders: below an ignored folder everything is ignored.
 
+    Patterns are compiled once; a folder is judged once, and its verdict is what its entries start from.
+    """
 
-def without_ignored(files: DataFrame) -> DataFrame:
-    """SRC02: files that their own repository's root ignore file leaves; its last matching pattern decides.
-
-    Ignore files are one row a repository. Their patterns become an array that is joined by repository, so no row of files multiplies.
+    #: Folders whose verdicts are kept; they are judged anew beyond that.
+    KEEP = 100_000
+
+    def __init__(self, content: str) -> None:
+        self.rules = []
+        for negated, only_dirs, regex in ignore_patterns(content):
+            try:
+                self.rules.append((negated, only_dirs, re.compile(regex, re.IGNORECASE)))
+            except re.error:
+                continue  # no pattern
+        self.folders: dict[str, bool] = {}
+
+    def own_verdict(self, path: str, folder: bool) -> bool:
+        """That of the last pattern which matches this path itself."""
+        for negated, only_dirs, regex in reversed(self.rules):
+            if (folder or not only_dirs) and regex.fullmatch(path):
+                return not negated
+        return False
+
+    def folder_ignored(self, folder: str) -> bool:
+        known = self.folders.get(folder)
+        if known is None:
+            above = folder.rpartition("/")[0]
+            known = bool(above) and self.folder_ignored(above) or self.own_verdict(folder, True)
+            if len(self.folders) >= self.KEEP:
+                self.folders.clear()
+            self.folders[folder] = known
+        return known
+
+    def ignored(self, path: str) -> bool:
+        above = path.rpartition("/")[0]
+        return bool(above) and self.folder_ignored(above) or self.own_verdict(path, False)
+
+
+def ignored_paths(files: DataFrame, share: int = 200_000) -> DataFrame:
+    """SRC02: repo_id, path of the files that their own repository's root ignore file leaves out.
+
+    Only names travel. A repository's names are dealt by folder into as many groups as they need; its ignore file (one row) goes to each and comes
+    first there, so that its patterns are compiled once a group.
     """
     import pyarrow as pa
 
-    kinds = "repo string, patterns array<struct<negated:boolean,regex:string>>"
+    names = files.select("repo_id", "path").where("path IS NOT NULL").distinct()
+    rules_ = files.where("path = '.gitignore'").groupBy("repo_id").agg(F.max("content").alias("content")).where("content IS NOT NULL")
+    sizes = names.join(rules_.select("repo_id"), "repo_id").groupBy("repo_id").agg(F.ceil(F.count("*") / share).cast("int").alias("salts"))
+    heads = rules_.join(sizes, "repo_id").select("repo_id", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("string").alias("path"), "content")
+    folder = F.regexp_replace("path", "/?[^/]*$", "")
+    tails = names.join(sizes, "repo_id").select("repo_id", F.pmod(F.xxhash64(folder), F.col("salts")).cast("int").alias("salt"), "path", F.lit(None).cast("string").alias("content"))
+    dealt = heads.unionByName(tails).repartition("repo_id", "salt").sortWithinPartitions("repo_id", "salt", F.col("path").asc_nulls_first())
 
-    def parse(batches):
+    def run(batches):
+        now, tree = None, IgnoreTree("")
         for b in batches:
-            made = [[{"negated": n, "regex": r} for n, r in gitignore_regexes(c or "")] for c in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.list_(pa.struct([("negated", pa.bool_()), ("regex", pa.string())])))], names=["repo", "patterns"])
+            gone = []
+            for i, (repo, salt, path, content) in enumerate(zip(*(b.column(k).to_pylist() for k in range(4)), strict=True)):
+                if (repo, salt) != now:
+                    now, tree = (repo, salt), IgnoreTree(content or "")
+                if path is not None and tree.ignored(path):
+                    gone.append(i)
+            few = pa.array(gone, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(few), b.column(2).take(few)], names=["repo_id", "path"])
 
-    rules_ = files.where("path = '.gitignore'").groupBy(F.col("repo_id").cast("string").alias("repo")).agg(F.max("content").alias("content")).mapInArrow(parse, kinds)
-    ignored = F.aggregate(F.col("patterns"), F.lit(False), lambda verdict, p: F.when(F.rlike(F.col("path"), p["regex"]), ~p["negated"]).otherwise(verdict))
-    joined = files.join(rules_, files["repo_id"].cast("string") == rules_["repo"], "left")
-    return joined.where(~F.coalesce(ignored, F.lit(False))).select(*[files[c] for c in files.columns])
+    return dealt.mapInArrow(run, names.schema)
+
+
+def without_ignored(files: DataFrame) -> DataFrame:
+    """SRC02: files that their own repository's root ignore file leaves."""
+    return files.join(ignored_paths(files), ["repo_id", "path"], "left_anti").select(*files.columns)
 
 
-def walked(files: DataFrame, ignore: list[tuple[bool, str]] | None = None) -> DataFrame:
-    """SRC01: without excluded folders, other dot names, tests, too deep paths and ignored paths."""
+def walked(files: DataFrame) -> DataFrame:
+    """SRC01: without excluded folders, other dot names, tests and too deep paths; without_ignored() comes before it."""
     parts = F.split("path", "/")
     fine = lambda p: ~p.isin(rules.EXCLUDED_DIRS) & (~p.startswith(".") | p.isin(rules.ALLOWED_DOT_NAMES))
-    kept = with_names(files).where(F.forall(parts, fine) & (F.size(parts) - 1 <= rules.MAX_DEPTH) & ~F.col("basename").rlike(r"\.(test|spec)\.[jt]sx?\z"))
-    return kept.where(~is_ignored(F.col("path"), ignore)) if ignore else kept
+    return with_names(files).where(F.forall(parts, fine) & (F.size(parts) - 1 <= rules.MAX_DEPTH) & ~F.col("basename").rlike(r"\.(test|spec)\.[jt]sx?\z"))
 
 
 def file_kind(path: Column, basename: Column, ext: Column) -> Column:

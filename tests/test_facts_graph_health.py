@@ -1,8 +1,11 @@
+import random
+import time
 from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
 from svcgraph.operators import facts, graph, health, history, reports
+from svcgraph.operators.containment import containing
 
 from .conftest import rows
 
@@ -37,7 +40,7 @@ def test_graph_routes_layers_and_edges(spark):
     saved = spark.createDataFrame([(1, "user", None, "User", "layer", 1.0, 2.0), (1, "note", None, "Note", "layer", 3.0, 4.0)], "repo_id int, id string, service_id string, label string, type string, x double, y double")
     ends = spark.createDataFrame([(1, "note", "user", "data"), (1, "note", "gone", "data")], "repo_id int, source string, target string, flow_type string")
     all_nodes, all_edges = graph.with_saved(nodes, graph.edges(s), saved, ends)
-    assert all_nodes.where("x IS NOT NULL").count() == 2 and all_edges.where("source = 'note'").count() == 1
+    assert rows(all_nodes.where("x IS NOT NULL"), "id") == [("note",)] and all_edges.where("source = 'note'").count() == 1  # not all are saved: the rest is laid out anew
 
 
 def test_activity(spark):
@@ -128,7 +131,7 @@ def test_reports(spark, tmp_path):
     assert document.index('"pkg:pypi/c"') < document.index('"pkg:npm/%40a/b@^1"') and '"scope":"optional"' in document
     assert '"SPDXID":"SPDXRef-Package--a-b"' in reports.spdx(deps, F.lit("app"), F.lit("t")).first().document
     s = services(spark, service(id="a", name="<A|>", category="email", plan="paid"))
-    assert "| <A\\|> | email | paid |" in reports.services_markdown(s).first().document and "&lt;A|&gt;" in reports.services_html(s).first().document
+    assert "&lt;A|&gt;" in reports.services_html(s).first().document
     assert '"id":"a"' in reports.services_json(s).first().document and reports.summary_lines(s).first().document == "email: 1"
     badge = spark.createDataFrame([(1, 80, 3, 0, 2, "2024-01-02")], "repo_id int, score int, services int, vulnerabilities int, dependencies int, scanned string")
     got = {r.kind: r.url for r in reports.badge_urls(badge).collect()}
@@ -173,3 +176,61 @@ def test_limited_calls_with_pauses(spark):
     calls = spark.createDataFrame([*made, (None, 1), ("hot", None)], "channel string, t long").selectExpr("channel", "timestamp_seconds(t) AS ts")
     assert rows(history.accepted_calls(calls, 10, 2)) == sorted(expected.values())
     assert rows(history.accepted_calls(calls.limit(0), 10, 2)) == []
+
+
+def test_containing_equals_a_nested_comparison(spark):
+    r = random.Random(3)
+    sign = lambda n: "".join(r.choice("abcé.😀") for _ in range(n))
+    needles = [(r.randrange(3), sign(r.randrange(6))) for _ in range(150)] + [(0, None), (0, ""), (7, "a")]
+    hays = [(r.randrange(3), sign(r.randrange(12))) for _ in range(200)] + [(1, None), (0, ""), (8, "a")]
+    got = containing(spark.createDataFrame(needles, "repo_id int, needle string"), spark.createDataFrame(hays, "repo_id int, hay string"), ["repo_id"])
+    assert sorted(map(tuple, got.collect())) == sorted({(k, n, h) for k, n in needles for j, h in hays if k == j and n is not None and h is not None and n in h})
+
+
+def test_contains_join_of_many_services_in_one_repository(spark):
+    """10^5 services against 10^5 values of one repository: a nested comparison would be 10^10."""
+    s = spark.range(100_000).select(F.lit(1).alias("repo_id"), F.concat(F.lit("s"), "id").alias("id"), F.concat(F.lit("Name"), F.lpad(F.col("id").cast("string"), 7, "0")).alias("name"))
+    ev = spark.range(100_000).select(F.lit(1).alias("repo_id"), F.concat(F.lit("X_NAME"), F.lpad((F.col("id") * 3).cast("string"), 7, "0"), F.lit("_KEY")).alias("value"), F.concat(F.lit("f"), F.col("id") % 1000).alias("file"), F.col("id").alias("ord"))
+    began = time.monotonic()
+    assert facts.service_files(s, ev).count() == 33_334
+    assert time.monotonic() - began < 120
+    assert "NestedLoop" not in facts.service_files(s, ev)._jdf.queryExecution().toString() and "Cartesian" not in facts.service_files(s, ev)._jdf.queryExecution().toString()
+
+
+def test_relevant_files_and_activity_as_the_analysis_has_them(spark):
+    s = spark.createDataFrame([(1, "sendgrid", "Send Grid", "inferred", None), (1, "stripe", "Stripe", "inferred", "own.ts"), (1, "m", "Stripe", "manual", None)], "repo_id int, id string, name string, source string, inferred_from string")
+    ev = spark.createDataFrame([(1, "SENDGRID_KEY", "z.ts", 1), (1, "x", "stripe/z.ts", 2), (1, "stripe", "c.ts", 9), (1, "my.Stripe", "d.ts", 3), (1, "stripe2", "a.ts", 5), (1, "stripe", "b.ts", 4), (1, "stripe", "d.ts", 8)], "repo_id int, value string, file string, ord int")
+    got = facts.relevant_files(s.where("id <> 'm'"), ev)
+    assert rows(got, "id", "k", "file") == [("sendgrid", 1, "z.ts"), ("stripe", 1, "d.ts"), ("stripe", 2, "b.ts"), ("stripe", 3, "a.ts")]
+    assert "WindowGroupLimit" in got._jdf.queryExecution().toString()
+    commits = spark.createDataFrame([(1, "own.ts", datetime(2024, 5, 1)), (1, "z.ts", datetime(2024, 1, 1))], "repo_id int, file string, ts timestamp")
+    active = facts.last_activity(s, ev, commits, F.to_timestamp(F.lit("2024-05-02")))
+    assert rows(active, "id", "days", "status") == [("sendgrid", 122, "stale"), ("stripe", 1, "active")]
+
+
+def test_model_actions_as_the_analysis_has_them(spark):
+    shape = "repo_id int, id string, name string, category string, confidence string, needs_review boolean, reasons array<string>"
+    own = spark.createDataFrame([(1, "a", "A", "other", "low", True, ["ra"]), (1, "b", "B", "email", "medium", False, ["rb"]), (1, "h", "H", "ai", "high", False, ["rh"]), (2, "b", "B", "email", "low", True, None)], shape)
+    merge = lambda *rows_: facts.apply_actions(own, spark.createDataFrame(rows_, "repo_id int, id string, action string, value string"))
+    for to in ("zzz", "h", "b"):  # absent, fixed, itself
+        assert merge((1, "b", "merge", to)).count() == 4
+    assert rows(merge((1, "b", "merge", "a")).where("repo_id = 1"), "id", "reasons") == [("a", ["ra", "rb"]), ("h", ["rh"])]
+    assert merge((1, "h", "merge", "a"), (1, "h", "remove", None)).count() == 4
+    new = spark.createDataFrame([(1, "n", "N", None, "low", None, ["1"], 1), (1, "n", "N2", "cdn", "high", None, ["2"], 2), (1, "n", "N3", "data", "medium", None, ["3"], 3), (1, "a", "A", "other", "medium", None, None, 1)], shape + ", ord int")
+    got = rows(facts.merge_model(own, new).where("repo_id = 1 AND id IN ('a', 'n')"), "id", "name", "category", "confidence", "needs_review", "reasons")
+    assert got == [("a", "A", "other", "medium", False, ["ra"]), ("n", "N", "cdn", "high", False, ["1", "2", "3"])]
+
+
+def test_saved_graph_enriches_and_keeps(spark):
+    made = spark.createDataFrame([(1, "user", "User", "layer", None), (1, "svc-a", "A", "external", "a"), (1, "svc-b", "B", "external", "b")], "repo_id int, id string, label string, type string, service_id string")
+    saved = spark.createDataFrame([(1, "user", "Me", "cdn", None, None, "red", 1.0, 1.0), (1, "svc-a", None, "cdn", "mine", "x", None, 2.0, 2.0), (1, "svc-gone", "Gone", None, "ai", None, None, 3.0, 3.0)], "repo_id int, id string, label string, type string, category string, note string, layer_color string, x double, y double")
+    links = spark.createDataFrame([(1, "user", "svc-a", "data")], "repo_id int, source string, target string, flow_type string")
+    own = spark.createDataFrame([(1, "a", "email", "free", "low", "u"), (1, "b", "data", "paid", None, "v")], "repo_id int, id string, category string, plan string, confidence string, url string")
+    nodes, _ = graph.with_saved(made, links, saved, links, own)
+    got = {r.id: r for r in nodes.collect()}
+    assert (got["user"].label, got["user"].type, got["user"].layer_color, got["user"].x) == ("Me", "layer", "red", None)
+    assert (got["svc-a"].label, got["svc-a"].type, got["svc-a"].category, got["svc-a"].confidence, got["svc-a"].note) == ("A", "cdn", "mine", "low", "x")
+    assert (got["svc-b"].category, got["svc-b"].plan, got["svc-b"].confidence, got["svc-b"].url) == ("data", "paid", "high", "v")
+    assert (got["svc-gone"].type, got["svc-gone"].plan, got["svc-gone"].source, got["svc-gone"].service_id, got["svc-gone"].x) == ("external", "unknown", "manual", None, 3.0)
+    whole, _ = graph.with_saved(made.where("id <> 'svc-b'"), links, saved, links, own)
+    assert rows(whole, "id", "x") == [("svc-a", 2.0), ("svc-gone", 3.0), ("user", 1.0)]

@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from svcgraph.operators import parsers
+from svcgraph.operators import grouping, parsers
+from svcgraph.operators.ordering import walk_ranks
 from svcgraph.plans.inventory import inventory_of_files
 from svcgraph.sources import repo
 
@@ -15,11 +16,11 @@ def table(spark, files, repo_id="r"):
 
 
 def evidence(spark, path, content, project=None):
-    return rows(parsers.extract_evidences(repo.walked(table(spark, {path: content})), project), "type", "value")
+    return rows(parsers.evidence_of(repo.walked(table(spark, {path: content})), project), "type", "value")
 
 
 def deps(spark, path, content):
-    return rows(parsers.extract_dependencies(repo.walked(table(spark, {path: content}))), "name", "version", "type")
+    return rows(parsers.dependencies_of(repo.walked(table(spark, {path: content}))), "name", "version", "type")
 
 
 def test_dotenv(spark):
@@ -71,9 +72,40 @@ def test_other_evidence(spark):
 
 
 def test_walk_and_ignore(spark):
-    files = {"a.ts": "", "node_modules/x/b.ts": "", "src/c.test.ts": "", ".hidden/d.ts": "", ".env": "", "out/e.ts": "", "keep/out.ts": ""}
-    ignore = repo.gitignore_regexes("out/\n*.log\n!important.log\n# c\n")
-    assert rows(repo.walked(table(spark, files), ignore), "path") == [(".env",), ("a.ts",), ("keep/out.ts",)]
+    files = {"a.ts": "", "node_modules/x/b.ts": "", "src/c.test.ts": "", ".hidden/d.ts": "", ".env": "", "out/e.ts": "", "keep/out.ts": "", ".gitignore": "out/\n*.log\n!important.log\n# c\n"}
+    assert rows(repo.walked(repo.without_ignored(table(spark, files))), "path") == [(".env",), ("a.ts",), ("keep/out.ts",)]
+
+
+@pytest.mark.parametrize(
+    ("content", "ignored", "kept"),
+    [
+        ("out/\n!out/keep.js", ["out/keep.js", "out/a/b.js"], ["keep.js", "src/outer/x"]),  # nothing below an ignored folder comes back
+        ("*.log\n!keep.log", ["a.log", "d/B.LOG"], ["keep.log", "d/keep.log", "log"]),
+        ("/dist\nbuild/*\n!build/ok", ["dist/x", "build/no/y"], ["src/dist/x", "build/ok/z"]),
+        ("docs/**\n**/tmp?\n[ab].txt", ["docs/a/b.md", "x/y/tmp1/f", "a.txt", "q/b.txt"], ["docs.md", "tmp", "c.txt"]),
+        ("name/", ["name/f", "x/name/f"], ["name", "x/name"]),  # a file is no folder
+        ("\\#x\n\\!y\n# z\n  \n[", ["#x", "!y", "["], ["z"]),
+        ("*\n!*/\n!*.ts", ["a.md", "d/e/b.md"], ["a.ts", "d/e/b.ts"]),
+    ],
+)
+def test_ignore_tree(spark, content, ignored, kept):
+    tree = repo.IgnoreTree(content)
+    assert [p for p in ignored + kept if tree.ignored(p)] == ignored
+    files = table(spark, {".gitignore": content} | {p: "" for p in ignored + kept}).union(table(spark, {p: "" for p in ignored}, "other"))
+    for share in (200_000, 2):
+        got = repo.ignored_paths(files, share)
+        assert rows(got.where("path <> '.gitignore'"), "repo_id", "path") == sorted(("r", p) for p in ignored)
+    assert repo.without_ignored(files.limit(0)).count() == 0
+
+
+def test_order_follows_the_walk(spark):
+    files = table(spark, {"b/package.json": '{"dependencies":{"x":"2","y":"1"}}', "a.d/package.json": '{"dependencies":{"x":"3"}}', "a/package.json": '{"dependencies":{"x":"1"}}', "a/z/package.json": '{"dependencies":{"y":"9"}}'})
+    got = parsers.extract_dependencies(repo.walked(files.repartition(3)))
+    assert [(r.file, r.name) for r in got.orderBy("ord").collect()] == [("a/package.json", "x"), ("a/z/package.json", "y"), ("a.d/package.json", "x"), ("b/package.json", "x"), ("b/package.json", "y")]
+    assert rows(grouping.unique_dependencies(got), "name", "version") == [("x", "1"), ("y", "9")]
+    many = spark.range(20_000).select((F.col("id") % 3).alias("repo_id"), F.concat(F.lit("p"), F.lpad(F.pmod(F.xxhash64("id"), F.lit(15_000)).cast("string"), 6, "0")).alias("path"))
+    ranked = walk_ranks(many.repartition(8)).orderBy("rank").collect()
+    assert [r.rank for r in ranked] == list(range(len(ranked))) and [(r.repo_id, r.file) for r in ranked] == sorted({(r.repo_id, r.path) for r in many.collect()})
 
 
 def test_workspaces(spark):
@@ -88,5 +120,7 @@ def test_whole_inventory_of_files(spark):
     out = inventory_of_files(table(spark, files))
     assert rows(out["services"], "id", "category", "final_score") == [("sentry", "monitoring", 7), ("stripe", "payments", 8)]
     assert rows(out["ecosystems"], "repo_id", "ecosystems") == [("r", ["node"])]
+    ignored = inventory_of_files(table(spark, files | {".gitignore": ".env*\nlib/\n!lib/package.json", "lib/package.json": '{"dependencies":{"redis":"1"}}'}))
+    assert rows(ignored["evidences"], "file", "value") == [("package.json", "react"), ("package.json", "stripe")] and rows(ignored["dependencies"], "name") == [("react",), ("stripe",)]
     empty = inventory_of_files(table(spark, {"x": ""}).limit(0))
     assert empty["services"].count() == 0
