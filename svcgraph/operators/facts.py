@@ -77,7 +77,7 @@ def advisory_keys(dependencies: DataFrame) -> DataFrame:
 def vulnerable(dependencies: DataFrame, advisories: DataFrame) -> DataFrame:
     """JN18/LIM02: one row for each found advisory of the first dependency with a name and ecosystem.
 
-    advisories: advisory_ecosystem, name, version, at, id, summary, scores. At most five (by at) count, summaries are cut.
+    advisories: advisory_ecosystem, name, version, at, id, summary, scores, and aliases, fixed_version, url where known. At most five (by at) count, summaries are cut.
     """
     from pyspark.sql import Window
 
@@ -85,7 +85,7 @@ def vulnerable(dependencies: DataFrame, advisories: DataFrame) -> DataFrame:
     first = keyed.withColumn("k", F.row_number().over(Window.partitionBy("repo_id", "advisory_ecosystem", "name").orderBy("ord", "ecosystem", "version"))).where("k = 1").drop("k")
     hits = first.join(advisories.withColumnRenamed("version", "bare_version"), ["advisory_ecosystem", "name", "bare_version"])
     place = F.row_number().over(Window.partitionBy("repo_id", "ecosystem", "name").orderBy("at", "id"))
-    return hits.withColumn("k", place).where(F.col("k") <= rules.ADVISORIES_KEPT).select("repo_id", "ecosystem", "name", "version", F.coalesce("id", F.lit("unknown")).alias("advisory"), F.left(F.coalesce("summary", F.lit("No description")), F.lit(rules.SUMMARY_CHARS)).alias("summary"), E.severity(F.col("scores")).alias("severity"))
+    return hits.withColumn("k", place).where(F.col("k") <= rules.ADVISORIES_KEPT).select("repo_id", "ecosystem", "name", "version", F.coalesce("id", F.lit("unknown")).alias("advisory"), F.left(F.coalesce("summary", F.lit("No description")), F.lit(rules.SUMMARY_CHARS)).alias("summary"), E.severity(F.col("scores")).alias("severity"), *[c for c in ("aliases", "fixed_version", "url") if c in advisories.columns])
 
 
 def severity_counts(found: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
+from .ordering import dense_ranks
 
 HAS_BILLING = "billing_type IS NOT NULL"
 PAID = "plan IN ('paid', 'trial')"
@@ -177,6 +178,14 @@ def search_dependencies(dependencies: DataFrame, text: str = "", kind: str | Non
     return rows.where(F.col("type") == kind) if kind else rows
 
 
+def sorted_dependencies(dependencies: DataFrame, by: str = "name", descending: bool = False) -> DataFrame:
+    """SRT01: dependencies with their place (from 0) in their repository's list by name or type, as a reader of words would sort them; ties keep their order."""
+    key = F.collate(by, "UNICODE")
+    ranked = dense_ranks(dependencies.withColumn("_k", key), [F.col("repo_id"), F.col("_k").desc() if descending else F.col("_k"), F.col("ord")])
+    first = ranked.groupBy("repo_id").agg(F.min("rank").alias("_first"))
+    return ranked.join(first, "repo_id").withColumn("place", F.col("rank") - F.col("_first")).select(*dependencies.columns, "place")
+
+
 def search_discarded(discarded: DataFrame, text: str = "", reason: str | None = None) -> DataFrame:
     """FLT05."""
     rows = discarded.where(F.contains(F.lower("name"), F.lit(text.lower()))) if text else discarded

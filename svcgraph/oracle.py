@@ -286,3 +286,19 @@ SQL |= {
 }
 
 SQL |= oracle_files.SQL | oracle_more.SQL
+SQL |= {"win04_stream": SQL["win04_rate_limit"], "lim01_stream": SQL["lim01_last_100"]}
+
+
+def _layers(edges: str, most: int = 6) -> str:
+    """Ranks by a walk over all paths, then places rank by rank."""
+    steps, done = [], ""
+    for k in range(most):
+        mean = "0.0" if not k else f"(SELECT avg(p.place) FROM e JOIN ({done}) p ON p.repo_id = e.repo_id AND p.id = e.source WHERE e.repo_id = r.repo_id AND e.target = r.id)"
+        steps.append(f"m{k} AS (SELECT repo_id, id, rank, {mean} AS mean FROM r WHERE rank = {k}), p{k} AS (SELECT repo_id, id, rank, row_number() OVER (PARTITION BY repo_id ORDER BY mean NULLS FIRST, id) - 1 AS place FROM m{k})")
+        done += f"{' UNION ALL ' if k else ''}SELECT repo_id, id, rank, place FROM p{k}"
+    return f"""WITH RECURSIVE e AS (SELECT DISTINCT repo_id, source, target FROM ({edges})), n AS (SELECT repo_id, source AS id FROM e UNION SELECT repo_id, target FROM e),
+w(repo_id, id, depth) AS (SELECT repo_id, id, 0 FROM n WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.repo_id = n.repo_id AND e.target = n.id) UNION SELECT w.repo_id, e.target, w.depth + 1 FROM w JOIN e ON e.repo_id = w.repo_id AND e.source = w.id),
+r AS (SELECT repo_id, id, max(depth) AS rank FROM w GROUP BY ALL), {", ".join(steps)} {done}"""
+
+
+SQL |= {"gr05_layers": _layers(SQL["gr04_edges"])}

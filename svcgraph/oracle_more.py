@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .functions import rules
 from .sources import adapters as A
+from .sources import file_adapter as T
 
 EV, DE, SE, HI = (f"{n} AS ({A.duckdb(x)})" for n, x in (("ev", A.EVIDENCE), ("de", A.DEPENDENCY), ("se", A.SERVICE), ("hi", A.HISTORY)))
 MONTHLY = "coalesce(CASE WHEN period = 'yearly' THEN amount / 12 WHEN period = 'monthly' THEN amount END, 0)"
@@ -104,3 +105,25 @@ lines(repo_id, section, block, place, line) AS (
 SELECT repo_id, CAST(section AS INT) AS section, CAST(block AS BIGINT) AS block, CAST(place AS BIGINT) AS place, line FROM lines""",
     "snk04_html": f"WITH {SE} SELECT repo_id, '<table>' || chr(10) || string_agg('<tr><td>' || name || '</td><td>' || category || '</td><td>' || plan || '</td></tr>', chr(10) ORDER BY category, name, plan) || chr(10) || '</table>' AS document FROM se GROUP BY repo_id",
 }
+
+P = "CAST(p_size AS STRING)"
+READABLE = "FROM part WHERE p_partkey % 5 IN (0, 1, 4)"
+SQL |= {
+    "src11_git_activity": f"SELECT * FROM ({A.duckdb(A.COMMIT)}) WHERE repo_id IN (1, 4, 7, 12)",
+    "src12_advisories": SQL["jn18_advisories"],
+    "snk02_documents": SQL["snk02_markdown"].rpartition("SELECT repo_id, CAST(section")[0] + "SELECT CAST(repo_id AS VARCHAR) AS document, row_number() OVER (PARTITION BY repo_id ORDER BY section, block, place) - 1 AS n, line FROM lines",
+    "src08_services": f"SELECT p_partkey AS repo_id, CAST(0 AS INT) AS ord, 's' || {P} AS id, 'S' || {P} AS name, 'email' AS category {READABLE} UNION ALL SELECT p_partkey, 1, 'x', 'X', NULL {READABLE}",
+    "src08_rejects": "SELECT p_partkey AS repo_id, CASE p_partkey % 5 WHEN 2 THEN '{oops' ELSE '[1]' END AS body, CASE p_partkey % 5 WHEN 2 THEN 'not JSON' ELSE 'no object' END AS reason FROM part WHERE p_partkey % 5 IN (2, 3)",
+    "src13_nodes": f"""SELECT p_partkey AS repo_id, 'svc-s' || {P} AS id, 'S' || {P} AS label, 'database' AS type, 's' || {P} AS service_id {READABLE}
+UNION ALL SELECT p_partkey, 'n' || p_partkey, 'N', 'external', NULL {READABLE} UNION ALL SELECT p_partkey, 'svc-x', 'X', 'external', 'x' {READABLE} UNION ALL SELECT p_partkey, 'user', 'User', 'layer', NULL {READABLE}""",
+    "src13_edges": f"SELECT p_partkey AS repo_id, 'n' || p_partkey AS source, 'svc-s' || {P} AS target, 'data' AS flow_type {READABLE} UNION ALL SELECT p_partkey, 'user', 'svc-x', 'data' {READABLE}",
+    "ai07_budget": """WITH f AS (SELECT CAST(doc_id % 50 AS INT) AS repo_id, 'p' || doc_id AS path, doc_id AS ord, CASE WHEN len(string_split(text, chr(10))) > 5 THEN array_to_string(string_split(text, chr(10))[1:5], chr(10)) || chr(10) || '[... truncated]' ELSE text END AS content FROM documents),
+c AS (SELECT *, coalesce(sum(length(content)) OVER (PARTITION BY repo_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f WHERE content IS NOT NULL),
+k AS (SELECT repo_id, path, CASE WHEN before + length(content) <= 5000 THEN content ELSE left(content, CAST(5000 - before AS INT)) || chr(10) || '[... truncated]' END AS content FROM c WHERE before + length(content) <= 5000 OR 5000 - before > 200)
+SELECT repo_id, path, length(content) AS n, md5(content) AS digest FROM k""",
+    "srt06_priority_files": f"""WITH w AS (SELECT DISTINCT repo_id, path FROM ({A.duckdb(T.WALK)}) x WHERE regexp_matches(path, '[^/]\\.(ts|tsx|js|jsx|py|go|rs)$'))
+SELECT repo_id, path, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY (contains(path, 'lib/') OR contains(path, 'api/') OR contains(path, 'config')) DESC, string_split(path, '/')) AS INT) AS k FROM w QUALIFY k <= 4""",
+    "jn21_context": f"WITH {SE} SELECT repo_id, id, CASE WHEN ord % 3 = 0 THEN 'u1' END AS usage, CASE WHEN ord % 3 = 0 THEN 'optional' END AS level, CASE WHEN ord % 3 = 0 THEN '' END AS warnings FROM se",
+    "srt01_by_name": f"WITH {DE}, x AS (SELECT repo_id, CASE WHEN ord % 2 = 0 THEN upper(name) ELSE name END AS name, ord FROM de) SELECT repo_id, name, ord, row_number() OVER (PARTITION BY repo_id ORDER BY name COLLATE en, ord) - 1 AS place FROM x",
+    "srt01_by_type": f"WITH {DE} SELECT repo_id, type, ord, row_number() OVER (PARTITION BY repo_id ORDER BY type COLLATE en DESC, ord) - 1 AS place FROM de",
+}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import queries_files, queries_more
+from . import queries_files, queries_more, queries_sources, queries_streams
 from .functions import exprs as E
 from .operators import facts, graph, grouping, health, history, reports
 from .operators.classify import classify
@@ -183,4 +183,4 @@ QUERIES: dict[str, Query] = {
     "set03_id_difference": id_difference,
 }
 
-QUERIES |= queries_files.QUERIES | queries_more.QUERIES
+QUERIES |= queries_files.QUERIES | queries_more.QUERIES | queries_sources.QUERIES | queries_streams.QUERIES

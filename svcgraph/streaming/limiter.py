@@ -49,7 +49,3 @@ def debounced(edits: DataFrame, gap: str = "2 seconds", late: str = "10 seconds"
     rows = edits.withWatermark("ts", late).groupBy("key", F.session_window("ts", gap)).agg(F.max_by("value", "ts").alias("value"), F.max("ts").alias("ts"))
     return rows.select("key", "ts", "value")
 
-
-def append_with_retention(entries: DataFrame, path: str, checkpoint: str):
-    """SNK10 on a stream: each batch has a folder of its own, so one that runs again replaces itself; readers bound the history with history.kept()."""
-    return entries.writeStream.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/batch={n}")).option("checkpointLocation", checkpoint).start()
