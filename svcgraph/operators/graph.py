@@ -170,6 +170,25 @@ def overlaid(rows: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     return both.select(*keys, *[F.when(F.col("c").isNotNull(), F.col(f"c.{x}")).otherwise(F.col(f"_r.{x}")).alias(x) for x in columns])
 
 
+def with_manual(made: DataFrame, links: DataFrame, services: DataFrame, added: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """MUT02: nodes, edges and services with those that a person adds (as services: repo_id, id, name, category, ...): a node and an edge from the user for each.
+
+    An id that is there already is replaced as a service and keeps its node.
+    """
+    own = added.withColumn("source", F.lit("manual"))
+    new_nodes, new_links = missing_nodes(own, made)
+    rest = services.join(own.select("repo_id", "id"), ["repo_id", "id"], "left_anti")
+    return made.unionByName(new_nodes, allowMissingColumns=True), links.unionByName(new_links), rest.unionByName(own, allowMissingColumns=True)
+
+
+def updated(services: DataFrame, changes: DataFrame) -> DataFrame:
+    """MUT03: services (with category, confidence, needs_review, and warnings where counted) after their latest change; the review flag of changed ones is found anew (FN29)."""
+    warnings = F.col("warnings") if "warnings" in services.columns else F.lit(0)
+    keys, touched = ["repo_id", "id"], F.coalesce("_touched", F.lit(False))
+    rows = overlaid(services, changes, keys).join(changes.select(*keys).distinct().withColumn("_touched", F.lit(True)), keys, "left")
+    return rows.withColumn("needs_review", F.when(touched, E.should_review(F.coalesce("confidence", F.lit("")), F.col("category"), warnings)).otherwise(F.col("needs_review"))).select(*services.columns)
+
+
 def labelled(links: DataFrame, made: DataFrame) -> DataFrame:
     """JN20: edges with their ends' labels, the id where there is none."""
     name = lambda end: made.select("repo_id", F.col("id").alias(end), F.col("label").alias(f"{end}_label"))

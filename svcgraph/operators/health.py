@@ -50,6 +50,14 @@ def budget_status(services: DataFrame, budgets: DataFrame) -> DataFrame:
     return spent.select("repo_id", "spent", percent.alias("percent"), (F.col("monthly") - F.col("spent")).alias("remaining"), E.budget_colour(percent, F.coalesce("threshold", F.lit(80))).alias("colour"))
 
 
+def with_budgets(budgets: DataFrame, changes: DataFrame) -> DataFrame:
+    """MUT06: budgets (repo_id, monthly, threshold) after the latest change (by ts) of each repository; one without a monthly amount clears the budget."""
+    last = changes.groupBy("repo_id").agg(F.max_by(F.struct("monthly", "threshold"), "ts").alias("c"))
+    both = budgets.withColumn("b", F.struct("monthly", "threshold")).select("repo_id", "b").join(last, "repo_id", "full")
+    now = both.select("repo_id", F.when(F.col("c").isNotNull(), F.col("c")).otherwise(F.col("b")).alias("n"))
+    return now.where("n.monthly IS NOT NULL").select("repo_id", "n.monthly", "n.threshold")
+
+
 def renewals(services: DataFrame, as_of: Column) -> DataFrame:
     """SRT02/FN36: services with a stored next date, the days to it and the badge (sort by days where shown)."""
     days = E.days_until(F.col("next_date"), as_of)

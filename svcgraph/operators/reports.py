@@ -172,9 +172,9 @@ def write_snapshot(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo_id").parquet(path)
 
 
-def append_history(entries: DataFrame, path: str) -> None:
-    """SNK10; history.kept() is the view with the bound."""
-    entries.write.mode("append").parquet(path)
+def append_history(entries: DataFrame, path: str, run: str) -> None:
+    """SNK10: the entries of a run, in a folder of its own, so that one that is written again replaces itself; history.kept() is the view with the bound."""
+    entries.write.mode("overwrite").parquet(f"{path}/run={run}")
 
 
 #: SNK11. Fields that a stored configuration encrypts.

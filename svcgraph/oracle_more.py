@@ -127,3 +127,21 @@ SELECT repo_id, path, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY (con
     "srt01_by_name": f"WITH {DE}, x AS (SELECT repo_id, CASE WHEN ord % 2 = 0 THEN upper(name) ELSE name END AS name, ord FROM de) SELECT repo_id, name, ord, row_number() OVER (PARTITION BY repo_id ORDER BY name COLLATE en, ord) - 1 AS place FROM x",
     "srt01_by_type": f"WITH {DE} SELECT repo_id, type, ord, row_number() OVER (PARTITION BY repo_id ORDER BY type COLLATE en DESC, ord) - 1 AS place FROM de",
 }
+
+SEED = A.duckdb(T.SEED)
+SQL |= {
+    "snk09_snapshot": f"WITH {SE} SELECT repo_id, id, CASE WHEN repo_id % 3 = 0 THEN 'new' ELSE category END AS category FROM se",
+    "snk10_history": f"WITH {HI} SELECT repo_id, ts, score FROM hi QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY ts DESC, score DESC) <= 100",
+    "snk11_encrypted": f"WITH {SE} SELECT id, owner, true AS hidden FROM se",
+    "src17_scan": f"""SELECT CAST(k AS INT) AS repo_id, 'npm_package' AS type, 'p' || b AS value, 'packages/' || a || '/package.json' AS file FROM ({SEED})
+UNION ALL SELECT CAST(k AS INT), 'npm_package', 'p' || b, a || '/package.json' FROM ({SEED})""",
+    "lim03_packages": f"""SELECT CAST(k % 3 AS INT) AS repo_id, 'npm-workspaces' AS kind, 'packages/p' || k AS package FROM ({SEED}) x WHERE EXISTS (SELECT 1 FROM ({SEED}) y WHERE y.k < 3 AND y.k = x.k % 3)
+QUALIFY row_number() OVER (PARTITION BY x.k % 3 ORDER BY 'packages/p' || k) <= 500""",
+    "mut02_manual": f"WITH {SE} {NODE} WHERE ord % 4 = 0 OR ord % 6 = 0 UNION ALL SELECT repo_id, 'edge', 'user', 'svc-' || id FROM se WHERE ord % 3 = 0 AND ord % 4 = 0 OR ord % 6 = 0 AND ord % 4 <> 0",
+    "mut03_updated": f"""WITH {SE} SELECT repo_id, id, CASE WHEN ord % 10 = 0 THEN 'other' WHEN ord % 5 = 0 THEN 'email' ELSE category END AS category, CASE WHEN ord % 15 = 0 THEN 'high' WHEN ord % 5 = 0 THEN 'medium' ELSE confidence END AS confidence,
+CASE WHEN ord % 15 = 0 THEN false WHEN ord % 10 = 0 THEN true WHEN ord % 5 = 0 THEN false ELSE needs_review END AS needs_review FROM se""",
+    "mut06_budgets": """SELECT p_partkey AS repo_id, CASE WHEN p_partkey % 12 = 0 THEN 9.0 WHEN p_partkey % 3 = 0 THEN 7.0 ELSE p_size END::DOUBLE AS monthly, CASE WHEN p_partkey % 3 = 0 THEN 50.0 ELSE 80.0 END::DOUBLE AS threshold
+FROM part WHERE (p_partkey % 2 = 0 OR p_partkey % 3 = 0) AND (p_partkey % 6 <> 0 OR p_partkey % 12 = 0)""",
+    "snk03_summary": f"WITH {SE}, c AS (SELECT repo_id, category, count(*) AS n FROM se GROUP BY ALL) SELECT repo_id, string_agg(category || ': ' || n, chr(10) ORDER BY n DESC, category) AS document FROM c GROUP BY ALL",
+    "snk12_diff": f"WITH {SE}, x AS (SELECT repo_id, id, CASE WHEN ord % 5 = 0 THEN 'added' ELSE 'removed' END AS kind FROM se WHERE (ord % 5 = 0) <> (ord % 7 = 0)) SELECT repo_id, string_agg('- ' || kind || ': ' || id, chr(10) ORDER BY kind, id) AS document FROM x GROUP BY ALL",
+}

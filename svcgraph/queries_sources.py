@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import queries_more as M
-from .operators import facts, graph, health, layout, prompts, reports
+from .operators import facts, graph, health, history, layout, parsers, prompts, reports
 from .operators.ordering import dense_ranks
 from .sources import adapters as A
 from .sources import file_adapter as T
-from .sources import recorded, stored
+from .sources import recorded, repo, stored
 from .sources.shared import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,7 +97,63 @@ def graph_layers(s: SparkSession, d: str) -> DataFrame:
     return layout.layered(graph.nodes(services.select("repo_id").distinct(), services), graph.edges(services))
 
 
+def snapshot(s: SparkSession, d: str) -> DataFrame:
+    """A snapshot of all repositories, then one of a third of them with other services."""
+    folder, rows = new_path(s, "snapshot"), M.services(s, d).select("repo_id", "id", "category")
+    reports.write_snapshot(rows, folder)
+    reports.write_snapshot(rows.where("repo_id % 3 = 0").withColumn("category", F.lit("new")), folder)
+    return s.read.parquet(folder).select("repo_id", "id", "category")
+
+
+def appended(s: SparkSession, d: str) -> DataFrame:
+    """Two runs, the second of which is written twice."""
+    folder, rows = new_path(s, "runs"), A.adapted(s, d, A.HISTORY).select("repo_id", "ts", "score", "event_id")
+    for run, part in (("a", "event_id % 2 = 0"), ("b", "event_id % 2 = 1"), ("b", "event_id % 2 = 1")):
+        reports.append_history(rows.where(part).drop("event_id"), folder, run)
+    return history.kept(s.read.parquet(folder)).select("repo_id", "ts", "score")
+
+
+def secrets(s: SparkSession, d: str) -> DataFrame:
+    """Owners encrypted and decrypted again, and whether the stored form differs."""
+    key = F.lit("0123456789abcdef")
+    stored_rows = reports.encrypted(M.services(s, d).select("id", "owner").withColumn("plain", F.col("owner")), key)
+    return reports.decrypted(stored_rows.withColumn("hidden", F.coalesce(F.col("owner") != F.col("plain"), F.lit(True))), key).select("id", "owner", "hidden")
+
+
+def scanned(s: SparkSession, d: str) -> DataFrame:
+    files = A.adapted(s, d, T.files_sql(T.WORKSPACES, "CAST(k AS INT)"))
+    return repo.with_packages(parsers.evidence_of(repo.walked(files), only=["package_json"]), repo.workspace_packages(files)).select("repo_id", "type", "value", "file")
+
+
+def many_packages(s: SparkSession, d: str) -> DataFrame:
+    files = A.adapted(s, d, T.files_sql([("package.json", '{"workspaces":["packages/*"]}', "k < 3"), ("packages/p§k/package.json", "{}", "true")], "CAST(k % 3 AS INT)"))
+    return repo.workspace_packages(files)
+
+
+def manual(s: SparkSession, d: str) -> DataFrame:
+    """Nodes and edges after services are added by hand, half of which are there already."""
+    rows = M.services(s, d).select("repo_id", "id", "name", "category", "source")
+    added = M.services(s, d).where("ord % 6 = 0").select("repo_id", "id", "name", F.lit("payments").alias("category"))
+    made, edges, _ = graph.with_manual(M.nodes(s, d).where("ord % 4 = 0").drop("ord"), M.links(s, d).where("ord % 4 = 0").drop("ord"), rows, added)
+    return M.parts(made, edges)
+
+
+def edited(s: SparkSession, d: str) -> DataFrame:
+    rows = M.services(s, d).select("repo_id", "id", "category", "confidence", "needs_review")
+    change = M.services(s, d).where("ord % 5 = 0").select("repo_id", "id", F.when(F.col("ord") % 10 == 0, "other").otherwise("email").alias("category"), F.when(F.col("ord") % 15 == 0, "high").otherwise("medium").alias("confidence"), "needs_review", F.lit(False).alias("deleted"), F.lit(1).alias("ts"))
+    return graph.updated(rows, change)
+
+
+def budgets(s: SparkSession, d: str) -> DataFrame:
+    part = A.table(s, d, "part").select(F.col("p_partkey").alias("repo_id"), F.col("p_size").cast("double").alias("monthly"), F.lit(80.0).alias("threshold"))
+    change = lambda when, ts, amount: part.where(when).select("repo_id", F.lit(amount).cast("double").alias("monthly"), F.lit(50.0).alias("threshold"), F.lit(ts).alias("ts"))
+    return health.with_budgets(part.where("repo_id % 2 = 0"), change("repo_id % 3 = 0", 1, 7.0).unionAll(change("repo_id % 6 = 0", 2, None)).unionAll(change("repo_id % 12 = 0", 3, 9.0)))
+
+
 QUERIES: dict[str, Query] = {
+    "snk09_snapshot": snapshot, "snk10_history": appended, "snk11_encrypted": secrets, "src17_scan": scanned, "lim03_packages": many_packages, "mut02_manual": manual, "mut03_updated": edited, "mut06_budgets": budgets,
+    "snk03_summary": lambda s, d: reports.summary_lines(M.services(s, d)),
+    "snk12_diff": lambda s, d: reports.diff_markdown(facts.stack_diff(M.services(s, d).where("ord % 5 <> 0"), M.services(s, d).where("ord % 7 <> 0"), M.deps(s, d).limit(0), M.deps(s, d).limit(0))),
     "gr05_layers": graph_layers,
     "ai07_budget": lambda s, d: prompts.within_budget(texts(s, d)).select("repo_id", "path", F.length("content").cast("long").alias("n"), F.md5("content").alias("digest")),
     "srt06_priority_files": lambda s, d: prompts.priority_files(A.adapted(s, d, T.WALK)),
