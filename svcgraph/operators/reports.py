@@ -37,6 +37,51 @@ def spdx(dependencies: DataFrame, project: Column, created: Column, seed: str =
     return packed.select("repo_id", F.to_json(F.struct(*head, F.struct(created.alias("created"), F.array(F.lit(creator)).alias("creators")).alias("creationInfo"), "packages")).alias("document"))
 
 
+# --- the same in lines, for repositories of any size ------------------------------------------------
+
+
+def array_lines(items: DataFrame, head: Column, tail: str) -> DataFrame:
+    """repo_id, section, place, line of JSON documents: what comes before an array, its items (repo_id, place, item) a line each, and what closes it.
+
+    In the order of section and place the lines are the document; places differ within a repository. No row holds a whole document.
+    """
+    first = items.groupBy("repo_id").agg(F.min("place").alias("first"))
+    comma = F.when(F.col("place") == F.col("first"), "").otherwise(",")
+    body = items.join(first, "repo_id").select("repo_id", F.lit(1).alias("section"), F.col("place").cast("long").alias("place"), F.concat(comma, "item").alias("line"))
+    ends = F.array(F.struct(F.lit(0).alias("section"), head.alias("line")), F.struct(F.lit(2).alias("section"), F.lit(tail).alias("line")))
+    return body.unionByName(first.select("repo_id", F.explode(ends).alias("e")).select("repo_id", "e.section", F.lit(0).cast("long").alias("place"), "e.line"))
+
+
+def _opened(head: Column, name: str) -> Column:
+    """A JSON object up to the start of one more field, an array."""
+    text = F.to_json(head)
+    return F.concat(F.left(text, F.length(text) - 1), F.lit(f',"{name}":['))
+
+
+def cyclonedx_lines(dependencies: DataFrame, project: Column, created: Column, tool: tuple[str, str, str] = ("svcgraph", "svcgraph", "1")) -> DataFrame:
+    """SNK06 as lines."""
+    vendor, name, version = (F.lit(x) for x in tool)
+    meta = F.struct(created.alias("timestamp"), F.array(F.struct(vendor.alias("vendor"), name.alias("name"), version.alias("version"))).alias("tools"), F.struct(F.lit("application").alias("type"), project.alias("name")).alias("component"))
+    head = F.struct(F.lit("CycloneDX").alias("bomFormat"), F.lit("1.5").alias("specVersion"), F.lit(1).alias("version"), meta.alias("metadata"))
+    items = components(dependencies).select("repo_id", F.col("ord").alias("place"), F.to_json(F.struct(F.lit("library").alias("type"), "name", "version", "purl", "scope")).alias("item"))
+    return array_lines(items, _opened(head, "components"), "]}")
+
+
+def spdx_lines(dependencies: DataFrame, project: Column, created: Column, seed: str = "svcgraph:", creator: str = "Tool: svcgraph-1") -> DataFrame:
+    """SNK07 as lines."""
+    ref = F.array(F.struct(F.lit("PACKAGE-MANAGER").alias("referenceCategory"), F.lit("purl").alias("referenceType"), F.col("purl").alias("referenceLocator")))
+    package = F.struct(F.col("spdx_id").alias("SPDXID"), "name", F.col("version").alias("versionInfo"), F.lit("NOASSERTION").alias("downloadLocation"), ref.alias("externalRefs"))
+    space = F.concat(F.lit("https://spdx.org/spdxdocs/"), project, F.lit("-"), E.namespace_uuid(seed, project))
+    head = F.struct(F.lit("SPDX-2.3").alias("spdxVersion"), F.lit("CC0-1.0").alias("dataLicense"), F.lit("SPDXRef-DOCUMENT").alias("SPDXID"), project.alias("name"), space.alias("documentNamespace"), F.struct(created.alias("created"), F.array(F.lit(creator)).alias("creators")).alias("creationInfo"))
+    return array_lines(components(dependencies).select("repo_id", F.col("ord").alias("place"), F.to_json(package).alias("item")), _opened(head, "packages"), "]}")
+
+
+def services_json_lines(services: DataFrame) -> DataFrame:
+    """SNK01 as lines, by ord."""
+    columns = [c for c in services.columns if c not in ("repo_id", "id", "ord")]
+    return array_lines(services.select("repo_id", F.col("ord").alias("place"), F.to_json(F.struct("id", *columns)).alias("item")), F.lit("["), "]")
+
+
 # --- badges --------------------------------------------------------------------------------------
 
 BADGES = "https://img.shields.io/badge/"

@@ -302,3 +302,17 @@ r AS (SELECT repo_id, id, max(depth) AS rank FROM w GROUP BY ALL), {", ".join(st
 
 
 SQL |= {"gr05_layers": _layers(SQL["gr04_edges"])}
+
+
+def _lines(document: str) -> str:
+    """A bill of materials line by line, from the SQL of the whole one: its head, each component with a comma but the first, its end."""
+    before, _, rest = document.partition(" ||\n  string_agg(")
+    known, _, head = before.partition(" SELECT repo_id, ")
+    item = rest.partition(", ',' ORDER BY ord)")[0]
+    return f"""{known} SELECT DISTINCT repo_id, 0 AS section, 0::BIGINT AS place, {head} AS line FROM pu UNION ALL SELECT DISTINCT repo_id, 2, 0, ']}}' FROM pu
+UNION ALL SELECT repo_id, 1, ord, CASE WHEN ord = min(ord) OVER (PARTITION BY repo_id) THEN '' ELSE ',' END || {item} FROM pu"""
+
+
+SQL |= {"snk06_lines": _lines(CYCLONEDX), "snk07_lines": _lines(SPDX)}
+SQL["snk01_lines"] = f"""WITH {SE} SELECT DISTINCT repo_id, 0 AS section, 0::BIGINT AS place, '[' AS line FROM se UNION ALL SELECT DISTINCT repo_id, 2, 0, ']' FROM se
+UNION ALL SELECT repo_id, 1, ord, CASE WHEN ord = min(ord) OVER (PARTITION BY repo_id) THEN '' ELSE ',' END || '{{"id":"' || id || '","name":"' || name || '","category":"' || category || '","needs_review":' || needs_review || CASE WHEN url IS NULL THEN '' ELSE ',"url":"' || url || '"' END || '}}' FROM se"""

@@ -151,6 +151,8 @@ def budgets(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "snk06_lines": lambda s, d: reports.cyclonedx_lines(M.deps(s, d), F.lit("app"), F.lit("2024-06-30")), "snk07_lines": lambda s, d: reports.spdx_lines(M.deps(s, d), F.lit("app"), F.lit("2024-06-30")),
+    "snk01_lines": lambda s, d: reports.services_json_lines(M.services(s, d).select("repo_id", "id", "name", "category", "needs_review", "url", "ord")),
     "snk09_snapshot": snapshot, "snk10_history": appended, "snk11_encrypted": secrets, "src17_scan": scanned, "lim03_packages": many_packages, "mut02_manual": manual, "mut03_updated": edited, "mut06_budgets": budgets,
     "snk03_summary": lambda s, d: reports.summary_lines(M.services(s, d)),
     "snk12_diff": lambda s, d: reports.diff_markdown(facts.stack_diff(M.services(s, d).where("ord % 5 <> 0"), M.services(s, d).where("ord % 7 <> 0"), M.deps(s, d).limit(0), M.deps(s, d).limit(0))),

@@ -1,3 +1,4 @@
+import json
 import random
 import time
 from datetime import date, datetime
@@ -234,3 +235,13 @@ def test_saved_graph_enriches_and_keeps(spark):
     assert (got["svc-gone"].type, got["svc-gone"].plan, got["svc-gone"].source, got["svc-gone"].service_id, got["svc-gone"].x) == ("external", "unknown", "manual", None, 3.0)
     whole, _ = graph.with_saved(made.where("id <> 'svc-b'"), links, saved, links, own)
     assert rows(whole, "id", "x") == [("svc-a", 2.0), ("svc-gone", 3.0), ("user", 1.0)]
+
+
+def test_documents_in_lines_are_the_whole_ones(spark):
+    deps = spark.createDataFrame([(1, "npm", '@a/"b', "^1", "production", 2), (1, "pip", "c", "*", "peer", 1), (2, "go", "x", "v1", "production", 5)], "repo_id int, ecosystem string, name string, version string, type string, ord long")
+    for whole, lines in ((reports.cyclonedx, reports.cyclonedx_lines), (reports.spdx, reports.spdx_lines)):
+        want = {r.repo_id: json.loads(r.document) for r in whole(deps, F.lit("app"), F.lit("t")).collect()}
+        got = {}
+        for r in sorted(lines(deps, F.lit("app"), F.lit("t")).collect(), key=lambda r: (r.section, r.place)):
+            got[r.repo_id] = got.get(r.repo_id, "") + r.line + "\n"
+        assert {k: json.loads(v) for k, v in got.items()} == want
