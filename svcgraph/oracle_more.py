@@ -75,15 +75,15 @@ FROM o LEFT JOIN taken USING (repo_id) WHERE (ord % 5 <> 0 OR k IS NULL OR ord =
     "fn20_renewed": f"WITH {SE} SELECT id, DATE '2024-02-29' AS last_renewed, DATE '2025-03-01' AS next_date FROM se WHERE billing_type = 'manual' AND period = 'yearly'",
     "fn29_review": f"WITH {SE} SELECT id, CASE WHEN confidence = 'high' THEN false ELSE ord % 3 = 0 OR category = 'other' OR ord % 2 = 1 END AS review FROM se",
     "fn30_band": f"WITH {HI} SELECT event_id, CASE WHEN score >= 80 THEN 'green' WHEN score >= 50 THEN 'yellow' ELSE 'red' END AS band FROM hi",
-    "fn32_sanitized": f"WITH {SE} SELECT id, trim(left(' a' || name || ' tok_abcdef ', 20)) AS clean FROM se",
-    "fn33_redacted": f"WITH {SE} SELECT id, replace({ODD}, 'tok_abcdef', 'tok_****') AS message FROM se",
-    "fn34_traversal": f"WITH {SE} SELECT id, ord % 3 <> 1 AS unsafe FROM se",
+    "fn32_sanitized": r"""SELECT page_id, trim(left(regexp_replace(' ' || html, '[\x00-\x1F\x7F]', '', 'g'), 200)) AS clean FROM pages""",
+    "fn33_redacted": r"""SELECT page_id, CASE WHEN split_part(url, '/', 3) = '' THEN url || ' failed: ' || html ELSE replace(url || ' failed: ' || html, split_part(url, '/', 3), left(split_part(url, '/', 3), 4) || '****') END AS message FROM pages""",
+    "fn34_traversal": r"""SELECT page_id, list_contains(string_split_regex(CASE page_id % 4 WHEN 0 THEN url || '/../x' WHEN 1 THEN url || '..' WHEN 2 THEN url || chr(92) || '..' ELSE url END, '[/\\]'), '..') AS unsafe FROM pages""",
     "fn35_budget": f"""WITH {SE}, b AS (SELECT DISTINCT repo_id, CASE WHEN repo_id % 5 <> 0 THEN (repo_id + 1) * 100000.0 ELSE 0 END AS m, CASE WHEN repo_id % 3 = 0 THEN 50 ELSE 80 END AS th FROM se),
 t AS (SELECT repo_id, sum({MONTHLY}) AS spent FROM se WHERE amount > 0 AND billing_type IS NOT NULL GROUP BY 1), x AS (SELECT b.repo_id, th, coalesce(spent, 0) AS spent, CASE WHEN m > 0 THEN coalesce(spent, 0) / m * 100 END AS p FROM b LEFT JOIN t ON b.repo_id = t.repo_id)
 SELECT repo_id, round(spent, 2) AS spent, round(p, 4) AS percent, CASE WHEN p > 100 THEN 'red' WHEN p >= th THEN 'yellow' ELSE 'green' END AS colour FROM x""",
     "fn38_registry": f"WITH {DE} SELECT ord, CASE ecosystem {' '.join(f'''WHEN '{a}' THEN '{b}' ''' for a, b in REGISTRY.items())} END || name AS url FROM de",
-    "fn39_slugs": f"WITH {SE} SELECT id, ord % 2 = 0 AS slug, ord % 3 = 1 AS base FROM se",
-    # --- documents and summaries of queries.py ---
+    "fn39_slugs": r"""SELECT page_id, regexp_matches(split_part(url, '/', 4) || '/' || split_part(url, '/', 5), '^[a-zA-Z0-9_.\-]+/[a-zA-Z0-9_.\-]+$') AS slug,
+CASE page_id % 3 WHEN 2 THEN regexp_matches(lower(url), '^https?://[^/?#:]') ELSE false END AS base FROM pages""",
     "agg22_share": f"WITH {SE}, {DE}, a AS (SELECT repo_id, count(*) AS services, CAST(floor(sum(coalesce(CASE WHEN period = 'yearly' THEN amount / 12 ELSE amount END, 0)) + 0.5) AS BIGINT) AS monthly_cost FROM se GROUP BY 1), b AS (SELECT repo_id, count(*) AS n FROM de GROUP BY 1) SELECT a.repo_id, services, coalesce(n, 0) AS dependencies, monthly_cost FROM a LEFT JOIN b ON a.repo_id = b.repo_id",
     "flt08_notifications": f"""WITH {SE}, x AS (SELECT repo_id, name, CAST(date_diff('day', DATE '2000-01-01', next_date) AS INT) AS days FROM se WHERE next_date IS NOT NULL), y AS (SELECT *, count(*) OVER (PARTITION BY repo_id) AS n FROM x WHERE days BETWEEN 1 AND 30)
 SELECT repo_id, name || ' renews in ' || days || ' days' AS message FROM y WHERE n <= 3 UNION ALL SELECT repo_id, count(*) || ' renewals coming up: ' || string_agg(name, ', ' ORDER BY days, name) FROM y WHERE n > 3 GROUP BY repo_id""",

@@ -165,6 +165,10 @@ def on_services(*columns) -> Query:
     return lambda s, d: services(s, d).select("id", *[c() for c in columns])
 
 
+def on_pages(*columns) -> Query:
+    return lambda s, d: A.table(s, d, "pages").select("page_id", *[c() for c in columns])
+
+
 name = lambda: F.col("name")
 odd = lambda: F.concat(F.lit("\x01 a\x7f"), F.col("name"), F.lit("\t tok_abcdef "))
 QUERIES: dict[str, Query] = {
@@ -188,9 +192,13 @@ QUERIES: dict[str, Query] = {
     "fn20_renewed": lambda s, d: health.renewed(services(s, d).where("billing_type = 'manual' AND period = 'yearly'"), F.lit("2024-02-29")).select("id", "last_renewed", "next_date"),
     "fn29_review": on_services(lambda: E.should_review(F.col("confidence"), F.when(F.col("ord") % 3 == 0, "other").otherwise(F.col("category")), F.col("ord") % 2).alias("review")),
     "fn30_band": lambda s, d: A.adapted(s, d, A.HISTORY).select("event_id", E.score_band(F.col("score")).alias("band")),
-    "fn32_sanitized": on_services(lambda: E.sanitize_prompt(odd(), 20).alias("clean")), "fn33_redacted": on_services(lambda: E.redact_token(odd(), F.lit("tok_abcdef")).alias("message")),
-    "fn34_traversal": on_services(lambda: E.has_traversal(F.when(F.col("ord") % 3 == 0, F.lit("a/../b")).when(F.col("ord") % 3 == 1, F.lit("a..b/c")).otherwise(F.lit("x\\.."))).alias("unsafe")),
+    "fn32_sanitized": on_pages(lambda: E.sanitize_prompt(F.concat(F.lit(" \x01"), "html", F.lit("\x7f")), 200).alias("clean")),
+    "fn33_redacted": on_pages(lambda: E.redact_token(F.concat("url", F.lit(" failed: "), "html"), F.split_part("url", F.lit("/"), F.lit(3))).alias("message")),
+    "fn34_traversal": on_pages(lambda: E.has_traversal(F.when(F.col("page_id") % 4 == 0, F.concat("url", F.lit("/../x"))).when(F.col("page_id") % 4 == 1, F.concat("url", F.lit(".."))).when(F.col("page_id") % 4 == 2, F.concat("url", F.lit("\\.."))).otherwise(F.col("url"))).alias("unsafe")),
     "fn35_budget": budgets,
     "fn38_registry": lambda s, d: deps(s, d).select("ord", E.registry_url(F.col("ecosystem"), F.col("name")).alias("url")),
-    "fn39_slugs": on_services(lambda: E.valid_slug(F.when(F.col("ord") % 2 == 0, F.concat("id", F.lit("/x"))).otherwise(F.concat("id", F.lit("/a/b")))).alias("slug"), lambda: E.safe_base_url(F.when(F.col("ord") % 3 == 0, F.lit("http://169.254.1.1/x")).when(F.col("ord") % 3 == 1, F.lit("https://u@Api.io:8/x")).otherwise(F.lit("ftp://a"))).alias("base")),
+    "fn39_slugs": on_pages(
+        lambda: E.valid_slug(F.concat(F.split_part("url", F.lit("/"), F.lit(4)), F.lit("/"), F.split_part("url", F.lit("/"), F.lit(5)))).alias("slug"),
+        lambda: E.safe_base_url(F.when(F.col("page_id") % 3 == 0, F.replace("url", F.split_part("url", F.lit("/"), F.lit(3)), F.lit("u@169.254.1.1:80"))).when(F.col("page_id") % 3 == 1, F.replace("url", F.lit("http"), F.lit("ftp"))).otherwise(F.col("url"))).alias("base"),
+    ),
 }
