@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as E
 from ..functions import rules
+from ..sources.shared import written
 
 
 def route(category: Column, url: Column) -> Column:
@@ -30,6 +31,11 @@ def group_key(category: Column) -> Column:
     return E.lookup(category, pairs)
 
 
+def prepared(services: DataFrame) -> DataFrame:
+    """The columns of services that nodes and edges need, written once, as both read them several times."""
+    return written(services.select("repo_id", "id", "name", "category", "url"), "services")
+
+
 def repository_flags(services: DataFrame) -> DataFrame:
     """GR02: repo_id, has_front, has_back and the parents of both sides."""
     side = route(F.col("category"), F.col("url"))
@@ -74,7 +80,8 @@ def nodes(repositories: DataFrame, services: DataFrame) -> DataFrame:
 
 def edges(services: DataFrame) -> DataFrame:
     """repo_id, source, target, flow_type of virtual nodes, layers and services."""
-    flags, rows = repository_flags(services), placed(services)
+    rows = placed(services)
+    flags = rows.select("repo_id", "has_front", "has_back").distinct()
     link = lambda on, a, b: F.struct(on.alias("on"), F.lit(a).alias("s"), F.lit(b).alias("t"))
     made = F.array(link(F.col("has_front"), "user", "frontend"), link(F.col("has_back"), "user", "api"), link(F.col("has_front") & F.col("has_back"), "frontend", "api"))
     virtual = flags.select("repo_id", F.explode(F.filter(made, lambda x: x["on"])).alias("e")).select("repo_id", F.col("e.s").alias("source"), F.col("e.t").alias("target"), F.lit("data").alias("flow_type"))

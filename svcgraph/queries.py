@@ -107,6 +107,11 @@ def made_badges(s, d):
     return reports.badge_urls(rows.withColumn("scanned", F.lit(AS_OF)))
 
 
+def structure(s, d):
+    rows = graph.prepared(services(s, d))
+    return graph.structure_hash(graph.nodes(rows.select("repo_id").distinct(), rows), graph.edges(rows))
+
+
 host = lambda: E.host_of(F.col("url")).alias("host")
 plain_host = lambda: F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
@@ -166,8 +171,8 @@ QUERIES: dict[str, Query] = {
     "lim01_last_100": lambda s, d: history.kept(A.adapted(s, d, A.HISTORY)).select("repo_id", "ts", "score"),
     "gr02_virtual_nodes": lambda s, d: graph.virtual_nodes(repositories(s, d), services(s, d)).select("repo_id", "id", "label", "type"),
     "gr03_layers": lambda s, d: graph.placed(services(s, d)).select("repo_id", "id", "parent"),
-    "gr04_edges": lambda s, d: graph.edges(services(s, d)),
-    "fn37_structure": lambda s, d: graph.structure_hash(graph.nodes(repositories(s, d), services(s, d)), graph.edges(services(s, d))),
+    "gr04_edges": lambda s, d: graph.edges(graph.prepared(services(s, d))),
+    "fn37_structure": structure,
     "sbom_purl": lambda s, d: reports.components(deps(s, d)).select("repo_id", "ord", "purl", "scope"),
     "snk02_markdown": lambda s, d: reports.report_lines(health.default_view(services(s, d)).withColumn("last_activity", F.col("last_renewed")).withColumn("days", F.when(F.col("ord") % 3 == 0, F.col("ord") % 400)), deps(s, d), queries_more.alternatives(s, d), F.lit(AS_OF)),
     "snk04_html": lambda s, d: reports.services_html(services(s, d)),

@@ -11,6 +11,7 @@ from .functions import exprs as E
 from .operators import facts, graph, health
 from .sources import adapters as A
 from .sources import stored
+from .sources.shared import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,12 +41,20 @@ def counts(s, d):
     return facts.severity_counts(found(s, d))
 
 
+def nodes_of(rows: DataFrame) -> DataFrame:
+    return rows.select("repo_id", F.concat(F.lit("svc-"), "id").alias("id"), F.col("name").alias("label"), F.lit("service").alias("type"), F.col("id").alias("service_id"), "ord")
+
+
 def nodes(s, d):
-    return services(s, d).select("repo_id", F.concat(F.lit("svc-"), "id").alias("id"), F.col("name").alias("label"), F.lit("service").alias("type"), F.col("id").alias("service_id"), "ord")
+    return nodes_of(services(s, d))
+
+
+def links_of(rows: DataFrame) -> DataFrame:
+    return rows.where("ord % 3 = 0").select("repo_id", F.lit("user").alias("source"), F.concat(F.lit("svc-"), "id").alias("target"), F.lit("data").alias("flow_type"), "ord")
 
 
 def links(s, d):
-    return services(s, d).where("ord % 3 = 0").select("repo_id", F.lit("user").alias("source"), F.concat(F.lit("svc-"), "id").alias("target"), F.lit("data").alias("flow_type"), "ord")
+    return links_of(services(s, d))
 
 
 def parts(made: DataFrame, edges: DataFrame) -> DataFrame:
@@ -55,16 +64,17 @@ def parts(made: DataFrame, edges: DataFrame) -> DataFrame:
 
 def saved_graph(s, d):
     """An analysed graph, all of whose nodes are saved in a tenth of the repositories, with edited fields, own nodes and edges."""
-    made = nodes(s, d).where("ord % 2 = 0 AND (repo_id % 10 <> 3 OR ord % 4 = 0)").drop("ord")
-    edges = links(s, d).where("ord % 2 = 0").drop("ord")
+    rows = written(services(s, d).select("repo_id", "id", "name", "category", "plan", "confidence", "url", "source", "ord"), "services")
+    made = nodes_of(rows).where("ord % 2 = 0 AND (repo_id % 10 <> 3 OR ord % 4 = 0)").drop("ord")
+    edges = links_of(rows).where("ord % 2 = 0").drop("ord")
     when = lambda condition, value: F.when(F.expr(condition), value)
-    own = services(s, d).where("ord % 4 = 0 OR ord % 10 = 1").select(
+    own = rows.where("ord % 4 = 0 OR ord % 10 = 1").select(
         "repo_id", F.concat(F.lit("svc-"), "id").alias("id"), when("ord % 4 = 0 AND ord % 8 <> 0", F.concat(F.lit("L-"), "name")).when(F.expr("ord % 10 = 1"), F.col("name")).alias("label"), when("ord % 12 = 0", "cdn").alias("type"),
         when("ord % 16 = 0", "saved").alias("category"), F.lit("n").alias("note"), F.lit(1.0).alias("x"), F.lit(2.0).alias("y"),
     )
-    drawn = services(s, d).where("ord % 5 = 1").select("repo_id", F.concat(F.lit("svc-"), "id").alias("source"), F.concat(F.lit("svc-"), "id").alias("target"), F.lit("x").alias("flow_type"))
+    drawn = rows.where("ord % 5 = 1").select("repo_id", F.concat(F.lit("svc-"), "id").alias("source"), F.concat(F.lit("svc-"), "id").alias("target"), F.lit("x").alias("flow_type"))
     back = drawn.withColumn("target", F.lit("gone"))
-    return graph.with_saved(made, edges, own, drawn.unionAll(back), services(s, d))
+    return graph.with_saved(made, edges, own, drawn.unionAll(back), rows)
 
 
 def merged_graph(s, d):

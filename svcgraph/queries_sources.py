@@ -93,7 +93,7 @@ def mixed_case(s: SparkSession, d: str) -> DataFrame:
 
 
 def graph_layers(s: SparkSession, d: str) -> DataFrame:
-    services = M.services(s, d)
+    services = graph.prepared(M.services(s, d))
     return layout.layered(graph.nodes(services.select("repo_id").distinct(), services), graph.edges(services))
 
 
