@@ -27,6 +27,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_topk_search": topk_search.SQL,
     "op5_warc": warc.SQL,
     "op8_ngram_join": ngram_join.SQL,
-    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
     "op12_importance_resampling": resampling.SQL,
 }
