@@ -5,6 +5,7 @@ White space is trimmed as Unicode white space, `\\z` is the end of the input, an
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -21,6 +22,11 @@ def lookup(key: Column, pairs: list[tuple], otherwise: Column | None = None) ->
     return chain if otherwise is None else chain.otherwise(otherwise)
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once however often `then` uses it; within a higher-order function nothing else sees to that."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def trim(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
 

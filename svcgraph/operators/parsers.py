@@ -170,18 +170,20 @@ def api_url(line: Column) -> Column:
 
 
 def source(c: Column, project: Column) -> Column:
+    def calls(url: Column, n: Column) -> Column:
+        counts = lambda host: F.coalesce(host.isNotNull() & ~E.is_ignored_suffix(host) & ~E.is_own_domain(host, project), F.lit(False))
+        return E.bound(E.host_of(url), lambda host: F.when(counts(host), F.array(ev("url", url, n), ev("domain", host, n))).otherwise(none(EVIDENCE)))
+
     def of(x: Column) -> Column:
         line, n = x["raw"], x["n"]
-        url = api_url(line)
-        host = E.host_of(url)
-        counts = F.coalesce(host.isNotNull() & ~E.is_ignored_suffix(host) & ~E.is_own_domain(host, project), F.lit(False))
-        calls = F.when(counts, F.array(ev("url", url, n), ev("domain", host, n))).otherwise(none(EVIDENCE))
+        called = F.when(line.rlike("https?://"), E.bound(api_url(line), lambda url: calls(url, n))).otherwise(none(EVIDENCE))
         references = F.transform(found(line, ENV_REFERENCE), lambda v: ev("env_var", v, n))
-        seen = F.when(is_content_line(line), none(EVIDENCE)).otherwise(F.concat(calls, references))
+        seen = F.when(is_content_line(line), none(EVIDENCE)).otherwise(F.concat(called, references))
         imports = F.transform(F.concat(found(line, IMPORT_FROM), found(line, REQUIRE)), lambda v: ev("import", v, n))
         return F.concat(seen, imports)
 
-    worth = F.filter(numbered(c), lambda x: x["raw"].rlike(r"https?://|process\.env\.|from\s|require\("))
+    lines = F.transform(F.split(c, "\n"), lambda x, i: F.struct((i + 1).alias("n"), x.alias("raw")))
+    worth = F.filter(lines, lambda x: x["raw"].rlike(r"https?://|process\.env\.|from\s|require\("))
     return F.flatten(F.transform(worth, of))
 
 

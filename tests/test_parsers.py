@@ -58,6 +58,12 @@ def test_dependencies(spark, path, content, want):
     assert deps(spark, path, content) == want
 
 
+def test_an_address_is_looked_for_once_a_line(spark):
+    rows_ = parsers.evidence_of(repo.walked(table(spark, {"a.ts": ""})), only=["source"])
+    plan = rows_._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("baseURL") <= 4  # it grew with every use of the address and of its host
+
+
 def test_settings_walk(spark):
     got = evidence(spark, "appsettings.Dev.json", '{"ConnectionStrings":{"Default":"Server=x"},"Stripe":{"ApiKey":"abcdefgh","List":[{"Url":"https://x.io/a"}]}}')
     assert got == [("domain", "sqlserver"), ("env_var", "STRIPE_APIKEY"), ("env_var", "STRIPE_APIKEY"), ("url", "https://x.io/a")]
