@@ -1,4 +1,4 @@
-"""TVF01-TVF26: file contents become evidence and dependency rows, by column expressions alone.
+"""TVF01-TVF26: file contents become evidence and dependency rows, by column expressions; trees of settings are walked by a small helper.
 
 For each file kind one expression gives an array of evidence structs (type, value, line) and one an array of dependency
 structs (name, version, type, ecosystem); arrays are exploded once, in order of emission. Bad
@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import exprs as E
 from ..functions import rules
@@ -258,18 +259,39 @@ def connection(value: Column) -> Column:
 
 
 def settings_leaves(files: DataFrame) -> DataFrame:
-    """TVF15: prefix, key and value of every string in a settings file; arrays add nothing to the prefix."""
-    walk = """
-      WITH RECURSIVE walk(repo_id, file, ord0, prefix, key, v) AS (
-        SELECT repo_id, file, ord0, '', CAST(NULL AS STRING), try_parse_json(content) FROM {files} WHERE try_parse_json(content) IS NOT NULL
-        UNION ALL
-        SELECT w.repo_id, w.file, w.ord0,
-          CASE WHEN w.key IS NULL THEN w.prefix WHEN w.prefix = '' THEN w.key ELSE concat(w.prefix, ':', w.key) END, e.key, e.value
-        FROM walk w, LATERAL variant_explode(w.v) e WHERE schema_of_variant(w.v) LIKE 'OBJECT%' OR schema_of_variant(w.v) LIKE 'ARRAY%'
-      )
-      SELECT repo_id, file, ord0, prefix, key, CAST(v AS STRING) AS value FROM walk WHERE key IS NOT NULL AND schema_of_variant(v) = 'STRING'
+    """TVF15: prefix, key and value of every string in a settings file; arrays add nothing to the prefix.
+
+    One pass over the files, whose texts are read and written anew as JSON before, so that a helper sees good ones alone; it keeps one file's tree.
     """
-    return files.sparkSession.sql(walk, files=files).where("value <> ''")
+    import json
+
+    import pyarrow as pa
+
+    schema = T.StructType([*[files.schema[c] for c in ("repo_id", "file", "ord0")], *[T.StructField(c, T.StringType()) for c in ("prefix", "key", "value")]])
+    rows = files.select("repo_id", "file", "ord0", F.to_json(F.try_parse_json("content")).alias("json")).where("json IS NOT NULL")
+
+    def leaves(text: str):
+        todo = [("", None, json.loads(text))]
+        while todo:
+            prefix, key, value = todo.pop()
+            if isinstance(value, str):
+                if key is not None and value:
+                    yield prefix, key, value
+                continue
+            below = prefix if key is None else f"{prefix}:{key}" if prefix else key
+            children = value.items() if isinstance(value, dict) else ((None, v) for v in value) if isinstance(value, list) else ()
+            todo.extend((below, k, v) for k, v in children if isinstance(v, str | dict | list))
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                some = b.slice(at, 500)
+                got = [(i, *leaf) for i, text in enumerate(some.column(3).to_pylist()) for leaf in leaves(text)]
+                index, *columns = zip(*got, strict=True) if got else ((), (), (), ())
+                own = [some.column(c).take(pa.array(index, pa.int64())) for c in range(3)]
+                yield pa.RecordBatch.from_arrays([*own, *[pa.array(c, pa.string()) for c in columns]], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def settings_evidence(prefix: Column, key: Column, value: Column) -> Column:

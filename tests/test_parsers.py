@@ -70,6 +70,19 @@ def test_settings_walk(spark):
     assert evidence(spark, "appsettings.json", "{bad") == []
 
 
+def test_settings_of_any_number_and_depth(spark):
+    deep = '{"a":[' * 120 + '{"Url":"https://x.io/a","U":""}' + "]}" * 120
+    assert evidence(spark, "appsettings.json", deep) == [("url", "https://x.io/a")]
+    assert rows(parsers.settings_leaves(table(spark, {"f": '[{"":{"k":"1","n":[2,null,"lost"]}},"lost"]'}).select("repo_id", F.col("path").alias("file"), F.lit(0).alias("ord0"), "content")), "prefix", "key", "value") == [("", "k", "1")]
+    before = spark.conf.get("spark.sql.cteRecursionRowLimit")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "20")
+    try:
+        many = spark.range(50).select("id", F.lit("appsettings.json").alias("path"), F.lit('{"S":{"ApiKey":"abcdefgh"}}').alias("content"), F.lit(1).cast("long").alias("size")).withColumnRenamed("id", "repo_id")
+        assert parsers.evidence_of(repo.walked(many)).count() == 100
+    finally:
+        spark.conf.set("spark.sql.cteRecursionRowLimit", before)
+
+
 def test_other_evidence(spark):
     assert evidence(spark, "application.properties", "spring.datasource.url=jdbc:postgresql://x\nstripe.api-key=1") == [("domain", "postgresql"), ("env_var", "STRIPE_KEY")]
     assert evidence(spark, "main.tf", 'provider "aws" {}\nprovider "random" {}\nresource "google_x" "y" {}') == [("config_file", "terraform:aws"), ("config_file", "terraform:google")]
