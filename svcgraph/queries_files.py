@@ -16,12 +16,17 @@ from .sources import repo
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def made(s: SparkSession, d: str, sql: str) -> DataFrame:
+    """The files that sql makes of the part table, a short row each that stands for much parsing."""
+    return A.adapted(s, d, sql, deal="p_partkey")
+
+
 def files(s: SparkSession, d: str, rows: list) -> DataFrame:
-    return A.adapted(s, d, T.files_sql(rows, "CAST(k AS INT)"))
+    return made(s, d, T.files_sql(rows, "CAST(k AS INT)"))
 
 
 def template(s: SparkSession, d: str, name: str) -> DataFrame:
-    return A.adapted(s, d, T.files_sql([(*T.TEMPLATES[name], "true")]))
+    return made(s, d, T.files_sql([(*T.TEMPLATES[name], "true")]))
 
 
 #: The kind of file that each template is of; its query's plan holds that parser alone.
@@ -50,24 +55,24 @@ def kinds(s: SparkSession, d: str) -> DataFrame:
 
 
 def ecosystems(s: SparkSession, d: str) -> DataFrame:
-    rows = repo.walked(A.adapted(s, d, T.files_sql([(*T.TEMPLATES[n], "true") for n in ("tvf01_package_json", "tvf08_requirements", "tvf12_go_mod")])))
+    rows = repo.walked(made(s, d, T.files_sql([(*T.TEMPLATES[n], "true") for n in ("tvf01_package_json", "tvf08_requirements", "tvf12_go_mod")])))
     return parsers.ecosystems(rows, parsers.dependencies_of(rows)).withColumn("ecosystems", F.array_join("ecosystems", ","))
 
 
 def needed(s: SparkSession, d: str) -> DataFrame:
     """The dependencies of repositories with manifests in many folders, some of them ignored, in the order of the walk."""
-    return parsers.extract_dependencies(repo.walked(repo.without_ignored(A.adapted(s, d, T.files_sql(T.MANIFESTS)))))
+    return parsers.extract_dependencies(repo.walked(repo.without_ignored(made(s, d, T.files_sql(T.MANIFESTS)))))
 
 
 QUERIES: dict[str, Query] = {name: parsed(name) for name in T.TEMPLATES if name != "tvf26_env_map"} | {
     "tvf26_env_map": lambda s, d: template(s, d, "tvf26_env_map").select("repo_id", F.col("path").alias("file"), F.explode(parsers.env_map(F.col("content"))).alias("key", "value")),
-    "src01_walk": lambda s, d: repo.walked(A.adapted(s, d, T.WALK)).select("repo_id", "path"),
+    "src01_walk": lambda s, d: repo.walked(made(s, d, T.WALK)).select("repo_id", "path"),
     "src02_gitignore": lambda s, d: repo.without_ignored(files(s, d, T.IGNORES)).where("path <> '.gitignore'").select("repo_id", "path"),
     "src06_kinds": kinds,
     "src15_workspaces": lambda s, d: repo.workspace_packages(files(s, d, T.WORKSPACES)),
     "fn05_own_names": lambda s, d: parsers.project_names(files(s, d, T.NAMES)),
     "fn07_ecosystems": ecosystems,
-    "src01_walk_order": lambda s, d: walk_ranks(repo.walked(A.adapted(s, d, T.files_sql(T.MANIFESTS)))),
+    "src01_walk_order": lambda s, d: walk_ranks(repo.walked(made(s, d, T.files_sql(T.MANIFESTS)))),
     "src02_inventory": lambda s, d: needed(s, d).select("repo_id", "file", "name", "version", "type"),
     "agg07_walk_dedup": lambda s, d: grouping.unique_dependencies(needed(s, d)).select("repo_id", "ecosystem", "name", "version", "type", "file"),
 }

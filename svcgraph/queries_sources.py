@@ -121,12 +121,12 @@ def secrets(s: SparkSession, d: str) -> DataFrame:
 
 
 def scanned(s: SparkSession, d: str) -> DataFrame:
-    files = A.adapted(s, d, T.files_sql(T.WORKSPACES, "CAST(k AS INT)"))
+    files = A.adapted(s, d, T.files_sql(T.WORKSPACES, "CAST(k AS INT)"), deal="p_partkey")
     return repo.with_packages(parsers.evidence_of(repo.walked(files), only=["package_json"]), repo.workspace_packages(files)).select("repo_id", "type", "value", "file")
 
 
 def many_packages(s: SparkSession, d: str) -> DataFrame:
-    files = A.adapted(s, d, T.files_sql([("package.json", '{"workspaces":["packages/*"]}', "k < 3"), ("packages/p§k/package.json", "{}", "true")], "CAST(k % 3 AS INT)"))
+    files = A.adapted(s, d, T.files_sql([("package.json", '{"workspaces":["packages/*"]}', "k < 3"), ("packages/p§k/package.json", "{}", "true")], "CAST(k % 3 AS INT)"), deal="p_partkey")
     return repo.workspace_packages(files)
 
 

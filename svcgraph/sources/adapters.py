@@ -76,10 +76,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def adapted(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+def adapted(spark: SparkSession, sf_dir: str, sql: str, deal: str | None = None) -> DataFrame:
+    """The rows of sql; with deal, tables are dealt to tasks by that column first: a table of one row group would else be one task, however long its rows take."""
     import re
 
-    return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in set(re.findall(r"\{(\w+)\}", sql))})
+    dealt = lambda rows: rows if deal is None else rows.repartition(deal)
+    return spark.sql(sql, **{n: dealt(table(spark, sf_dir, n)) for n in set(re.findall(r"\{(\w+)\}", sql))})
 
 
 def duckdb(sql: str) -> str:

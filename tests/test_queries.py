@@ -37,3 +37,15 @@ def test_query_equals_its_sql(spark, database, name):
     assert sorted(named) == columns
     assert got == sorted((tuple(plain(dict(zip(named, r, strict=True))[c]) for c in columns) for r in result.fetchall()), key=repr)
     assert re.fullmatch("[a-z0-9_]+", name)
+
+
+def test_made_files_are_dealt_to_many_tasks(spark):
+    """The part table is one row group; what its rows stand for is not parsed in one task."""
+    from svcgraph import queries_files
+
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert all(made.rdd.getNumPartitions() > 1 for made in (queries_files.template(spark, SF, "tvf06_source"), queries_files.files(spark, SF, queries_files.T.NAMES[:1])))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
