@@ -113,10 +113,13 @@ def env(c: Column, project: Column) -> Column:
 
 def env_map(content: Column) -> Column:
     """TVF26: the last value of each key, without quotes around it."""
-    pairs = env_pairs(content)
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
-    last = lambda k: F.element_at(F.filter(pairs, lambda p: p["key"] == k), -1)["value"]
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.regexp_replace(last(k), r"""^["']|["']\z""", "")))
+
+    def last(sorted_pairs: Column) -> Column:
+        after = lambda i: F.get(sorted_pairs, i + 1)["key"]
+        return F.filter(sorted_pairs, lambda p, i: ~p["key"].eqNullSafe(after(i)))
+
+    in_order = F.array_sort(F.transform(env_pairs(content), lambda p: F.struct(p["key"].alias("key"), p["n"].alias("n"), p["value"].alias("value"))))
+    return F.map_from_entries(F.transform(E.bound(in_order, last), lambda p: F.struct(p["key"].alias("key"), F.regexp_replace(p["value"], r"""^["']|["']\z""", "").alias("value"))))
 
 
 def compose(c: Column) -> Column:
@@ -531,16 +534,23 @@ def project_names(files: DataFrame, config_name: str = "stack.config.json") -> D
     """FN05/FN06: repo_id, own_domain (null if unknown), project_name (null without a name: the folder's name counts then)."""
     root = files.where(~F.col("path").contains("/"))
     c = F.col("content")
-    values = env_map(c)
-    of_env = [F.struct(F.lit(i * 100 + j).alias("p"), E.apex(F.nullif(F.element_at(values, v), F.lit(""))).alias("v")) for i, f in enumerate(OWN_DOMAIN_FILES) for j, v in enumerate(OWN_DOMAIN_VARIABLES) if f]
+
+    def known(place: Column, value: Column) -> Column:
+        """The value and its place in the order; null without a value."""
+        return E.bound(value, lambda v: F.when(v.isNotNull(), F.struct(place.cast("int").alias("p"), v.alias("v"))))
+
+    def of_env(which: Column) -> Column:
+        variables = F.array(*[F.lit(v) for v in OWN_DOMAIN_VARIABLES])
+        told = lambda values: F.transform(variables, lambda v, j: E.bound(F.nullif(F.element_at(values, v), F.lit("")), lambda x: known(which * 100 + j, E.apex(x))))
+        return F.get(F.filter(E.bound(env_map(c), told), lambda x: x.isNotNull()), F.lit(0))
+
     which = F.array_position(F.array(*[F.lit(f) for f in OWN_DOMAIN_FILES]), F.col("path"))
-    env_first = F.get(F.filter(F.array(*of_env[: len(OWN_DOMAIN_VARIABLES)]), lambda x: x["v"].isNotNull()), F.lit(0))
     alias = E.apex(F.nullif(F.get_json_object(c, "$.alias[0]"), F.lit("")))
     package = F.nullif(F.get_json_object(c, "$.name"), F.lit(""))
     chosen = F.nullif(F.get_json_object(c, "$.project.name"), F.lit(""))
     rows = root.select(
         "repo_id",
-        F.when(which > 0, F.struct((which * 100 + env_first["p"]).cast("int").alias("p"), env_first["v"].alias("v"))).when(F.col("path") == "vercel.json", F.struct(F.lit(1000).alias("p"), alias.alias("v"))).when(F.col("path") == "package.json", F.struct(F.lit(2000).alias("p"), E.project_label(package).alias("v"))).alias("d"),
-        F.when(F.col("path") == config_name, F.struct(F.lit(0).alias("p"), chosen.alias("v"))).when(F.col("path") == "package.json", F.struct(F.lit(1).alias("p"), E.format_project_name(package).alias("v"))).alias("n"),
+        F.when(which > 0, of_env(which)).when(F.col("path") == "vercel.json", known(F.lit(1000), alias)).when(F.col("path") == "package.json", known(F.lit(2000), E.project_label(package))).alias("d"),
+        F.when(F.col("path") == config_name, known(F.lit(0), chosen)).when(F.col("path") == "package.json", E.bound(package, lambda x: known(F.lit(1), E.format_project_name(x)))).alias("n"),
     )
-    return rows.groupBy("repo_id").agg(F.min(F.when(F.col("d.v").isNotNull(), F.col("d")))["v"].alias("own_domain"), F.min(F.when(F.col("n.v").isNotNull(), F.col("n")))["v"].alias("project_name"))
+    return rows.groupBy("repo_id").agg(F.min("d")["v"].alias("own_domain"), F.min("n")["v"].alias("project_name"))

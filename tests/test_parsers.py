@@ -64,6 +64,17 @@ def test_an_address_is_looked_for_once_a_line(spark):
     assert 1 <= plan.count("baseURL") <= 4  # it grew with every use of the address and of its host
 
 
+def test_own_names_read_the_variables_once(spark):
+    files = {".env": "A=1\nNEXT_PUBLIC_URL=\nAPP_URL=https://www.First.io\nSITE_URL='https://x.io'\nSITE_URL=\"https://shop.dev/a\"\n", ".env.local": "PUBLIC_URL=https://second.io", "package.json": '{"name":"a-b"}', "stack.config.json": '{"project":{"name":""}}'}
+    named = parsers.project_names(table(spark, files))
+    assert rows(named) == [("r", "first", "A B")]  # APP_URL comes before SITE_URL in the order of variables
+    assert rows(parsers.project_names(table(spark, {k: v for k, v in files.items() if k != ".env"}))) == [("r", "second", "A B")]
+    assert rows(parsers.project_names(table(spark, {".env": files[".env"].replace("APP_URL", "B")}))) == [("r", "shop", None)]
+    assert rows(table(spark, files).where("path = '.env'").select(parsers.env_map(F.col("content"))["SITE_URL"])) == [("https://shop.dev/a",)]
+    plan = named._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("regexp_extract") <= 12  # the dotenv text stood in the plan for every variable and every use of its value
+
+
 def test_settings_walk(spark):
     got = evidence(spark, "appsettings.Dev.json", '{"ConnectionStrings":{"Default":"Server=x"},"Stripe":{"ApiKey":"abcdefgh","List":[{"Url":"https://x.io/a"}]}}')
     assert got == [("domain", "sqlserver"), ("env_var", "STRIPE_APIKEY"), ("env_var", "STRIPE_APIKEY"), ("url", "https://x.io/a")]
