@@ -210,10 +210,14 @@ def merge_model(services: DataFrame, suggested: DataFrame) -> DataFrame:
 
 
 def overlay_config(services: DataFrame, config: DataFrame) -> DataFrame:
-    """JN14: owner, billing and plan of the first configured service with the same id or name (by ord)."""
+    """JN14: owner, billing and plan of the first configured service with the same id or name (by ord).
+
+    Only the first of each id and of each name is joined: a service meets two rows at most, however many share its name.
+    """
     fields = [c for c in ("owner", "billing", "plan") if c in config.columns and c in services.columns]
-    by = lambda key: services.select("repo_id", F.col("id").alias("_sid"), F.col(key).alias("_k")).join(config.select("repo_id", F.col(key).alias("_k"), "ord", *fields), ["repo_id", "_k"]).drop("_k")
-    first = by("id").unionByName(by("name")).groupBy("repo_id", "_sid").agg(F.min_by(F.struct(*fields), F.col("ord")).alias("o"))
+    least = lambda key: config.groupBy("repo_id", F.col(key).alias("_k")).agg(F.min_by(F.struct(*fields), F.col("ord")).alias("o"), F.min("ord").alias("ord"))
+    by = lambda key: services.select("repo_id", F.col("id").alias("_sid"), F.col(key).alias("_k")).join(least(key), ["repo_id", "_k"]).drop("_k")
+    first = by("id").unionByName(by("name")).groupBy("repo_id", "_sid").agg(F.min_by("o", "ord").alias("o"))
     joined = services.join(first.withColumnRenamed("_sid", "id"), ["repo_id", "id"], "left")
     return joined.withColumns({c: F.coalesce(F.col(f"o.{c}"), F.col(c)) for c in fields}).select(*services.columns)
 

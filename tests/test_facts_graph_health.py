@@ -245,3 +245,15 @@ def test_documents_in_lines_are_the_whole_ones(spark):
         for r in sorted(lines(deps, F.lit("app"), F.lit("t")).collect(), key=lambda r: (r.section, r.place)):
             got[r.repo_id] = got.get(r.repo_id, "") + r.line + "\n"
         assert {k: json.loads(v) for k, v in got.items()} == want
+
+
+
+def test_an_overlay_joins_the_first_of_a_name_alone(spark):
+    """Services and configured ones that share a name don't meet in all pairs."""
+    many = [service(id=f"a{i}", name="A" if i % 2 else "B") for i in range(20)]
+    config = spark.createDataFrame([(1, "x", "A", 5, "late"), (1, "y", "A", 2, "first"), (1, "a3", "Z", 1, "own"), (1, "a5", "Z", 9, "later"), (1, "z", "A", 7, None)], "repo_id int, id string, name string, ord int, owner string")
+    out = facts.overlay_config(services(spark, *many), config)
+    want = {f"a{i}": "own" if i == 3 else "first" if i % 2 else None for i in range(20)}
+    base = {r.id: r.owner for r in services(spark, *many).collect()}
+    assert {r.id: r.owner for r in out.collect()} == {k: v or base[k] for k, v in want.items()}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 3  # two of them below the joins
