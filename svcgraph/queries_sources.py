@@ -67,7 +67,8 @@ def bodies(s: SparkSession, d: str) -> DataFrame:
     body = F.lit(None).cast("string")
     for k, template in enumerate(kinds):
         body = F.when(F.col("p_partkey") % 5 == k, filled(template)).otherwise(body)
-    return A.table(s, d, "part").select(F.col("p_partkey").alias("repo_id"), body.alias("body"))
+    # dealt to tasks by key: the part table is one row group, and a body takes long to parse
+    return A.table(s, d, "part").repartition("p_partkey").select(F.col("p_partkey").alias("repo_id"), body.alias("body"))
 
 
 def migrated(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
+
 SERVICE = "id string, name string, category string, confidence string, owner string, plan string"
 
 
@@ -102,8 +104,10 @@ def imported_graph(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     node = _items(rows, "$.graph.nodes", ("id", "id"), ("label", "data.label"), ("type", "data.nodeType"), ("layer_color", "data.layerColor")).where("id IS NOT NULL")
     saved = node.select("repo_id", "id", "label", F.coalesce("type", F.lit("external")).alias("type"), F.when(F.col("id").startswith("svc-"), F.expr("substring(id, 5)")).alias("service_id"))
+    saved = written(saved, "nodes")  # bodies are parsed once for nodes and once for services, which several joins read
+    services = written(services_of(rows).select("repo_id", "id", "name", "category"), "services")
     links = _items(rows, "$.graph.edges", ("source", "source"), ("target", "target"), ("flow_type", "type")).drop("at")
-    made, more = missing_nodes(services_of(rows), saved)
+    made, more = missing_nodes(services, saved)
     all_nodes = saved.unionByName(made)
     user = rows.select("repo_id").distinct().join(all_nodes.where("id = 'user'").select("repo_id"), "repo_id", "left_anti")
     null = F.lit(None).cast("string")

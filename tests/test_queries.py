@@ -49,3 +49,11 @@ def test_made_files_are_dealt_to_many_tasks(spark):
         assert all(made.rdd.getNumPartitions() > 1 for made in (queries_files.template(spark, SF, "tvf06_source"), queries_files.files(spark, SF, queries_files.T.NAMES[:1])))
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_bodies_are_dealt_and_read_twice(spark):
+    """Imported graphs parse each stored configuration for its nodes and for its services, not again for every join."""
+    from svcgraph import queries_sources
+
+    assert "RepartitionByExpression" in queries_sources.bodies(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert queries_sources.imported(spark, SF)[0]._jdf.queryExecution().optimizedPlan().toString().count("schema_of_variant") <= 4
