@@ -7,6 +7,7 @@ folder of repositories and reading a stored table give the same columns.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,6 +61,18 @@ def ignore_patterns(content: str) -> list[tuple[bool, bool, str]]:
     return found
 
 
+@lru_cache(maxsize=256)
+def compiled_patterns(content: str) -> list[tuple[bool, bool, re.Pattern]]:
+    """ignore_patterns(), compiled; many repositories have one ignore file between them."""
+    found = []
+    for negated, only_dirs, regex in ignore_patterns(content):
+        try:
+            found.append((negated, only_dirs, re.compile(regex, re.IGNORECASE)))
+        except re.error:
+            continue  # no pattern
+    return found
+
+
 class IgnoreTree:
     """The verdicts of one ignore file on a tree of folders: below an ignored folder everything is ignored.
 
@@ -70,12 +83,7 @@ class IgnoreTree:
     KEEP = 100_000
 
     def __init__(self, content: str) -> None:
-        self.rules = []
-        for negated, only_dirs, regex in ignore_patterns(content):
-            try:
-                self.rules.append((negated, only_dirs, re.compile(regex, re.IGNORECASE)))
-            except re.error:
-                continue  # no pattern
+        self.rules = compiled_patterns(content)
         self.folders: dict[str, bool] = {}
 
     def own_verdict(self, path: str, folder: bool) -> bool:

@@ -154,3 +154,9 @@ def test_whole_inventory_of_files(spark):
     assert rows(ignored["evidences"], "file", "value") == [("package.json", "react"), ("package.json", "stripe")] and rows(ignored["dependencies"], "name") == [("react",), ("stripe",)]
     empty = inventory_of_files(table(spark, {"x": ""}).limit(0))
     assert empty["services"].count() == 0
+
+
+def test_ignore_files_of_one_text_are_compiled_once():
+    a, b = repo.IgnoreTree("*.log\n!keep.log\n"), repo.IgnoreTree("*.log\n!keep.log\n")
+    assert a.rules is b.rules and a.folders is not b.folders
+    assert [a.ignored(p) for p in ("x/a.log", "keep.log", "x")] == [True, False, False]
