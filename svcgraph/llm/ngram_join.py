@@ -23,7 +23,7 @@ Steps, all shuffled by Spark:
    anew into buckets by pair of size bands and rare feature (`_refined`), which what a family has in common is not; those that are still
    large are compared in blocks of bounded rows and features. Buckets of the same members are compared once. A task gives only links that join groups.
 
-Signatures are cut to 32 bits within their range and told apart by scheme; a false agreement within a scheme keeps a set or puts it into a
+Signatures are cut to 24 bits within their range and told apart by scheme; a false agreement within a scheme keeps a set or puts it into a
 bucket where it needn't be, which only costs verifications.
 
 Defined results: null, empty and wordless texts have no features, are linked with nothing and are
@@ -53,6 +53,8 @@ RANGE, HOT_SETS = 400_000, 500_000
 #: Stands for the hot signature's sets in its own range; no document's id there.
 MARK = -(1 << 63)
 HOT = (1 << 31) - 1
+#: Stands for the number of sets in the rows that say how many signatures a set needs in a scheme.
+NEEDS = -2
 
 U = np.uint64
 
@@ -224,19 +226,47 @@ def _sets(docs: DataFrame) -> DataFrame:
     return map_rows(docs, make, "doc_id long, n long, h1 long, h2 long")
 
 
-#: An entry of a block: 4 bytes of signature, 8 of id, 2 of need, 2 of scheme.
-ENTRY = 16
+#: An entry of a plain block: 4 bytes of signature, 8 of id, 2 of need, 2 of scheme. One of a needs' block: 8 of id, 2 of need, 2 of scheme.
+ENTRY, NEEDS_ENTRY = 16, 12
+#: Bits of a signature that are kept within its range, which has about `RANGE` of them however large the input is.
+KEPT_BITS = 24
 
 
-def _signature_blocks(docs: DataFrame, ranges: int, salts: int, bits: int = 32) -> DataFrame:
-    """Step 2, map side: r and byte columns of the signatures in that range, several thousand sets a block.
+def _planes(*columns: np.ndarray) -> bytes:
+    """The columns as planes of single bytes: the high bytes of small or ascending numbers cost next to nothing once compressed."""
+    return b"".join(x.view("u1").reshape(len(x), -1).T.tobytes() for x in columns)
+
+
+def _column(raw: np.ndarray, n: int, low: int, size: int, kind: str) -> np.ndarray:
+    """The column of `size` bytes that begins with plane `low`, of n entries."""
+    return np.ascontiguousarray(raw[low * n : (low + size) * n].reshape(size, n).T).view(kind)[:, 0]
+
+
+def _packed(sig: np.ndarray, doc: np.ndarray, scheme: np.ndarray, bits: int) -> bytes:
+    """A block: how many bytes a signature has, the signatures' low bits, and planes of the ids' gaps and the schemes."""
+    width = -(-bits // 8)
+    low = (sig & U((1 << bits) - 1)).astype("<u4").view("u1").reshape(-1, 4)[:, :width]
+    return bytes([width]) + low.tobytes() + _planes(np.diff(doc, prepend=0), scheme)
+
+
+def _unpacked(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    width, raw = int(raw[0]), raw[1:]
+    n = len(raw) // (width + 10)
+    low = np.zeros((n, 4), "u1")
+    low[:, :width] = raw[: width * n].reshape(n, width)
+    return low.view("<u4")[:, 0], np.cumsum(_column(raw, n, width, 8, "<i8")), _column(raw, n, width + 8, 2, "<u2")
+
+
+def _signature_blocks(docs: DataFrame, ranges: int, salts: int, bits: int = KEPT_BITS) -> DataFrame:
+    """Step 2, map side: r and packed blocks of the signatures in that range, several thousand sets a block.
 
     r >= ranges are salted ranges: ranges * (1 + salt) + r holds a salt's share of signatures that are hot in r.
-    Of a signature its range and its low `bits` (32 at most) bits are kept.
+    Of a signature its range and its low `bits` (32 at most) bits are kept. What sets need goes once a set and scheme, in
+    blocks of their own with r < 0, and not with each signature.
     """
     import pyarrow as pa
 
-    schema = "r long, block binary"
+    schema = "r long, packed binary"
 
     def run(batches):
         out, shingler = arrow_schema(schema), process_table("shingler", Shingler)
@@ -245,7 +275,7 @@ def _signature_blocks(docs: DataFrame, ranges: int, salts: int, bits: int = 32)
 
         def flush():
             sig = np.concatenate([g[0] for g in gathered])
-            doc, need, scheme = (np.repeat(np.array([g[k] for g in gathered], t), [len(g[0]) for g in gathered]) for k, t in ((1, "i8"), (2, "u2"), (3, "u2")))
+            doc, scheme = (np.repeat(np.array([g[k] for g in gathered], t), [len(g[0]) for g in gathered]) for k, t in ((1, "i8"), (3, "u2")))
             r = ((sig >> U(32)) * U(ranges) >> U(32)).astype("i8")
             line = np.sort(sig)
             run_ends = np.flatnonzero(np.concatenate((line[1:] != line[:-1], [True])))
@@ -257,19 +287,17 @@ def _signature_blocks(docs: DataFrame, ranges: int, salts: int, bits: int = 32)
                 one = np.full((2, len(hot)), -1)  # an entry of either side for each hot signature, for its marks
                 one[(scheme & 1)[is_hot], at[is_hot]] = np.flatnonzero(is_hot)
                 one = one[one >= 0]
-                mark = [x[one] for x in (sig, doc, need, scheme, r)]
+                mark = [x[one] for x in (sig, doc, scheme, r)]
                 mark[1] = np.full(len(one), MARK, "i8")
                 r = np.where(is_hot, r + ranges * (1 + (_mix(doc.view(U)) % U(salts)).astype("i8")), r)
-                sig, doc, need, scheme, r = (np.concatenate(x) for x in zip((sig, doc, need, scheme, r), mark, strict=True))
+                sig, doc, scheme, r = (np.concatenate(x) for x in zip((sig, doc, scheme, r), mark, strict=True))
             order = np.argsort(r.astype("u2") if r.max() < 1 << 16 else r, kind="stable")
-            sig, doc, need, scheme, r = sig[order], doc[order], need[order], scheme[order], r[order]
+            sig, doc, scheme, r = sig[order], doc[order], scheme[order], r[order]
             first = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
-            blocks = []
-            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(r)], strict=True):
-                # planes of single bytes: the high bytes of ids in order cost next to nothing once compressed
-                planes = [x[a:b].view("u1").reshape(b - a, -1).T.tobytes() for x in (doc, need, scheme)]
-                blocks.append(b"".join(((sig[a:b] & U((1 << bits) - 1)).astype("u4").tobytes(), *planes)))
-            return pa.RecordBatch.from_arrays([pa.array(r[first], pa.int64()), pa.array(blocks, pa.binary())], schema=out)
+            blocks = [_packed(sig[a:b], doc[a:b], scheme[a:b], bits) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(r)], strict=True)]
+            needs = [np.array([g[k] for g in gathered], t) for k, t in ((1, "i8"), (2, "u2"), (3, "u2"))]
+            own = -1 - int(_mix(needs[0][:1].view(U))[0] % U(ranges))
+            return pa.RecordBatch.from_arrays([pa.array([*r[first].tolist(), own], pa.int64()), pa.array([*blocks, _planes(*needs)], pa.binary())], schema=out)
 
         for whole in batches:
             for b in _pieces(whole):
@@ -293,11 +321,12 @@ def _signature_blocks(docs: DataFrame, ranges: int, salts: int, bits: int = 32)
 
 
 def _survivors(blocks: DataFrame, ranges: int) -> DataFrame:
-    """Step 2, reduce side: signatures that several sets have, and in how many (HOT for hot ones).
+    """Step 2, reduce side: signatures that several sets have, and in how many (HOT for hot ones). Blocks are packed, or plain ones.
 
     A signature counts within its scheme (both sides of one): what agrees in the kept bits but belongs to another scheme is another signature.
     Two sets of the upper band meet in the scheme of their own, and two of equal size in that of their size, so a
     signature needs the other side too. Only a hot one's own range sees both sides: it names (freq -1) those without.
+    What a set needs in a scheme is passed on in rows of its own (freq NEEDS, no document's id in doc but in sig).
     """
     import pyarrow as pa
 
@@ -306,14 +335,18 @@ def _survivors(blocks: DataFrame, ranges: int) -> DataFrame:
     def fn(table: pa.Table) -> pa.Table:
         out = arrow_schema(schema)
         r = table.column("r")[0].as_py()
-        sigs, docs, needs, schemes = [], [], [], []
-        for block in table.column("block"):
-            raw = np.frombuffer(block.as_buffer(), "u1")
-            n = len(raw) // ENTRY
-            sigs.append(raw[: 4 * n].view("<u4").astype(U))
-            for into, low, size, kind in ((docs, 4, 8, "<i8"), (needs, 12, 2, "<u2"), (schemes, 14, 2, "<u2")):
-                into.append(np.ascontiguousarray(raw[low * n : (low + size) * n].reshape(size, n).T).view(kind)[:, 0])
-        sig, doc, need, scheme = (np.concatenate(x) for x in (sigs, docs, needs, schemes))
+        plain = "block" in table.column_names
+        raws = [np.frombuffer(x.as_buffer(), "u1") for x in table.column("block" if plain else "packed")]
+        if r < 0:
+            doc, need, scheme = (np.concatenate([_column(raw, len(raw) // NEEDS_ENTRY, *place) for raw in raws]) for place in ((0, 8, "<i8"), (8, 2, "<u2"), (10, 2, "<u2")))
+            cols = (doc, scheme.astype("i4"), np.full(len(doc), MARK), need.astype("i4"), np.full(len(doc), NEEDS, "i4"))
+            return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(cols, out.types, strict=True)], schema=out)
+        if plain:
+            parts = [(raw[: len(raw) // 4].view("<u4"), *(_column(raw, len(raw) // ENTRY, *place) for place in ((4, 8, "<i8"), (14, 2, "<u2")))) for raw in raws]
+        else:
+            parts = [_unpacked(raw) for raw in raws]
+        sig, doc, scheme = (np.concatenate(x) for x in zip(*parts, strict=True))
+        sig = sig.astype(U)
         sig = sig << U(16) | (scheme >> 1)  # a scheme's two sides are one scheme
         order = np.argsort(sig, kind="stable")
         sig = sig[order]
@@ -321,11 +354,11 @@ def _survivors(blocks: DataFrame, ranges: int) -> DataFrame:
         if r >= ranges:
             count = np.full(len(sig), HOT)
             keep = np.ones(len(sig), bool)
-            doc, need, scheme = doc[order], need[order], scheme[order]
+            doc, scheme = doc[order], scheme[order]
         else:
             shared = np.concatenate((same, [False])) | np.concatenate(([False], same)) | (doc[order] == MARK)
             order, sig = order[shared], sig[shared]
-            doc, need, scheme = doc[order], need[order], scheme[order]
+            doc, scheme = doc[order], scheme[order]
             first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.zeros(0, "i8")
             size = np.diff(np.append(first, len(sig)))
             if len(sig):
@@ -342,7 +375,7 @@ def _survivors(blocks: DataFrame, ranges: int) -> DataFrame:
             else:
                 count, keep = np.zeros(0, "i8"), np.zeros(0, bool)
         full = (sig >> U(16) | U(r % ranges) << U(32)).view("i8")
-        cols = (full[keep], scheme[keep].astype("i4"), doc[keep], need[keep].astype("i4"), count[keep].astype("i4"))
+        cols = (full[keep], scheme[keep].astype("i4"), doc[keep], np.full(int(keep.sum()), 65535), count[keep].astype("i4"))
         return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(cols, out.types, strict=True)], schema=out)
 
     return blocks.groupBy("r").applyInArrow(fn, schema)
@@ -351,12 +384,15 @@ def _survivors(blocks: DataFrame, ranges: int) -> DataFrame:
 def _rarest(found: DataFrame) -> DataFrame:
     """Step 3: sig, doc, with the got - need + 1 rarest signatures of each set that has its need."""
     pair = F.shiftright("scheme", 1).alias("pair")
-    dead = found.where("freq < 0").select("sig", pair).distinct()
+    dead = found.where("freq = -1").select("sig", pair).distinct()
     hot = found.where(F.col("freq") == HOT).select("*", pair).join(dead, ["sig", "pair"], "left_anti").select(*found.columns)
-    found = found.where(F.col("freq").between(0, HOT - 1)).unionAll(hot)
-    own = Window.partitionBy("doc", "scheme")
-    counted = found.withColumn("got", F.count("*").over(own)).withColumn("need", F.min("need").over(own)).withColumn("k", F.row_number().over(own.orderBy("freq", "sig")))
-    return counted.where("got >= need AND k <= got - need + 1").select("sig", "doc")
+    needs = found.where(F.col("freq") == NEEDS).withColumn("doc", F.col("sig"))
+    found = found.where(F.col("freq").between(0, HOT - 1)).unionAll(hot).unionAll(needs)
+    # rows of needs come first in the order and don't count
+    own, is_sig = Window.partitionBy("doc", "scheme"), (F.col("freq") >= 0).cast("int")
+    line = own.orderBy("freq", "sig").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = found.withColumn("got", F.sum(is_sig).over(own)).withColumn("need", F.min("need").over(own)).withColumn("k", F.sum(is_sig).over(line))
+    return counted.where("freq >= 0 AND got >= need AND k <= got - need + 1").select("sig", "doc")
 
 
 def _features(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -659,7 +695,7 @@ def _mixed(kept: DataFrame, groups: DataFrame) -> DataFrame:
     return placed.join(chosen, "sig")
 
 
-def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small_bucket: int = 32, bits: int = 32) -> tuple[DataFrame, DataFrame]:
+def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small_bucket: int = 32, bits: int = KEPT_BITS) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, component_id) for every row, and the verified links between representatives of equal sets."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sets = materialize(_sets(texts), "sets")

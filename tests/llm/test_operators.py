@@ -779,3 +779,20 @@ def test_personal_data_recall_by_kind():
     for block in ("a1", "1,", "a1 "):
         pii.spans_of(block * 20_000, crf)
     assert time.process_time() - began < 20
+
+
+def test_signature_blocks_stay_small(spark):
+    """An entry takes about six bytes once compressed, also where many ranges leave few entries to a block; needs go once a set and scheme."""
+    import pyarrow as pa
+
+    df = spark.range(0, 3000, 1, 1).select("id", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(150)), lambda k: F.xxhash64("id", k).cast("string")), " ").alias("text"))
+    sets = ngram_join.Shingler().features([r.text for r in df.collect()])
+    entries = sum(len(sig) for f in sets for _, _, sig in ngram_join.signatures(f))
+    rows = ngram_join._signature_blocks(df, 1000, 1).collect()
+    assert len(pa.compress(b"".join(bytes(r[1]) for r in rows), "lz4", asbytes=True)) < 6.3 * entries
+    assert sum(len(r[1]) for r in rows if r.r < 0) == ngram_join.NEEDS_ENTRY * sum(len(ngram_join.signatures(f)) for f in sets)
+    r = np.random.default_rng(1)
+    sig, doc, scheme = r.integers(0, 1 << 62, 500, "u8"), np.append(np.sort(r.integers(-(1 << 62), 1 << 62, 499)), ngram_join.MARK), r.integers(0, 5000, 500).astype("u2")
+    for bits in (3, 24, 32):
+        got = ngram_join._unpacked(np.frombuffer(ngram_join._packed(sig, doc, scheme, bits), "u1"))
+        assert all(np.array_equal(x, y) for x, y in zip(got, (sig & np.uint64((1 << bits) - 1), doc, scheme), strict=True))
