@@ -105,6 +105,17 @@ def test_layers(spark):
     assert layout.layered(nodes.limit(0), edges.limit(0)).count() == 0
 
 
+def test_ranks_follow_no_path_twice(spark):
+    """A ladder of 24 rungs has 2^24 paths; each rung is met once a depth. A cycle that something leads to ends after `most` edges, and a start must be a node."""
+    ladder = [(1, f"{a}{k}", f"{b}{k + 1}") for k in range(24) for a in "xy" for b in "xy"]
+    cycle = [(2, "s", "a"), (2, "a", "b"), (2, "b", "a"), (2, "b", "end"), (3, "gone", "n"), (3, "m", "o"), (3, "o", "n")]
+    edges = spark.createDataFrame(ladder + cycle, "repo_id int, source string, target string")
+    nodes = spark.createDataFrame(sorted({(r, x) for r, a, b in ladder + cycle for x in (a, b) if x != "gone"}), "repo_id int, id string")
+    got = {(r.repo_id, r.id): r.rank for r in layout.ranks(nodes, edges, 26).collect()}
+    assert all(got[1, f"{a}{k}"] == k for k in range(25) for a in "xy")
+    assert (got[2, "s"], got[2, "a"], got[2, "b"], got[2, "end"]) == (0, 25, 26, 25) and (got[3, "o"], got[3, "n"]) == (1, 2) and len(got) == len(set(got))
+
+
 def test_budget_ends_at_the_first_overflow(spark):
     files = spark.createDataFrame([(1, f"f{i}", i, "x" * n) for i, n in enumerate((100, 0, 300, 700, 5))] + [(2, "f", 0, "y" * 2000), (3, "f", 0, None), (4, "a", 0, "z" * 900), (4, "b", 1, "z" * 300), (4, "c", 2, "z")], "repo_id int, path string, ord int, content string")
     got = {(r.repo_id, r.path): r.content for r in prompts.within_budget(files.repartition(4), 1000, 200).collect()}
